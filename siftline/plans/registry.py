@@ -1,0 +1,11 @@
+"""Queries of the reference's own operators and their SQL oracles."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
