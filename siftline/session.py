@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable on the executors; once for each Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_siftline_shipped", False):
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="siftline-")
+        context.addPyFile(shutil.make_archive(f"{folder}/siftline-package", "zip", package.parent, package.name))
+        context._siftline_shipped = True
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables, read through Spark so that any store works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
