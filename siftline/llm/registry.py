@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import pieces, quality, token_counts
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from siftline.llm import decontamination, pieces, quality, token_counts, token_files
+from siftline.session import table
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
         "doc_id",
         *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
@@ -28,7 +25,7 @@ def _vocabulary(name: str) -> str:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = pieces.encode(docs, _vocabulary("piece_bpe_32k.model"))
     return encoded.select(
         "doc_id",
@@ -40,13 +37,41 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.with_token_counts(docs, _vocabulary("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
+    hits = F.aggregate("contamination.hits", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
+    return found.select(
+        "doc_id",
+        F.col("contamination.n_words").alias("n_words"),
+        hits.alias("n_hit"),
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("contamination.items"), ","), 256).alias("items_sha256"),
+        (F.size("contamination.items") > 0).alias("contaminated"),
+    )
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = token_files.write(docs, _vocabulary("byte_bpe_50k.json"), end_id=2)
+    ids = token_files.digest(files.read(files.entries.select("key", "occurrence")), files.dtype)
+    return ids.join(F.broadcast(files.starts()), "shard").select(
+        F.col("key").alias("doc_id"),
+        (F.col("before") + F.col("offset")).alias("start"),
+        "n_tokens",
+        "ids_crc32",
+    )
+
+
 def queries() -> dict:
     return {
+        "op1_decontamination": op1_decontamination,
+        "op7_token_files": op7_token_files,
         "op3_quality_rules": op3_quality_rules,
         "op4_sentencepiece": op4_sentencepiece,
         "op10_token_counts": op10_token_counts,
