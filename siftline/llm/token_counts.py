@@ -20,18 +20,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.shared import slices
-from siftline.llm.units import UnitCache, cut
-
-# Fixed value: the pre-token pattern of the byte-level vocabularies.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Up to this character (Latin scripts) letter classes are the same in every Unicode version.
-_STABLE = "ɏ"
-
+from siftline.llm.units import ByteBpe, PreTokens
 
 def whole_tokens(tokenizer) -> frozenset[str]:
     """Vocabulary strings that the library encodes alone as one id that is not an added token."""
@@ -42,51 +37,35 @@ def whole_tokens(tokenizer) -> frozenset[str]:
     return frozenset(t for i, t, e in zip(ids, texts, proven, strict=True) if e.ids == [i])
 
 
-class ByteBpeCounter:
-    """Numbers of tokens of texts under a byte-level BPE of the tokenizers library."""
+class CountedPreTokens(PreTokens):
+    """Numbers of ids of pre-tokens: 1 for proven whole tokens, by merging for the rest."""
 
-    def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.whole = whole_tokens(self.tokenizer)
-        self.special = [str(t) if isinstance(t, str) else t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pre_tokens = regex.compile(PRE_TOKEN).findall
-        self.heads = UnitCache(self._count)
-        self.tails = UnitCache(lambda units: self._count([" " + u for u in units]))
-
-    def _count(self, units: list[str]) -> list[int]:
-        counts, rest = [], {}
-        for k, unit in enumerate(units):
-            if unit in self.whole:
-                counts.append(1)
-                continue
-            n = 0
-            if max(unit, default="") > _STABLE or any(s in unit for s in self.special):
-                rest.setdefault(unit, []).append(k)
+    def __init__(self, tokenizer):
+        super().__init__(tokenizer)
+        self.whole = whole_tokens(tokenizer)
+
+    def add(self, new: list[str]) -> None:
+        rest = []
+        for p in new:
+            if p in self.whole:
+                self.known[p] = 1
             else:
-                for p in self.pre_tokens(unit):
-                    if p in self.whole:
-                        n += 1
-                    else:
-                        rest.setdefault(p, []).append(k)
-            counts.append(n)
-        merged = self.tokenizer.encode_batch_fast(list(rest), add_special_tokens=False)
-        for where, e in zip(rest.values(), merged, strict=True):
-            n = len(e)
-            for k in where:
-                counts[k] += n
-        return counts
+                rest.append(p)
+        super().add(rest)
+
+    def put(self, group: list[str], ids, cuts: list[int]) -> None:
+        for p, a, b in zip(group, cuts, cuts[1:]):
+            self.known[p] = b - a
+
+
+class ByteBpeCounter(ByteBpe):
+    """Numbers of tokens of texts under a byte-level BPE of the tokenizers library."""
+
+    table = CountedPreTokens
+    join = staticmethod(sum)
 
     def count(self, texts: list[str]) -> list[int]:
-        parts = [cut(t) for t in texts]
-        heads = self.heads.ready({p[0] for p in parts})
-        seen: set[str] = set()
-        for p in parts:
-            seen.update(p[1:])
-        get = self.tails.ready(seen).__getitem__
-        return [heads[p[0]] + sum(map(get, p[1:])) for p in parts]
+        return self.values(texts)
 
 
 class PieceCounter:
@@ -117,7 +96,7 @@ def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", limit:
         for batch in batches:
             for part in slices(batch, text_col):
                 col = part.column(part.schema.get_field_index(text_col))
-                n_bytes = pa.compute.fill_null(pa.compute.binary_length(col), 0).cast(pa.int64())
+                n_bytes = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
                 n_tokens = pa.array(counter.count([t or "" for t in col.to_pylist()]), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, n_bytes, n_tokens], [*part.schema.names, "__n_bytes", "__n_tokens"])
 

@@ -18,7 +18,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries a worker's cache may hold before it is emptied (about 200 bytes each).
-CACHE_UNITS = 400_000
+CACHE_UNITS = 500_000
 #: White space (of str.isspace) that, before a space, makes a cut there unsafe.
 _SPACES = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace())
 _CUT = re.compile(r"(?<=\S) ")
@@ -48,27 +48,97 @@ class UnitCache:
         return self.known
 
 
+# Fixed value: the pre-token pattern of the byte-level vocabularies.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Up to this character (Latin scripts) letter classes are the same in every Unicode version.
+_STABLE = "\u024f"
+#: Pre-tokens a worker's table may hold before it is emptied.
+CACHE_PRE_TOKENS = 1_200_000
+#: Plain words that are merged in one call of the library.
+_TOGETHER = 500
+
+
+class PreTokens:
+    """Ids of pre-tokens under a byte-level BPE; the library merges each distinct one once."""
+
+    def __init__(self, tokenizer):
+        import regex
+
+        self.tokenizer = tokenizer
+        self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.cut = regex.compile(PRE_TOKEN).findall
+        self.known: dict = {}
+
+    def of(self, unit: str) -> list[str]:
+        """Pre-tokens of a unit; a unit with an added token or of other scripts is left whole."""
+        if not unit.isascii() and max(unit) > _STABLE or any(s in unit for s in self.special):
+            return [unit]
+        return self.cut(unit)
+
+    def ready(self, pre_tokens: set[str]) -> dict:
+        if len(self.known) > CACHE_PRE_TOKENS:
+            self.known = {}
+        new = [p for p in pre_tokens if p not in self.known]
+        if new:
+            self.add(new)
+        return self.known
+
+    def add(self, new: list[str]) -> None:
+        """Merges new pre-tokens: words that follow a space many at a time, others alone."""
+        plain = [p for p in new if p[:1] == " " and p[1:].isalpha() and max(p) <= _STABLE]
+        alone = [p for p in new if not (p[:1] == " " and p[1:].isalpha() and max(p) <= _STABLE)]
+        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1
+            if len(cuts) + 1 != len(group):
+                alone += group
+                continue
+            self.put(group, ids, [0, *cuts.tolist(), len(ids)])
+        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            self.put([p], ids, [0, len(ids)])
+
+    def put(self, group: list[str], ids: np.ndarray, cuts: list[int]) -> None:
+        raw, w = ids.tobytes(), ids.itemsize
+        for p, a, b in zip(group, cuts, cuts[1:]):
+            self.known[p] = raw[a * w : b * w]
+
+
 class ByteBpe:
-    """Ids of texts under a byte-level BPE of the tokenizers library, by units."""
+    """Values of texts under a byte-level BPE of the tokenizers library, by units and pre-tokens."""
+
+    table = PreTokens
+    join = staticmethod(b"".join)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.heads = UnitCache(self._encode)
-        self.tails = UnitCache(lambda units: self._encode([" " + u for u in units]))
+        self.pre = self.table(self.tokenizer)
+        self.heads = UnitCache(self._fill)
+        self.tails = UnitCache(lambda units: self._fill([" " + u for u in units]))
 
-    def _encode(self, units: list[str]) -> Iterable[bytes]:
-        for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False):
-            yield np.array(e.ids, self.dtype).tobytes()
+    def _fill(self, units: list[str]) -> list:
+        parts = [self.pre.of(u) for u in units]
+        get = self.pre.ready({p for ps in parts for p in ps}).__getitem__
+        return [get(p[0]) if len(p) == 1 else self.join(map(get, p)) for p in parts]
 
-    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
-        """Packed ids of each text, followed by ``end``."""
+    def values(self, texts: list[str]) -> list:
+        """The joined values of each whole text's units."""
         parts = [cut(t) for t in texts]
         heads = self.heads.ready({p[0] for p in parts})
         seen: set[str] = set()
         for p in parts:
             seen.update(p[1:])
         get = self.tails.ready(seen).__getitem__
-        return [heads[p[0]] + b"".join(map(get, p[1:])) + end for p in parts]
+        return [self.join((heads[p[0]], self.join(map(get, p[1:])))) for p in parts]
+
+    @property
+    def dtype(self) -> np.dtype:
+        return self.pre.dtype
+
+    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """Packed ids of each text, followed by ``end``."""
+        return [ids + end for ids in self.values(texts)]
