@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.shared import slices
-from siftline.llm.units import UnitCache
+from siftline.llm.units import UnitCache, coder
 
 MARK = "▁"
 #: Units up to these lengths share a matrix; longer ones take the heap.
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = Tru
     schema = T.StructType(kept.schema.fields + [T.StructField("__" + f.name, f.dataType) for f in ADDED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = coder(PieceEncoder, path)
         model = encoder.vocabulary.model
         for batch in batches:
             for part in slices(batch, text_col):

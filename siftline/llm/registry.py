@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import decontamination, pieces, quality, shingle_join, token_counts, token_files
+from siftline.llm import decontamination, pieces, quality, shingle_join, suffix_dedup, token_counts, token_files
 from siftline.session import table
 
 
@@ -36,6 +36,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.SuffixDedup(table(spark, sf_dir, "documents")).digests()
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.ShingleJoin(table(spark, sf_dir, "documents")).component_ids()
 
@@ -78,6 +82,7 @@ def queries() -> dict:
         "op7_token_files": op7_token_files,
         "op3_quality_rules": op3_quality_rules,
         "op4_sentencepiece": op4_sentencepiece,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_token_counts": op10_token_counts,
     }

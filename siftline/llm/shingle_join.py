@@ -180,7 +180,7 @@ class ShingleJoin:
                     out, grams = [], []
                     for s in shingle_sets(part.column(1), n):
                         node = fingerprint(s)
-                        if len(s) and node not in seen and _passes(bits, node):
+                        if len(s) and node not in seen and passing(bits, np.array([node], np.int64))[0]:
                             seen.add(node)
                             out.append(node)
                             grams.append(s.tobytes())
@@ -346,9 +346,10 @@ def _places(nodes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([((h >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 19, 38)], axis=-1)
 
 
-def _passes(bits: np.ndarray, node: int) -> bool:
-    at = _places(np.array([node], np.int64), len(bits) * 8)[0]
-    return bool(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all())
+def passing(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Whether each node may be in a filter."""
+    at = _places(nodes, len(bits) * 8)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=-1)
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:

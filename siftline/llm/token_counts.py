@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.shared import slices
-from siftline.llm.units import ByteBpe, PreTokens
+from siftline.llm.units import ByteBpe, PreTokens, coder
 
 def whole_tokens(tokenizer) -> frozenset[str]:
     """Vocabulary strings that the library encodes alone as one id that is not an added token."""
@@ -92,7 +92,7 @@ def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", limit:
     schema = T.StructType(kept.schema.fields + counts.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path) if path.endswith(".model") else ByteBpeCounter(path)
+        counter = coder(PieceCounter if path.endswith(".model") else ByteBpeCounter, path)
         for batch in batches:
             for part in slices(batch, text_col):
                 col = part.column(part.schema.get_field_index(text_col))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.shared import materialise, new_path, slices
-from siftline.llm.units import ByteBpe
+from siftline.llm.units import ByteBpe, coder
 
 #: Keys of one index bucket on average.
 BUCKET_KEYS = 16_384
@@ -247,19 +247,19 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, key_col: str = "doc
     spark = docs.sparkSession
     uri = new_path(spark, "tokens")
     rows = docs.select(F.col(f"`{key_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").alias("text"))
-    dtype = ByteBpe(tokenizer_path).dtype.str
+    dtype = coder(ByteBpe, tokenizer_path).dtype.str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBpe(tokenizer_path)
-        end, shard, done, out = np.array([end_id], coder.dtype).tobytes(), TaskContext.get().partitionId(), 0, []
+        tokens = coder(ByteBpe, tokenizer_path)
+        end, shard, done, out = np.array([end_id], tokens.dtype).tobytes(), TaskContext.get().partitionId(), 0, []
 
         def chunks():
             nonlocal done
             last, nth = object(), 0
             for batch in batches:
                 for part in slices(batch):
-                    packed = coder.encode([t or "" for t in part.column(1).to_pylist()], end)
-                    n = np.array([len(p) for p in packed], np.int64) // coder.dtype.itemsize
+                    packed = tokens.encode([t or "" for t in part.column(1).to_pylist()], end)
+                    n = np.array([len(p) for p in packed], np.int64) // tokens.dtype.itemsize
                     keys, seen = part.column(0).to_pylist(), []
                     for k in keys:
                         nth = nth + 1 if k == last else 0

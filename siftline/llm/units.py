@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
+from functools import cache
 
 import numpy as np
 
@@ -142,3 +143,9 @@ class ByteBpe:
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Packed ids of each text, followed by ``end``."""
         return [ids + end for ids in self.values(texts)]
+
+
+@cache
+def coder(kind: type, path: str):
+    """The one coder of a worker process for a file: its caches serve all tasks the worker runs."""
+    return kind(path)
