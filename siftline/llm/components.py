@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import drop_path, new_path
+from siftline.llm.shared import drop_path, materialise
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,12 +58,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").mapInArrow(_contract, "a long, b long").distinct()
     before, last = None, None
     while True:
-        path = new_path(spark, "stars")
-        edges.write.parquet(path)
-        edges = spark.read.schema("a long, b long").parquet(path)
+        edges = materialise(edges, "stars")
         if last:
             drop_path(spark, last)
-        last = path
+        last = edges.scratch_path
         now = edges.agg(F.count("a"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break

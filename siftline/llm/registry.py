@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import decontamination, pieces, quality, shingle_join, suffix_dedup, token_counts, token_files
+from siftline.llm import chat, decontamination, language, pieces, quality, shingle_join, suffix_dedup, token_counts, token_files, url_filter
 from siftline.session import table
 
 
+# The production rules of the URL filter.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def llm_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of raw pages: visible text, declared markup, address; models from the documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", "url")
+    return language.identify(pages, "page_id", "html", None, "url", model=language.fit(docs))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
@@ -17,7 +41,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Place of a public tokenizer file; the same on every executor."""
     import public_tokenizers
 
@@ -26,7 +50,7 @@ def _vocabulary(name: str) -> str:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = pieces.encode(docs, _vocabulary("piece_bpe_32k.model"))
+    encoded = pieces.encode(docs, vocabulary("piece_bpe_32k.model"))
     return encoded.select(
         "doc_id",
         "n_tokens",
@@ -46,7 +70,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.with_token_counts(docs, _vocabulary("byte_bpe_50k.json"))
+    counted = token_counts.with_token_counts(docs, vocabulary("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
@@ -66,7 +90,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    files = token_files.write(docs, _vocabulary("byte_bpe_50k.json"), end_id=2)
+    files = token_files.write(docs, vocabulary("byte_bpe_50k.json"), end_id=2)
     ids = token_files.digest(files.read(files.entries.select("key", "occurrence")), files.dtype)
     return ids.join(F.broadcast(files.starts()), "shard").select(
         F.col("key").alias("doc_id"),
@@ -80,6 +104,10 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op7_token_files": op7_token_files,
+        "op2_language_id": op2_language_id,
+        "llm_page_languages": llm_page_languages,
+        "op5_chat_format": op5_chat_format,
+        "op6_url_filter": op6_url_filter,
         "op3_quality_rules": op3_quality_rules,
         "op4_sentencepiece": op4_sentencepiece,
         "op8_suffix_dedup": op8_suffix_dedup,

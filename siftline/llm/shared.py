@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds the memory of array work.
 SLICE_BYTES = 4 << 20
@@ -24,8 +24,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Scratch:
+    """Tables written inside the block go at its end, but for those given to :meth:`keep`."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes a result that outlives the block; an enclosing block may drop it in turn."""
+        out = materialise(df, "kept")
+        self.paths.discard(out.scratch_path)
+        if len(Scratch._open) > 1:
+            Scratch._open[-2].paths.add(out.scratch_path)
+        return out
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.pop()
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
+    if Scratch._open:
+        Scratch._open[-1].paths.add(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -33,21 +62,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a table made by :func:`materialise` or a folder of the shared place."""
+    """Deletes a table or folder of the shared place."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def path_of(df: DataFrame) -> str:
-    """The folder that a table of :func:`materialise` is in."""
-    return os.path.dirname(df.inputFiles()[0]) if df.inputFiles() else ""
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each; a longer text is a part of its own."""
     if not batch.num_rows:
@@ -63,5 +89,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     yield batch.slice(begin)
 
 
-def same_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
+#: Keys that may be broadcast, 8 bytes each.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows of the keys; a few keys, once counted, go to the texts rather than the texts to them."""
+    n = keys.count()
+    if not n:
+        return docs
+    small = F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+    return docs.join(small, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -40,9 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.components import components, forest
-from siftline.llm.shared import materialise, slices
+from siftline.llm.shared import Scratch, materialise, slices, without
 from siftline.llm.wordarrays import NOT_SPACE, Words, mix64
 
+#: Bytes of text turned into n-grams at once.
+SLICE = 1 << 20
 #: Rows of a block of the product.
 BLOCK_ROWS = 256
 #: Columns that are multiplied at once.
@@ -133,7 +135,7 @@ class ShingleJoin:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, most=SLICE):
                     sizes, nodes = [], []
                     for s in shingle_sets(part.column(1), n):
                         sizes.append(len(s))
@@ -150,7 +152,7 @@ class ShingleJoin:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen, sigs, nodes, gathered = set(), [], [], 0
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, most=SLICE):
                     for s in shingle_sets(part.column(1), n):
                         node = fingerprint(s)
                         if len(s) and node not in seen:
@@ -176,7 +178,7 @@ class ShingleJoin:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits, seen = shared.value, set()
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, most=SLICE):
                     out, grams = [], []
                     for s in shingle_sets(part.column(1), n):
                         node = fingerprint(s)
@@ -246,7 +248,8 @@ class ShingleJoin:
     def component_ids(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row."""
         docs = materialise(self.documents(), "nodes")
-        of = components(self.links())
+        with Scratch(self.spark) as scratch:
+            of = scratch.keep(components(self.links()))
         least = docs.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
         named = least.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -380,8 +383,9 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least doc_id."""
-    ids = ShingleJoin(docs, **options).component_ids()
-    leave = ids.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(leave, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one document of each component, the one with the least id."""
+    with Scratch(docs.sparkSession) as scratch:
+        ids = ShingleJoin(docs, id_col, **options).component_ids()
+        leave = scratch.keep(ids.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    return without(docs, leave, id_col)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import materialise, slices
+from siftline.llm.shared import Scratch, materialise, slices
 from siftline.llm.shingle_join import node_filter, passing
 from siftline.llm.wordarrays import Prefix, buffer_of, mix64
 
@@ -268,9 +268,14 @@ class SuffixDedup:
         whole = texts.mapInArrow(send, "bucket int, c0 binary, c1 binary, c2 binary").repartition(buckets, "bucket")
         return gone.unionByName(whole.mapInArrow(lambda b: repeats(b, length), "doc_id long, first long, last long"))
 
+    def found(self) -> DataFrame:
+        """:meth:`ranges`, written."""
+        with Scratch(self.spark) as scratch:
+            return scratch.keep(self.ranges())
+
     def kept(self) -> DataFrame:
         """(doc_id, n_bytes, n_removed, n_spans, kept): kept has the bytes that are left."""
-        found = materialise(self.ranges(), "repeats").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+        found = self.found().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
         joined = self.rows.join(found, "doc_id", "left")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +320,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     Bytes of a character of which a cut has taken a part go with it.
     """
     job = SuffixDedup(docs, id_col, text_col, length)
-    found = materialise(job.ranges(), "repeats").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("__ranges"))
+    found = job.found().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("__ranges"))
     names = docs.columns
     keyed = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")).join(found.withColumnRenamed("doc_id", "__id"), "__id", "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("__left", T.BooleanType())])
