@@ -1,11 +1,268 @@
-"""Queries of the reference's own operators and their SQL oracles."""
+"""Queries of the engine's own operators over the driver's tables, and their SQL oracles.
+
+Corpora are ``documents``, ``pages`` and ``conversations`` under the prose pack,
+and source files made from ``events`` by a template, since the tables hold no
+code.  Every query runs over whole tables and texts.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.functions import text as X
+from siftline.operators import findings as O
+from siftline.operators import match, suppress
+from siftline.sources.packs import BUILT_IN, SEVERITIES, Rule, load_pack, rules_table
+from siftline.session import table
+
+
+def prose_rules() -> list[Rule]:
+    return list(load_pack(BUILT_IN / "corpus").rules)
+
+
+def corpus(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+    rows = table(spark, sf_dir, name)
+    return rows.select(F.col(key).alias("file_id"), F.concat(F.lit(f"{name}/"), F.col(key).cast("string")).alias("path"), F.lit("text").alias("language"), F.col(text).alias("text"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.findings(corpus(spark, sf_dir), prose_rules(), unicode_classes=False)
+
+
+_SHOWN = ("rule_id", "severity", "path", "start_char", "start_byte", "start_line", "start_column", "end_column", "ord", "match_text")
+
+
+def scan_pattern_findings(spark, sf_dir):
+    return found(spark, sf_dir).select(*_SHOWN)
+
+
+_INLINE = Rule(id="page.inline-script", name="Inline script", severity="low", languages=("text",), regex=r"<script>[^<]*", capability="pattern")
+_NO_TRACK = Rule(id="page.quiet-script", name="Script without tracking", severity="info", languages=("text",), regex=r"<style>[^<]*", not_regex=r"track\([0-9]*[05]\)", capability="pattern")
+
+
+def scan_pages(spark, sf_dir):
+    return match.findings(corpus(spark, sf_dir, "pages", "page_id", "html"), [_INLINE], False).select("rule_id", "path", "start_line", "start_column", "match_text")
+
+
+def scan_not_regex(spark, sf_dir):
+    return match.findings(corpus(spark, sf_dir, "pages", "page_id", "html"), [_NO_TRACK], False).select("rule_id", "path", "start_line", "start_column")
+
+
+def scan_conversations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    files = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("file_id"), F.concat_ws("/", F.lit("conversations"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.lit("text").alias("language"), "text")
+    rule = Rule(id="chat.repeat", name="Doubled syllable", severity="info", languages=("text",), regex=r"(?:the the|la la|die die|und und|of of) [a-z]+", capability="pattern")
+    return match.findings(files, [rule], False).select("path", "ord", "start_char", "start_line", "match_text")
+
+
+def findings_snippet_line(spark, sf_dir):
+    return found(spark, sf_dir).select("rule_id", "path", "ord", "start_line", "code_snippet")
+
+
+_FOR_LANGUAGE = [
+    Rule(id="only.en", languages=("en",), regex="x"),
+    Rule(id="only.romance", languages=("fr", "es"), regex="x"),
+    Rule(id="any", languages=("en", "fr", "es", "de"), regex="x"),
+]
+
+
+def language_rule_applicability(spark, sf_dir):
+    rules = rules_table(spark, _FOR_LANGUAGE).select("rule_id", F.explode("languages").alias("lang"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(F.broadcast(rules), "lang").groupBy("rule_id", "lang").agg(F.count("doc_id").alias("files"))
+
+
+def category_rollup_zero_fill(spark, sf_dir):
+    return O.category_rollup(found(spark, sf_dir), rules_table(spark, prose_rules()))
+
+
+def severity_summary(spark, sf_dir):
+    return O.severity_summary(found(spark, sf_dir))
+
+
+def triage_topk(spark, sf_dir):
+    return O.triage(found(spark, sf_dir)).limit(10).select("rule_id", "severity", "path", "start_line", "start_column")
+
+
+def min_severity_floor(spark, sf_dir):
+    return O.at_least(found(spark, sf_dir), "high").groupBy("rule_id", "severity").agg(F.count("path").alias("findings"))
+
+
+def exit_policy(spark, sf_dir):
+    rows = found(spark, sf_dir)
+    flags = [F.coalesce(F.bool_or(F.col("severity_rank") >= i), F.lit(False)).alias(f"fails_{s}") for i, s in enumerate(SEVERITIES)]
+    return rows.agg(*flags)
+
+
+def _baseline(spark, sf_dir):
+    """What findings of even documents were known by, and two fingerprints of findings that are gone."""
+    known = found(spark, sf_dir).filter("file_id % 2 = 0").select("fingerprint")
+    return known.unionByName(spark.createDataFrame([("ghost-a",), ("ghost-b",)], "fingerprint string"))
+
+
+def baseline_new(spark, sf_dir):
+    return O.new_against(found(spark, sf_dir), _baseline(spark, sf_dir)).select("rule_id", "path", "ord", "start_line")
+
+
+def baseline_existing(spark, sf_dir):
+    return O.existing_in(found(spark, sf_dir), _baseline(spark, sf_dir)).select("rule_id", "path", "ord", "start_line")
+
+
+def baseline_fixed(spark, sf_dir):
+    return O.fixed_since(found(spark, sf_dir), _baseline(spark, sf_dir))
+
+
+def baseline_counts(spark, sf_dir):
+    return O.baseline_counts(found(spark, sf_dir), _baseline(spark, sf_dir))
+
+
+def first_finding_per_rule(spark, sf_dir):
+    return O.first_per_rule(found(spark, sf_dir)).select("rule_id", "path", "start_line", "start_column")
+
+
+_NESTED = [
+    Rule(id="span", languages=("text",), regex=r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"),
+    Rule(id="span", languages=("text",), regex=r"@[A-Za-z0-9-]+"),
+]
+
+
+def innermost_spans(spark, sf_dir):
+    """Two nested patterns reported under one rule; the outer ones go."""
+    located = match.locate(match.matches(corpus(spark, sf_dir), _NESTED, False))
+    spans = located.select(F.lit("span").alias("rule_id"), "path", "start_byte", (F.col("start_byte") + F.octet_length("match_text")).alias("end_byte"))
+    return O.innermost(spans)
+
+
+def fingerprint_fnv1a(spark, sf_dir):
+    ascii_ = found(spark, sf_dir).filter("octet_length(code_snippet) = length(code_snippet)")
+    return ascii_.select("rule_id", "path", "ord", X.fnv1a64_col(F.col("match_text")).alias("hash"), X.fnv1a64_col(F.lit("")).alias("empty_hash"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small source file for each event: a call that a rule finds, at times behind a marker."""
+    e = table(spark, sf_dir, "events")
+    kind = F.pmod("event_id", F.lit(5))
+    body = (
+        F.when(kind == 0, "import os\nos.system(cmd)\n")
+        .when(kind == 1, "import os\n# nosec\nos.system(cmd)\n")
+        .when(kind == 2, "import os\nos.system(cmd)  # nosec: py.other\n")
+        .when(kind == 3, "# nosec py.os-system\n\nos.system('x')\n")
+        .otherwise("x = 'nosec'; os.system(x)\n")
+    )
+    return e.select(F.col("event_id").alias("file_id"), F.concat(F.lit("src/"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), body.alias("text"))
+
+
+_SYSTEM = Rule(id="py.os-system", name="Shell command", severity="high", languages=("python",), regex=r"os\.system\s*\(", capability="pattern")
+
+
+def suppressed_findings(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    rows = match.findings(files, [_SYSTEM], False)
+    silent = suppress.suppressed(rows, suppress.suppressions(files))
+    return silent.select("rule_id", "path", "start_line")
+
+
+def unsuppressed_findings(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    rows = match.findings(files, [_SYSTEM], False)
+    return suppress.suppressed(rows, suppress.suppressions(files), "left_anti").select("rule_id", "path", "start_line")
+
+
+def fixture_verdicts(spark, sf_dir):
+    """Half of the files promise a finding on their second line, half promise none."""
+    e = code_files(spark, sf_dir)
+    mark = F.when(F.col("file_id") % 2 == 0, "# ruleid: py.os-system\n").otherwise("# ok: py.os-system\n")
+    files = e.withColumn("text", F.concat(mark, F.when(F.col("file_id") % 3 == 0, "os.system(c)\n").otherwise("pass\n")))
+    rows = match.findings(files, [_SYSTEM], False)
+    return suppress.verdicts(suppress.annotations(files), rows, ["py.os-system"])
+
+
+def snapshot_changed_files(spark, sf_dir):
+    """Files whose hash a snapshot lacks: every document, against one in which every tenth text was longer."""
+    now = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    was = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
+    return now.exceptAll(was).select("doc_id")
+
+
+def call_graph_closure(spark, sf_dir):
+    """What each function reaches: functions are nations, each calls two others of higher number."""
+    from siftline.operators.graph import closure
+
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    calls = n.select(F.col("k").alias("caller"), F.explode(F.array(F.col("k") * 2 + 1, F.col("k") + 7)).alias("callee")).filter("callee < 25")
+    return closure(calls)
+
+
+def taint_findings(spark, sf_dir):
+    """Request parameters that reach a shell, through calls between the functions of one file."""
+    from siftline.operators.taint import taint_findings as run
+    from siftline.sources.packs import Registry
+
+    e = table(spark, sf_dir, "events")
+    body = F.when(F.col("event_id") % 2 == 0, F.lit("name = request.args.get('n')\n    return send(name)")).otherwise(F.lit("name = clean()\n    return send(name)"))
+    text = F.concat(F.lit("def send(url):\n    return requests.get(url)\n\ndef view(request):\n    "), body, F.lit("\n"))
+    files = e.select(F.col("event_id").alias("file_id"), F.concat(F.lit("src/"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"))
+    rules = [r for r in Registry.built_in().rules if r.id == "python.security.ssrf"]
+    return run(files, rules).select("rule_id", "path", "start_line", "source_line", "message")
+
 
 def queries() -> dict:
-    return {}
+    own = [
+        scan_pattern_findings, scan_pages, scan_not_regex, scan_conversations, findings_snippet_line, language_rule_applicability,
+        category_rollup_zero_fill, severity_summary, triage_topk, min_severity_floor, exit_policy, baseline_new, baseline_existing,
+        baseline_fixed, baseline_counts, first_finding_per_rule, innermost_spans, fingerprint_fnv1a, suppressed_findings,
+        unsuppressed_findings, fixture_verdicts, snapshot_changed_files, call_graph_closure, taint_findings,
+    ]
+    return {f.__name__: f for f in own}
+
+
+def _sql_found(source: str, key: str, text: str, prefix: str, rules: list[Rule], extra: str = "") -> str:
+    """A CTE ``found`` that finds the rules' matches with offsets, in DuckDB."""
+    values = ", ".join("('{}', '{}', {}, '{}', '{}')".format(r.id, r.severity, r.severity_rank, r.category or "uncategorized", r.regex.replace("'", "''")) for r in rules)
+    return f"""
+    rules(rule_id, severity, severity_rank, category, rx) AS (VALUES {values}),
+    pairs AS (SELECT {key} AS k, '{prefix}' || CAST({key} AS VARCHAR) AS path, {text} AS t, r.*, regexp_extract_all({text}, r.rx) AS m, regexp_split_to_array({text}, r.rx) AS p
+              FROM {source}, rules r WHERE regexp_matches({text}, r.rx)),
+    spread AS (SELECT *, unnest(range(len(m))) AS i FROM pairs),
+    placed AS (SELECT *, list_sum(list_transform(p[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS off FROM spread),
+    found AS (SELECT k, rule_id, severity, severity_rank, category, path, t, CAST(off AS INTEGER) AS start_char, strlen(t[1:CAST(off AS BIGINT)]) AS start_byte,
+                     len(string_split(t[1:CAST(off AS BIGINT)], chr(10))) AS start_line,
+                     length(string_split(t[1:CAST(off AS BIGINT)], chr(10))[-1]) + 1 AS start_column, CAST(i AS INTEGER) AS ord, m[i + 1] AS match_text{extra} FROM placed)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    docs = "WITH " + _sql_found("documents", "doc_id", "text", "documents/", prose_rules(), ", trim(string_split(t, chr(10))[len(string_split(t[1:CAST(off AS BIGINT)], chr(10)))], ' ' || chr(9) || chr(13)) AS code_snippet")
+    pages = lambda rule: "WITH " + _sql_found("pages", "page_id", "html", "pages/", [rule])
+    nested = "WITH " + _sql_found("documents", "doc_id", "text", "documents/", _NESTED)
+    fold = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, x: ((h - h % 256 + xor(h % 256, x)) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    known = docs + ", print AS (SELECT *, rule_id || chr(0) || path || chr(0) || regexp_replace(code_snippet, '\\s+', ' ', 'g') AS fp FROM found), base AS (SELECT DISTINCT fp FROM print WHERE k % 2 = 0)"
+    code = """WITH files AS (SELECT event_id AS k, 'src/' || event_id || '.py' AS path, event_id % 5 AS kind FROM events),
+              hits AS (SELECT path, kind, CASE WHEN kind IN (0, 2) THEN 2 WHEN kind IN (1, 3) THEN 3 ELSE 1 END AS start_line FROM files)"""
+    values = ", ".join(f"('{r.id}', '{x}')" for r in _FOR_LANGUAGE for x in r.languages)
+    zero = ", ".join(f"('{r.category or 'uncategorized'}')" for r in prose_rules())
+    return {
+        "scan_pattern_findings": docs + " SELECT rule_id, severity, path, start_char, start_byte, start_line, start_column, start_column + strlen(match_text) AS end_column, ord, match_text FROM found",
+        "scan_pages": pages(_INLINE) + " SELECT rule_id, path, start_line, start_column, match_text FROM found",
+        "scan_not_regex": pages(_NO_TRACK) + " SELECT rule_id, path, start_line, start_column FROM found WHERE NOT regexp_matches(string_split(t, chr(10))[start_line], 'track\\([0-9]*[05]\\)')",
+        "scan_conversations": "WITH " + _sql_found("conversations", "conv_id || '/' || turn", "text", "conversations/", [Rule(id="chat.repeat", severity="info", languages=("text",), regex=r"(?:the the|la la|die die|und und|of of) [a-z]+")]) + " SELECT path, ord, start_char, start_line, match_text FROM found",
+        "findings_snippet_line": docs + " SELECT rule_id, path, ord, start_line, code_snippet FROM found",
+        "language_rule_applicability": f"SELECT rule_id, d.lang AS lang, count(*) AS files FROM documents d JOIN (VALUES {values}) r(rule_id, lang) ON d.lang = r.lang GROUP BY ALL",
+        "category_rollup_zero_fill": docs + f", loaded AS (SELECT category, count(*) AS rules FROM (VALUES {zero}) v(category) GROUP BY 1), hit AS (SELECT category, count(*) AS findings FROM found GROUP BY 1) SELECT coalesce(l.category, h.category) AS category, coalesce(rules, 0) AS rules, coalesce(findings, 0) AS findings FROM loaded l FULL JOIN hit h ON l.category = h.category",
+        "severity_summary": docs + " SELECT " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES) + " FROM found",
+        "triage_topk": docs + " SELECT rule_id, severity, path, start_line, start_column FROM found ORDER BY severity_rank DESC, path, start_line, start_column, rule_id LIMIT 10",
+        "min_severity_floor": docs + " SELECT rule_id, severity, count(*) AS findings FROM found WHERE severity_rank >= 3 GROUP BY ALL",
+        "exit_policy": docs + " SELECT " + ", ".join(f"coalesce(bool_or(severity_rank >= {i}), false) AS fails_{s}" for i, s in enumerate(SEVERITIES)) + " FROM found",
+        "baseline_new": known + " SELECT rule_id, path, ord, start_line FROM print WHERE fp NOT IN (FROM base)",
+        "baseline_existing": known + " SELECT rule_id, path, ord, start_line FROM print WHERE fp IN (FROM base)",
+        "baseline_fixed": "SELECT unnest(['ghost-a', 'ghost-b']) AS fingerprint",
+        "baseline_counts": known + " SELECT count(*) FILTER (fp IN (FROM base)) AS existing, count(*) FILTER (fp NOT IN (FROM base)) AS \"new\", CAST(2 AS BIGINT) AS fixed FROM print",
+        "first_finding_per_rule": docs + " SELECT rule_id, path, start_line, start_column FROM found QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY path, start_line, start_column) = 1",
+        "innermost_spans": nested + ", spans AS (SELECT rule_id, path, start_byte, start_byte + strlen(match_text) AS end_byte FROM found) SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans t WHERE t.path = s.path AND t.start_byte >= s.start_byte AND t.end_byte <= s.end_byte AND t.end_byte - t.start_byte < s.end_byte - s.start_byte)",
+        "fingerprint_fnv1a": docs + f" SELECT rule_id, path, ord, lpad(lower(printf('%x', CAST({fold.format('match_text')} // 4294967296 AS BIGINT))), 8, '0') || lpad(lower(printf('%x', CAST({fold.format('match_text')} % 4294967296 AS BIGINT))), 8, '0') AS hash, 'cbf29ce484222325' AS empty_hash FROM found WHERE strlen(code_snippet) = length(code_snippet)",
+        "suppressed_findings": code + " SELECT 'py.os-system' AS rule_id, path, CAST(start_line AS BIGINT) AS start_line FROM hits WHERE kind = 1",
+        "unsuppressed_findings": code + " SELECT 'py.os-system' AS rule_id, path, CAST(start_line AS BIGINT) AS start_line FROM hits WHERE kind <> 1",
+        "fixture_verdicts": "SELECT event_id AS file_id, CASE WHEN event_id % 2 = 0 THEN 'expected' ELSE 'unexpected' END AS kind, 'py.os-system' AS rule_id, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS line FROM events WHERE (event_id % 2 = 0) <> (event_id % 3 = 0)",
+        "snapshot_changed_files": "SELECT doc_id FROM documents WHERE doc_id % 10 = 0",
+        "call_graph_closure": "WITH RECURSIVE c AS (SELECT CAST(n_nationkey AS BIGINT) AS caller, unnest([2 * n_nationkey + 1, n_nationkey + 7])::BIGINT AS callee FROM nation), e AS (SELECT * FROM c WHERE callee < 25), r AS (SELECT caller, callee FROM e UNION SELECT r.caller, e.callee FROM r JOIN e ON r.callee = e.caller) SELECT caller, callee FROM r",
+    }
