@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.shared import slices
-from siftline.llm.units import ByteBpe, PreTokens, coder
+from siftline.llm.units import STABLE, UNIT_SLICE, ByteBpe, coder, plain
 
 def whole_tokens(tokenizer) -> frozenset[str]:
     """Vocabulary strings that the library encodes alone as one id that is not an added token."""
@@ -37,35 +38,54 @@ def whole_tokens(tokenizer) -> frozenset[str]:
     return frozenset(t for i, t, e in zip(ids, texts, proven, strict=True) if e.ids == [i])
 
 
-class CountedPreTokens(PreTokens):
-    """Numbers of ids of pre-tokens: 1 for proven whole tokens, by merging for the rest."""
-
-    def __init__(self, tokenizer):
-        super().__init__(tokenizer)
-        self.whole = whole_tokens(tokenizer)
-
-    def add(self, new: list[str]) -> None:
-        rest = []
-        for p in new:
-            if p in self.whole:
-                self.known[p] = 1
-            else:
-                rest.append(p)
-        super().add(rest)
-
-    def put(self, group: list[str], ids, cuts: list[int]) -> None:
-        for p, a, b in zip(group, cuts, cuts[1:]):
-            self.known[p] = b - a
+# Fixed value: the pre-token pattern of the byte-level vocabularies.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteBpeCounter(ByteBpe):
     """Numbers of tokens of texts under a byte-level BPE of the tokenizers library."""
 
-    table = CountedPreTokens
-    join = staticmethod(sum)
-
-    def count(self, texts: list[str]) -> list[int]:
-        return self.values(texts)
+    def __init__(self, path: str):
+        import regex
+
+        super().__init__(path)
+        self.whole = whole_tokens(self.tokenizer)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = regex.compile(PRE_TOKEN).findall
+
+    def value(self, ids: list[int]) -> int:
+        return len(ids)
+
+    def fill(self, units: list[str]) -> list[int]:
+        """Counts whole tokens as one each; merges the other pre-tokens.
+
+        Units of other scripts, or with an added token, are merged whole.
+        """
+        counts, where = [0] * len(units), {}
+        for k, unit in enumerate(units):
+            if unit in self.whole:
+                counts[k] = 1
+            elif plain(unit) or not unit.isascii() and max(unit) > STABLE or any(s in unit for s in self.special):
+                where.setdefault(unit, []).append(k)
+            else:
+                for p in self.cut(unit):
+                    if p in self.whole:
+                        counts[k] += 1
+                    else:
+                        where.setdefault(p, []).append(k)
+        for places, n in zip(where.values(), super().fill(list(where)), strict=True):
+            for k in places:
+                counts[k] += n
+        return counts
+
+    def count(self, column: pa.Array) -> list[int]:
+        if not len(column):
+            return []
+        values, at, cut, odd = self.values(column)
+        counts = np.add.reduceat(np.array(values, np.int64)[at], cut.bounds[:-1])
+        for i, own in odd.items():
+            counts[i] = sum(own)
+        return counts.tolist()
 
 
 class PieceCounter:
@@ -76,8 +96,8 @@ class PieceCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def count(self, texts: list[str]) -> list[int]:
-        return [len(ids) for ids in self.model.encode(texts, num_threads=1)]
+    def count(self, column: pa.Array) -> list[int]:
+        return [len(ids) for ids in self.model.encode(column.to_pylist(), num_threads=1)]
 
 
 def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int = 512) -> DataFrame:
@@ -94,10 +114,10 @@ def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", limit:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = coder(PieceCounter if path.endswith(".model") else ByteBpeCounter, path)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, UNIT_SLICE):
                 col = part.column(part.schema.get_field_index(text_col))
                 n_bytes = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
-                n_tokens = pa.array(counter.count([t or "" for t in col.to_pylist()]), pa.int64())
+                n_tokens = pa.array(counter.count(pc.fill_null(col, "")), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, n_bytes, n_tokens], [*part.schema.names, "__n_bytes", "__n_tokens"])
 
     out = kept.mapInArrow(run, schema)

@@ -30,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.shared import materialise, new_path, slices
-from siftline.llm.units import ByteBpe, coder
+from siftline.llm.units import UNIT_SLICE, ByteBpe, coder
 
 #: Keys of one index bucket on average.
 BUCKET_KEYS = 16_384
@@ -257,8 +258,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, key_col: str = "doc
             nonlocal done
             last, nth = object(), 0
             for batch in batches:
-                for part in slices(batch):
-                    packed = tokens.encode([t or "" for t in part.column(1).to_pylist()], end)
+                for part in slices(batch, most=UNIT_SLICE):
+                    packed = tokens.encode(pc.fill_null(part.column(1), ""), end)
                     n = np.array([len(p) for p in packed], np.int64) // tokens.dtype.itemsize
                     keys, seen = part.column(0).to_pylist(), []
                     for k in keys:

@@ -15,22 +15,62 @@ from collections.abc import Callable, Iterable
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Bytes of text cut at once.
+UNIT_SLICE = 4 << 20
 #: Entries a worker's cache may hold before it is emptied (about 200 bytes each).
-CACHE_UNITS = 500_000
-#: White space (of str.isspace) that, before a space, makes a cut there unsafe.
-_SPACES = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace())
-_CUT = re.compile(r"(?<=\S) ")
-
-
-def cut(text: str) -> list[str]:
-    """Units of a text without the one space before each but the first: ``" ".join(cut(t)) == t``."""
-    for pair in _SPACES:
-        if pair in text:
-            return _CUT.split(text)
-    return text.split(" ")
+CACHE_UNITS = 600_000
+#: Texts with other white space than single spaces and line ends are cut with care.
+_ODD = "[ \n][ \n]|[\x01\t\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_CUT = re.compile(r"(?<=\S)(?= )")
+
+
+class Cut:
+    """The units of a column's texts: distinct units, and which stand where in each text.
+
+    A unit that begins with a line end stands for itself, one that begins with
+    \\x01 for what follows that, any other for a space and itself.  ``odd`` texts
+    (of a pattern) have no units here.
+    """
+
+    def __init__(self, column: pa.Array, odd: str, lines: bool = True, marks: bool = False):
+        odd_ = pc.match_substring_regex(column, odd)
+        self.odd = np.flatnonzero(odd_.to_numpy(zero_copy_only=False))
+        column = pc.if_else(odd_, "", column) if len(self.odd) else column
+        if lines:
+            column = pc.replace_substring(column, "\n", " \n")
+        if marks:
+            column = pc.replace_substring_regex(column, r"(\pL)([.,;:!?])", "\\1 \x01\\2")
+        lists = pc.split_pattern(column, " ")
+        self.bounds = lists.offsets.to_numpy().astype(np.int64)
+        self.bounds -= self.bounds[0]
+        flat = lists.flatten()
+        self.firsts = flat.take(pa.array(self.bounds[:-1])).to_pylist() if len(flat) else []
+        coded = flat.dictionary_encode()
+        self.at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.units = coded.dictionary.to_pylist()
+
+
+def cut_with_care(text: str) -> list[str]:
+    """Units of a text, each standing for itself."""
+    return _CUT.split(text)
+
+
+def concatenated(values: list[bytes], at: np.ndarray, bounds: np.ndarray, dtype: np.dtype) -> list[bytes]:
+    """For each text (its range of ``at``) the joined values that ``at`` points to."""
+    size = np.fromiter(map(len, values), np.int64, len(values)) // dtype.itemsize
+    source = np.frombuffer(b"".join(values), dtype)
+    start = (np.cumsum(size) - size)[at]
+    size = size[at]
+    end = np.cumsum(size)
+    total = int(end[-1]) if len(end) else 0
+    ids = source[np.repeat(start - end + size, size) + np.arange(total)]
+    cuts = np.concatenate([[0], end])[bounds]
+    return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 class UnitCache:
@@ -39,110 +79,83 @@ class UnitCache:
     def __init__(self, fill: Callable[[list[str]], Iterable], most: int = CACHE_UNITS):
         self.fill, self.most, self.known = fill, most, {}
 
-    def ready(self, units: set[str]) -> dict:
-        """A dict that has all the units given."""
+    def look_up(self, units: list[str]) -> list:
+        """The values of units."""
         if len(self.known) > self.most:
             self.known = {}
-        new = [u for u in units if u not in self.known]
-        if new:
-            self.known.update(zip(new, self.fill(new), strict=True))
-        return self.known
+        known = self.known
+        found = list(map(known.get, units))
+        if None in found:
+            new = list(dict.fromkeys(u for u, v in zip(units, found) if v is None))
+            known.update(zip(new, self.fill(new), strict=True))
+            found = [known[u] if v is None else v for u, v in zip(units, found)]
+        return found
 
 
-# Fixed value: the pre-token pattern of the byte-level vocabularies.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Up to this character (Latin scripts) letter classes are the same in every Unicode version.
-_STABLE = "\u024f"
-#: Pre-tokens a worker's table may hold before it is emptied.
-CACHE_PRE_TOKENS = 1_200_000
+STABLE = "\u024f"
 #: Plain words that are merged in one call of the library.
 _TOGETHER = 500
 
 
-class PreTokens:
-    """Ids of pre-tokens under a byte-level BPE; the library merges each distinct one once."""
-
-    def __init__(self, tokenizer):
-        import regex
-
-        self.tokenizer = tokenizer
-        self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.cut = regex.compile(PRE_TOKEN).findall
-        self.known: dict = {}
-
-    def of(self, unit: str) -> list[str]:
-        """Pre-tokens of a unit; a unit with an added token or of other scripts is left whole."""
-        if not unit.isascii() and max(unit) > _STABLE or any(s in unit for s in self.special):
-            return [unit]
-        return self.cut(unit)
-
-    def ready(self, pre_tokens: set[str]) -> dict:
-        if len(self.known) > CACHE_PRE_TOKENS:
-            self.known = {}
-        new = [p for p in pre_tokens if p not in self.known]
-        if new:
-            self.add(new)
-        return self.known
-
-    def add(self, new: list[str]) -> None:
-        """Merges new pre-tokens: words that follow a space many at a time, others alone."""
-        plain = [p for p in new if p[:1] == " " and p[1:].isalpha() and max(p) <= _STABLE]
-        alone = [p for p in new if not (p[:1] == " " and p[1:].isalpha() and max(p) <= _STABLE)]
-        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            cuts = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1
-            if len(cuts) + 1 != len(group):
-                alone += group
-                continue
-            self.put(group, ids, [0, *cuts.tolist(), len(ids)])
-        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            self.put([p], ids, [0, len(ids)])
-
-    def put(self, group: list[str], ids: np.ndarray, cuts: list[int]) -> None:
-        raw, w = ids.tobytes(), ids.itemsize
-        for p, a, b in zip(group, cuts, cuts[1:]):
-            self.known[p] = raw[a * w : b * w]
+def plain(unit: str) -> bool:
+    """Whether a unit is a space and letters of stable classes, hence one pre-token."""
+    return unit[:1] == " " and unit[1:].isalpha() and (unit.isascii() or max(unit) <= STABLE)
 
 
 class ByteBpe:
-    """Values of texts under a byte-level BPE of the tokenizers library, by units and pre-tokens."""
+    """Values of texts under a byte-level BPE of the tokenizers library, by units.
 
-    table = PreTokens
-    join = staticmethod(b"".join)
+    Units end before a space, a line end, or a mark after a letter: places that
+    no pre-token crosses.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pre = self.table(self.tokenizer)
-        self.heads = UnitCache(self._fill)
-        self.tails = UnitCache(lambda units: self._fill([" " + u for u in units]))
-
-    def _fill(self, units: list[str]) -> list:
-        parts = [self.pre.of(u) for u in units]
-        get = self.pre.ready({p for ps in parts for p in ps}).__getitem__
-        return [get(p[0]) if len(p) == 1 else self.join(map(get, p)) for p in parts]
-
-    def values(self, texts: list[str]) -> list:
-        """The joined values of each whole text's units."""
-        parts = [cut(t) for t in texts]
-        heads = self.heads.ready({p[0] for p in parts})
-        seen: set[str] = set()
-        for p in parts:
-            seen.update(p[1:])
-        get = self.tails.ready(seen).__getitem__
-        return [self.join((heads[p[0]], self.join(map(get, p[1:])))) for p in parts]
-
-    @property
-    def dtype(self) -> np.dtype:
-        return self.pre.dtype
-
-    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.heads = UnitCache(self.fill, CACHE_UNITS // 8)
+        self.tails = UnitCache(lambda units: self.fill([u if u[:1] == "\n" else u[1:] if u[:1] == "\x01" else " " + u for u in units]))
+
+    def value(self, ids: list[int]):
+        """What is kept of the ids of a unit: here the packed ids."""
+        return np.array(ids, self.dtype).tobytes()
+
+    def fill(self, units: list[str]) -> list:
+        """Merges units: plain words many at a time, others alone."""
+        out: list = [None] * len(units)
+        words = [i for i, u in enumerate(units) if plain(u)]
+        groups = [words[k : k + _TOGETHER] for k in range(0, len(words), _TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join([units[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            cuts = (np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1).tolist()
+            if len(cuts) + 1 == len(group):
+                for i, a, b in zip(group, [0, *cuts], [*cuts, len(ids)]):
+                    out[i] = self.value(ids[a:b])
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = self.value(e.ids)
+        return out
+
+    def values(self, column: pa.Array) -> tuple[list, np.ndarray, Cut, dict[int, list]]:
+        """Values of distinct units, those of each text by place, the cut, and the values of odd texts' units."""
+        cut = Cut(column, _ODD, marks=True)
+        values, at = self.tails.look_up(cut.units), cut.at.copy()
+        at[cut.bounds[:-1]] = len(values) + np.arange(len(cut.firsts))
+        values = values + self.heads.look_up(cut.firsts)
+        odd = {int(i): self.heads.look_up(cut_with_care(column[int(i)].as_py())) for i in cut.odd}
+        return values, at, cut, odd
+
+    def encode(self, column: pa.Array, end: bytes = b"") -> list[bytes]:
         """Packed ids of each text, followed by ``end``."""
-        return [ids + end for ids in self.values(texts)]
+        if not len(column):
+            return []
+        values, at, cut, odd = self.values(column)
+        out = [ids + end for ids in concatenated(values, at, cut.bounds, self.dtype)]
+        for i, own in odd.items():
+            out[i] = b"".join(own) + end
+        return out
 
 
 @cache
