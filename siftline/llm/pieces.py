@@ -27,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.shared import slices
-from siftline.llm.units import UnitCache, coder
+from siftline.llm.units import UNIT_SLICE, Cut, UnitCache, coder, concatenated
 
 MARK = "▁"
 #: Units up to these lengths share a matrix; longer ones take the heap.
@@ -176,26 +177,28 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         self.vocabulary = v = MergeVocabulary(path)
-        self.units = UnitCache(self._fill)
+        # A line end is in no piece, so it is cut off from what stands before it.
+        self.lines = not any("\n" in p for p in v.text.values())
+        self.units = UnitCache(lambda units: self._fill([u if u[:1] == "\n" and self.lines else " " + u for u in units]))
+        self.runs = UnitCache(self._fill)
         self.bos, self.eos = (np.array([i], "<u4").tobytes() for i in (v.model.bos_id(), v.model.eos_id()))
 
-    def _fill(self, keys: list[str]) -> Iterator[bytes]:
+    def _fill(self, units: list[str]) -> Iterator[bytes]:
         v = self.vocabulary
-        for symbols in v.agendas([(" " + k).replace(" ", MARK) for k in keys]):
+        for symbols in v.agendas([u.replace(" ", MARK) for u in units]):
             yield np.array(v.ids(symbols), "<u4").tobytes()
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Units of a text, each without its first space mark; a mark in the text is a space."""
-        if not text:
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Packed ids of each text."""
+        if not len(column):
             return []
-        text = " " + text.replace(MARK, " ")
-        return [u[1:] for u in _RUN(text)] if "  " in text else text.split(" ")[1:]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.cut(t) for t in texts]
-        get = self.units.ready({u for p in parts for u in p}).__getitem__
-        return [self.bos + b"".join(map(get, p)) + self.eos for p in parts]
+        column = pc.replace_substring(column, MARK, " ")
+        cut = Cut(column, "^$|^ |  ", self.lines)
+        out = concatenated(self.units.look_up(cut.units), cut.at, cut.bounds, np.dtype("<u4"))
+        for i in cut.odd.tolist():
+            text = column[i].as_py()
+            out[i] = b"".join(self.runs.look_up(_RUN(" " + text))) if text else b""
+        return [self.bos + ids + self.eos for ids in out]
 
 
 #: Columns that :func:`encode` adds.
@@ -222,9 +225,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = Tru
         encoder = coder(PieceEncoder, path)
         model = encoder.vocabulary.model
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, UNIT_SLICE):
                 texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
-                packed = encoder.encode(texts)
+                packed = encoder.encode(pc.fill_null(part.column(part.schema.get_field_index(text_col)), ""))
                 lists = [np.frombuffer(p, "<u4").tolist() for p in packed]
                 agrees = [True] * len(texts)
                 if check:
