@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Makes this package importable on the executors; once for each Spark context."""
     context = spark.sparkContext
@@ -17,9 +22,28 @@ def ship(spark: SparkSession) -> SparkSession:
         folder = tempfile.mkdtemp(prefix="siftline-")
         context.addPyFile(shutil.make_archive(f"{folder}/siftline-package", "zip", package.parent, package.name))
         context._siftline_shipped = True
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) in (None, "67108864b", "-1"):  # where no one has chosen: less memory for each worker
+        spark.conf.set(limit, str(ARROW_BYTES))
     return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables, read through Spark so that any store works."""
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; one is set up only where it is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='siftline-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut, and lost executors lose nothing."""
+    path = f"{shared_dir(df.sparkSession)}/siftline/engine-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
