@@ -175,7 +175,8 @@ _TOKEN = re.compile(
     r"""|(?P<word>[^\W\d]\w*|[$@][\w$]*|\d[\w.]*)|(?P<op>=>|:=|===|!==|==|!=|<=|>=|&&|\|\||\+\+|--|->|::|\.\.\.|[+\-*/%&|^]=|.)""",
     re.S,
 )
-_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "new", "else", "do", "try", "function", "func", "await", "typeof", "throw", "synchronized", "super", "case", "in", "of", "range", "go", "defer"}
+_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "new", "else", "do", "try", "function", "func", "await", "typeof", "throw", "synchronized", "super", "case", "in", "of"}
+_GO_WORDS = {"go", "defer", "range"}
 _TYPES = ("class", "interface", "enum", "record")
 
 
@@ -529,7 +530,7 @@ class Reader:
                 out.append(n)
                 k = after
                 continue
-            if self.is_(k, "(") and k in self.pair and self.pair[k] < j and (self.word(k - 1) or self.is_(k - 1, ">", ")", "]")) and k > i and self.tok[k - 1][1] not in _NOT_NAMES:
+            if self.is_(k, "(") and k in self.pair and self.pair[k] < j and (self.word(k - 1) or self.is_(k - 1, ">", ")", "]")) and k > i and self.tok[k - 1][1] not in _NOT_NAMES and not (self.go and self.tok[k - 1][1] in _GO_WORDS):
                 out = self.call(out, i, k)
                 k = self.pair[k] + 1
                 continue
