@@ -37,7 +37,10 @@ def scan(args: argparse.Namespace) -> int:
     if args.changed or args.staged:
         files = tree.under((tree.staged_files if args.staged else tree.changed_files)("."), args.paths)
     paths = args.paths or c.include
-    result = scanner.scan_paths(paths, c.exclude, files)
+    cache = None if args.no_cache else state.FindingsCache(scanner.spark, str(Path(c.root) / tree.STATE / "cache"), scanner.registry.namespace())
+    result = scanner.scan_paths(paths, c.exclude, files, cache)
+    if cache:
+        cache.prune()
     if args.baseline:
         base = state.read_baseline(scanner.spark, _baseline_path(c.root))
         n = O.baseline_counts(result.findings, base).first()

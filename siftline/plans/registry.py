@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as X
 from siftline.operators import findings as O
-from siftline.operators import match, suppress
+from siftline.operators import match, nodes, suppress
+from siftline.sources import tree
 from siftline.sources.packs import BUILT_IN, SEVERITIES, Rule, load_pack, rules_table
 from siftline.session import table
 
@@ -185,6 +186,44 @@ def snapshot_changed_files(spark, sf_dir):
     return now.exceptAll(was).select("doc_id")
 
 
+def _event_paths(spark, sf_dir):
+    """A path for each event, with folders and extensions of every sort."""
+    e = table(spark, sf_dir, "events")
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("src", "gen/deep", "node_modules/x", "./lib", ".github", "a.b")]), (F.pmod("event_id", F.lit(6)) + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("m.py", "m.java", "m.TS", "m.tsx", "m.jsx", "m", "m.go", "m.test.js")]), (F.pmod("event_id", F.lit(8)) + 1).cast("int"))
+    return e.select("event_id", F.concat(folder, F.lit("/"), name).alias("path"))
+
+
+def language_detection(spark, sf_dir):
+    rows = _event_paths(spark, sf_dir).select(tree.language_col(F.col("path")).alias("language"))
+    return rows.groupBy("language").agg(F.count(F.lit(1)).alias("files"))
+
+
+def exclude_globs(spark, sf_dir):
+    rows = _event_paths(spark, sf_dir)
+    return rows.filter(~tree.exclude_col(F.col("path"), ["gen", "m.t*", "node_modules/?"])).select("event_id", "path")
+
+
+def normalized_paths(spark, sf_dir):
+    return _event_paths(spark, sf_dir).select("event_id", X.normalize_path(F.col("path")).alias("path"))
+
+
+def escaped_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.html_escape(F.col("html"))).alias("escaped_md5"))
+
+
+def sarif_levels(spark, sf_dir):
+    return found(spark, sf_dir).groupBy(X.sarif_level(F.col("severity_rank")).alias("level")).agg(F.count(F.lit(1)).alias("findings"))
+
+
+def enclosing_spans(spark, sf_dir):
+    """The shortest order span (by key range) that holds each supplier key: an interval join by customers' nations."""
+    points = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("file_id"), F.col("s_suppkey").alias("at"))
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 7 < 5")
+    spans = c.select(F.col("c_nationkey").cast("long").alias("file_id"), (F.col("c_custkey") % 50).alias("start"), (F.col("c_custkey") % 50 + F.col("c_custkey") % 97 + 1).alias("end"), F.col("c_custkey").alias("span"))
+    return nodes.enclosing(points, spans, ["span"]).fillna(-1, ["span"])
+
+
 def call_graph_closure(spark, sf_dir):
     """What each function reaches: functions are nations, each calls two others of higher number."""
     from siftline.operators.graph import closure
@@ -212,7 +251,8 @@ def queries() -> dict:
         scan_pattern_findings, scan_pages, scan_not_regex, scan_conversations, findings_snippet_line, language_rule_applicability,
         category_rollup_zero_fill, severity_summary, triage_topk, min_severity_floor, exit_policy, baseline_new, baseline_existing,
         baseline_fixed, baseline_counts, first_finding_per_rule, innermost_spans, fingerprint_fnv1a, suppressed_findings,
-        unsuppressed_findings, fixture_verdicts, snapshot_changed_files, call_graph_closure, taint_findings,
+        unsuppressed_findings, fixture_verdicts, snapshot_changed_files, language_detection, exclude_globs, normalized_paths,
+        escaped_pages, sarif_levels, enclosing_spans, call_graph_closure, taint_findings,
     ]
     return {f.__name__: f for f in own}
 
@@ -241,7 +281,15 @@ def oracle_sql() -> dict[str, str]:
               hits AS (SELECT path, kind, CASE WHEN kind IN (0, 2) THEN 2 WHEN kind IN (1, 3) THEN 3 ELSE 1 END AS start_line FROM files)"""
     values = ", ".join(f"('{r.id}', '{x}')" for r in _FOR_LANGUAGE for x in r.languages)
     zero = ", ".join(f"('{r.category or 'uncategorized'}')" for r in prose_rules())
+    paths = """WITH paths AS (SELECT event_id, ['src', 'gen/deep', 'node_modules/x', './lib', '.github', 'a.b'][event_id % 6 + 1] || '/' ||
+               ['m.py', 'm.java', 'm.TS', 'm.tsx', 'm.jsx', 'm', 'm.go', 'm.test.js'][event_id % 8 + 1] AS path FROM events)"""
     return {
+        "language_detection": paths + " SELECT CASE regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) WHEN 'py' THEN 'python' WHEN 'java' THEN 'java' WHEN 'tsx' THEN 'tsx' WHEN 'go' THEN 'go' WHEN 'js' THEN 'javascript' ELSE 'unknown' END AS language, count(*) AS files FROM paths GROUP BY 1",
+        "exclude_globs": paths + " SELECT event_id, path FROM paths WHERE NOT list_contains(string_split(path, '/'), 'gen') AND NOT starts_with(string_split(path, '/')[-1], 'm.t') AND path NOT LIKE 'node_modules/x/%'",
+        "normalized_paths": paths + " SELECT event_id, CASE WHEN path LIKE './%' THEN path[3:] WHEN path LIKE '.%' THEN path[2:] ELSE path END AS path FROM paths",
+        "escaped_pages": "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS escaped_md5 FROM pages",
+        "sarif_levels": docs + " SELECT CASE WHEN severity_rank >= 3 THEN 'error' WHEN severity_rank = 2 THEN 'warning' ELSE 'note' END AS level, count(*) AS findings FROM found GROUP BY 1",
+        "enclosing_spans": "WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS f, c_custkey % 50 AS a, c_custkey % 97 + 1 AS n, c_custkey AS span FROM customer WHERE c_custkey % 7 < 5) SELECT CAST(s_nationkey AS BIGINT) AS file_id, s_suppkey AS at, coalesce((SELECT span FROM s WHERE f = s_nationkey AND a <= s_suppkey AND s_suppkey < a + n ORDER BY n, span LIMIT 1), -1) AS span FROM supplier",
         "scan_pattern_findings": docs + " SELECT rule_id, severity, path, start_char, start_byte, start_line, start_column, start_column + strlen(match_text) AS end_column, ord, match_text FROM found",
         "scan_pages": pages(_INLINE) + " SELECT rule_id, path, start_line, start_column, match_text FROM found",
         "scan_not_regex": pages(_NO_TRACK) + " SELECT rule_id, path, start_line, start_column FROM found WHERE NOT regexp_matches(string_split(t, chr(10))[start_line], 'track\\([0-9]*[05]\\)')",

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row
 
 from siftline.operators import findings as O
 from siftline.plans.scan import ScanResult
-from siftline.sources.packs import ENGINE_VERSION, SEVERITIES
+from siftline.sources.packs import ENGINE_VERSION
 
 #: Columns of a finding in JSON reports, and what they are called there.
 VIEW = {
@@ -133,7 +133,3 @@ def write_report(text: str, output: str | None) -> None:
         Path(output).write_text(text, "utf-8")
     else:
         print(text, end="")
-
-
-def severities() -> tuple[str, ...]:
-    return SEVERITIES

@@ -14,6 +14,7 @@ from siftline.operators.graph import facts
 from siftline.session import ship, written
 from siftline.sources import tree
 from siftline.sources.packs import BUILT_IN, Registry, load_pack, rules_table
+from siftline.sources.state import FindingsCache
 
 
 @dataclass
@@ -66,15 +67,29 @@ class Scanner:
         marks = written(suppress.suppressions(corpus))
         kept = suppress.suppressed(every, marks, "left_anti")
         parsed = facts(corpus).filter("kind = 'issue'").select(F.lit("parse").alias("kind"), "path", F.col("detail").alias("message"))
+        return self._result(kept, parsed, suppress.suppressed(every, marks).count(), corpus.count(), began)
+
+    def _result(self, kept: DataFrame, issues: DataFrame, suppressed: int, files: int, began: float | None = None) -> ScanResult:
         categories = O.category_rollup(kept, rules_table(self.spark, self.registry.rules))
-        counters = {"files_scanned": corpus.count(), "files_skipped": 0, "suppressed_inline": suppress.suppressed(every, marks).count()}
-        return ScanResult(kept, categories, parsed, counters, [p.name for p in self.registry.packs], len(self.registry.rules), int(1000 * (time.time() - began)))
+        counters = {"files_scanned": files, "files_skipped": 0, "suppressed_inline": suppressed}
+        took = int(1000 * (time.time() - began)) if began else 0
+        return ScanResult(kept, categories, issues, counters, [p.name for p in self.registry.packs], len(self.registry.rules), took)
+
+    def scan_paths(self, paths: list[str], excludes: list[str] | None = None, files: list[str] | None = None, cache: FindingsCache | None = None) -> ScanResult:
+        """A scan of files and folders; ``files`` narrows it to a list of them, as changed ones.
 
-    def scan_paths(self, paths: list[str], excludes: list[str] | None = None, files: list[str] | None = None) -> ScanResult:
-        """A scan of files and folders; ``files`` narrows it to a list of them, as changed ones."""
+        With a cache, the very same set of files is not scanned again.
+        """
         found = tree.discover(tree.resolve(paths), excludes) if files is None else files
         prepared = written(tree.prepare(tree.read_files(self.spark, found)))
-        result = self.scan(prepared.filter("status = 'analysed'").select("file_id", "path", "language", "text"))
+        scope = tree.scope_id(prepared) if cache else ""
+        corpus = prepared.filter("status = 'analysed'").select("file_id", "path", "language", "text")
+        if cache and (known := cache.get(scope)):
+            result = self._result(*known, corpus.count())
+        else:
+            result = self.scan(corpus)
+            if cache:
+                cache.put(scope, result.findings, result.issues, result.counters["suppressed_inline"])
         unread = prepared.filter("status = 'read'").select(F.lit("read").alias("kind"), "path", "message")
         result.issues = result.issues.unionByName(unread)
         result.counters |= {"files_discovered": len(found), "files_skipped": prepared.filter("status = 'skipped'").count()}

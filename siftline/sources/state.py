@@ -34,15 +34,20 @@ class FindingsCache:
     def _at(self, scope: str) -> str:
         return f"{self.path}/namespace={self.namespace}/scope={scope}"
 
-    def get(self, scope: str) -> DataFrame | None:
+    def get(self, scope: str) -> tuple[DataFrame, DataFrame, int] | None:
+        """(findings, issues, number suppressed) of a scope, if it was put whole."""
         jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self._at(scope)}/_SUCCESS")
+        where = jvm.org.apache.hadoop.fs.Path(f"{self._at(scope)}/counts/_SUCCESS")
         if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             return None
-        return self.spark.read.parquet(self._at(scope))
-
-    def put(self, scope: str, findings: DataFrame) -> None:
-        findings.write.mode("overwrite").parquet(self._at(scope))
+        read = lambda what: self.spark.read.parquet(f"{self._at(scope)}/{what}")
+        return read("findings"), read("issues"), read("counts").first()["suppressed"]
+
+    def put(self, scope: str, findings: DataFrame, issues: DataFrame, suppressed: int) -> None:
+        """Counts go last: a scope without them is not there."""
+        findings.write.mode("overwrite").parquet(f"{self._at(scope)}/findings")
+        issues.write.mode("overwrite").parquet(f"{self._at(scope)}/issues")
+        self.spark.createDataFrame([(suppressed,)], "suppressed long").write.mode("overwrite").parquet(f"{self._at(scope)}/counts")
 
     def prune(self, days: int = KEEP_DAYS) -> int:
         """Deletes scopes last written over ``days`` ago; how many."""

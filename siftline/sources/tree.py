@@ -54,7 +54,8 @@ def exclude_col(path: Column, globs: list[str]) -> Column:
     """:func:`excluded` natively, for path columns of any table."""
     out = F.lit(False)
     for g in globs:
-        out = out | path.rlike("(?:^|/)" + "/".join(glob_regex(x).replace(".*", "[^/]*").replace("(?<!\\\\)\\.", "[^/]") for x in g.strip("/").split("/")) + "(?:/|$)")
+        segments = [glob_regex(x).replace(".*", "[^/]*") for x in g.strip("/").split("/")]
+        out = out | path.rlike("(?:^|/)" + "/".join(segments) + "(?:/|$)")
     return out
 
 

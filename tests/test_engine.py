@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftline import cli
 from siftline.functions import text as X
 from siftline.operators import findings as O
-from siftline.operators import graph, match, query, suppress, taint
+from siftline.operators import graph, match, nodes, query, suppress, taint
 from siftline.plans import report
 from siftline.plans.scan import Scanner
 from siftline.sources import config, state, tree
@@ -211,6 +211,20 @@ def test_graph_resolution(spark):
     assert got["t.work", 1, "A.f"][1] == "type"
 
 
+def test_nodes(spark):
+    files = corpus(spark, {"A.java": "class A {\n  void f(int p) {\n    int x = g(1);\n    h(x);\n  }\n}\n", "b.py": "y = 1\ndef f():\n    return y\n"})
+    table = nodes.ast_nodes(files).cache()
+    f = table.filter("kind = 'method_declaration'")
+    assert [r.kind for r in nodes.field(table, f, "body").collect()] == ["block"]
+    assert {r.name for r in nodes.below(table, f).filter("kind = 'method_invocation'").collect()} == {"g", "h"}
+    assert sorted((r.name, r.kind) for r in nodes.symbol_table(table).filter("file_id = 0").collect()) == [("A", "class"), ("f", "method"), ("x", "local")]
+    spans = table.filter("kind IN ('class_declaration', 'method_declaration')").select("file_id", "start", "end", "name")
+    points = spark.createDataFrame([(0, 2), (0, 45), (1, 0)], "file_id long, at long")
+    assert sorted((r.file_id, r.at, r.name) for r in nodes.enclosing(points, spans, ["name"]).collect()) == [(0, 2, "A"), (0, 45, "f"), (1, 0, None)]
+    uses = spark.createDataFrame([(0, "x", 4), (0, "x", 3), (0, "zz", 9)], "file_id long, name string, line long")
+    assert {(r.name, r.line): r.declared for r in nodes.declared_before(nodes.symbol_table(table), uses).collect()} == {("x", 4): True, ("x", 3): False, ("zz", 9): False}
+
+
 def test_parser_reports_errors():
     assert Tree("def f(:\n", "python").error and Tree("class A { void f( { }", "java").error and not Tree("class A { }", "java").error
 
@@ -252,7 +266,7 @@ def test_unreadable_files_degrade(spark, project):
 def test_command_line(spark, project, capsys):
     (project / config.FILE).write_text('include = ["src"]\nexclude = ["gen"]\npacks = ["python"]\n[policy]\nexit-on-severity = "Critical"\n')
     assert cli.main(["scan", "--format", "json", "-o", "out/r.json"]) == 0 and json.loads((project / "out" / "r.json").read_text())["findings"]
-    assert cli.main(["scan", "--fail-on-severity", "low"]) == 2
+    assert cli.main(["scan", "--fail-on-severity", "low"]) == 2 and cli.main(["scan", "--no-cache", "--fail-on-severity", "low"]) == 2
     assert cli.main(["scan", "missing"]) == 1
     assert cli.main(["baseline", "create"]) == 0 and cli.main(["scan", "--baseline", "--fail-on-severity", "low"]) == 0
     assert "existing, 0 new" in capsys.readouterr().err
@@ -284,8 +298,8 @@ def test_state_and_stream(spark, tmp_path):
     found = scanner.scan(files).findings
     cache = state.FindingsCache(spark, str(tmp_path / "cache"), scanner.registry.namespace())
     assert cache.get("s") is None
-    cache.put("s", found)
-    assert cache.get("s").count() == 1 and cache.prune() == 0 and cache.prune(-1) == 1 and cache.get("s") is None
+    cache.put("s", found, scanner.scan(files).issues, 3)
+    assert cache.get("s")[0].count() == 1 and cache.get("s")[2] == 3 and cache.prune() == 0 and cache.prune(-1) == 1 and cache.get("s") is None
     snapshot = state.GraphSnapshot(spark, str(tmp_path / "graph"))
     hashed = spark.createDataFrame([("a.py", "h")], "path string, source_hash string")
     assert snapshot.load(hashed) is None
