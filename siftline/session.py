@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes of an Arrow batch that goes to a Python worker.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
