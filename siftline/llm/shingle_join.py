@@ -40,17 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.components import components, forest
-from siftline.llm.shared import Scratch, materialise, slices, without
+from siftline.llm.shared import Scratch, materialise, slices, tidy, without
 from siftline.llm.wordarrays import NOT_SPACE, Words, mix64
 
 #: Bytes of text turned into n-grams at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Rows of a block of the product.
 BLOCK_ROWS = 256
 #: Columns that are multiplied at once.
 BLOCK_COLUMNS = 4096
 #: Signatures that a task gathers before it sends them on.
-FLUSH = 1_500_000
+FLUSH = 400_000
 #: Most bits of the filter of nodes that met; 8 MB whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -142,7 +142,7 @@ class ShingleJoin:
                         nodes.append(fingerprint(s))
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
 
-        return self.rows.mapInArrow(run, "doc_id long, n_shingles long, node long")
+        return self.rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, node long")
 
     def meetings(self) -> DataFrame:
         """(place, pivot, node): nodes that share a block's signature with another, and the least of them."""
@@ -166,8 +166,8 @@ class ShingleJoin:
             if gathered:
                 yield _packed(sigs, nodes, buckets)
 
-        sent = self.rows.mapInArrow(send, "bucket int, sigs binary, nodes binary")
-        return sent.repartition(buckets, "bucket").mapInArrow(_meet, "place long, pivot long, node long")
+        sent = self.rows.mapInArrow(tidy(send), "bucket int, sigs binary, nodes binary")
+        return sent.repartition(buckets, "bucket").mapInArrow(tidy(lambda b: _meet(b, buckets)), "place long, pivot long, node long")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """(node, grams): the sets of at least the nodes given; others are mostly left out by a filter."""
@@ -188,7 +188,7 @@ class ShingleJoin:
                             grams.append(s.tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(grams, pa.binary())], ["node", "grams"])
 
-        found = self.rows.mapInArrow(run, "node long, grams binary")
+        found = self.rows.mapInArrow(tidy(run), "node long, grams binary")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     def links(self) -> DataFrame:
@@ -216,16 +216,17 @@ class ShingleJoin:
                     keep.append(linked(overlap, len(x), len(y), num, den))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-        first = materialise(star.mapInArrow(multiply, "a long, b long"), "links")
+        first = materialise(star.mapInArrow(tidy(multiply), "a long, b long"), "links")
         # Places that still hold nodes of several components, of which some were not the pivot.
         of = components(first)
         labelled = met.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = labelled.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("node").alias("n"))
-        open_ = open_.filter("x != y AND n > 2").select("place")
+        open_ = labelled.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if(F.col("node") != F.col("pivot")).alias("n"))
+        open_ = open_.filter("x != y AND n > 1").select("place")
         rest = materialise(met.join(open_, "place", "left_semi").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "rest")
         if rest.isEmpty():
             return first
-        return first.unionByName(self._multiplied(rest, sets))
+        # Written first, so that no task runs two Python workers, one on top of the other.
+        return first.unionByName(materialise(self._multiplied(rest, sets), "links"))
 
     def _multiplied(self, rest: DataFrame, sets: DataFrame) -> DataFrame:
         """Links within the clusters of ``rest`` (a, b: met), by products of blocks of rows."""
@@ -243,7 +244,7 @@ class ShingleJoin:
                 a, b = product_links(rows["node"].to_numpy(), [np.frombuffer(g.as_buffer(), np.uint64) for g in rows["grams"]], num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        return work.mapInArrow(run, "a long, b long")
+        return work.mapInArrow(tidy(run), "a long, b long")
 
     def component_ids(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row."""
@@ -258,48 +259,84 @@ class ShingleJoin:
         return full.unionByName(docs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _place(sig: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """Identity of a meeting place: a signature's low bits in its bucket."""
+    return mix64(sig + np.asarray(bucket).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by signature and node; then: first row of each row's signature, whether a row repeats the one before)."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    first = np.searchsorted(sig, sig)
+    again = np.zeros(len(sig), bool)
+    again[1:] = (sig[1:] == sig[:-1]) & (node[1:] == node[:-1])
+    return order, first, again
+
+
 def _packed(sigs: list[np.ndarray], nodes: list[int], buckets: int) -> pa.RecordBatch:
-    """Signatures dealt into buckets; each as its low 48 bits."""
+    """Signatures dealt into buckets, each as its low 48 bits, pre-aggregated.
+
+    Of nodes that share a signature only the least goes to the signature's
+    bucket; that the others met it goes to buckets of their own, so that a
+    place meets in one task only as often as tasks have sent.
+    """
     every = np.concatenate(sigs)
     node = np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs])
     bucket = ((every >> np.uint64(48)) + (every << np.uint64(16) >> np.uint64(48)) * np.uint64(31)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    low = (every[order] & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
-    node = node[order]
-    rows = [(k, low[a:b].tobytes(), node[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+    order, first, again = _stars(every, node)
+    every, node, bucket = every[order], node[order], bucket[order]
+    low = every & np.uint64((1 << 48) - 1)
+    head = first == np.arange(len(first))
+    rows = []
+    kept = np.flatnonzero(head)
+    kept = kept[np.argsort(bucket[kept], kind="stable")]
+    cut = np.searchsorted(bucket[kept], np.arange(buckets + 1))
+    short = low[kept].view(np.uint8).reshape(-1, 8)[:, :6]
+    for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        if b > a:
+            rows.append((k, short[a:b].tobytes(), node[kept[a:b]].tobytes()))
+    met = np.flatnonzero(~head & ~again)
+    if len(met):
+        place, pivot = _place(low[met], bucket[met]), node[first[met]]
+        own = (mix64(node[met].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        cut = np.searchsorted(own[order], np.arange(buckets + 1))
+        for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if b > a:
+                i = order[a:b]
+                rows.append((buckets + k, place[i].tobytes(), np.concatenate([pivot[i], node[met[i]]]).tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "sigs", "nodes"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of a bucket that two or more nodes share."""
-    buckets: dict[int, list] = {}
+def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(place, pivot, node) of signatures that two or more nodes share; the pivot itself is among the nodes."""
+    found: dict[int, list] = {}
+    names = ["place", "pivot", "node"]
     for batch in batches:
         for k, sigs, nodes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            buckets.setdefault(k, []).append((np.frombuffer(sigs.as_buffer(), np.uint8).copy(), np.frombuffer(nodes.as_buffer(), np.int64).copy()))
-    for k, parts in sorted(buckets.items()):
-        raw = np.concatenate([p[0] for p in parts]).reshape(-1, 6)
-        node = np.concatenate([p[1] for p in parts])
-        sig = np.zeros((len(raw), 8), np.uint8)
-        sig[:, :6] = raw
+            if k >= buckets:  # met where they were sent: both are of the place
+                place, both = np.frombuffer(sigs.as_buffer(), np.int64), np.frombuffer(nodes.as_buffer(), np.int64)
+                pivot = both[: len(place)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(place, 2)), pa.array(np.tile(pivot, 2)), pa.array(both)], names)
+            else:
+                found.setdefault(k, []).append((np.frombuffer(sigs.as_buffer(), np.uint8).copy(), np.frombuffer(nodes.as_buffer(), np.int64).copy()))
+    for k in sorted(found):
+        raw, node = (np.concatenate(x) for x in zip(*found.pop(k), strict=True))
+        sig = np.zeros((len(raw) // 6, 8), np.uint8)
+        sig[:, :6] = raw.reshape(-1, 6)
         sig = sig.view(np.uint64)[:, 0]
-        buckets[k] = None
         order = np.argsort(sig)
-        sorted_ = sig[order]
-        same = sorted_[1:] == sorted_[:-1]
-        again = np.zeros(len(sig), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        sig, node = sorted_[again], node[order[again]]
-        order = np.lexsort((node, sig))
+        same = sig[order[1:]] == sig[order[:-1]]
+        shared = np.zeros(len(sig), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        sig, node = sig[order[shared]], node[order[shared]]
+        order, first, again = _stars(sig, node)
         sig, node = sig[order], node[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[new], node[new]
-        first = np.searchsorted(sig, sig)
-        more = np.searchsorted(sig, sig, side="right") - first > 1
-        place = mix64(sig + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(place[more]), pa.array(node[first[more]]), pa.array(node[more])], ["place", "pivot", "node"])
+        more = node[first] != node[np.searchsorted(sig, sig, side="right") - 1]
+        take = more & ~again
+        yield pa.RecordBatch.from_arrays([pa.array(_place(sig, k)[take]), pa.array(node[first][take]), pa.array(node[take])], names)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -378,7 +415,7 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
 
     out = np.zeros(bits // 8, np.uint8)
     schema = "segment int, bits binary"
-    for row in nodes.mapInArrow(part, schema).repartition("segment").mapInArrow(whole, schema).collect():
+    for row in nodes.mapInArrow(tidy(part), schema).repartition("segment").mapInArrow(tidy(whole), schema).collect():
         out[row.segment * segment // 8 : (row.segment + 1) * segment // 8] = np.frombuffer(row.bits, np.uint8)
     return out
 

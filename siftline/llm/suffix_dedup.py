@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import Scratch, materialise, slices
+from siftline.llm.shared import Scratch, materialise, slices, tidy
 from siftline.llm.shingle_join import node_filter, passing
 from siftline.llm.wordarrays import Prefix, buffer_of, mix64
 
@@ -51,9 +51,9 @@ from siftline.llm.wordarrays import Prefix, buffer_of, mix64
 LENGTH = 100
 FIRST = 32
 #: Bytes handled at once; a longer text is cut into overlapping pieces.
-PIECE = 2 << 20
+PIECE = 1 << 19
 #: Anchors or strings that a task gathers before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 250_000
 _PLACE = 23  # bits of a position in a piece
 
 
@@ -104,27 +104,46 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, first: int) -> t
 
 
 class Sender:
-    """Packs rows of equal-length columns by bucket of their rank."""
+    """Packs rows (rank, [surroundings,] document, place, [shape]) by bucket of their rank, pre-aggregated.
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.count = buckets, [], 0
+    Of rows of one rank and surroundings that a task has gathered only the
+    earliest goes to the rank's bucket; the others are settled by it, and go to
+    buckets of their documents.  So a group of copies of any size meets in one
+    task only as often as tasks have sent.
+    """
+
+    def __init__(self, buckets: int, pair: int):
+        self.buckets, self.pair, self.parts, self.count = buckets, pair, [], 0
 
-    def add(self, rank: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(rank):
-            self.parts.append((rank, *columns))
-            self.count += len(rank)
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(columns[0]):
+            self.parts.append(columns)
+            self.count += len(columns[0])
         if self.count > FLUSH:
             yield self.batch()
 
     def batch(self) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
         self.parts, self.count = [], 0
+        doc, place = columns[self.pair], columns[self.pair + 1]
+        order = np.lexsort((place, doc, *columns[: self.pair][::-1]))
+        columns = [c[order] for c in columns]
+        doc, place = doc[order], place[order]
+        run = runs(*columns[: self.pair])
+        first = np.searchsorted(run, run)
+        head = first == np.arange(len(run))
+        late = (doc != doc[first]) | (place != place[first])  # not a repeated row
         bucket = ((columns[0] >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        by_doc = (mix64(doc.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64) + self.buckets
+        bucket = np.where(head, bucket, by_doc)
+        keep = np.flatnonzero(head | late)
+        order = keep[np.argsort(bucket[keep], kind="stable")]
+        cut = np.searchsorted(bucket[order], np.arange(2 * self.buckets + 1))
         columns = [c[order] for c in columns]
+        if self.pair == 2:  # the bucket tells enough of the rank to keep 32 bits of it
+            columns[0] = columns[0].astype(np.uint32)
         full = np.flatnonzero(np.diff(cut))
-        packed = [pa.array([c[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()) for c in columns]
+        packed = [pa.array([c[cut[k] : cut[k + 1]].tobytes() if k < self.buckets or i >= self.pair else b"" for k in full], pa.binary()) for i, c in enumerate(columns)]
         return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packed], ["bucket", *(f"c{i}" for i in range(len(columns)))])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
@@ -132,14 +151,14 @@ class Sender:
             yield self.batch()
 
 
-def received(batches: Iterator[pa.RecordBatch], types: tuple) -> Iterator[list[np.ndarray]]:
-    """The columns of each bucket of a partition."""
+def received(batches: Iterator[pa.RecordBatch], types: tuple) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each bucket of a partition, and its columns."""
     buckets: dict[int, list] = {}
     for batch in batches:
         for i, k in enumerate(batch.column(0).to_pylist()):
             buckets.setdefault(k, []).append([np.frombuffer(c[i].as_buffer(), t).copy() for c, t in zip(batch.columns[1:], types, strict=True)])
     for k in sorted(buckets):
-        yield [np.concatenate(c) for c in zip(*buckets.pop(k), strict=True)]
+        yield k, [np.concatenate(c) for c in zip(*buckets.pop(k), strict=True)]
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:
@@ -150,9 +169,12 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def settle(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rounds 1 and 2: repeated byte ranges, and the ranges of strings that are left for round 3."""
-    for rank, around, doc, low, shape in received(batches, (np.uint32, np.uint64, np.int64, np.int64, np.uint8)):
+    for bucket, (rank, around, doc, low, shape) in received(batches, (np.uint32, np.uint64, np.int64, np.int64, np.uint8)):
+        if bucket >= buckets:  # settled where they were sent
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low), pa.array(low + shape + length), pa.array(np.ones(len(doc), bool))], ["doc_id", "first", "last", "gone"])
+            continue
         order = np.argsort(rank, kind="stable")
         rank = rank[order]
         twice = np.zeros(len(rank), bool)
@@ -182,15 +204,16 @@ def settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         )
 
 
-def repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def repeats(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Round 3: byte ranges of strings that occur earlier."""
-    for rank, doc, low in received(batches, (np.uint64, np.int64, np.int64)):
-        order = np.lexsort((low, doc, rank))
-        rank, doc, low = rank[order], doc[order], low[order]
-        run = runs(rank)
-        first = np.searchsorted(run, run)
-        gone = (doc != doc[first]) | (low != low[first])
-        doc, low = doc[gone], low[gone]
+    for bucket, (rank, doc, low) in received(batches, (np.uint64, np.int64, np.int64)):
+        if bucket < buckets:  # others are settled already
+            order = np.lexsort((low, doc, rank))
+            rank, doc, low = rank[order], doc[order], low[order]
+            run = runs(rank)
+            first = np.searchsorted(run, run)
+            gone = (doc != doc[first]) | (low != low[first])
+            doc, low = doc[gone], low[gone]
         order = np.lexsort((low, doc))
         doc, low = doc[order], low[order]
         new = np.ones(len(doc), bool)
@@ -212,7 +235,7 @@ class SuffixDedup:
         length, buckets = self.length, self.buckets
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sender = Sender(buckets)
+            sender = Sender(buckets, 2)
             for batch in batches:
                 for part in slices(batch, most=PIECE):
                     part = part.filter(pc.is_valid(part.column(0)))
@@ -222,19 +245,13 @@ class SuffixDedup:
                         yield from sender.add(rank, around, ids[text], place, (high - low).astype(np.uint8))
             yield from sender.rest()
 
-        # Of the rank, 32 bits and the bucket travel: others only share surroundings wrongly until round 2 tells.
-        def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in send(batches):
-                short = [np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32).tobytes() for x in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary()), *b.columns[2:]], b.schema.names)
-
         schema = "bucket int, " + ", ".join(f"c{i} binary" for i in range(5))
-        return self.rows.mapInArrow(shorten, schema).repartition(buckets, "bucket")
+        return self.rows.mapInArrow(tidy(send), schema).repartition(buckets, "bucket")
 
     def ranges(self) -> DataFrame:
         """(doc_id, first, last): byte ranges that are repeats; they may overlap."""
         length, buckets = self.length, self.buckets
-        settled = self._anchored().mapInArrow(lambda b: settle(b, length), "doc_id long, first long, last long, gone boolean")
+        settled = self._anchored().mapInArrow(tidy(lambda b: settle(b, length, buckets)), "doc_id long, first long, last long, gone boolean")
         settled = materialise(settled, "rounds")
         gone = settled.filter("gone").select("doc_id", "first", "last")
         open_ = settled.filter("NOT gone").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("open"))
@@ -246,7 +263,7 @@ class SuffixDedup:
                 yield batch.filter(pa.array(passing(bits.value, batch.column(0).to_numpy())))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sender = Sender(buckets)
+            sender = Sender(buckets, 1)
             for batch in batches:
                 for part in slices(batch, most=PIECE):
                     data, offsets = buffer_of(part.column(1))
@@ -264,9 +281,9 @@ class SuffixDedup:
                                 yield from sender.add(rank, np.full(len(own), ids[i]), own + a)
             yield from sender.rest()
 
-        texts = self.rows.mapInArrow(likely, self.rows.schema).join(open_, "doc_id")
-        whole = texts.mapInArrow(send, "bucket int, c0 binary, c1 binary, c2 binary").repartition(buckets, "bucket")
-        return gone.unionByName(whole.mapInArrow(lambda b: repeats(b, length), "doc_id long, first long, last long"))
+        texts = self.rows.mapInArrow(tidy(likely), self.rows.schema).join(open_, "doc_id")
+        whole = texts.mapInArrow(tidy(send), "bucket int, c0 binary, c1 binary, c2 binary").repartition(buckets, "bucket")
+        return gone.unionByName(whole.mapInArrow(tidy(lambda b: repeats(b, length, buckets)), "doc_id long, first long, last long"))
 
     def found(self) -> DataFrame:
         """:meth:`ranges`, written."""
@@ -283,7 +300,7 @@ class SuffixDedup:
                 for part in slices(batch):
                     yield cut_out(part)
 
-        return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        return joined.mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
     def digests(self) -> DataFrame:
         """:meth:`kept` with the sha256 of the bytes left in their place."""
@@ -337,4 +354,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 columns[names.index(text_col)] = pa.array([x.decode("utf-8", "ignore") if g else o for x, g, o in zip(raw, gone, old)], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([not g or bool(x) for x, g in zip(raw, gone)])], schema.fieldNames())
 
-    return keyed.mapInArrow(cut, schema).filter("__left").drop("__left")
+    return keyed.mapInArrow(tidy(cut), schema).filter("__left").drop("__left")
