@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import drop_path, materialise
+from siftline.llm.shared import drop_path, materialise, tidy
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ def _nearest(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for every node of ``links`` (a, b: long, not null) the least node it reaches."""
     spark = links.sparkSession
-    edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").mapInArrow(_contract, "a long, b long").distinct()
+    edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").mapInArrow(tidy(_contract), "a long, b long").distinct()
     before, last = None, None
     while True:
         edges = materialise(edges, "stars")

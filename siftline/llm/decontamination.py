@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import slices
+from siftline.llm.shared import slices, tidy
 from siftline.llm.wordarrays import ALNUM, Words
 
 #: Words of a window.
@@ -265,7 +265,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_
                     rest = part.columns[:-1] if again else part.columns
                     yield pa.RecordBatch.from_arrays([*rest, _scanned(column, bench, before)], schema.fieldNames())
 
-        found = found.mapInArrow(run, schema)
+        found = found.mapInArrow(tidy(run), schema)
     return found
 
 
@@ -337,7 +337,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                         ["item_id", "item_word", "n_words", "doc_id", "doc_word"],
                     )
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)
     best = F.min(F.struct((-F.col("n_words")).alias("n"), "doc_id", "doc_word")).alias("b")
     return out.groupBy("item_id", "item_word").agg(best).select("item_id", "item_word", (-F.col("b.n")).alias("n_words"), "b.doc_id", "b.doc_word")

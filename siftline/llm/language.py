@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import Scratch, materialise, slices, without
+from siftline.llm.shared import Scratch, materialise, slices, tidy, without
 from siftline.llm.wordarrays import LOWER, buffer_of
 
 #: Labelled rows a language that the text models are fitted on, on average at most.
@@ -91,16 +91,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(total[who, gram])], ["who", "gram", "n"])
 
     table = np.full((GRAMS, len(languages)), 0.5)
-    for r in chosen.mapInArrow(count, "who int, gram int, n long").groupBy("who", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in chosen.mapInArrow(tidy(count), "who int, gram int, n long").groupBy("who", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         table[r.gram, r.who] += r.n
     return languages, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
 def _scores(column: pa.Array, model: np.ndarray) -> np.ndarray:
     grams, count = _grams(column)
-    run = np.concatenate([np.zeros((1, model.shape[1])), np.cumsum(model[grams], axis=0, dtype=np.float64)])
-    ends = np.cumsum(count)
-    total = run[ends] - run[ends - count]
+    total = np.zeros((len(count), model.shape[1]))
+    some = np.flatnonzero(count)
+    if len(some):
+        total[some] = np.add.reduceat(model[grams], (np.cumsum(count) - count)[some], axis=0, dtype=np.float64)
     weight = np.minimum(SHARE, LIMIT / np.maximum(count, 1))[:, None]
     return np.where(count[:, None] > 0, (total - total.max(axis=1, keepdims=True)) * weight, 0.0)
 
@@ -151,7 +152,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1) * n, pa.int32()), pa.array(scores.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], flat], ["key", "host", "declared", "scores"])
 
-    scored = materialise(named.mapInArrow(score, f"key {key_type}, host string, declared string, scores array<double>"), "scores")
+    scored = materialise(named.mapInArrow(tidy(score), f"key {key_type}, host string, declared string, scores array<double>"), "scores")
     suffix = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[F.substring_index("host", ".", -1)]
     own = _add(F.col("scores"), _sharp(F.col("declared"), languages, DECLARED))
     own = _add(own, _sharp(F.when(F.col("host").contains("."), suffix), languages, SUFFIX))

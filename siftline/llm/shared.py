@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds the memory of array work.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,10 +76,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # glibc has it; elsewhere nothing is done
+except (OSError, AttributeError):
+    _TRIM = None
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each; a longer text is a part of its own."""
     if not batch.num_rows:
         return
+    forget()
     col = batch.column(batch.schema.get_field_index(column))
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
@@ -87,6 +96,46 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
             begin, total = i, 0
         total += int(n)
     yield batch.slice(begin)
+    release()
+
+
+#: What tasks of this process keep for the next of their kind: the task last using it, and how to let it go.
+_held: dict[object, tuple[int, Callable[[], None]]] = {}
+
+
+def _task() -> int:
+    context = TaskContext.get()
+    return context.taskAttemptId() if context else -1
+
+
+def hold(key: object, let_go: Callable[[], None]) -> None:
+    """Notes that the task now running uses something that this process keeps between tasks."""
+    _held[key] = (_task(), let_go)
+
+
+def forget() -> None:
+    """Lets go of what earlier tasks kept and the task now running doesn't use."""
+    now = _task()
+    for key in [k for k, (task, _) in _held.items() if task != now]:
+        _held.pop(key)[1]()
+
+
+def tidy(step: Callable) -> Callable:
+    """A step over Arrow batches that leaves its worker process small when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from step(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    """Gives memory that is free inside this process back, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 #: Keys that may be broadcast, 8 bytes each.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import slices
+from siftline.llm.shared import slices, tidy
 from siftline.llm.units import STABLE, UNIT_SLICE, ByteBpe, coder, plain
 
 def whole_tokens(tokenizer) -> frozenset[str]:
@@ -120,7 +120,7 @@ def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", limit:
                 n_tokens = pa.array(counter.count(pc.fill_null(col, "")), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, n_bytes, n_tokens], [*part.schema.names, "__n_bytes", "__n_tokens"])
 
-    out = kept.mapInArrow(run, schema)
+    out = kept.mapInArrow(tidy(run), schema)
     return out.select(
         *[F.col(f"`{c}`") for c in kept.columns if c not in own],
         F.col("__n_bytes").alias("n_bytes"),

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import materialise, new_path, slices
+from siftline.llm.shared import materialise, new_path, slices, tidy
 from siftline.llm.units import UNIT_SLICE, ByteBpe, coder
 
 #: Keys of one index bucket on average.
@@ -192,7 +192,7 @@ class TokenFiles:
                 )
                 yield from table.filter(ok).to_batches()
 
-        return self._bucketed(keys).mapInArrow(run, "key long, occurrence long, shard long, offset long, n_tokens long")
+        return self._bucketed(keys).mapInArrow(tidy(run), "key long, occurrence long, shard long, offset long, n_tokens long")
 
     def _bucketed(self, keys: DataFrame, *more: str) -> DataFrame:
         return _bucketed(keys, self.buckets, *more)
@@ -220,7 +220,7 @@ class TokenFiles:
                 if ids:
                     yield _with(batch.slice(begin), "ids", ids)
 
-        return located.mapInArrow(run, schema)
+        return located.mapInArrow(tidy(run), schema)
 
     def starts(self) -> DataFrame:
         """For each shard, the number of ids in the shards before it.  One row a shard."""
@@ -279,7 +279,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, key_col: str = "doc
             )
 
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    entries = materialise(ordered.mapInArrow(encode, "key long, occurrence long, shard long, offset long, n_tokens long"), "entries")
+    entries = materialise(ordered.mapInArrow(tidy(encode), "key long, occurrence long, shard long, offset long, n_tokens long"), "entries")
     buckets = max(1, -(-entries.count() // BUCKET_KEYS))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +293,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, key_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([len(hashes)])], ["bucket", "keys"])
 
     keys = _bucketed(entries, buckets, "shard", "offset", "n_tokens")
-    keys.mapInArrow(index, "bucket long, keys long").agg(F.sum("keys")).collect()
+    keys.mapInArrow(tidy(index), "bucket long, keys long").agg(F.sum("keys")).collect()
     return TokenFiles(uri, entries, buckets, dtype)
 
 
@@ -309,4 +309,4 @@ def digest(ids: DataFrame, dtype: str) -> DataFrame:
             rest = [batch.column(i) for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(crc, pa.int64())], [*(f.name for f in fields), "ids_crc32"])
 
-    return ids.mapInArrow(run, schema)
+    return ids.mapInArrow(tidy(run), schema)

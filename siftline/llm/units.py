@@ -12,12 +12,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from siftline.llm.shared import hold
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of text cut at once.
@@ -29,6 +30,10 @@ _ODD = "[ \n][ \n]|[\x01\t\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u20
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
+#: Marks that a unit may end before, where a letter stands before them.
+MARKS = ".,;:!?"
+
+
 class Cut:
     """The units of a column's texts: distinct units, and which stand where in each text.
 
@@ -37,14 +42,14 @@ class Cut:
     (of a pattern) have no units here.
     """
 
-    def __init__(self, column: pa.Array, odd: str, lines: bool = True, marks: bool = False):
+    def __init__(self, column: pa.Array, odd: str, lines: bool = True, marks: str = ""):
         odd_ = pc.match_substring_regex(column, odd)
         self.odd = np.flatnonzero(odd_.to_numpy(zero_copy_only=False))
         column = pc.if_else(odd_, "", column) if len(self.odd) else column
         if lines:
             column = pc.replace_substring(column, "\n", " \n")
         if marks:
-            column = pc.replace_substring_regex(column, r"(\pL)([.,;:!?])", "\\1 \x01\\2")
+            column = pc.replace_substring_regex(column, rf"(\pL)([{re.escape(marks)}])", "\\1 \x01\\2")
         lists = pc.split_pattern(column, " ")
         self.bounds = lists.offsets.to_numpy().astype(np.int64)
         self.bounds -= self.bounds[0]
@@ -140,7 +145,7 @@ class ByteBpe:
 
     def values(self, column: pa.Array) -> tuple[list, np.ndarray, Cut, dict[int, list]]:
         """Values of distinct units, those of each text by place, the cut, and the values of odd texts' units."""
-        cut = Cut(column, _ODD, marks=True)
+        cut = Cut(column, _ODD, marks=MARKS)
         values, at = self.tails.look_up(cut.units), cut.at.copy()
         at[cut.bounds[:-1]] = len(values) + np.arange(len(cut.firsts))
         values = values + self.heads.look_up(cut.firsts)
@@ -158,7 +163,13 @@ class ByteBpe:
         return out
 
 
-@cache
+_coders: dict = {}
+
+
 def coder(kind: type, path: str):
-    """The one coder of a worker process for a file: its caches serve all tasks the worker runs."""
-    return kind(path)
+    """The one coder of a worker process for a file: its caches serve all tasks of this kind that the worker runs in a row."""
+    key = (kind, path)
+    if key not in _coders:
+        _coders[key] = kind(path)
+    hold(key, lambda: _coders.pop(key, None))
+    return _coders[key]
