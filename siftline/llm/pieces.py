@@ -32,10 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import slices
-from siftline.llm.units import UNIT_SLICE, Cut, UnitCache, coder, concatenated
+from siftline.llm.shared import slices, tidy
+from siftline.llm.units import MARKS, Cut, UnitCache, coder, concatenated
 
 MARK = "▁"
+#: Bytes of text encoded at once, and checked in halves: the library's lists take forty times as much.
+SLICE = 1 << 20
+#: Entries of a worker's cache of units.
+CACHE = 600_000
 #: Units up to these lengths share a matrix; longer ones take the heap.
 WIDTHS = (8, 16, 32)
 _NONE = np.iinfo(np.int32).max
@@ -65,7 +69,7 @@ class MergeVocabulary:
                 symbols.setdefault(ch, size + len(symbols))
         #: Unknown characters are symbols from here on, by code point.
         self.unknown = max(symbols.values()) + 1
-        self.char = np.arange(0x110000, dtype=np.int64) + self.unknown
+        self.char = np.arange(0x110000, dtype=np.int32) + self.unknown
         for s, i in symbols.items():
             if len(s) == 1:
                 self.char[ord(s)] = i
@@ -82,15 +86,15 @@ class MergeVocabulary:
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.ranks = np.append(np.array([v[0] for v in pairs.values()], np.int32)[order], _NONE)
-        self.joins = np.append(np.array([v[1] for v in pairs.values()], np.int64)[order], -1)
+        self.joins = np.append(np.array([v[1] for v in pairs.values()], np.int32)[order], -1)
         self.text = {i: s for s, i in symbols.items()}
         self.byte = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.is_piece = np.zeros(self.unknown, bool)
+        self.is_piece = np.zeros(self.unknown + 1, bool)
         self.is_piece[plain] = True
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Index of each pair in the rank table; the last index where it is none."""
-        want = left << 32 | right
+        want = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, want)
         return np.where(self.keys[at] == want, at, len(self.keys) - 1)
 
@@ -125,9 +129,9 @@ class MergeVocabulary:
                     heapq.heappush(heap, (got[0], x, sym[x], sym[y]))
         return [s for s in sym if s >= 0]
 
-    def agendas(self, units: list[str]) -> list[list[int]]:
-        """Symbols of units, short ones as rows of matrices."""
-        out: list = [None] * len(units)
+    def packed(self, units: list[str]) -> list[bytes]:
+        """Packed ids of units; short ones go through the agenda together, as rows of matrices."""
+        out: list = [b""] * len(units)
         lengths = np.array([len(u) for u in units])
         low = 0
         for width in WIDTHS:
@@ -135,41 +139,49 @@ class MergeVocabulary:
             low = width
             if len(rows):
                 self._matrix([units[i] for i in rows], lengths[rows], width, rows, out)
-        for i in np.flatnonzero(lengths > low):
-            out[i] = self.agenda(units[i])
+        for i in np.flatnonzero(lengths > low).tolist():
+            out[i] = np.array(self.ids(self.agenda(units[i])), "<u4").tobytes()
         return out
 
+    def _finish(self, where: np.ndarray, sym: np.ndarray, out: list) -> None:
+        """Packs rows of symbols; those with a symbol outside the vocabulary byte by byte."""
+        full = sym >= 0
+        flat = sym[full]
+        size = full.sum(axis=1)
+        end = np.cumsum(size)
+        odd = np.add.reduceat(~self.is_piece[np.minimum(flat, self.unknown)], end - size) > 0
+        raw = flat.astype("<u4").tobytes()
+        for i, a, b, o in zip(where.tolist(), ((end - size) * 4).tolist(), (end * 4).tolist(), odd.tolist()):
+            out[i] = raw[a:b] if not o else np.array(self.ids(flat[a // 4 : b // 4].tolist()), "<u4").tobytes()
+
     def _matrix(self, units: list[str], n: np.ndarray, width: int, where: np.ndarray, out: list) -> None:
-        inside = np.arange(width) < n[:, None]
-        sym = np.full((len(units), width), -1, np.int64)
-        sym[inside] = self.char[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
-        at = self.find(sym[:, :-1], np.maximum(sym[:, 1:], 0))
-        rank = np.where(inside[:, 1:], self.ranks[at], _NONE)
         column = np.arange(width)
+        inside = column < n[:, None]
+        sym = np.full((len(units), width + 1), -1, np.int32)
+        sym[:, :-1][inside] = self.char[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
+        at = self.find(sym[:, :-2], np.maximum(sym[:, 1:-1], 0))
+        rank = np.full((len(units), width), _NONE, np.int32)
+        rank[:, :-1] = np.where(inside[:, 1:], self.ranks[at], _NONE)
         while len(where):
             j = rank.argmin(axis=1)
             row = np.arange(len(where))
             going = rank[row, j] != _NONE
             if not going.all():
-                for i, s in zip(where[~going].tolist(), sym[~going], strict=True):
-                    out[i] = s[s >= 0].tolist()
+                self._finish(where[~going], sym[~going], out)
                 where, sym, rank, j = where[going], sym[going], rank[going], j[going]
                 row = np.arange(len(where))
                 if not len(where):
                     return
             sym[row, j] = self.joins[self.find(sym[row, j], sym[row, j + 1])]
             moved = column[None, :] > j[:, None]
-            right = np.concatenate([sym[:, 1:], np.full((len(where), 1), -1, np.int64)], axis=1)
-            sym = np.where(moved, right, sym)
-            right = np.concatenate([rank[:, 1:], np.full((len(where), 1), _NONE, np.int32)], axis=1)
-            rank = np.where(moved[:, :-1], right, rank)
+            np.copyto(sym[:, :-1], sym[:, 1:].copy(), where=moved)
+            np.copyto(rank[:, :-1], rank[:, 1:].copy(), where=moved[:, :-1])
             for off in (-1, 0):  # the pairs left and right of the new symbol
                 k = j + off
-                ok = (k >= 0) & (k < width - 1)
+                ok = k >= 0
                 r, k = row[ok], k[ok]
                 b = sym[r, k + 1]
-                got = self.ranks[self.find(sym[r, k], np.maximum(b, 0))]
-                rank[r, k] = np.where(b >= 0, got, _NONE)
+                rank[r, k] = np.where(b >= 0, self.ranks[self.find(sym[r, k], np.maximum(b, 0))], _NONE)
 
 
 class PieceEncoder:
@@ -179,21 +191,22 @@ class PieceEncoder:
         self.vocabulary = v = MergeVocabulary(path)
         # A line end is in no piece, so it is cut off from what stands before it.
         self.lines = not any("\n" in p for p in v.text.values())
-        self.units = UnitCache(lambda units: self._fill([u if u[:1] == "\n" and self.lines else " " + u for u in units]))
-        self.runs = UnitCache(self._fill)
+        # So is a mark that no piece holds after a letter.
+        after = {b for p in v.text.values() for a, b in zip(p, p[1:]) if a.isalpha()}
+        self.marks = "".join(m for m in MARKS if m not in after)
+        self.units = UnitCache(lambda units: self._fill([u if u[:1] == "\n" and self.lines else u[1:] if u[:1] == "\x01" else " " + u for u in units]), CACHE)
+        self.runs = UnitCache(self._fill, CACHE // 8)
         self.bos, self.eos = (np.array([i], "<u4").tobytes() for i in (v.model.bos_id(), v.model.eos_id()))
 
-    def _fill(self, units: list[str]) -> Iterator[bytes]:
-        v = self.vocabulary
-        for symbols in v.agendas([u.replace(" ", MARK) for u in units]):
-            yield np.array(v.ids(symbols), "<u4").tobytes()
+    def _fill(self, units: list[str]) -> list[bytes]:
+        return self.vocabulary.packed([u.replace(" ", MARK) for u in units])
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """Packed ids of each text."""
         if not len(column):
             return []
         column = pc.replace_substring(column, MARK, " ")
-        cut = Cut(column, "^$|^ |  ", self.lines)
+        cut = Cut(column, "^$|^ |  |\x01", self.lines, self.marks)
         out = concatenated(self.units.look_up(cut.units), cut.at, cut.bounds, np.dtype("<u4"))
         for i in cut.odd.tolist():
             text = column[i].as_py()
@@ -212,10 +225,11 @@ ADDED = T.StructType(
 )
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = True, cache_units: int = CACHE) -> DataFrame:
     """``docs`` with ids (packed), n_tokens, decoded text and whether the library agrees.
 
     ``path`` is a model file present at that path on every executor.
+    ``cache_units``: units a worker keeps ids of, about 200 bytes each; fewer cost time only.
     """
     own = [f.name for f in ADDED]
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own or c == text_col])
@@ -223,23 +237,31 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = Tru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = coder(PieceEncoder, path)
-        model = encoder.vocabulary.model
+        encoder.units.most, encoder.runs.most = cache_units, cache_units // 8
         for batch in batches:
-            for part in slices(batch, text_col, UNIT_SLICE):
-                texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
-                packed = encoder.encode(pc.fill_null(part.column(part.schema.get_field_index(text_col)), ""))
-                lists = [np.frombuffer(p, "<u4").tolist() for p in packed]
-                agrees = [True] * len(texts)
-                if check:
-                    theirs = model.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-                    for i, (a, b) in enumerate(zip(lists, theirs, strict=True)):
-                        if a != b:
-                            agrees[i], lists[i], packed[i] = False, b, np.array(b, "<u4").tobytes()
-                decoded = model.decode(lists, num_threads=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(packed, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(decoded, pa.string()), pa.array(agrees)],
-                    schema.fieldNames(),
-                )
-
-    out = kept.mapInArrow(run, schema)
+            for whole in slices(batch, text_col, SLICE):
+                at = whole.schema.get_field_index(text_col)
+                ids = encoder.encode(pc.fill_null(whole.column(at), ""))
+                yield from checked(whole, ids, at)
+
+    def checked(whole: pa.RecordBatch, ids: list[bytes], at: int) -> Iterator[pa.RecordBatch]:
+        """Parts of a batch, decoded and held against the library."""
+        model, done = coder(PieceEncoder, path).vocabulary.model, 0
+        for part in slices(whole, text_col, SLICE // 2):
+            texts = [t or "" for t in part.column(at).to_pylist()]
+            packed, done = ids[done : done + len(texts)], done + len(texts)
+            lists = [np.frombuffer(p, "<u4").tolist() for p in packed]
+            agrees = [True] * len(texts)
+            if check:
+                theirs = model.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+                for i, (a, b) in enumerate(zip(lists, theirs, strict=True)):
+                    if a != b:
+                        agrees[i], lists[i], packed[i] = False, b, np.array(b, "<u4").tobytes()
+            decoded = model.decode(lists, num_threads=1)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(packed, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(decoded, pa.string()), pa.array(agrees)],
+                schema.fieldNames(),
+            )
+
+    out = kept.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"`{c}`") for c in kept.columns if c not in own], *[F.col("__" + c).alias(c) for c in own])

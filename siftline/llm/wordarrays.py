@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from siftline.llm.shared import hold
+
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: Random odd base, its inverse modulo 2**64, and a random value for each byte.
 BASE = int(_RNG.integers(1 << 62, 1 << 63)) * 2 + 1
@@ -21,16 +23,17 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept between calls."""
+    hold("powers", _powers.clear)
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 18)) * (1 << 18)
         have = np.empty(size, np.uint64)
         have[0] = 1
         done = 1
         while done < size:  # doubling
-            step = np.uint64(pow(base, done, 1 << 64))
-            have[done : 2 * done] = have[:done] * step
-            done *= 2
+            more = min(done, size - done)
+            have[done : done + more] = have[:more] * np.uint64(pow(base, done, 1 << 64))
+            done += more
         _powers[base] = have
     return have[:n]
 
