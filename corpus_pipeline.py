@@ -42,10 +42,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts, as packed unsigned 32-bit integers, with digests of ids and decoded text.
 
-    Workers keep fewer units than by default: the stages before leave executors with less room.
+    Workers keep fewer units and encode less at once than by default: the stages before leave executors with less room.
     """
     ship(spark)
-    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary("piece_bpe_32k.model"), cache_units=150_000)
+    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary("piece_bpe_32k.model"), cache_units=150_000, slice_bytes=1 << 20)
     return encoded.select(
         "doc_id",
         "lang",

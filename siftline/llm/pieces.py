@@ -37,9 +37,9 @@ from siftline.llm.units import MARKS, Cut, UnitCache, coder, concatenated
 
 MARK = "▁"
 #: Bytes of text encoded at once, and checked in halves: the library's lists take forty times as much.
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: Entries of a worker's cache of units.
-CACHE = 600_000
+CACHE = 1_000_000
 #: Units up to these lengths share a matrix; longer ones take the heap.
 WIDTHS = (8, 16, 32)
 _NONE = np.iinfo(np.int32).max
@@ -225,12 +225,15 @@ ADDED = T.StructType(
 )
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = True, cache_units: int = CACHE) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = True, cache_units: int = CACHE, slice_bytes: int = SLICE) -> DataFrame:
     """``docs`` with ids (packed), n_tokens, decoded text and whether the library agrees.
 
     ``path`` is a model file present at that path on every executor.
-    ``cache_units``: units a worker keeps ids of, about 200 bytes each; fewer cost time only.
+    ``cache_units``: units a worker keeps ids of, about 200 bytes each, and
+    ``slice_bytes``: bytes of text encoded at once; less of either costs time only.
     """
+    # Where room is short, free memory is given back after every slice.
+    release_bytes = 16 * slice_bytes if slice_bytes >= SLICE else slice_bytes
     own = [f.name for f in ADDED]
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own or c == text_col])
     schema = T.StructType(kept.schema.fields + [T.StructField("__" + f.name, f.dataType) for f in ADDED])
@@ -239,7 +242,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = Tru
         encoder = coder(PieceEncoder, path)
         encoder.units.most, encoder.runs.most = cache_units, cache_units // 8
         for batch in batches:
-            for whole in slices(batch, text_col, SLICE):
+            for whole in slices(batch, text_col, slice_bytes, release_bytes):
                 at = whole.schema.get_field_index(text_col)
                 ids = encoder.encode(pc.fill_null(whole.column(at), ""))
                 yield from checked(whole, ids, at)
@@ -247,7 +250,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = Tru
     def checked(whole: pa.RecordBatch, ids: list[bytes], at: int) -> Iterator[pa.RecordBatch]:
         """Parts of a batch, decoded and held against the library."""
         model, done = coder(PieceEncoder, path).vocabulary.model, 0
-        for part in slices(whole, text_col, SLICE // 2):
+        for part in slices(whole, text_col, slice_bytes // 2, release_bytes):
             texts = [t or "" for t in part.column(at).to_pylist()]
             packed, done = ids[done : done + len(texts)], done + len(texts)
             lists = [np.frombuffer(p, "<u4").tolist() for p in packed]

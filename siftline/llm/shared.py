@@ -76,13 +76,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of text after which a worker gives free memory back; more often costs page faults.
+RELEASE_BYTES = 2 << 20
+_unreleased = 0
+
 try:
     _TRIM = ctypes.CDLL(None).malloc_trim  # glibc has it; elsewhere nothing is done
 except (OSError, AttributeError):
     _TRIM = None
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, release_bytes: int = RELEASE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each; a longer text is a part of its own."""
     if not batch.num_rows:
         return
@@ -96,7 +100,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
             begin, total = i, 0
         total += int(n)
     yield batch.slice(begin)
-    release()
+    global _unreleased
+    _unreleased += int(sizes.sum())
+    if _unreleased > release_bytes:
+        _unreleased = 0
+        release()
 
 
 #: What tasks of this process keep for the next of their kind: the task last using it, and how to let it go.
