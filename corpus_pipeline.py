@@ -15,6 +15,9 @@ from siftline.llm.registry import vocabulary
 from siftline.llm.shared import new_path
 from siftline.session import ship, table
 
+# Near copies share this part of their runs of so many words.  The narrower ones of op9_ngram_jaccard are its own.
+NEAR_COPIES = {"n": 5, "num": 80, "den": 100}
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known well enough."""
@@ -25,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     ship(spark)
-    return shingle_join.representatives(docs)
+    return shingle_join.representatives(docs, **NEAR_COPIES)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

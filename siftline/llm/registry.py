@@ -65,7 +65,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.ShingleJoin(table(spark, sf_dir, "documents")).component_ids()
+    return shingle_join.ShingleJoin(table(spark, sf_dir, "documents"), n=3, num=90, den=100).component_ids()
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

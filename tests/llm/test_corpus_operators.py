@@ -189,3 +189,14 @@ def test_pipeline_stages(spark):
         else:
             assert sorted(got) == order and all(len(r.ids) == 4 * r.n_tokens for r in got.values())
         docs = spark.createDataFrame(list(got.values()), out.schema) if name != "sentencepiece" else out
+
+
+def test_pipeline_near_copies_share_runs_of_five_words(spark):
+    """The stage's own 5 words and 0.8 against brute force; some pairs link under these and not under 3 words and 0.9."""
+    base = [f"w{k}" for k in range(100)]
+    copy = ["other" if k in (30, 60) else w for k, w in enumerate(base)]  # 5 words: 86 / 106; 3 words: 92 / 104
+    texts = [*near_copies(7), " ".join(base), " ".join(copy)]
+    want = H.jaccard_components(texts, 5, 80, 100)
+    assert want[-1][1] == len(texts) - 2 and want != H.jaccard_components(texts)
+    left = corpus_pipeline.ngram_jaccard(ship(spark), H.docs(spark, texts), "")
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, w in enumerate(want) if w[1] == i]
