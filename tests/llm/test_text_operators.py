@@ -163,3 +163,24 @@ def test_host_priors_are_smoothed(spark):
 
 def test_sha_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.", "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+]
+
+
+def test_language_rejects_rows_that_show_none(spark):
+    """Blank, symbol-only and foreign rows in a corpus that one language leads are rejected; so are the rows of a label left out of the models."""
+    blank = [None, "", " \n\t", "12 345, 6.7", "# $ % & | < > * " * 5, "?!"]
+    held = ship(spark).read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    planted = spark.createDataFrame([(1000 + i, t, None, "src1") for i, t in enumerate(blank + FOREIGN)], held.schema)
+    known = [(2000, "", None, "x.de"), (2001, '<html lang="fr">', None, None), (2002, FOREIGN[0], None, "x.de"), (2003, '<html lang="fi">' + FOREIGN[0], None, None)]
+    rows = held.unionByName(planted).unionByName(spark.createDataFrame(known, held.schema))
+    left = {r.doc_id for r in language.keep(rows).collect()}
+    assert not left & set(range(1000, 2000)) and left & set(range(2000, 2010)) == {2000, 2001} and len([i for i in left if i < 1000]) >= 199
+    model = language.fit(held.filter("lang != 'de'").selectExpr("doc_id AS key", "text", "lang AS label"))
+    out = language.identify(held, model=model).join(held.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.kept for r in out if r.lang == "de") == 0 and sum(not r.kept for r in out if r.lang != "de") <= 1
