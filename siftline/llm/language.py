@@ -8,7 +8,7 @@ aggregation, smoothed towards the host's domain, that towards its suffix, and
 that towards the whole corpus.
 
 The text models are fitted on about ``SAMPLE`` labelled rows a language at most;
-everything else covers all rows.  Text runs through numpy once,
+everything else covers all rows and all labels.  Text runs through numpy once,
 in Arrow batches, where evidence is added up; priors are native.
 
 The languages are a closed set, so one of them is always the likeliest.  A text
@@ -20,6 +20,7 @@ Defined results
     null or empty text, or one     no text evidence; rejected unless markup or address
     without letters                names a known language
     text in no known language      rejected unless its markup declares a known one
+    more labels than MOST_LABELS   an error; no label is left out
     very long text                 whole
     null address or label          no such evidence; null labels are not sampled
     repeated rows, ties            each row is judged alone; equal posteriors: the
@@ -52,6 +53,8 @@ DECLARED, SUFFIX = 0.9, 0.6
 #: Observations that a parent's prior is worth.
 SMOOTHING = 10.0
 LEAST = 0.4
+#: Most languages; the models of a worker take 128 KB each.
+MOST_LABELS = 512
 
 # Languages by country suffix.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
@@ -92,9 +95,11 @@ def background(count: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihoods [languages and the background, GRAMS]) from rows (key, text, label)."""
+    """(languages, log likelihoods [languages and the background, GRAMS]) from rows (key, text, label); every label is a language."""
     known = labelled.filter("label IS NOT NULL AND label != ''")
-    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("label").alias("n")).orderBy(F.desc("n"), "label").limit(64).collect()}
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("label").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels; models of so many languages don't fit into a worker")
     if not counts:
         return [], np.zeros((0, GRAMS), np.float32)
     languages = sorted(counts)

@@ -184,3 +184,16 @@ def test_language_rejects_rows_that_show_none(spark):
     model = language.fit(held.filter("lang != 'de'").selectExpr("doc_id AS key", "text", "lang AS label"))
     out = language.identify(held, model=model).join(held.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.kept for r in out if r.lang == "de") == 0 and sum(not r.kept for r in out if r.lang != "de") <= 1
+
+
+def test_language_models_every_label(spark):
+    """Seventy labels, each with an alphabet of its own; the rarest has one row."""
+    alphabet = lambda k: [chr(0x4E00 + 20 * k + j) for j in range(20)]
+    rng = random.Random(4)
+    texts = [(k, " ".join("".join(rng.choices(alphabet(k), k=4)) for _ in range(60))) for k in range(70) for _ in range(1 if k == 69 else 2)]
+    rows = ship(spark).createDataFrame([(i, t, f"l{k:02}", "src") for i, (k, t) in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.identify(rows).collect()}
+    assert all(got[i].language == f"l{k:02}" and got[i].kept for i, (k, _) in enumerate(texts))
+    many = spark.range(language.MOST_LABELS + 1).selectExpr("id AS key", "'abc' AS text", "concat('l', id) AS label")
+    with pytest.raises(ValueError, match="labels"):
+        language.fit(many)
