@@ -5,7 +5,8 @@ subdomains; the longest that fits decides.  Pages that no rule fits are judged
 by their host: trust flows along links from hosts whose pages rules mostly
 allow (personalised PageRank), distrust flows against the links from hosts
 whose pages rules mostly block, and a host is blocked where its distrust
-exceeds both its trust and a threshold.
+exceeds both its trust and a threshold.  Both are in units of one seed's
+weight, so that verdicts don't depend on how many seeds the table has.
 
 Everything is native.  Links are counted by pair of hosts before anything else
 moves, ranks are whole numbers (so sums don't depend on their order), and each
@@ -25,11 +26,12 @@ Defined results
 from __future__ import annotations
 
 import string
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import materialise
+from siftline.llm.shared import drop_path, materialise
 
 #: Whole-number weight of all seeds together; ranks are parts of it.
 UNITS = 10**15
@@ -77,24 +79,32 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return named.filter("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("dst").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(host, rank): PageRank personalised on ``seeds`` (host, weight: shares of UNITS) over ``links``."""
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = 20, tolerance: int = UNITS // 10**6) -> DataFrame:
+    """(host, rank): PageRank personalised on ``seeds`` (host, weight: shares of UNITS) over ``links``.
+
+    Rounds end when less than ``tolerance`` is added to all ranks together, or after ``rounds``.  Without that limit
+    they end in any case: ranks only grow, in whole numbers, by ``damping`` of what the round before has added.
+    """
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     shares = materialise(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
     base = seeds.select("host", (F.col("weight") * (1 - damping)).cast("long").alias("rank"))
     ranks, before = materialise(base, "ranks"), -1
-    for _ in range(rounds):
+    for _ in range(rounds) if rounds is not None else count():
         sent = ranks.join(shares, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).cast("long").alias("rank"))
-        ranks = materialise(base.unionByName(sent).groupBy("host").agg(F.sum("rank").alias("rank")).filter("rank > 0"), "ranks")
+        last, ranks = ranks, materialise(base.unionByName(sent).groupBy("host").agg(F.sum("rank").alias("rank")).filter("rank > 0"), "ranks")
+        drop_path(links.sparkSession, last.scratch_path)
         now = ranks.agg(F.sum("rank")).first()[0] or 0
-        if abs(now - before) < UNITS // 10**6:
+        if abs(now - before) < max(1, tolerance):
             break
         before = now
     return ranks
 
 
 def blocked_hosts(pages: DataFrame, rules: dict[str, str], threshold: float = 1e-6, html_col: str = "html") -> DataFrame:
-    """(host, trust, distrust) of the hosts that the link graph blocks; ``pages`` have host and rule."""
+    """(host, trust, distrust) of the hosts that the link graph blocks; ``pages`` have host and rule.
+
+    Trust, distrust and ``threshold`` count in weights of one seed.
+    """
     is_ = lambda what: F.col("rule").isin([r for r, v in rules.items() if v == what])
     counts = pages.filter("host != ''").groupBy("host").agg(F.count("host").alias("n"), F.count_if(is_("allow")).alias("good"), F.count_if(is_("block")).alias("bad"))
     counts = materialise(counts, "hosts")
@@ -105,10 +115,13 @@ def blocked_hosts(pages: DataFrame, rules: dict[str, str], threshold: float = 1e
     if links.isEmpty():
         good, bad = (s.select("host", F.col("weight").alias("rank")) for s in (trusted, spoiled))
     else:
-        good = propagate(links, trusted)
-        bad = propagate(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), spoiled)
+        # What all later rounds would add is less than a hundredth of the threshold.
+        enough = lambda n: int(threshold / 1000 * UNITS / max(1, n))
+        good = propagate(links, trusted, rounds=None, tolerance=enough(n_good))
+        bad = propagate(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), spoiled, rounds=None, tolerance=enough(n_bad))
     both = bad.select("host", F.col("rank").alias("distrust")).join(good.select("host", F.col("rank").alias("trust")), "host", "left")
-    both = both.fillna({"trust": 0}).select("host", (F.col("trust") / UNITS).alias("trust"), (F.col("distrust") / UNITS).alias("distrust"))
+    seeds = lambda name, n: (F.col(name) / (UNITS // max(1, n))).alias(name)
+    both = both.fillna({"trust": 0}).select("host", seeds("trust", n_good), seeds("distrust", n_bad))
     return both.filter((F.col("distrust") > F.col("trust")) & (F.col("distrust") > threshold))
 
 

@@ -200,3 +200,25 @@ def test_pipeline_near_copies_share_runs_of_five_words(spark):
     assert want[-1][1] == len(texts) - 2 and want != H.jaccard_components(texts)
     left = corpus_pipeline.ngram_jaccard(ship(spark), H.docs(spark, texts), "")
     assert sorted(r.doc_id for r in left.collect()) == [i for i, w in enumerate(want) if w[1] == i]
+
+
+def link(*hosts):
+    return "".join(f'<a href="http://{h}/">' for h in hosts)
+
+
+def test_verdicts_do_not_depend_on_the_number_of_seeds(spark):
+    """A blocked host, what links to it, and a cycle, alone and among a hundred more blocked hosts."""
+    rows = [("a0.net", ""), ("feeder.com", link("a0.net")), ("ring1.com", link("ring2.com", "a0.net")), ("ring2.com", link("ring1.com")), ("alone.com", link("feeder.com"))]
+    others = [(f"b{k}.net", "") for k in range(100)]
+    for hosts in (rows, rows + others):
+        pages = ship(spark).createDataFrame([(i, f"http://{h}/x", t) for i, (h, t) in enumerate(hosts)], "page_id long, url string, html string")
+        bad = {r.host: r.distrust for r in url_filter.blocked_hosts(url_filter.apply_rules(pages.select("page_id", "html", url_filter.host_of(pages.url).alias("host"), url_filter.path_of(pages.url).alias("path")), {"net/": "block"}), {"net/": "block"}, 0.01).collect()}
+        ring = 0.15 * 0.85 / 2 / (1 - 0.85**2)  # a0.net sends to two hosts against its links; ring1 and ring2 send to each other
+        assert abs(bad["a0.net"] - 0.15) < 1e-6 and abs(bad["ring1.com"] - ring) < 1e-4 and abs(bad["feeder.com"] - 0.15 * 0.85 / 2) < 1e-6
+        assert {h for h in bad if not h.startswith("b")} == {h for h, _ in rows}
+
+
+def test_distrust_reaches_beyond_twenty_links(spark):
+    rows = [(0, "http://h0.net/", "")] + [(k, f"http://h{k}.com/", link(f"h{k - 1}.{'com' if k > 1 else 'net'}")) for k in range(1, 31)]
+    pages = ship(spark).createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.verdict for r in url_filter.judge(pages, {"net/": "block"}).collect()} == {"block"}
