@@ -136,8 +136,7 @@ def innermost_spans(spark, sf_dir):
 
 
 def fingerprint_fnv1a(spark, sf_dir):
-    ascii_ = found(spark, sf_dir).filter("octet_length(code_snippet) = length(code_snippet)")
-    return ascii_.select("rule_id", "path", "ord", X.fnv1a64_col(F.col("match_text")).alias("hash"), X.fnv1a64_col(F.lit("")).alias("empty_hash"))
+    return found(spark, sf_dir).select("rule_id", "path", "ord", X.fnv1a64_col(F.col("match_text")).alias("hash"), X.fnv1a64_col(F.lit("")).alias("empty_hash"))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
