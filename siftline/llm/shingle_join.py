@@ -16,7 +16,11 @@ for the pairs of rows whose product (overlap) is large for their sizes.
    multiplies two blocks, adds up overlaps over column ranges, discards pairs
    below their size bound, and returns only links that join components.
 
-No pair list is ever made from a group, and every pair that could link is
+Components need no more.  :meth:`ShingleJoin.pairs` multiplies all meeting places
+in full instead and gives every link; its rows and work grow with the links and
+with the square of clusters.
+
+For components no pair list is ever made from a group, and every pair that could link is
 either multiplied or already in one component.  N-grams are 64-bit hashes.
 
 Defined results
@@ -228,20 +232,44 @@ class ShingleJoin:
         # Written first, so that no task runs two Python workers, one on top of the other.
         return first.unionByName(materialise(self._multiplied(rest, sets), "links"))
 
-    def _multiplied(self, rest: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links within the clusters of ``rest`` (a, b: met), by products of blocks of rows."""
+    def pairs(self) -> DataFrame:
+        """(a, b): every link between two different sets once, a the lesser node."""
+        met = materialise(self.meetings(), "meetings")
+        sets = materialise(self.sets_of(met.select("node").distinct()), "sets")
+        return self._multiplied(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets, every=True)
+
+    def link_counts(self) -> DataFrame:
+        """(doc_id, n_links) for every row: the number of other rows that it is linked with, copies among them."""
+        docs = materialise(self.documents(), "nodes")
+        found = materialise(self.pairs(), "pairs")
+        copies = docs.filter("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+        both = found.union(found.select("b", "a"))
+        others = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+        full = docs.filter("n_shingles > 0").join(copies, "node").join(others, "node", "left")
+        linked = full.select("doc_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        return linked.unionByName(docs.filter("n_shingles = 0").select("doc_id", F.lit(0).cast("long").alias("n_links")))
+
+    def _multiplied(self, rest: DataFrame, sets: DataFrame, every: bool = False) -> DataFrame:
+        """Links within the clusters of ``rest`` (a, b: met), by products of blocks of rows; ``every`` one, or as forests."""
         num, den = self.num, self.den
         clusters = materialise(components(rest), "clusters")
         size = clusters.groupBy("component").agg(F.ceil(F.count("node") / BLOCK_ROWS).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         placed = clusters.join(size, "component").withColumn("own", own)
         spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        keyed = spread.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node")
+        keyed = spread.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "own")
         work = keyed.join(sets, "node").repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _groups(batches):
-                a, b = product_links(rows["node"].to_numpy(), [np.frombuffer(g.as_buffer(), np.uint64) for g in rows["grams"]], num, den)
+                nodes, own = rows["node"].to_numpy(), rows["own"].to_numpy()
+                x, y = product_pairs([np.frombuffer(g.as_buffer(), np.uint64) for g in rows["grams"]], num, den)
+                if every:  # two of one block meet in each task of that block; they count in its own
+                    mine = (own[x] != own[y]) | (rows["p"][0].as_py() == rows["q"][0].as_py())
+                    x, y = nodes[x[mine]], nodes[y[mine]]
+                    a, b = np.minimum(x, y), np.maximum(x, y)
+                else:
+                    a, b = forest(nodes[x], nodes[y])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         return work.mapInArrow(tidy(run), "a long, b long")
@@ -357,8 +385,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def product_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one block of rows, as a forest: overlaps are added up over ranges of shared columns."""
+def product_pairs(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one block of rows, by their numbers: overlaps are added up over ranges of shared columns."""
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     gram = np.concatenate(sets)
     order = np.argsort(gram, kind="stable")
@@ -376,8 +404,7 @@ def product_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int)
         part[row[a:b], column[a:b] % BLOCK_COLUMNS] = 1
         overlap += part @ part.T
     n = np.array([len(s) for s in sets], np.int64)
-    x, y = np.nonzero(np.triu(linked(overlap.astype(np.int64), n[:, None], n[None, :], num, den), 1))
-    return forest(nodes[x], nodes[y])
+    return np.nonzero(np.triu(linked(overlap.astype(np.int64), n[:, None], n[None, :], num, den), 1))
 
 
 def _places(nodes: np.ndarray, bits: int) -> np.ndarray:

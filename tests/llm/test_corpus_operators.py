@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 
@@ -222,3 +223,20 @@ def test_distrust_reaches_beyond_twenty_links(spark):
     rows = [(0, "http://h0.net/", "")] + [(k, f"http://h{k}.com/", link(f"h{k - 1}.{'com' if k > 1 else 'net'}")) for k in range(1, 31)]
     pages = ship(spark).createDataFrame(rows, "page_id long, url string, html string")
     assert {r.verdict for r in url_filter.judge(pages, {"net/": "block"}).collect()} == {"block"}
+
+
+@pytest.mark.parametrize("rows", [256, 4])
+def test_jaccard_join_gives_every_link(spark, monkeypatch, rows):
+    monkeypatch.setattr(shingle_join, "BLOCK_ROWS", rows)
+    texts = near_copies(8)
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", H.lower(t))
+        sets.append(frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else []))
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= 90 * len(a | b)
+    join = shingle_join.ShingleJoin(H.docs(ship(spark), texts))
+    distinct = sorted(set(sets), key=sorted)
+    found = join.pairs().collect()
+    assert len(found) == len({(r.a, r.b) for r in found}) == sum(link(a, b) for k, a in enumerate(distinct) for b in distinct[:k])
+    got = {r.doc_id: r.n_links for r in join.link_counts().collect()}
+    assert got == {i: sum(link(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
