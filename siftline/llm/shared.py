@@ -3,59 +3,59 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.session import shared_dir
+
 #: Bytes of text handled at once inside a task; bounds the memory of array work.
 SLICE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one is set up only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='siftline-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+class _Blocks(threading.local):
+    """Blocks open in a thread of the driver, the innermost last."""
 
+    def __init__(self):
+        self.open: list[Scratch] = []
+
+
+_BLOCKS = _Blocks()
 
-class Scratch:
-    """Tables written inside the block go at its end, but for those given to :meth:`keep`."""
 
-    _open: list[Scratch] = []
+class Scratch:
+    """Tables that this thread writes inside the block go at its end, but for those given to :meth:`keep`."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, set()
 
     def __enter__(self) -> Scratch:
-        Scratch._open.append(self)
+        _BLOCKS.open.append(self)
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Writes a result that outlives the block; an enclosing block may drop it in turn."""
         out = materialise(df, "kept")
         self.paths.discard(out.scratch_path)
-        if len(Scratch._open) > 1:
-            Scratch._open[-2].paths.add(out.scratch_path)
+        if len(_BLOCKS.open) > 1:
+            _BLOCKS.open[-2].paths.add(out.scratch_path)
         return out
 
     def __exit__(self, *_) -> None:
-        Scratch._open.pop()
+        _BLOCKS.open.pop()
         for path in self.paths:
             drop_path(self.spark, path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
-    if Scratch._open:
-        Scratch._open[-1].paths.add(path)
+    if _BLOCKS.open:
+        _BLOCKS.open[-1].paths.add(path)
     return path
 
 
@@ -77,7 +77,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 #: Bytes of text after which a worker gives free memory back; more often costs page faults.
-RELEASE_BYTES = 2 << 20
+RELEASE_BYTES = 16 << 20
 _unreleased = 0
 
 try:
@@ -90,7 +90,6 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES,
     """Parts of a batch with about ``most`` bytes of text each; a longer text is a part of its own."""
     if not batch.num_rows:
         return
-    forget()
     col = batch.column(batch.schema.get_field_index(column))
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
@@ -107,32 +106,33 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES,
         release()
 
 
-#: What tasks of this process keep for the next of their kind: the task last using it, and how to let it go.
-_held: dict[object, tuple[int, Callable[[], None]]] = {}
-
-
-def _task() -> int:
-    context = TaskContext.get()
-    return context.taskAttemptId() if context else -1
+#: What a worker process keeps from task to task: the operator (a module) last using it, and how to let it go.
+_held: dict[object, tuple[str, Callable[[], None]]] = {}
+_operator = ""
 
 
 def hold(key: object, let_go: Callable[[], None]) -> None:
-    """Notes that the task now running uses something that this process keeps between tasks."""
-    _held[key] = (_task(), let_go)
+    """Notes that the operator now running uses something that this process keeps between tasks."""
+    _held[key] = (_operator, let_go)
 
 
-def forget() -> None:
-    """Lets go of what earlier tasks kept and the task now running doesn't use."""
-    now = _task()
-    for key in [k for k, (task, _) in _held.items() if task != now]:
+def enter(operator: str) -> None:
+    """Begins a task of an operator; what others kept in this process goes."""
+    global _operator
+    _operator = operator
+    for key in [k for k, (owner, _) in _held.items() if owner != operator]:
         _held.pop(key)[1]()
 
 
 def tidy(step: Callable) -> Callable:
-    """A step over Arrow batches that leaves its worker process small when it ends."""
+    """A step over Arrow batches that leaves its worker process small when it ends.
+
+    What steps of the same operator keep stays for its next task; what another operator kept goes.
+    """
+    operator = step.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
+        enter(operator)
         yield from step(batches)
         release()
 
@@ -146,14 +146,14 @@ def release() -> None:
         _TRIM(0)
 
 
-#: Keys that may be broadcast, 8 bytes each.
-BROADCAST_KEYS = 1_000_000
+#: Bytes of keys that may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def without(docs: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows of the keys; a few keys, once counted, go to the texts rather than the texts to them."""
-    n = keys.count()
+    """``docs`` without the rows of the keys; a few keys, once measured, go to the texts rather than the texts to them."""
+    n, size = keys.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(f"`{id_col}`").cast("string")))).first()
     if not n:
         return docs
-    small = F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+    small = F.broadcast(keys) if 8 * n + (size or 0) <= BROADCAST_BYTES else keys
     return docs.join(small, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -40,8 +40,8 @@ from siftline.llm.units import UNIT_SLICE, ByteBpe, coder
 
 #: Keys of one index bucket on average.
 BUCKET_KEYS = 16_384
-_MAGIC = b"SLMPH1\0\0"
-_HEADER = struct.Struct("<8sQQ")  # magic, keys, groups
+_MAGIC = b"SLMPH2\0\0"
+_HEADER = struct.Struct("<8sQQQ")  # magic, keys, groups, seed
 _SLOT = np.dtype([("finger", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 _MASK = (1 << 64) - 1
 
@@ -126,19 +126,34 @@ def _finger(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes, 0) >> np.uint64(32)).astype(np.uint32)
 
 
-def pack_index(hashes: np.ndarray, displacement: np.ndarray, slot: np.ndarray, shard: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
+def seeded(hashes: np.ndarray, others: np.ndarray, seed: int) -> np.ndarray:
+    """What an index hashes: ``hashes`` themselves, or with a seed, sums with independent hashes that set clashing ones apart."""
+    with np.errstate(over="ignore"):
+        return hashes + others * np.uint64(seed)
+
+
+def distinct_hashes(hashes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, int]:
+    """(distinct hashes, the least seed that gives them); two keys of which both hashes are equal are an error."""
+    for seed in range(8):
+        out = seeded(hashes, others, seed)
+        if len(np.unique(out)) == len(out):
+            return out, seed
+    raise ValueError("two keys have the same 128 bits of hashes")
+
+
+def pack_index(hashes: np.ndarray, seed: int, displacement: np.ndarray, slot: np.ndarray, shard: np.ndarray, offset: np.ndarray, length: np.ndarray) -> list[bytes]:
     slots = np.zeros(len(hashes), _SLOT)
     for name, values in (("finger", _finger(hashes)), ("shard", shard), ("offset", offset), ("length", length)):
         slots[name][slot] = values
-    return [_HEADER.pack(_MAGIC, len(hashes), len(displacement)), displacement.astype("<i8").tobytes(), slots.tobytes()]
+    return [_HEADER.pack(_MAGIC, len(hashes), len(displacement), seed), displacement.astype("<i8").tobytes(), slots.tobytes()]
 
 
-def unpack_index(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(displacements, slots) of an index file."""
-    magic, n, groups = _HEADER.unpack_from(raw)
+def unpack_index(raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """(seed, displacements, slots) of an index file."""
+    magic, n, groups, seed = _HEADER.unpack_from(raw)
     if magic != _MAGIC:
         raise ValueError("not an index file")
-    return np.frombuffer(raw, "<i8", groups, _HEADER.size), np.frombuffer(raw, _SLOT, n, _HEADER.size + 8 * groups)
+    return seed, np.frombuffer(raw, "<i8", groups, _HEADER.size), np.frombuffer(raw, _SLOT, n, _HEADER.size + 8 * groups)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -177,8 +192,8 @@ class TokenFiles:
             for bucket, rows in _by_bucket(batches):
                 with where.open_input_stream(f"{path}/index-{bucket:05d}.mph") as f:
                     raw = f.read()
-                displacement, slots = unpack_index(raw)
-                hashes = rows["hash"].to_numpy().view(np.uint64)
+                seed, displacement, slots = unpack_index(raw)
+                hashes = seeded(rows["hash"].to_numpy().view(np.uint64), rows["other"].to_numpy().view(np.uint64), seed)
                 found = slots[slots_of(hashes, displacement, len(slots))]
                 ok = pa.array(found["finger"] == _finger(hashes))
                 table = pa.table(
@@ -238,7 +253,8 @@ def _with(batch: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch:
 
 def _bucketed(keys: DataFrame, buckets: int, *more: str) -> DataFrame:
     """Keys with hash and bucket; a partition holds whole buckets, in order."""
-    hashed = keys.select("key", "occurrence", *more, F.xxhash64("key", "occurrence").alias("hash"))
+    other = F.xxhash64("occurrence", "key", F.lit("other")).alias("other")
+    hashed = keys.select("key", "occurrence", *more, F.xxhash64("key", "occurrence").alias("hash"), other)
     hashed = hashed.withColumn("bucket", F.pmod(F.shiftrightunsigned("hash", 20), F.lit(buckets)).cast("long"))
     return hashed.repartition("bucket").sortWithinPartitions("bucket")
 
@@ -284,12 +300,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, key_col: str = "doc
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, table in _by_bucket(batches):
-            hashes = table["hash"].to_numpy().view(np.uint64)
-            if len(np.unique(hashes)) < len(hashes):
-                raise ValueError("two keys have one 64-bit hash")
+            hashes, seed = distinct_hashes(table["hash"].to_numpy().view(np.uint64), table["other"].to_numpy().view(np.uint64))
             displacement, slot = build_index(hashes)
             places = [table[c].to_numpy() for c in ("shard", "offset", "n_tokens")]
-            write_whole(uri, f"index-{bucket:05d}.mph", pack_index(hashes, displacement, slot, *places))
+            write_whole(uri, f"index-{bucket:05d}.mph", pack_index(hashes, seed, displacement, slot, *places))
             yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([len(hashes)])], ["bucket", "keys"])
 
     keys = _bucketed(entries, buckets, "shard", "offset", "n_tokens")

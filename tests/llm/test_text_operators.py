@@ -140,6 +140,20 @@ def test_perfect_hash_is_minimal():
         assert sorted(slot.tolist()) == list(range(n)) and (token_files.slots_of(hashes, displacement, n) == slot).all()
 
 
+def test_clashing_hashes_are_set_apart():
+    """Two keys of one 64-bit hash get a seed that tells them apart; the index file keeps it."""
+    hashes, others = np.array([7, 7, 9, 11], np.uint64), np.array([1, 2, 1, 5], np.uint64)
+    own, seed = token_files.distinct_hashes(hashes, others)
+    assert seed == 1 and len(set(own.tolist())) == 4
+    displacement, slot = token_files.build_index(own)
+    raw = b"".join(token_files.pack_index(own, seed, displacement, slot, *[np.arange(4)] * 3))
+    got, displacement, slots = token_files.unpack_index(raw)
+    found = slots[token_files.slots_of(token_files.seeded(hashes, others, got), displacement, 4)]
+    assert found["offset"].tolist() == [0, 1, 2, 3]
+    with pytest.raises(ValueError):
+        token_files.distinct_hashes(np.array([7, 7], np.uint64), np.array([1, 1], np.uint64))
+
+
 def test_language(spark):
     held = ship(spark).read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id >= 200").selectExpr("doc_id AS key", "text", "lang AS label"))
