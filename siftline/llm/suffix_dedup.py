@@ -2,8 +2,8 @@
 
 Two positions are equal up to the threshold when their first bytes are, and the
 bytes at a growing offset are.  Each round ranks positions by a pair (rank so
-far, rank further on), deals the pairs to tasks by rank and sorts them there;
-positions whose rank is unique, or settled, leave.
+far, rank further on); Spark sorts the pairs, windows over the sorted rows
+rerank them, and positions whose rank is unique, or settled, leave.
 
 To keep the rounds short, they start at 32 bytes and run over a synchronising
 set: each string of ``length`` bytes names as its anchor the position of its
@@ -11,14 +11,20 @@ least hashed 32-byte string, so equal strings name equal anchors and an anchor
 stands for the run of consecutive strings that name it (about 35 of them).
 
 round 1  rank by the anchor's 32 bytes; anchors of unique rank leave
-round 2  rank by that and the bytes of all strings the anchor stands for: where
-         the pair came earlier, every one of them is a repeat; the first of
-         each pair leaves too unless its 32 bytes stand in other surroundings
-round 3  rank those by each whole string; all but the first are repeats
+round 2  pairs with the bytes of all strings the anchor stands for: where the
+         pair came earlier, every one of them is a repeat
+round 3  pairs with the bytes up to an offset of half the rest, to the left and
+         to the right: each string covers one of the two, so strings on a side
+         that is unique leave
+round 4  pairs of both halves of each string that is left: all but the first
+         of a pair are repeats
 
 Ranks are 64-bit hashes of content, so partner ranks are at hand without a
-join.  Pairs travel packed, many to a row, and go to as many buckets as there
-are shuffle partitions.  Repeats never cross documents.
+join, and what is removed rests on 128 bits.  A task sends on only the earliest
+of the equal pairs that it has gathered and settles the others, and it sends one
+row of each rank to the rank's own key; so a group of copies, or a passage in
+any number of surroundings, meets in one task only as often as tasks have sent.
+Sorts are Spark's own and spill.  Repeats never cross documents.
 
 Defined results
     null or empty text   0 bytes; nothing is removed
@@ -33,13 +39,12 @@ Defined results
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +57,9 @@ LENGTH = 100
 FIRST = 32
 #: Bytes handled at once; a longer text is cut into overlapping pieces.
 PIECE = 1 << 19
-#: Anchors or strings that a task gathers before it sends them on.
+#: Anchors or strings that a task gathers before it sends them on, and rows of a batch that it sends.
 FLUSH = 250_000
+SENT_ROWS = 20_000
 _PLACE = 23  # bits of a position in a piece
 
 
@@ -75,8 +81,8 @@ def pieces(column: pa.Array, ids: np.ndarray, length: int) -> Iterator[tuple[np.
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, first: int) -> tuple[np.ndarray, ...]:
-    """(rank of the anchor's first bytes, rank of all it stands for, first and last string, text) of each anchor."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
+    """Of each anchor: rank of its first bytes, rank of all it stands for, ranks up to both sides, first and last string, place before it, text."""
+    none = *(np.zeros(0, np.uint64),) * 3, *(np.zeros(0, np.int64),) * 4
     if len(data) < length:
         return none
     prefix = Prefix(data)
@@ -100,127 +106,95 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, first: int) -> t
     low, high, anchor = at[start], at[np.append(start[1:], len(at)) - 1], anchor[start]
     shape = ((anchor - low) << 32 | (high - low)).astype(np.uint64)
     around = mix64(prefix.ranges(low, high + length) + mix64(shape))
-    return rank[anchor], around, low, high, np.searchsorted(offsets, low, side="right") - 1
+    half = (length - first) // 2
+    left = prefix.ranges(np.maximum(anchor - half, 0), anchor + first) >> np.uint64(32)
+    right = prefix.ranges(anchor, np.minimum(anchor + first + half, len(data))) >> np.uint64(32) << np.uint64(32)
+    return rank[anchor], around, left | right, low, high, anchor - low, np.searchsorted(offsets, low, side="right") - 1
+
+
+def merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of documents as maximal runs, in order."""
+    order = np.lexsort((first, doc))
+    doc, first, last = doc[order], first[order], last[order]
+    reach = np.zeros(len(doc), np.int64)
+    group = runs(doc)
+    top = int(last.max(initial=0)) + 1
+    if len(doc):
+        reach = np.maximum.accumulate(last + group * top) - group * top
+    new = np.ones(len(doc), bool)
+    new[1:] = (group[1:] != group[:-1]) | (first[1:] > reach[:-1])
+    start = np.flatnonzero(new)
+    return doc[start], first[start], reach[np.append(start[1:], len(doc))[: len(start)] - 1]
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Number of the run of equal rows that each row of sorted columns is in."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+#: Kinds of rows that are sent: a rank's one row, the same where the task has other pairs of the rank, those others, a settled range.
+ALONE, OPEN, OTHER, SETTLED = range(4)
+_SENT = "rank long, next long, sides long, doc_id long, low long, shape int, kind int"
 
 
 class Sender:
-    """Packs rows (rank, [surroundings,] document, place, [shape]) by bucket of their rank, pre-aggregated.
+    """Gathers rows (rank, next, sides, document, place, shape) and sends them on pre-aggregated.
 
-    Of rows of one rank and surroundings that a task has gathered only the
-    earliest goes to the rank's bucket; the others are settled by it, and go to
-    buckets of their documents.  So a group of copies of any size meets in one
-    task only as often as tasks have sent.
+    Of rows of one pair (rank, next) only the earliest goes on; the others are
+    repeats, whose merged ranges go on as settled: (hash, end, 0, document, begin).
     """
 
-    def __init__(self, buckets: int, pair: int):
-        self.buckets, self.pair, self.parts, self.count = buckets, pair, [], 0
+    def __init__(self, length: int):
+        self.length, self.parts, self.count = length, [], 0
 
     def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(columns[0]):
             self.parts.append(columns)
             self.count += len(columns[0])
         if self.count > FLUSH:
-            yield self.batch()
-
-    def batch(self) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
-        self.parts, self.count = [], 0
-        doc, place = columns[self.pair], columns[self.pair + 1]
-        order = np.lexsort((place, doc, *columns[: self.pair][::-1]))
-        columns = [c[order] for c in columns]
-        doc, place = doc[order], place[order]
-        run = runs(*columns[: self.pair])
-        first = np.searchsorted(run, run)
-        head = first == np.arange(len(run))
-        late = (doc != doc[first]) | (place != place[first])  # not a repeated row
-        bucket = ((columns[0] >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
-        by_doc = (mix64(doc.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64) + self.buckets
-        bucket = np.where(head, bucket, by_doc)
-        keep = np.flatnonzero(head | late)
-        order = keep[np.argsort(bucket[keep], kind="stable")]
-        cut = np.searchsorted(bucket[order], np.arange(2 * self.buckets + 1))
-        columns = [c[order] for c in columns]
-        if self.pair == 2:  # the bucket tells enough of the rank to keep 32 bits of it
-            columns[0] = columns[0].astype(np.uint32)
-        full = np.flatnonzero(np.diff(cut))
-        packed = [pa.array([c[cut[k] : cut[k + 1]].tobytes() if k < self.buckets or i >= self.pair else b"" for k in full], pa.binary()) for i, c in enumerate(columns)]
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packed], ["bucket", *(f"c{i}" for i in range(len(columns)))])
+            yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            yield self.batch()
-
-
-def received(batches: Iterator[pa.RecordBatch], types: tuple) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Each bucket of a partition, and its columns."""
-    buckets: dict[int, list] = {}
-    for batch in batches:
-        for i, k in enumerate(batch.column(0).to_pylist()):
-            buckets.setdefault(k, []).append([np.frombuffer(c[i].as_buffer(), t).copy() for c, t in zip(batch.columns[1:], types, strict=True)])
-    for k in sorted(buckets):
-        yield k, [np.concatenate(c) for c in zip(*buckets.pop(k), strict=True)]
-
-
-def runs(*columns: np.ndarray) -> np.ndarray:
-    """Number of the run of equal rows that each row of sorted columns is in."""
-    new = np.zeros(len(columns[0]), bool)
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
-
-
-def settle(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rounds 1 and 2: repeated byte ranges, and the ranges of strings that are left for round 3."""
-    for bucket, (rank, around, doc, low, shape) in received(batches, (np.uint32, np.uint64, np.int64, np.int64, np.uint8)):
-        if bucket >= buckets:  # settled where they were sent
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low), pa.array(low + shape + length), pa.array(np.ones(len(doc), bool))], ["doc_id", "first", "last", "gone"])
-            continue
-        order = np.argsort(rank, kind="stable")
-        rank = rank[order]
-        twice = np.zeros(len(rank), bool)
-        twice[1:] = rank[1:] == rank[:-1]
-        twice[:-1] |= twice[1:]
-        order, rank = order[twice], rank[twice]
-        if not len(order):
-            continue
-        around, doc, low, shape = around[order], doc[order], low[order], shape[order]
-        order = np.lexsort((low, doc, around, rank))
-        rank, around, doc, low, shape = rank[order], around[order], doc[order], low[order], shape[order].astype(np.int64)
-        group, pair = runs(rank), runs(rank, around)
-        start = np.searchsorted(pair, pair)
-        # Repeated rows of one doc_id at one place are not repeats of each other.
-        head = (doc == doc[start]) & (low == low[start])
-        kinds = np.bincount(group[start == np.arange(len(start))])
-        rest = head & (kinds[group] > 1)
-        gone = ~head
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([doc[gone], doc[rest]])),
-                pa.array(np.concatenate([low[gone], low[rest]])),
-                pa.array(np.concatenate([(low + shape + length)[gone], (low + shape + 1)[rest]])),
-                pa.array(np.repeat([True, False], [gone.sum(), rest.sum()])),
-            ],
-            ["doc_id", "first", "last", "gone"],
-        )
-
-
-def repeats(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Round 3: byte ranges of strings that occur earlier."""
-    for bucket, (rank, doc, low) in received(batches, (np.uint64, np.int64, np.int64)):
-        if bucket < buckets:  # others are settled already
-            order = np.lexsort((low, doc, rank))
-            rank, doc, low = rank[order], doc[order], low[order]
-            run = runs(rank)
-            first = np.searchsorted(run, run)
-            gone = (doc != doc[first]) | (low != low[first])
-            doc, low = doc[gone], low[gone]
-        order = np.lexsort((low, doc))
-        doc, low = doc[order], low[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (low[1:] > low[:-1] + length)
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(doc))[: len(start)] - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array(low[start]), pa.array(low[end] + length)], ["doc_id", "first", "last"])
+        if not self.parts:
+            return
+        rank, after, sides, doc, low, shape = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.parts, self.count = [], 0
+        order = np.lexsort((low, doc, after, rank))
+        rank, after, sides, doc, low, shape = (c[order] for c in (rank, after, sides, doc, low, shape))
+        pair = runs(rank, after)
+        first = np.searchsorted(pair, pair)
+        head = first == np.arange(len(pair))
+        late = (doc != doc[first]) | (low != low[first])  # not a repeated row
+        gone, begin, end = merged(doc[late], low[late], (low + (shape & 0xFFFF) + self.length)[late])
+        of_rank = runs(rank[head])
+        own = np.searchsorted(of_rank, of_rank) == np.arange(len(of_rank))
+        several = np.bincount(of_rank)[of_rank] > 1
+        kind = np.where(own, np.where(several, OPEN, ALONE), OTHER)
+        columns = [
+            np.concatenate([rank[head], mix64(gone.view(np.uint64))]).view(np.int64),
+            np.concatenate([after[head].view(np.int64), end]),
+            np.concatenate([sides[head], np.zeros(len(gone), np.uint64)]).view(np.int64),
+            np.concatenate([doc[head], gone]),
+            np.concatenate([low[head], begin]),
+            np.concatenate([shape[head], np.zeros(len(gone), np.int64)]).astype(np.int32),
+            np.concatenate([kind, np.full(len(gone), SETTLED)]).astype(np.int32),
+        ]
+        for a in range(0, len(columns[0]), SENT_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + SENT_ROWS]) for c in columns], _SENT.replace(" long", "").replace(" int", "").split(", "))
+
+
+_WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _earliest(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``gone``: settled, or not the earliest of its pair (rank, next)."""
+    pair = Window.partitionBy("rank", "next", F.col("kind") == SETTLED).orderBy("doc_id", "low").rowsBetween(*_WHOLE)
+    named = rows.withColumn("__doc", F.first("doc_id").over(pair)).withColumn("__low", F.first("low").over(pair))
+    gone = (F.col("kind") == SETTLED) | (F.col("doc_id") != F.col("__doc")) | (F.col("low") != F.col("__low"))
+    return named.withColumn("gone", gone).drop("__doc", "__low")
 
 
 class SuffixDedup:
@@ -229,33 +203,54 @@ class SuffixDedup:
             raise ValueError("length must be 64 to 287 bytes")
         self.spark, self.length = docs.sparkSession, length
         self.rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _anchored(self) -> DataFrame:
-        length, buckets = self.length, self.buckets
+        """Rows (rank, next, ...) of all anchors."""
+        length = self.length
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sender = Sender(buckets, 2)
+            sender = Sender(length)
             for batch in batches:
                 for part in slices(batch, most=PIECE):
                     part = part.filter(pc.is_valid(part.column(0)))
                     for data, offsets, ids, base in pieces(part.column(1), part.column(0).to_numpy(), length):
-                        rank, around, low, high, text = anchors(data, offsets, length, FIRST)
-                        place = low - offsets[text] + base[text]
-                        yield from sender.add(rank, around, ids[text], place, (high - low).astype(np.uint8))
+                        rank, around, sides, low, high, before, text = anchors(data, offsets, length, FIRST)
+                        yield from sender.add(rank, around, sides, ids[text], low - offsets[text] + base[text], before << 16 | (high - low))
             yield from sender.rest()
 
-        schema = "bucket int, " + ", ".join(f"c{i} binary" for i in range(5))
-        return self.rows.mapInArrow(tidy(send), schema).repartition(buckets, "bucket")
+        return self.rows.mapInArrow(tidy(send), _SENT)
+
+    def _paired(self) -> DataFrame:
+        """Rounds 1 and 2: (doc_id, low, end, gone, rank, sides, before): ranges that are gone, and anchors that stay open."""
+        # All of a rank's own rows are on its key; others of it are known to be open and go elsewhere.
+        key = F.when(F.col("kind") == OTHER, F.xxhash64("rank", "next")).otherwise(F.col("rank"))
+        same = Window.partitionBy("key").orderBy("next").rowsBetween(*_WHOLE)
+        ranked = self._anchored().withColumn("key", key).select(
+            "*",
+            F.count(F.lit(1)).over(same).alias("n"),
+            ((F.first("next").over(same) != F.last("next").over(same)) | F.max(F.col("kind").isin(OPEN, OTHER)).over(same)).alias("open"),
+        )
+        left = _earliest(ranked.filter((F.col("kind") == SETTLED) | (F.col("n") > 1) | F.col("open")).drop("key", "n"))
+        end = F.when(F.col("kind") == SETTLED, F.col("next")).otherwise(F.col("low") + F.col("shape").bitwiseAND(0xFFFF) + self.length)
+        return left.filter("gone OR open").select("doc_id", "low", end.alias("end"), "gone", "rank", "sides", F.shiftright("shape", 16).alias("before"))
+
+    def _open(self, paired: DataFrame) -> DataFrame:
+        """Round 3: (doc_id, first, last): strings, by their first bytes' places, of which the side they cover is no unique one."""
+        half, high = (self.length - FIRST) // 2, F.col("end") - self.length
+        cut = F.col("low") + F.col("before") - half  # strings up to here cover the left side, others the right one
+        sides = F.array(
+            F.struct(F.col("low").alias("first"), (F.least(high, cut) + 1).alias("last"), F.xxhash64("rank", F.shiftleft("sides", 32), F.lit(0)).alias("side")),
+            F.struct(F.greatest(F.col("low"), cut + 1).alias("first"), (high + 1).alias("last"), F.xxhash64("rank", F.shiftright("sides", 32), F.lit(1)).alias("side")),
+        )
+        parts = paired.filter("NOT gone").select("doc_id", F.explode(sides).alias("s")).select("doc_id", "s.*").filter("first < last")
+        # Written, so that a join may split a side that many rows have.
+        again = materialise(parts.groupBy("side").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("side"), "sides")
+        return parts.join(again, "side", "left_semi").select("doc_id", "first", "last")
 
-    def ranges(self) -> DataFrame:
-        """(doc_id, first, last): byte ranges that are repeats; they may overlap."""
-        length, buckets = self.length, self.buckets
-        settled = self._anchored().mapInArrow(tidy(lambda b: settle(b, length, buckets)), "doc_id long, first long, last long, gone boolean")
-        settled = materialise(settled, "rounds")
-        gone = settled.filter("gone").select("doc_id", "first", "last")
-        open_ = settled.filter("NOT gone").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("open"))
-        bits = self.spark.sparkContext.broadcast(node_filter(settled.filter("NOT gone").select("doc_id").distinct()))
+    def _strings(self, opened: DataFrame) -> DataFrame:
+        """Rows (rank, next, ...) of the open strings: their halves."""
+        length = self.length
+        bits = self.spark.sparkContext.broadcast(node_filter(opened.select("doc_id").distinct()))
 
         def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -263,7 +258,7 @@ class SuffixDedup:
                 yield batch.filter(pa.array(passing(bits.value, batch.column(0).to_numpy())))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sender = Sender(buckets, 1)
+            sender = Sender(length)
             for batch in batches:
                 for part in slices(batch, most=PIECE):
                     data, offsets = buffer_of(part.column(1))
@@ -272,18 +267,28 @@ class SuffixDedup:
                         spans = opened.values
                         low = spans.field(0).to_numpy()
                         count = spans.field(1).to_numpy() - low
-                        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+                        at = np.unique(np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum()))
                         for a in range(0, max(1, int(offsets[i + 1] - offsets[i])), PIECE):
-                            own = at[(at >= a) & (at < a + PIECE)] - a
-                            piece = data[offsets[i] + a : min(offsets[i + 1], offsets[i] + a + PIECE + length)]
+                            own = at[np.searchsorted(at, a) : np.searchsorted(at, a + PIECE)] - a
                             if len(own):
-                                rank = Prefix(piece).ranges(own, own + length)
-                                yield from sender.add(rank, np.full(len(own), ids[i]), own + a)
+                                prefix = Prefix(data[offsets[i] + a : min(offsets[i + 1], offsets[i] + a + PIECE + length)])
+                                one, two = prefix.ranges(own, own + length // 2), prefix.ranges(own + length // 2, own + length)
+                                none = np.zeros(len(own), np.int64)
+                                yield from sender.add(one, two, none.view(np.uint64), np.full(len(own), ids[i]), own + a, none)
             yield from sender.rest()
 
-        texts = self.rows.mapInArrow(tidy(likely), self.rows.schema).join(open_, "doc_id")
-        whole = texts.mapInArrow(tidy(send), "bucket int, c0 binary, c1 binary, c2 binary").repartition(buckets, "bucket")
-        return gone.unionByName(whole.mapInArrow(tidy(lambda b: repeats(b, length, buckets)), "doc_id long, first long, last long"))
+        listed = opened.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("open"))
+        texts = self.rows.mapInArrow(tidy(likely), self.rows.schema).join(listed, "doc_id")
+        return texts.mapInArrow(tidy(send), _SENT)
+
+    def ranges(self) -> DataFrame:
+        """(doc_id, first, last): byte ranges that are repeats; they may overlap."""
+        paired = materialise(self._paired(), "pairs")
+        opened = materialise(self._open(paired), "open")
+        whole = _earliest(self._strings(opened)).filter("gone")
+        end = F.when(F.col("kind") == SETTLED, F.col("next")).otherwise(F.col("low") + self.length)
+        gone = paired.filter("gone").select("doc_id", F.col("low").alias("first"), F.col("end").alias("last"))
+        return gone.unionByName(whole.select("doc_id", F.col("low").alias("first"), end.alias("last")))
 
     def found(self) -> DataFrame:
         """:meth:`ranges`, written."""
@@ -317,13 +322,11 @@ def cut_out(part: pa.RecordBatch) -> pa.RecordBatch:
             spans.append(0)
             left.append(own.tobytes())
             continue
-        edge = np.zeros(len(own) + 1, np.int64)
-        np.add.at(edge, np.minimum(found.values.field(0).to_numpy(), len(own)), 1)
-        np.add.at(edge, np.minimum(found.values.field(1).to_numpy(), len(own)), -1)
-        gone = np.cumsum(edge)[:-1] > 0
-        removed.append(int(gone.sum()))
-        spans.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
-        left.append(own[~gone].tobytes())
+        first, last = (np.minimum(found.values.field(k).to_numpy(), len(own)) for k in (0, 1))
+        _, first, last = merged(np.zeros(len(first), np.int64), first, last)
+        removed.append(int((last - first).sum()))
+        spans.append(len(first))
+        left.append(b"".join(own[a:b].tobytes() for a, b in zip([0, *last.tolist()], [*first.tolist(), len(own)])))
     n = np.diff(offsets)
     return pa.RecordBatch.from_arrays(
         [part.column(0), pa.array(n), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.binary())],
