@@ -191,10 +191,9 @@ _WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 def _earliest(rows: DataFrame) -> DataFrame:
     """``rows`` with ``gone``: settled, or not the earliest of its pair (rank, next)."""
-    pair = Window.partitionBy("rank", "next", F.col("kind") == SETTLED).orderBy("doc_id", "low").rowsBetween(*_WHOLE)
-    named = rows.withColumn("__doc", F.first("doc_id").over(pair)).withColumn("__low", F.first("low").over(pair))
-    gone = (F.col("kind") == SETTLED) | (F.col("doc_id") != F.col("__doc")) | (F.col("low") != F.col("__low"))
-    return named.withColumn("gone", gone).drop("__doc", "__low")
+    pair = Window.partitionBy("rank", "next", "settled").orderBy("doc_id", "low").rowsBetween(*_WHOLE)
+    first = F.first(F.struct("doc_id", "low")).over(pair)
+    return rows.withColumn("settled", F.col("kind") == SETTLED).withColumn("gone", F.col("settled") | (F.struct("doc_id", "low") != first))
 
 
 class SuffixDedup:
