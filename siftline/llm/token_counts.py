@@ -53,8 +53,8 @@ class ByteBpeCounter(ByteBpe):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile(PRE_TOKEN).findall
 
-    def value(self, ids: list[int]) -> int:
-        return len(ids)
+    def values_of(self, ids: list[int], bounds: list[int]) -> list[int]:
+        return [b - a for a, b in zip(bounds, bounds[1:])]
 
     def fill(self, units: list[str]) -> list[int]:
         """Counts whole tokens as one each; merges the other pre-tokens.

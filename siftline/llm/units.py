@@ -4,7 +4,7 @@ Byte-level BPE never merges across a space that follows a character other than
 white space, and SentencePiece pieces hold their space mark in front only.  So
 a text is the sequence of its space-separated units, and as units repeat, each
 distinct one is encoded once and looked up afterwards.  The caches are bounded
-and are emptied when full; results never depend on them.
+and drop what was not used for longest; results never depend on them.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of text cut at once.
 UNIT_SLICE = 4 << 20
-#: Entries a worker's cache may hold before it is emptied (about 200 bytes each).
-CACHE_UNITS = 600_000
+#: Entries that a worker's cache may hold (about 200 bytes each).
+CACHE_UNITS = 1_000_000
 #: Texts with other white space than single spaces and line ends are cut with care.
 _ODD = "[ \n][ \n]|[\x01\t\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -79,21 +79,34 @@ def concatenated(values: list[bytes], at: np.ndarray, bounds: np.ndarray, dtype:
 
 
 class UnitCache:
-    """Maps a unit (with its space left out) to a value; ``fill`` computes values of new units."""
+    """Maps a unit (with its space left out) to a value; ``fill`` computes values of new units.
+
+    Entries stand in two halves; when the one in use is full, it becomes the old
+    one, and what the old one held unused since then goes.
+    """
 
     def __init__(self, fill: Callable[[list[str]], Iterable], most: int = CACHE_UNITS):
-        self.fill, self.most, self.known = fill, most, {}
+        self.fill, self.most, self.known, self.old = fill, most, {}, {}
 
     def look_up(self, units: list[str]) -> list:
         """The values of units."""
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
+        if 2 * len(self.known) > self.most:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         found = list(map(known.get, units))
         if None in found:
-            new = list(dict.fromkeys(u for u, v in zip(units, found) if v is None))
-            known.update(zip(new, self.fill(new), strict=True))
-            found = [known[u] if v is None else v for u, v in zip(units, found)]
+            new = []
+            for i, v in enumerate(found):
+                if v is None:
+                    u = units[i]
+                    if (v := old.get(u)) is None:
+                        new.append(u)
+                    else:
+                        known[u] = found[i] = v
+            if new:
+                new = list(dict.fromkeys(new))
+                known.update(zip(new, self.fill(new), strict=True))
+                found = [known[u] if v is None else v for u, v in zip(units, found)]
         return found
 
 
@@ -123,9 +136,10 @@ class ByteBpe:
         self.heads = UnitCache(self.fill, CACHE_UNITS // 8)
         self.tails = UnitCache(lambda units: self.fill([u if u[:1] == "\n" else u[1:] if u[:1] == "\x01" else " " + u for u in units]))
 
-    def value(self, ids: list[int]):
-        """What is kept of the ids of a unit: here the packed ids."""
-        return np.array(ids, self.dtype).tobytes()
+    def values_of(self, ids: list[int], bounds: list[int]) -> list:
+        """What is kept of the ids of each unit of several: here the packed ids."""
+        raw, width = np.array(ids, self.dtype).tobytes(), self.dtype.itemsize
+        return [raw[a * width : b * width] for a, b in zip(bounds, bounds[1:])]
 
     def fill(self, units: list[str]) -> list:
         """Merges units: plain words many at a time, others alone."""
@@ -134,13 +148,14 @@ class ByteBpe:
         groups = [words[k : k + _TOGETHER] for k in range(0, len(words), _TOGETHER)]
         for group, e in zip(groups, self.tokenizer.encode_batch(["".join([units[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = e.ids
-            cuts = (np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1).tolist()
-            if len(cuts) + 1 == len(group):
-                for i, a, b in zip(group, [0, *cuts], [*cuts, len(ids)]):
-                    out[i] = self.value(ids[a:b])
+            cuts = [0, *(np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1).tolist(), len(ids)]
+            if len(cuts) == len(group) + 1:
+                for i, value in zip(group, self.values_of(ids, cuts)):
+                    out[i] = value
         rest = [i for i, v in enumerate(out) if v is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = self.value(e.ids)
+            ids = e.ids
+            out[i] = self.values_of(ids, [0, len(ids)])[0]
         return out
 
     def values(self, column: pa.Array) -> tuple[list, np.ndarray, Cut, dict[int, list]]:
