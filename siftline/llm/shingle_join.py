@@ -4,24 +4,29 @@ The documents' incidence over word n-grams is a sparse matrix; the join asks
 for the pairs of rows whose product (overlap) is large for their sizes.
 
 1. Rows with equal sets are one node, known by a hash of the set.
-2. Columns are dealt into as many blocks as a pair of documents of these sizes
-   may differ in n-grams, plus one.  A pair that meets the threshold then agrees
-   entirely in some block, so all others are discarded unseen: nodes meet only
-   where a block of theirs has an equal product signature.  Sizes form classes;
-   a node is dealt once as a smaller and once as a larger partner.
-3. Of nodes that meet, each is multiplied with the least one (a star, so the
-   work is in proportion to the nodes).  Links give components.
-4. Meeting places that still hold several components are multiplied in full:
-   nodes that meet there form clusters, cut into blocks of rows; each task
-   multiplies two blocks, adds up overlaps over column ranges, discards pairs
-   below their size bound, and returns only links that join components.
-
-Components need no more.  :meth:`ShingleJoin.pairs` multiplies all meeting places
-in full instead and gives every link; its rows and work grow with the links and
+2. Size bounds discard columns first: a pair that meets the threshold shares at
+   least num/den of each row, so it shares a column among the first few of both
+   in any order of the columns.  Columns are ordered by how often they occur, in
+   a table of counts of fixed size over all rows, rare ones first; so rows meet
+   on a column of those first ones, and passages that many texts hold make few
+   meet.  The order only costs time: whatever the counts, no link is lost.
+3. Of nodes that meet on a column each is multiplied with the least one whose
+   size allows a link (a star, so the work is in proportion to the nodes).
+   Links give components.
+4. Columns on which several components still meet join their nodes to clusters.
+   A cluster is cut into tiles of bounded rows and n-grams of one size class;
+   tiles of classes too far apart are never paired, nor are classes that all
+   lie in one component.  A task multiplies two tiles, adds overlaps up over
+   blocks of columns, discards pairs below their size bound, and returns only
+   links that join components.
+
+Components need no more.  :meth:`ShingleJoin.pairs` multiplies all columns' nodes
+in tiles instead and gives every link; its rows and work grow with the links and
 with the square of clusters.
 
 For components no pair list is ever made from a group, and every pair that could link is
-either multiplied or already in one component.  N-grams are 64-bit hashes.
+either multiplied or already in one component.  N-grams are 64-bit hashes; nodes
+are told apart by 128 bits.
 
 Defined results
     null, empty or blank text  an empty set: linked with nothing, itself its component
@@ -35,12 +40,12 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.components import components, forest
@@ -49,77 +54,84 @@ from siftline.llm.wordarrays import NOT_SPACE, Words, mix64
 
 #: Bytes of text turned into n-grams at once.
 SLICE = 1 << 19
-#: Rows of a block of the product.
-BLOCK_ROWS = 256
-#: Columns that are multiplied at once.
+#: Rows, and n-grams, of a tile of the product at most; those of a small cluster are smaller, so that it makes many.
+BLOCK_ROWS = 1024
+BLOCK_GRAMS = 1 << 20
+#: Tiles that a cluster is cut into where they don't get smaller than these rows and n-grams.
+TILES, LEAST_ROWS, LEAST_GRAMS = 24, 128, 1 << 15
+#: Columns that are multiplied at once, and pairs of entries of rare columns.
 BLOCK_COLUMNS = 4096
-#: Signatures that a task gathers before it sends them on.
+_ENTRIES = 1 << 20
+#: Entries that a task gathers before it sends them on, and rows of a batch that it sends.
 FLUSH = 400_000
+SENT_ROWS = 20_000
+#: Cells of the table of column counts, 4 bytes each, and cells that travel together.
+CELLS, SEGMENT = 1 << 21, 1 << 16
+#: Sets that may share 64 bits of their hash with another (none, below billions of sets).
+MOST_CLASHES = 100_000
 #: Most bits of the filter of nodes that met; 8 MB whatever the input.
 FILTER_BITS = 1 << 26
+_WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
+def incidence(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns of each text's row, in order; bounds of the rows): the distinct n-gram hashes of the texts."""
     words = Words(column, NOT_SPACE)
-    h = words.hash
-    grams = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    h, size = words.hash, np.diff(words.bounds)
+    every = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for k in range(n):
-        grams = mix64(grams + h[k : k + len(grams)] * np.uint64(2 * k + 1))
-    for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
-        if b - a >= n:
-            s = np.sort(grams[a : b - n + 1])
-            yield s[np.concatenate([[True], s[1:] != s[:-1]])]
-        elif b > a:
-            whole = np.array([b - a], np.uint64)
-            for k in range(a, b):
-                whole = mix64(h[k : k + 1] + whole * np.uint64(0x9E3779B97F4A7C15))
-            yield whole
-        else:
-            yield np.zeros(0, np.uint64)
-
-
-def fingerprint(s: np.ndarray) -> int:
-    """One signed 64-bit hash of a set."""
-    total = mix64(np.array([np.sum(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64) + np.uint64(len(s))], np.uint64))
-    return int(total.view(np.int64)[0])
-
-
-@cache
-def size_classes(num: int, den: int, upto: int) -> list[tuple[int, int]]:
-    """(least size, blocks) of each class: a pair that meets num/den has its smaller size in one class
-    and its larger size in the same or the next one, and differs in fewer n-grams than the class has blocks."""
-    out, low = [], 1
-    while low <= upto:
-        high = low * den // num + 1  # first size of the next class
-        small = high - 1
-        total = small + small * den // num
-        # overlap >= num/(num+den) * total, so the difference is at most:
-        out.append((low, total * (den - num) // (den + num) + 1))
-        low = high
-    return out
+        every = mix64(every + h[k : k + len(every)] * np.uint64(2 * k + 1))
+    text = np.repeat(np.arange(len(size)), size)
+    inside = np.flatnonzero(text[: len(every)] == text[n - 1 :]) if len(every) else np.zeros(0, np.int64)
+    short = np.flatnonzero((size > 0) & (size < n))
+    count = np.where(size >= n, size - n + 1, size > 0)
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    grams = np.empty(int(bounds[-1]), np.uint64)
+    long = np.repeat(size >= n, count)
+    grams[long] = every[inside]
+    whole = []
+    for t in short.tolist():  # the sequence as one
+        total = np.array([size[t]], np.uint64)
+        for k in range(int(words.bounds[t]), int(words.bounds[t + 1])):
+            total = mix64(h[k : k + 1] + total * np.uint64(0x9E3779B97F4A7C15))
+        whole.append(total[0])
+    grams[~long] = whole
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        grams[a:b].sort()
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    new[bounds[:-1][count > 0]] = True
+    return grams[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+
+
+def fingerprints(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two signed 64-bit hashes of each row's set."""
+    out = []
+    for salt, odd in ((0xA5A5A5A5A5A5A5A5, 1), (0x3C6EF372FE94F82B, 0x9E3779B97F4A7C15)):
+        sums = np.zeros(len(grams) + 1, np.uint64)
+        np.cumsum(mix64((grams ^ np.uint64(salt)) * np.uint64(odd)), out=sums[1:])
+        out.append(mix64(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(odd)).view(np.int64))
+    return out[0], out[1]
 
 
-@cache
-def _limits(blocks: int) -> np.ndarray:
-    return np.array([(k << 64) // blocks for k in range(1, blocks)], np.uint64)
+def first_columns(grams: np.ndarray, bounds: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, row of each): the first of each row, of which two rows that link share one.
 
+    A row shares at least ceil(num / den * size) columns with any it links to, so it is enough to leave out one less.
+    Rows too small to link with a different one have none.
+    """
+    size = np.diff(bounds)
+    first = np.where(size * (den - num) >= num, size - (num * size + den - 1) // den + 1, 0)
+    row = np.repeat(np.arange(len(size)), size)
+    often = np.minimum(counts[(grams & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.int64), (1 << 40) - 1)
+    order = np.argsort(row << 40 | often, kind="stable")  # equal counts: by hash, as rows are sorted
+    take = order[np.arange(len(grams)) - bounds[:-1][row] < first[row]]
+    return grams[take], row[take]
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A hash of each block's part of a set, under its own and the next smaller size class."""
-    classes = size_classes(num, den, 1 << max(4, len(s).bit_length() + 1))
-    own = np.searchsorted([c[0] for c in classes], len(s), side="right") - 1
-    sums = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum(mix64(s), out=sums[1:])
-    out = []
-    for c in (own, own - 1):
-        if c < 0 or classes[c][1] < 2:
-            continue  # one block: only equal sets
-        blocks = classes[c][1]
-        edge = np.concatenate([[0], np.searchsorted(s, _limits(blocks)), [len(s)]])
-        seed = (np.uint64(c) << np.uint64(32)) + np.arange(blocks, dtype=np.uint64)
-        out.append(mix64(sums[edge[1:]] - sums[edge[:-1]] + mix64(seed)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+def size_class(n, num: int, den: int):
+    """A Spark column: sizes of two rows that link lie in one class or in neighbouring ones."""
+    return F.floor(F.log(n) / (math.log(den / num) * (1 + 1e-6)) if num < den else F.log(n) * 1e6).cast("long")
 
 
 def linked(overlap, a, b, num: int, den: int):
@@ -128,283 +140,380 @@ def linked(overlap, a, b, num: int, den: int):
 
 
 class ShingleJoin:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100):
         self.rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
         self.n, self.num, self.den = n, num, den
         self.spark = docs.sparkSession
+        self._described: DataFrame | None = None
 
-    def documents(self) -> DataFrame:
-        """(doc_id, n_shingles, node): node is the set's hash."""
+    def _describe(self) -> None:
+        """One pass over the texts: sizes and hashes of the sets, and how often columns occur."""
+        if self._described is not None:
+            return
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, seen = np.zeros(CELLS, np.uint32), set()
             for batch in batches:
                 for part in slices(batch, most=SLICE):
-                    sizes, nodes = [], []
-                    for s in shingle_sets(part.column(1), n):
-                        sizes.append(len(s))
-                        nodes.append(fingerprint(s))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+                    grams, bounds = incidence(part.column(1), n)
+                    one, two = fingerprints(grams, bounds)
+                    new = np.zeros(len(one), bool)
+                    for i, key in enumerate(one.tolist()):
+                        if key not in seen:
+                            seen.add(key)
+                            new[i] = True
+                    cells = (grams[np.repeat(new, np.diff(bounds))] & np.uint64(CELLS - 1)).astype(np.int64)
+                    cells, times = np.unique(cells, return_counts=True)
+                    counts[cells] += times.astype(np.uint32)
+                    yield _rows(part.column(0), np.diff(bounds), one, two)
+            for k, raw in _segments(counts):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([raw], pa.binary())],
+                    ["doc_id", "n_shingles", "h1", "h2", "segment", "counts"],
+                )
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    found[k] = _added(raw.as_py(), found.get(k))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["segment", "counts"])
+
+        schema = "doc_id long, n_shingles long, h1 long, h2 long, segment int, counts binary"
+        described = materialise(self.rows.mapInArrow(tidy(run), schema), "described")
+        counts = np.zeros(CELLS, np.uint32)
+        for r in described.filter("segment IS NOT NULL").select("segment", "counts").repartition("segment").mapInArrow(tidy(add), "segment int, counts binary").collect():
+            counts[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.counts, np.uint32)
+        docs = described.filter("segment IS NULL").select("doc_id", "n_shingles", "h1", "h2")
+        least = docs.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        sets = materialise(least, "sets")
+        # Different sets of one first hash get names of their own; the rest is named by it.
+        clash = sets.groupBy("h1").agg(F.min("h2").alias("low"), F.max("h2").alias("high")).filter("low != high").select("h1", "low")
+        named = sets.join(clash, "h1").filter("h2 != low").select("h1", "h2").limit(MOST_CLASHES + 1).collect()
+        if len(named) > MOST_CLASHES:
+            raise ValueError(f"more than {MOST_CLASHES} sets share 64 bits of their hash")
+        other = {(r.h1, r.h2): int(mix64(np.array([r.h1], np.int64).view(np.uint64) ^ mix64(np.array([r.h2], np.int64).view(np.uint64))).view(np.int64)[0]) for r in named}
+        self._counts, self._names = (self.spark.sparkContext.broadcast(x) for x in (counts, other))
+        self._described, self._sets = (_named(df, other) for df in (docs, sets))
 
-        return self.rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, node long")
+    def documents(self) -> DataFrame:
+        """(doc_id, n_shingles, node): node is the set's name, a hash of it."""
+        self._describe()
+        return self._described.select("doc_id", "n_shingles", "node")
 
     def meetings(self) -> DataFrame:
-        """(place, pivot, node): nodes that share a block's signature with another, and the least of them."""
-        n, num, den = self.n, self.num, self.den
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        """(place, pivot, m, node, n): nodes that meet the least one on a first column, and the sizes of both."""
+        self._describe()
+        n, num, den, counts, names = self.n, self.num, self.den, self._counts, self._names
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, sigs, nodes, gathered = set(), [], [], 0
+            seen, gathered, total = set(), [], 0
             for batch in batches:
                 for part in slices(batch, most=SLICE):
-                    for s in shingle_sets(part.column(1), n):
-                        node = fingerprint(s)
-                        if len(s) and node not in seen:
-                            seen.add(node)
-                            sigs.append(signatures(s, num, den))
-                            nodes.append(node)
-                            gathered += len(sigs[-1])
-                    if gathered > FLUSH:
-                        yield _packed(sigs, nodes, buckets)
-                        sigs, nodes, gathered = [], [], 0
-            if gathered:
-                yield _packed(sigs, nodes, buckets)
-
-        sent = self.rows.mapInArrow(tidy(send), "bucket int, sigs binary, nodes binary")
-        return sent.repartition(buckets, "bucket").mapInArrow(tidy(lambda b: _meet(b, buckets)), "place long, pivot long, node long")
+                    grams, bounds = incidence(part.column(1), n)
+                    nodes = _nodes(grams, bounds, names.value)
+                    column, row = first_columns(grams, bounds, counts.value, num, den)
+                    new = np.zeros(len(nodes), bool)
+                    for i, key in enumerate(nodes.tolist()):
+                        if key not in seen:
+                            seen.add(key)
+                            new[i] = True
+                    column, row = column[new[row]], row[new[row]]
+                    gathered.append((column, nodes[row], np.diff(bounds)[row]))
+                    total += len(column)
+                    if total > FLUSH:
+                        yield from _packed(gathered)
+                        gathered, total = [], 0
+            if total:
+                yield from _packed(gathered)
+
+        sent = self.rows.mapInArrow(tidy(send), _SENT)
+        same = Window.partitionBy("key", "late").orderBy("node").rowsBetween(*_WHOLE)
+        met = sent.select("*", F.first(F.struct("node", "n")).over(same).alias("least"), F.last("node").over(same).alias("last"))
+        met = met.filter("late OR least.node != last").select(
+            F.when(F.col("late"), F.col("place")).otherwise(F.col("key")).alias("place"),
+            F.when(F.col("late"), F.col("pivot")).otherwise(F.col("least.node")).alias("pivot"),
+            F.when(F.col("late"), F.col("m")).otherwise(F.col("least.n")).alias("m"),
+            "node",
+            "n",
+        )
+        return met.filter("node != pivot")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """(node, grams): the sets of at least the nodes given; others are mostly left out by a filter."""
-        n = self.n
-        bits = node_filter(nodes)
-        shared = self.spark.sparkContext.broadcast(bits)
+        self._describe()
+        n, names = self.n, self._names
+        shared = self.spark.sparkContext.broadcast(node_filter(nodes))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits, seen = shared.value, set()
+            seen = set()
             for batch in batches:
                 for part in slices(batch, most=SLICE):
-                    out, grams = [], []
-                    for s in shingle_sets(part.column(1), n):
-                        node = fingerprint(s)
-                        if len(s) and node not in seen and passing(bits, np.array([node], np.int64))[0]:
+                    grams, bounds = incidence(part.column(1), n)
+                    nodes = _nodes(grams, bounds, names.value)
+                    likely = passing(shared.value, nodes) & (np.diff(bounds) > 0)
+                    out, sets = [], []
+                    for i in np.flatnonzero(likely).tolist():
+                        if (node := int(nodes[i])) not in seen:
                             seen.add(node)
                             out.append(node)
-                            grams.append(s.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(grams, pa.binary())], ["node", "grams"])
+                            sets.append(grams[bounds[i] : bounds[i + 1]].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary())], ["node", "grams"])
 
         found = self.rows.mapInArrow(tidy(run), "node long, grams binary")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
+    def _fit(self):
+        return F.lit(self.den) * F.least("n", "m") >= F.lit(self.num) * F.greatest("n", "m")
+
     def links(self) -> DataFrame:
         """(a, b): links between nodes; enough of them that components are whole."""
         num, den = self.num, self.den
         met = materialise(self.meetings(), "meetings")
-        sets = materialise(self.sets_of(met.select("node").distinct()), "sets")
-        pairs = met.filter("node != pivot").select("pivot", "node").distinct()
-        sized = sets.select("node", "grams", (F.octet_length("grams") / 8).cast("long").alias("n"))
-        fit = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
-        star = (
-            pairs.join(sized, "node")
-            .join(sized.select(F.col("node").alias("pivot"), F.col("grams").alias("other"), F.col("n").alias("m")), "pivot")
-            .filter(fit)
-            .select("pivot", "node", "grams", "other")
-        )
-
-        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3)):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    at = np.searchsorted(y, x)
-                    overlap = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                    keep.append(linked(overlap, len(x), len(y), num, den))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-        first = materialise(star.mapInArrow(tidy(multiply), "a long, b long"), "links")
-        # Places that still hold nodes of several components, of which some were not the pivot.
+        pairs = materialise(met.filter(self._fit()).select("pivot", "node").distinct(), "stars")
+        if pairs.isEmpty():
+            sets, first = None, self.spark.createDataFrame([], "a long, b long")
+        else:
+            sets = materialise(self.sets_of(pairs.select("node").union(pairs.select("pivot")).distinct()), "rows")
+            star = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("grams").alias("other")), "pivot").select("pivot", "node", "grams", "other")
+
+            def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    keep = []
+                    for x, y in zip(batch.column(2), batch.column(3)):
+                        x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                        at = np.searchsorted(y, x)
+                        overlap = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+                        keep.append(linked(overlap, len(x), len(y), num, den))
+                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+            first = materialise(star.mapInArrow(tidy(multiply), "a long, b long"), "links")
         of = components(first)
-        labelled = met.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = labelled.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if(F.col("node") != F.col("pivot")).alias("n"))
-        open_ = open_.filter("x != y AND n > 1").select("place")
-        rest = materialise(met.join(open_, "place", "left_semi").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "rest")
-        if rest.isEmpty():
-            return first
-        # Written first, so that no task runs two Python workers, one on top of the other.
-        return first.unionByName(materialise(self._multiplied(rest, sets), "links"))
+        # Columns that still hold nodes of several components, of which some were not multiplied.
+        labelled = met.join(of, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        labelled = labelled.join(of.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("d", F.coalesce("component", "pivot"))
+        open_ = labelled.groupBy("place").agg(F.min(F.least("c", "d")).alias("x"), F.max(F.greatest("c", "d")).alias("y"), F.count(F.lit(1)).alias("others"))
+        rest = met.join(open_.filter("x != y AND others > 1").select("place"), "place", "left_semi")
+        more = self._multiplied(rest, of, sets)
+        return first if more is None else first.unionByName(more)
 
     def pairs(self) -> DataFrame:
         """(a, b): every link between two different sets once, a the lesser node."""
-        met = materialise(self.meetings(), "meetings")
-        sets = materialise(self.sets_of(met.select("node").distinct()), "sets")
-        return self._multiplied(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets, every=True)
+        found = self._multiplied(materialise(self.meetings(), "meetings"), None, None)
+        return self.spark.createDataFrame([], "a long, b long") if found is None else found
 
     def link_counts(self) -> DataFrame:
         """(doc_id, n_links) for every row: the number of other rows that it is linked with, copies among them."""
-        docs = materialise(self.documents(), "nodes")
+        docs = self.documents()
         found = materialise(self.pairs(), "pairs")
-        copies = docs.filter("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+        copies = self._sets.select("node", "copies")
         both = found.union(found.select("b", "a"))
         others = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
         full = docs.filter("n_shingles > 0").join(copies, "node").join(others, "node", "left")
         linked = full.select("doc_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
         return linked.unionByName(docs.filter("n_shingles = 0").select("doc_id", F.lit(0).cast("long").alias("n_links")))
 
-    def _multiplied(self, rest: DataFrame, sets: DataFrame, every: bool = False) -> DataFrame:
-        """Links within the clusters of ``rest`` (a, b: met), by products of blocks of rows; ``every`` one, or as forests."""
+    def _multiplied(self, rest: DataFrame, of: DataFrame | None, sets: DataFrame | None) -> DataFrame | None:
+        """Links among nodes that ``rest`` (pivot, m, node, n) joins to clusters, by products of tiles; None if there is nothing to multiply.
+
+        With components ``of`` so far only links that join components, as forests; without them every link once.
+        """
         num, den = self.num, self.den
-        clusters = materialise(components(rest), "clusters")
-        size = clusters.groupBy("component").agg(F.ceil(F.count("node") / BLOCK_ROWS).cast("int").alias("blocks"))
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        placed = clusters.join(size, "component").withColumn("own", own)
-        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        keyed = spread.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "own")
-        work = keyed.join(sets, "node").repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+        rest = materialise(rest.select("pivot", "m", "node", "n").distinct(), "rest")
+        if rest.isEmpty():
+            return None
+        clusters = components(rest.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        sizes = rest.select("node", "n").union(rest.select("pivot", "m")).distinct().withColumn("class", size_class(F.col("n"), num, den))
+        members = clusters.withColumnRenamed("component", "cluster").join(sizes, "node")
+        if of is not None:
+            members = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        else:
+            members = members.withColumn("component", F.col("node"))
+        members = materialise(members, "members")
+        # Classes that, with their neighbours, hold one component only need no product.
+        near = members.select("cluster", "component", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class"))
+        near = near.groupBy("cluster", "class").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("cluster", "class")
+        work = materialise(members.join(near, ["cluster", "class"], "left_semi"), "work")
+        if work.isEmpty():
+            return None
+        wanted = work.select("node").distinct()
+        if sets is None or not wanted.join(sets, "node", "left_anti").isEmpty():
+            sets = materialise(self.sets_of(wanted), "rows")
+        # Tiles: parts of a cluster's class, as many as their rows and n-grams ask for.
+        of_class = work.groupBy("cluster", "class").agg(F.count("node").alias("rows"), F.sum("n").alias("grams"))
+        total = of_class.groupBy("cluster").agg(F.sum("rows").alias("all_rows"), F.sum("grams").alias("all_grams"))
+        rows = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(LEAST_ROWS), F.ceil(F.col("all_rows") / TILES)))
+        grams = F.least(F.lit(BLOCK_GRAMS), F.greatest(F.lit(LEAST_GRAMS), F.ceil(F.col("all_grams") / TILES)))
+        tiles = of_class.join(total, "cluster").select("cluster", "class", F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("grams") / grams)).cast("int").alias("tiles"))
+        tiles = materialise(tiles, "tiles")
+        near = lambda k, name: tiles.select("cluster", (F.col("class") + k).alias("class"), F.col("tiles").alias(name))
+        placed = work.join(tiles, ["cluster", "class"]).join(near(-1, "above"), ["cluster", "class"], "left").join(near(1, "below"), ["cluster", "class"], "left")
+        placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        key = lambda low, p, up, q, side: F.struct(low.alias("low"), p.alias("p"), F.lit(up).alias("up"), q.alias("q"), side.alias("side"))
+        every = lambda n, f: F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array())
+        own, c = F.col("own"), F.col("class")
+        keys = F.concat(
+            every(F.col("tiles"), lambda j: key(c, F.least(own, j), 0, F.greatest(own, j), (own > j).cast("int"))),
+            every(F.col("above"), lambda j: key(c, own, 1, j, F.lit(0))),
+            every(F.col("below"), lambda j: key(c - 1, j, 1, own, F.lit(1))),
+        )
+        names, every_link = ["cluster", "low", "p", "up", "q"], of is None
+        spread = placed.select("cluster", "node", "component", F.explode(keys).alias("k")).select("cluster", "node", "component", "k.*")
+        dealt = spread.join(sets, "node").repartition(*names).sortWithinPartitions(*names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _groups(batches):
-                nodes, own = rows["node"].to_numpy(), rows["own"].to_numpy()
-                x, y = product_pairs([np.frombuffer(g.as_buffer(), np.uint64) for g in rows["grams"]], num, den)
-                if every:  # two of one block meet in each task of that block; they count in its own
-                    mine = (own[x] != own[y]) | (rows["p"][0].as_py() == rows["q"][0].as_py())
-                    x, y = nodes[x[mine]], nodes[y[mine]]
-                    a, b = np.minimum(x, y), np.maximum(x, y)
-                else:
-                    a, b = forest(nodes[x], nodes[y])
+            for group in _groups(batches, names):
+                side, node, part = (group[k].to_numpy() for k in ("side", "node", "component"))
+                low, high = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                same = group["up"][0].as_py() == 0 and group["p"][0].as_py() == group["q"][0].as_py()
+                if not same and not (len(low) and len(high)) or not every_link and (part == part[0]).all():
+                    continue
+                grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in group["grams"]]
+                x, y = product_pairs([grams[i] for i in low], [grams[i] for i in high] if not same else None, num, den)
+                x, y = node[low][x], node[low if same else high][y]
+                a, b = (np.minimum(x, y), np.maximum(x, y)) if every_link else forest(x, y)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        return work.mapInArrow(tidy(run), "a long, b long")
+        # Written, so that no task runs two Python workers, one on top of the other.
+        return materialise(dealt.mapInArrow(tidy(run), "a long, b long"), "links")
 
     def component_ids(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row."""
-        docs = materialise(self.documents(), "nodes")
+        docs = self.documents()
         with Scratch(self.spark) as scratch:
             of = scratch.keep(components(self.links()))
-        least = docs.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-        named = least.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = self._sets.select("node", "first").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
         by_node = named.join(ids, "component").select("node", "component_id")
         full = docs.filter("n_shingles > 0").join(by_node, "node").select("doc_id", "n_shingles", "component_id")
         return full.unionByName(docs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _place(sig: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
-    """Identity of a meeting place: a signature's low bits in its bucket."""
-    return mix64(sig + np.asarray(bucket).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def _rows(ids: pa.Array, sizes: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    n = len(sizes)
+    return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(one), pa.array(two), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "segment", "counts"])
+
+
+def _segments(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Parts of the table of counts that are not empty: all cells of a part, or (cell, count) of a few."""
+    for k, part in enumerate(counts.reshape(-1, SEGMENT)):
+        at = np.flatnonzero(part)
+        if 6 * len(at) >= part.nbytes:
+            yield k, part.tobytes()
+        elif len(at):
+            yield k, at.astype(np.uint16).tobytes() + part[at].tobytes()
+
+
+def _added(raw: bytes, to: np.ndarray | None) -> np.ndarray:
+    """A part of the table with what one task has counted added; counts stop at their limit."""
+    out = np.zeros(SEGMENT, np.uint32) if to is None else to
+    if len(raw) == 4 * SEGMENT:
+        at, more = slice(None), np.frombuffer(raw, np.uint32)
+    else:
+        n = len(raw) // 6
+        at, more = np.frombuffer(raw, np.uint16, n).astype(np.int64), np.frombuffer(raw[2 * n :], np.uint32)
+    out[at] = np.minimum(out[at].astype(np.uint64) + more, (1 << 32) - 1).astype(np.uint32)
+    return out
+
+
+def _named(df: DataFrame, other: dict) -> DataFrame:
+    """``df`` (h1, h2) with ``node``."""
+    if not other:
+        return df.withColumn("node", F.col("h1"))
+    names = df.sparkSession.createDataFrame([(a, b, node) for (a, b), node in other.items()], "h1 long, h2 long, name long")
+    return df.join(F.broadcast(names), ["h1", "h2"], "left").withColumn("node", F.coalesce("name", "h1")).drop("name")
+
+
+def _nodes(grams: np.ndarray, bounds: np.ndarray, other: dict) -> np.ndarray:
+    """Names of the rows' sets."""
+    one, two = fingerprints(grams, bounds)
+    if not other:
+        return one
+    return np.array([other.get(k, k[0]) for k in zip(one.tolist(), two.tolist())], np.int64)
 
 
-def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by signature and node; then: first row of each row's signature, whether a row repeats the one before)."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    first = np.searchsorted(sig, sig)
-    again = np.zeros(len(sig), bool)
-    again[1:] = (sig[1:] == sig[:-1]) & (node[1:] == node[:-1])
-    return order, first, again
+_SENT = "key long, node long, n long, late boolean, place long, pivot long, m long"
 
 
-def _packed(sigs: list[np.ndarray], nodes: list[int], buckets: int) -> pa.RecordBatch:
-    """Signatures dealt into buckets, each as its low 48 bits, pre-aggregated.
+def _packed(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Entries, pre-aggregated: of nodes that share a column only the least goes to the column's key.
 
-    Of nodes that share a signature only the least goes to the signature's
-    bucket; that the others met it goes to buckets of their own, so that a
-    place meets in one task only as often as tasks have sent.
+    That the others met it goes to keys of their own, so that a column meets in one task only as often as tasks have sent.
     """
-    every = np.concatenate(sigs)
-    node = np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs])
-    bucket = ((every >> np.uint64(48)) + (every << np.uint64(16) >> np.uint64(48)) * np.uint64(31)) % np.uint64(buckets)
-    order, first, again = _stars(every, node)
-    every, node, bucket = every[order], node[order], bucket[order]
-    low = every & np.uint64((1 << 48) - 1)
-    head = first == np.arange(len(first))
-    rows = []
-    kept = np.flatnonzero(head)
-    kept = kept[np.argsort(bucket[kept], kind="stable")]
-    cut = np.searchsorted(bucket[kept], np.arange(buckets + 1))
-    short = low[kept].view(np.uint8).reshape(-1, 8)[:, :6]
-    for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-        if b > a:
-            rows.append((k, short[a:b].tobytes(), node[kept[a:b]].tobytes()))
-    met = np.flatnonzero(~head & ~again)
-    if len(met):
-        place, pivot = _place(low[met], bucket[met]), node[first[met]]
-        own = (mix64(node[met].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(own, kind="stable")
-        cut = np.searchsorted(own[order], np.arange(buckets + 1))
-        for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-            if b > a:
-                i = order[a:b]
-                rows.append((buckets + k, place[i].tobytes(), np.concatenate([pivot[i], node[met[i]]]).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "sigs", "nodes"])
-
-
-def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(place, pivot, node) of signatures that two or more nodes share; the pivot itself is among the nodes."""
-    found: dict[int, list] = {}
-    names = ["place", "pivot", "node"]
-    for batch in batches:
-        for k, sigs, nodes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            if k >= buckets:  # met where they were sent: both are of the place
-                place, both = np.frombuffer(sigs.as_buffer(), np.int64), np.frombuffer(nodes.as_buffer(), np.int64)
-                pivot = both[: len(place)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(place, 2)), pa.array(np.tile(pivot, 2)), pa.array(both)], names)
-            else:
-                found.setdefault(k, []).append((np.frombuffer(sigs.as_buffer(), np.uint8).copy(), np.frombuffer(nodes.as_buffer(), np.int64).copy()))
-    for k in sorted(found):
-        raw, node = (np.concatenate(x) for x in zip(*found.pop(k), strict=True))
-        sig = np.zeros((len(raw) // 6, 8), np.uint8)
-        sig[:, :6] = raw.reshape(-1, 6)
-        sig = sig.view(np.uint64)[:, 0]
-        order = np.argsort(sig)
-        same = sig[order[1:]] == sig[order[:-1]]
-        shared = np.zeros(len(sig), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        sig, node = sig[order[shared]], node[order[shared]]
-        order, first, again = _stars(sig, node)
-        sig, node = sig[order], node[order]
-        more = node[first] != node[np.searchsorted(sig, sig, side="right") - 1]
-        take = more & ~again
-        yield pa.RecordBatch.from_arrays([pa.array(_place(sig, k)[take]), pa.array(node[first][take]), pa.array(node[take])], names)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of each key (component, p, q) of a sorted partition."""
+    column, node, n = (np.concatenate(c) for c in zip(*gathered, strict=True))
+    order = np.lexsort((node, column))
+    column, node, n = column[order], node[order], n[order]
+    first = np.searchsorted(column, column)
+    late = first != np.arange(len(first))
+    key = np.where(late, mix64(node.view(np.uint64)), column).view(np.int64)
+    columns = [key, node, n, late, np.where(late, column, 0).view(np.int64), np.where(late, node[first], 0), np.where(late, n[first], 0)]
+    for a in range(0, len(key), SENT_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + SENT_ROWS]) for c in columns], ["key", "node", "n", "late", "place", "pivot", "m"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Rows of each key of a sorted partition."""
     kept, now = [], None
     for batch in batches:
-        keys = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("component", "p", "q")), strict=True))
-        begin = 0
-        for i in range(1, len(keys) + 1):
-            if i == len(keys) or keys[i] != keys[begin]:
-                if kept and keys[begin] != now:
-                    yield pa.Table.from_batches(kept)
-                    kept = []
-                now = keys[begin]
-                kept.append(batch.slice(begin, i - begin))
-                begin = i
+        keys = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in names], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(keys[a].tolist())
+            if kept and key != now:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            now = key
+            kept.append(batch.slice(a, b - a))
     if kept:
         yield pa.Table.from_batches(kept)
 
 
-def product_pairs(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one block of rows, by their numbers: overlaps are added up over ranges of shared columns."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    gram = np.concatenate(sets)
-    order = np.argsort(gram, kind="stable")
-    gram, row = gram[order], row[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = gram[1:] != gram[:-1]
-    column = np.cumsum(new) - 1
-    count = np.bincount(column)
-    shared = count[column] > 1
-    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
-    cuts = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + 1 + BLOCK_COLUMNS, BLOCK_COLUMNS))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        part = np.zeros((len(sets), BLOCK_COLUMNS), np.float32)
-        part[row[a:b], column[a:b] % BLOCK_COLUMNS] = 1
-        overlap += part @ part.T
-    n = np.array([len(s) for s in sets], np.int64)
-    return np.nonzero(np.triu(linked(overlap.astype(np.int64), n[:, None], n[None, :], num, den), 1))
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The product of two tiles: numbers of columns that rows share, added up over blocks of columns."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    both = []
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b)) if len(a) and len(b) else np.zeros(0, np.uint64)
+    if not len(common):
+        return out
+    for rows in (a, b):
+        gram, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        at = np.minimum(np.searchsorted(common, gram), len(common) - 1)
+        shared = common[at] == gram
+        order = np.argsort(at[shared], kind="stable")
+        both.append((at[shared][order], row[shared][order], np.bincount(at[shared], minlength=len(common))))
+    (ca, ra, na), (cb, rb, nb) = both
+    full = na * nb * 32 > out.size  # columns with many entries, as dense blocks
+    place = np.cumsum(full) - 1
+    da, db = full[ca], full[cb]
+    for low in range(0, int(full.sum()), BLOCK_COLUMNS):
+        parts = []
+        for c, r, dense, n in ((ca, ra, da, len(a)), (cb, rb, db, len(b))):
+            c, r = place[c[dense]], r[dense]
+            i, j = np.searchsorted(c, [low, low + BLOCK_COLUMNS])
+            block = np.zeros((n, BLOCK_COLUMNS), np.float32)
+            block[r[i:j], c[i:j] - low] = 1
+            parts.append(block)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    ca, ra = ca[~da], ra[~da]  # the others entry by entry
+    begin, times = (np.cumsum(nb) - nb)[ca], nb[ca]
+    ends = np.cumsum(times)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, _ENTRIES):
+        i, j = np.searchsorted(ends, [low, low + _ENTRIES], side="right")
+        i, j = int(i), min(int(j) + 1, len(ca))
+        reach = np.clip(ends[i:j], low, low + _ENTRIES) - np.clip(ends[i:j] - times[i:j], low, low + _ENTRIES)
+        skip = np.clip(low - (ends[i:j] - times[i:j]), 0, None)
+        at = np.repeat(begin[i:j] + skip - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))
+        np.add.at(out, (np.repeat(ra[i:j], reach), rb[at]), 1)
+    return out
+
+
+def product_pairs(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of two tiles, or (``b``: None) within one, by their numbers."""
+    other = a if b is None else b
+    sizes = [np.array([len(s) for s in x], np.int64) for x in (a, other)]
+    good = linked(overlaps(a, other), sizes[0][:, None], sizes[1][None, :], num, den)
+    return np.nonzero(np.triu(good, 1) if b is None else good)
 
 
 def _places(nodes: np.ndarray, bits: int) -> np.ndarray:

@@ -4,7 +4,10 @@ import json
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftline.llm import chat, components, shingle_join, suffix_dedup, url_filter
@@ -31,34 +34,70 @@ def near_copies(seed=5):
     return out
 
 
+#: The contract of the query op9; the operator's own default is 5 words and 0.8.
+OP9 = {"n": 3, "num": 90, "den": 100}
+
+
 @pytest.mark.parametrize("rows,seed", [(256, 5), (4, 6)])
 def test_jaccard_join(spark, monkeypatch, rows, seed):
     monkeypatch.setattr(shingle_join, "BLOCK_ROWS", rows)
     texts = near_copies(seed)
-    got = shingle_join.ShingleJoin(H.docs(ship(spark), texts)).component_ids().orderBy("doc_id").collect()
+    got = shingle_join.ShingleJoin(H.docs(ship(spark), texts), **OP9).component_ids().orderBy("doc_id").collect()
     want = H.jaccard_components(texts)
     assert [(r.n_shingles, r.component_id) for r in got] == want
-    left = shingle_join.representatives(H.docs(spark, texts))
+    left = shingle_join.representatives(H.docs(spark, texts), **OP9)
     assert sorted(r.doc_id for r in left.collect()) == [i for i, w in enumerate(want) if w[1] == i] and left.columns == H.docs(spark).columns
 
 
 def test_jaccard_join_edges(spark):
     assert shingle_join.ShingleJoin(H.docs(ship(spark)).limit(0)).component_ids().count() == 0
     rows = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (3, "A  B\tc d")], "doc_id long, text string")
-    assert {(r.doc_id, r.component_id) for r in shingle_join.ShingleJoin(rows).component_ids().collect()} == {(None, 3), (7, 3), (3, 3)}
-
-
-def test_size_classes_cover_every_linked_pair():
-    """A pair that meets the threshold differs in fewer n-grams than the blocks of a class both are dealt under."""
-    classes = shingle_join.size_classes(90, 100, 400)
-    lows = [c[0] for c in classes]
-    own = lambda n: max(i for i, low in enumerate(lows) if low <= n)
-    for a in range(1, 300):
-        for b in range(a, min(350, a * 10 // 9 + 2)):
-            for overlap in range(a, 0, -1):
-                if not shingle_join.linked(overlap, a, b, 90, 100):
-                    break
-                assert own(b) - own(a) in (0, 1) and a + b - 2 * overlap < classes[own(a)][1]
+    assert {(r.doc_id, r.component_id) for r in shingle_join.ShingleJoin(rows, **OP9).component_ids().collect()} == {(None, 3), (7, 3), (3, 3)}
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_rows_that_link_share_a_first_column(spark, num):
+    """Whatever the counts of columns, two rows that meet the threshold share one of their first columns, and their size classes are neighbours."""
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 4, shingle_join.CELLS).astype(np.uint32)
+    linked = 0
+    for _ in range(1500):
+        base = rng.integers(0, 1 << 62, int(rng.integers(1, 60))).astype(np.uint64)
+        pair = [np.unique(np.concatenate([base, rng.integers(0, 1 << 62, int(rng.integers(0, 1 + len(base) // 6))).astype(np.uint64)])) for _ in range(2)]
+        size = [len(x) for x in pair]
+        if not shingle_join.linked(len(np.intersect1d(*pair)), *size, num, 100) or (pair[0].tolist() == pair[1].tolist()):
+            continue
+        linked += 1
+        column, row = shingle_join.first_columns(np.concatenate(pair), np.cumsum([0, *size]), counts, num, 100)
+        assert set(column[row == 0].tolist()) & set(column[row == 1].tolist())
+    assert linked > 50
+    classes = [r[0] for r in ship(spark).range(1, 3000).select(shingle_join.size_class(F.col("id"), num, 100)).collect()]
+    assert all(abs(classes[b - 1] - classes[a - 1]) <= 1 for a in range(1, 2000) for b in (a, a * 100 // num) if b < 3000)
+
+
+def test_product_of_tiles(monkeypatch):
+    """Overlaps by dense blocks and entry by entry, in small pieces, against sets."""
+    monkeypatch.setattr(shingle_join, "BLOCK_COLUMNS", 7)
+    monkeypatch.setattr(shingle_join, "_ENTRIES", 5)
+    rng = np.random.default_rng(8)
+    tile = lambda n: [np.unique(np.concatenate([rng.choice(40, 12), rng.choice(2000, 30)])).astype(np.uint64) for _ in range(n)]
+    a, b = tile(50), tile(35)
+    assert shingle_join.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert not shingle_join.overlaps(a[:1], [np.array([5000], np.uint64)]).any()
+
+
+def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
+    """Names of sets, in tasks and in tables, where first hashes are cut to three bits: the second tells them apart."""
+    whole = shingle_join.fingerprints
+    monkeypatch.setattr(shingle_join, "fingerprints", lambda g, b: (whole(g, b)[0] & 7, whole(g, b)[1]))
+    grams, bounds = shingle_join.incidence(pa.array(near_copies(11)[:60], pa.string()), 3)
+    keys = list(zip(*(h.tolist() for h in shingle_join.fingerprints(grams, bounds)), strict=True))
+    names = {k: 1000 + i for i, k in enumerate(dict.fromkeys(keys)) if k != keys[0]}
+    nodes = shingle_join._nodes(grams, bounds, names).tolist()
+    sets = [grams[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+    assert len(set(nodes)) == len(set(sets)) == len(set(zip(nodes, sets)))
+    named = shingle_join._named(ship(spark).createDataFrame(keys, "h1 long, h2 long"), names)
+    assert {((r.h1, r.h2), r.node) for r in named.collect()} == set(zip(keys, nodes))
 
 
 def test_components(spark):
@@ -179,7 +218,7 @@ def test_pipeline_stages(spark):
         if name == "language_id":
             assert len(got) >= len(rows) - 1
         elif name == "ngram_jaccard":
-            want = H.jaccard_components([rows[i].text for i in order])
+            want = H.jaccard_components([rows[i].text for i in order], 5, 80, 100)
             assert sorted(got) == [order[k] for k, w in enumerate(want) if w[1] == k]
         elif name == "suffix_dedup":
             want = H.removed([rows[i].text for i in order])
@@ -234,7 +273,7 @@ def test_jaccard_join_gives_every_link(spark, monkeypatch, rows):
         w = re.findall(r"[^\x20\x09-\x0D]+", H.lower(t))
         sets.append(frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else []))
     link = lambda a, b: bool(a and b) and 100 * len(a & b) >= 90 * len(a | b)
-    join = shingle_join.ShingleJoin(H.docs(ship(spark), texts))
+    join = shingle_join.ShingleJoin(H.docs(ship(spark), texts), **OP9)
     distinct = sorted(set(sets), key=sorted)
     found = join.pairs().collect()
     assert len(found) == len({(r.a, r.b) for r in found}) == sum(link(a, b) for k, a in enumerate(distinct) for b in distinct[:k])
