@@ -10,16 +10,23 @@ for the pairs of rows whose product (overlap) is large for their sizes.
    a table of counts of fixed size over all rows, rare ones first; so rows meet
    on a column of those first ones, and passages that many texts hold make few
    meet.  The order only costs time: whatever the counts, no link is lost.
-3. Of nodes that meet on a column each is multiplied with the least one whose
-   size allows a link (a star, so the work is in proportion to the nodes).
-   Links give components.
-4. Columns on which several components still meet join their nodes to clusters.
-   A cluster is cut into tiles of bounded rows and n-grams of one size class;
+3. A row's columns are also folded into a bitmap of parities.  Bitmaps differ in
+   no more bits than rows do in columns, which bounds the overlap from above and
+   discards nearly all pairs that meet by chance, at an eightieth of the bytes.
+4. Of nodes that meet on a column each is multiplied with the least one, where
+   sizes and bitmaps allow a link (a star, so the work is in proportion to the
+   nodes).  Links give components.
+5. Columns on which several components still meet are searched for pairs of
+   different components that sizes and bitmaps allow; these join nodes to clusters.
+6. A cluster is cut into tiles of bounded rows and n-grams of one size class;
    tiles of classes too far apart are never paired, nor are classes that all
    lie in one component.  A task multiplies two tiles, adds overlaps up over
    blocks of columns, discards pairs below their size bound, and returns only
    links that join components.
 
+Steps 5 and 6 deal rows alike: a group (a column, a cluster) that is too large for
+one task is cut into tiles, and a task gets two of them.
+
 Components need no more.  :meth:`ShingleJoin.pairs` multiplies all columns' nodes
 in tiles instead and gives every link; its rows and work grow with the links and
 with the square of clusters.
@@ -129,6 +136,40 @@ def first_columns(grams: np.ndarray, bounds: np.ndarray, counts: np.ndarray, num
     return grams[take], row[take]
 
 
+def bitmaps(grams: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each row the parity of its columns by a hash, in a power of two of 64-bit words, about as many bits as columns."""
+    size = np.diff(bounds)
+    words = np.left_shift(1, np.ceil(np.log2(np.maximum(1, -(-size // 64)))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(words)])
+    row = np.repeat(np.arange(len(size)), size)
+    bit = (mix64(grams ^ np.uint64(0x6A09E667F3BCC908)) & (64 * words - 1).astype(np.uint64)[row]).astype(np.int64) + 64 * begin[row]
+    raw = np.packbits((np.bincount(bit, minlength=64 * int(begin[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[8 * a : 8 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
+def differing(maps: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the bitmaps of pairs (x, y) differ; the longer ones are folded to the shorter ones' length."""
+    words = np.array([len(m) // 8 for m in maps], np.int64)
+    begin, flat = np.cumsum(words) - words, np.frombuffer(b"".join(maps), np.uint64)
+    out = np.zeros(len(x), np.int64)
+    for a, b in sorted(set(zip(words[x].tolist(), words[y].tolist()))):
+        which = np.flatnonzero((words[x] == a) & (words[y] == b))
+        w = min(a, b)
+        for low in range(0, len(which), max(1, _ENTRIES // max(a, b))):
+            k = which[low : low + max(1, _ENTRIES // max(a, b))]
+            sides = [np.bitwise_xor.reduce(flat[begin[i][:, None] + np.arange(n)].reshape(len(k), n // w, w), axis=1) for i, n in ((x[k], a), (y[k], b))]
+            out[k] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
+    return out
+
+
+def possible(maps: list[bytes], n: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and bitmaps leave it open that pairs (x, y) link."""
+    out = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+    fit = np.flatnonzero(out)
+    out[fit] = (den + num) * differing(maps, x[fit], y[fit]) <= (den - num) * (n[x[fit]] + n[y[fit]])
+    return out
+
+
 def size_class(n, num: int, den: int):
     """A Spark column: sizes of two rows that link lie in one class or in neighbouring ones."""
     return F.floor(F.log(n) / (math.log(den / num) * (1 + 1e-6)) if num < den else F.log(n) * 1e6).cast("long")
@@ -147,7 +188,7 @@ class ShingleJoin:
         self._described: DataFrame | None = None
 
     def _describe(self) -> None:
-        """One pass over the texts: sizes and hashes of the sets, and how often columns occur."""
+        """One pass over the texts: sizes, hashes and bitmaps of the sets, and how often columns occur."""
         if self._described is not None:
             return
         n = self.n
@@ -166,12 +207,9 @@ class ShingleJoin:
                     cells = (grams[np.repeat(new, np.diff(bounds))] & np.uint64(CELLS - 1)).astype(np.int64)
                     cells, times = np.unique(cells, return_counts=True)
                     counts[cells] += times.astype(np.uint32)
-                    yield _rows(part.column(0), np.diff(bounds), one, two)
+                    yield _rows(part.column(0), np.diff(bounds), one, two, bitmaps(grams, bounds), None)
             for k, raw in _segments(counts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([raw], pa.binary())],
-                    ["doc_id", "n_shingles", "h1", "h2", "segment", "counts"],
-                )
+                yield _rows(pa.nulls(1, pa.int64()), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), [raw], k)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: dict[int, np.ndarray] = {}
@@ -180,12 +218,12 @@ class ShingleJoin:
                     found[k] = _added(raw.as_py(), found.get(k))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["segment", "counts"])
 
-        schema = "doc_id long, n_shingles long, h1 long, h2 long, segment int, counts binary"
+        schema = "doc_id long, n_shingles long, h1 long, h2 long, bits binary, segment int"
         described = materialise(self.rows.mapInArrow(tidy(run), schema), "described")
         counts = np.zeros(CELLS, np.uint32)
-        for r in described.filter("segment IS NOT NULL").select("segment", "counts").repartition("segment").mapInArrow(tidy(add), "segment int, counts binary").collect():
+        for r in described.filter("segment IS NOT NULL").select("segment", "bits").repartition("segment").mapInArrow(tidy(add), "segment int, counts binary").collect():
             counts[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.counts, np.uint32)
-        docs = described.filter("segment IS NULL").select("doc_id", "n_shingles", "h1", "h2")
+        docs = described.filter("segment IS NULL").drop("segment")
         least = docs.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
         sets = materialise(least, "sets")
         # Different sets of one first hash get names of their own; the rest is named by it.
@@ -264,43 +302,89 @@ class ShingleJoin:
         found = self.rows.mapInArrow(tidy(run), "node long, grams binary")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
+    def bits_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, bits): the bitmaps of the nodes given."""
+        self._describe()
+        return self._described.select("node", "bits").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
     def _fit(self):
         return F.lit(self.den) * F.least("n", "m") >= F.lit(self.num) * F.greatest("n", "m")
 
     def links(self) -> DataFrame:
         """(a, b): links between nodes; enough of them that components are whole."""
         num, den = self.num, self.den
+        none = self.spark.createDataFrame([], "a long, b long")
         met = materialise(self.meetings(), "meetings")
-        pairs = materialise(met.filter(self._fit()).select("pivot", "node").distinct(), "stars")
+        if met.isEmpty():
+            return none
+        bits = materialise(self.bits_of(met.select("node").union(met.select("pivot")).distinct()), "bits")
+        pairs = met.filter(self._fit()).select("pivot", "m", "node", "n").distinct()
+        pairs = pairs.join(bits, "node").join(bits.select(F.col("node").alias("pivot"), F.col("bits").alias("other")), "pivot").select("pivot", "node", "m", "n", "bits", "other")
+
+        def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                k = np.arange(batch.num_rows)
+                n = np.concatenate([batch.column(3).to_numpy(), batch.column(2).to_numpy()])
+                maps = [*batch.column(4).to_pylist(), *batch.column(5).to_pylist()]
+                yield batch.select(["pivot", "node"]).filter(pa.array(possible(maps, n, k, k + len(k), num, den)))
+
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3)):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    at = np.searchsorted(y, x)
+                    overlap = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+                    keep.append(linked(overlap, len(x), len(y), num, den))
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+        pairs = materialise(pairs.mapInArrow(tidy(allowed), "pivot long, node long"), "stars")
         if pairs.isEmpty():
-            sets, first = None, self.spark.createDataFrame([], "a long, b long")
+            sets, first, of = None, none, none.select(F.col("a").alias("node"), F.col("b").alias("component"))
         else:
             sets = materialise(self.sets_of(pairs.select("node").union(pairs.select("pivot")).distinct()), "rows")
             star = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("grams").alias("other")), "pivot").select("pivot", "node", "grams", "other")
-
-            def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    keep = []
-                    for x, y in zip(batch.column(2), batch.column(3)):
-                        x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                        at = np.searchsorted(y, x)
-                        overlap = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                        keep.append(linked(overlap, len(x), len(y), num, den))
-                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
             first = materialise(star.mapInArrow(tidy(multiply), "a long, b long"), "links")
-        of = components(first)
-        # Columns that still hold nodes of several components, of which some were not multiplied.
-        labelled = met.join(of, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        labelled = labelled.join(of.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("d", F.coalesce("component", "pivot"))
-        open_ = labelled.groupBy("place").agg(F.min(F.least("c", "d")).alias("x"), F.max(F.greatest("c", "d")).alias("y"), F.count(F.lit(1)).alias("others"))
-        rest = met.join(open_.filter("x != y AND others > 1").select("place"), "place", "left_semi")
+            of = components(first)
+        rest = self._open(met, of, bits)
         more = self._multiplied(rest, of, sets)
         return first if more is None else first.unionByName(more)
 
+    def _open(self, met: DataFrame, of: DataFrame, bits: DataFrame) -> DataFrame:
+        """(a, b): forests of the pairs of different components that meet on a column and that sizes and bitmaps allow."""
+        num, den = self.num, self.den
+        named = met.join(of, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        named = named.join(of.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("d", F.coalesce("component", "pivot")).drop("component")
+        # Columns that hold several components, of which some were not multiplied.
+        held = named.groupBy("place").agg(
+            F.min(F.least("c", "d")).alias("x"), F.max(F.greatest("c", "d")).alias("y"), F.count(F.lit(1)).alias("others"), (F.min("pivot") != F.max("pivot")).alias("several")
+        )
+        held = held.filter("x != y AND others > 1").select("place", "several")
+        left = materialise(named.join(held, "place"), "unsettled")
+        if left.isEmpty():
+            return self.spark.createDataFrame([], "a long, b long")
+        # A column's only pivot is multiplied with all others already.
+        rows = left.select("place", "node", "n", F.col("c").alias("component")).union(left.filter("several").select("place", "pivot", "m", "d")).distinct()
+        work = rows.withColumnRenamed("place", "cluster").withColumn("class", size_class(F.col("n"), num, den))
+        dealt, names = _dealt(materialise(_undecided(work), "candidates"), bits, "bits", BLOCK_ROWS, BLOCK_GRAMS, 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, begin, end in _partners(batches, names):
+                node, n, part = (rows[k].to_numpy() for k in ("node", "n", "component"))
+                maps = rows["bits"].to_pylist()
+                for x, y in _pairs_between(begin, end):
+                    apart = part[x] != part[y]
+                    x, y = x[apart], y[apart]
+                    good = possible(maps, n, x, y, num, den)
+                    a, b = forest(node[x[good]], node[y[good]])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
+
     def pairs(self) -> DataFrame:
         """(a, b): every link between two different sets once, a the lesser node."""
-        found = self._multiplied(materialise(self.meetings(), "meetings"), None, None)
+        met = materialise(self.meetings(), "meetings")
+        found = self._multiplied(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), None, None)
         return self.spark.createDataFrame([], "a long, b long") if found is None else found
 
     def link_counts(self) -> DataFrame:
@@ -315,58 +399,33 @@ class ShingleJoin:
         return linked.unionByName(docs.filter("n_shingles = 0").select("doc_id", F.lit(0).cast("long").alias("n_links")))
 
     def _multiplied(self, rest: DataFrame, of: DataFrame | None, sets: DataFrame | None) -> DataFrame | None:
-        """Links among nodes that ``rest`` (pivot, m, node, n) joins to clusters, by products of tiles; None if there is nothing to multiply.
+        """Links among nodes that ``rest`` (a, b) joins to clusters, by products of tiles; None if there is nothing to multiply.
 
         With components ``of`` so far only links that join components, as forests; without them every link once.
         """
-        num, den = self.num, self.den
-        rest = materialise(rest.select("pivot", "m", "node", "n").distinct(), "rest")
+        num, den, every_link = self.num, self.den, of is None
+        rest = materialise(rest, "rest")
         if rest.isEmpty():
             return None
-        clusters = components(rest.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        sizes = rest.select("node", "n").union(rest.select("pivot", "m")).distinct().withColumn("class", size_class(F.col("n"), num, den))
-        members = clusters.withColumnRenamed("component", "cluster").join(sizes, "node")
-        if of is not None:
-            members = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
+        sizes = self._described.select("node", F.col("n_shingles").alias("n")).distinct().withColumn("class", size_class(F.col("n"), num, den))
+        members = components(rest).withColumnRenamed("component", "cluster").join(sizes, "node")
+        if every_link:
             members = members.withColumn("component", F.col("node"))
-        members = materialise(members, "members")
-        # Classes that, with their neighbours, hold one component only need no product.
-        near = members.select("cluster", "component", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class"))
-        near = near.groupBy("cluster", "class").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("cluster", "class")
-        work = materialise(members.join(near, ["cluster", "class"], "left_semi"), "work")
+        else:
+            members = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        work = materialise(_undecided(materialise(members, "members")), "work")
         if work.isEmpty():
             return None
         wanted = work.select("node").distinct()
         if sets is None or not wanted.join(sets, "node", "left_anti").isEmpty():
             sets = materialise(self.sets_of(wanted), "rows")
-        # Tiles: parts of a cluster's class, as many as their rows and n-grams ask for.
-        of_class = work.groupBy("cluster", "class").agg(F.count("node").alias("rows"), F.sum("n").alias("grams"))
-        total = of_class.groupBy("cluster").agg(F.sum("rows").alias("all_rows"), F.sum("grams").alias("all_grams"))
-        rows = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(LEAST_ROWS), F.ceil(F.col("all_rows") / TILES)))
-        grams = F.least(F.lit(BLOCK_GRAMS), F.greatest(F.lit(LEAST_GRAMS), F.ceil(F.col("all_grams") / TILES)))
-        tiles = of_class.join(total, "cluster").select("cluster", "class", F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("grams") / grams)).cast("int").alias("tiles"))
-        tiles = materialise(tiles, "tiles")
-        near = lambda k, name: tiles.select("cluster", (F.col("class") + k).alias("class"), F.col("tiles").alias(name))
-        placed = work.join(tiles, ["cluster", "class"]).join(near(-1, "above"), ["cluster", "class"], "left").join(near(1, "below"), ["cluster", "class"], "left")
-        placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        key = lambda low, p, up, q, side: F.struct(low.alias("low"), p.alias("p"), F.lit(up).alias("up"), q.alias("q"), side.alias("side"))
-        every = lambda n, f: F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array())
-        own, c = F.col("own"), F.col("class")
-        keys = F.concat(
-            every(F.col("tiles"), lambda j: key(c, F.least(own, j), 0, F.greatest(own, j), (own > j).cast("int"))),
-            every(F.col("above"), lambda j: key(c, own, 1, j, F.lit(0))),
-            every(F.col("below"), lambda j: key(c - 1, j, 1, own, F.lit(1))),
-        )
-        names, every_link = ["cluster", "low", "p", "up", "q"], of is None
-        spread = placed.select("cluster", "node", "component", F.explode(keys).alias("k")).select("cluster", "node", "component", "k.*")
-        dealt = spread.join(sets, "node").repartition(*names).sortWithinPartitions(*names)
+        dealt, names = _dealt(work, sets, "grams", min(LEAST_ROWS, BLOCK_ROWS), LEAST_GRAMS, TILES)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in _groups(batches, names):
                 side, node, part = (group[k].to_numpy() for k in ("side", "node", "component"))
                 low, high = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                same = group["up"][0].as_py() == 0 and group["p"][0].as_py() == group["q"][0].as_py()
+                same = _one_tile(group)
                 if not same and not (len(low) and len(high)) or not every_link and (part == part[0]).all():
                     continue
                 grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in group["grams"]]
@@ -390,9 +449,10 @@ class ShingleJoin:
         return full.unionByName(docs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _rows(ids: pa.Array, sizes: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
-    n = len(sizes)
-    return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(one), pa.array(two), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "segment", "counts"])
+def _rows(ids: pa.Array, sizes: np.ndarray, one: np.ndarray, two: np.ndarray, bits: list[bytes], segment: int | None) -> pa.RecordBatch:
+    """Descriptions of texts, or a part of the table of counts."""
+    columns = [ids, pa.array(sizes), pa.array(one), pa.array(two), pa.array(bits, pa.binary()), pa.array([segment] * len(sizes), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "bits", "segment"])
 
 
 def _segments(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -452,21 +512,98 @@ def _packed(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + SENT_ROWS]) for c in columns], ["key", "node", "n", "late", "place", "pivot", "m"])
 
 
+def _undecided(members: DataFrame) -> DataFrame:
+    """Rows (cluster, class, component, ...) of classes that, with their neighbours, hold several components of a cluster."""
+    near = members.select("cluster", "component", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class"))
+    near = near.groupBy("cluster", "class").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("cluster", "class")
+    return members.join(near, ["cluster", "class"], "left_semi")
+
+
+def _dealt(work: DataFrame, payload: DataFrame, name: str, whole_rows: int, whole_grams: int, tiles: int) -> tuple[DataFrame, list[str]]:
+    """Rows of ``work`` (cluster, class, node, n, component) with their ``payload`` (node, name), dealt to pairs of tiles, and the names of the key.
+
+    A cluster of up to ``whole_rows`` rows and ``whole_grams`` n-grams is one tile.  A larger one's classes are cut into tiles of as much, or more
+    if that gives over ``tiles``, up to BLOCK_ROWS and BLOCK_GRAMS; each is paired with those of its own and of the neighbouring class.  Side 0 or 1
+    tells a pair's tiles apart; rows of one tile alone have side 0.
+    """
+    of_class = work.groupBy("cluster", "class").agg(F.count("node").alias("rows"), F.sum("n").alias("grams"))
+    total = of_class.groupBy("cluster").agg(F.sum("rows").alias("all_rows"), F.sum("grams").alias("all_grams"))
+    rows = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(whole_rows), F.ceil(F.col("all_rows") / tiles)))
+    grams = F.least(F.lit(BLOCK_GRAMS), F.greatest(F.lit(whole_grams), F.ceil(F.col("all_grams") / tiles)))
+    parts = F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("grams") / grams)).cast("int")
+    small = (F.col("all_rows") <= whole_rows) & (F.col("all_grams") <= whole_grams)
+    cut = materialise(of_class.join(total, "cluster").select("cluster", "class", F.when(~small, parts).alias("tiles")), "tiles")
+    near = lambda k, name: cut.select("cluster", (F.col("class") + k).alias("class"), F.col("tiles").alias(name))
+    placed = work.join(cut, ["cluster", "class"]).join(near(-1, "above"), ["cluster", "class"], "left").join(near(1, "below"), ["cluster", "class"], "left")
+    placed = placed.withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("tiles")), F.lit(0)).cast("int"))
+    key = lambda low, p, up, q, side: F.struct(low.alias("low"), p.alias("p"), F.lit(up).alias("up"), q.alias("q"), side.alias("side"))
+    every = lambda n, f: F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array())
+    own, c = F.col("own"), F.col("class")
+    keys = F.concat(
+        every(F.col("tiles"), lambda j: key(c, F.least(own, j), 0, F.greatest(own, j), (own > j).cast("int"))),
+        every(F.col("above"), lambda j: key(c, own, 1, j, F.lit(0))),
+        every(F.col("below"), lambda j: key(c - 1, j, 1, own, F.lit(1))),
+    )
+    alone = F.array(key(F.lit(0).cast("long"), F.lit(0), 0, F.lit(0), F.lit(0)))
+    names, kept = ["cluster", "low", "p", "up", "q"], ["cluster", "node", "n", "component"]
+    spread = placed.select(*kept, F.explode(F.when(F.col("tiles").isNull(), alone).otherwise(keys)).alias("k")).select(*kept, "k.*")
+    return spread.join(payload, "node").repartition(*names).sortWithinPartitions(*names, "side").select(*names, "side", "node", "n", "component", name), names
+
+
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
     """Rows of each key of a sorted partition."""
-    kept, now = [], None
+    for rows, start in _whole_groups(batches, names):
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), rows.num_rows]):
+            yield rows.slice(a, b - a)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of a sorted partition, cut between keys only, and where each key begins."""
+    kept: list[pa.RecordBatch] = []
+    keys = lambda rows: np.stack([rows[k].to_numpy() for k in names], axis=1)
+    starts = lambda rows: np.concatenate([[0], np.flatnonzero((rows[1:] != rows[:-1]).any(axis=1)) + 1]) if len(rows) else np.zeros(0, np.int64)
     for batch in batches:
-        keys = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in names], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(keys[a].tolist())
-            if kept and key != now:
-                yield pa.Table.from_batches(kept)
-                kept = []
-            now = key
-            kept.append(batch.slice(a, b - a))
+        if not batch.num_rows:
+            continue
+        start = starts(keys(batch))
+        last = int(start[-1])
+        if last or (kept and (keys(kept[-1])[-1] != keys(batch)[0]).any()):  # a key has ended
+            rows = pa.Table.from_batches([*kept, batch.slice(0, last)])
+            if rows.num_rows:
+                yield rows, starts(keys(rows))
+            kept = []
+        kept.append(batch.slice(last))
     if kept:
-        yield pa.Table.from_batches(kept)
+        rows = pa.Table.from_batches(kept)
+        yield rows, starts(keys(rows))
+
+
+def _one_tile(group) -> bool:
+    return group["up"][0].as_py() == 0 and group["p"][0].as_py() == group["q"][0].as_py()
+
+
+def _partners(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows of whole keys, and the range of rows that each row makes pairs with."""
+    for rows, start in _whole_groups(batches, names):
+        end = np.append(start[1:], rows.num_rows)
+        up, p, q, side = (rows[k].to_numpy() for k in ("up", "p", "q", "side"))
+        same = ((up == 0) & (p == q))[start]
+        high = np.add.reduceat(side == 0, start) + start  # side 1 stands behind side 0
+        group = np.repeat(np.arange(len(start)), end - start)
+        begin = np.where(same[group], np.arange(rows.num_rows) + 1, np.where(side == 0, high[group], end[group]))
+        yield rows, begin, end[group]
+
+
+def _pairs_between(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each row with the rows from begin to end, so many at once."""
+    count = np.maximum(end - begin, 0)
+    low, total = 0, np.cumsum(count)
+    while low < len(count):
+        high = max(low + 1, int(np.searchsorted(total, _ENTRIES + (total[low - 1] if low else 0), side="right")))
+        n = count[low:high]
+        x = np.repeat(np.arange(low, high), n)
+        yield x, np.repeat(begin[low:high] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        low = high
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

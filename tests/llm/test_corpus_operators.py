@@ -86,6 +86,25 @@ def test_product_of_tiles(monkeypatch):
     assert not shingle_join.overlaps(a[:1], [np.array([5000], np.uint64)]).any()
 
 
+def test_bitmaps_bound_differences():
+    """Bitmaps never differ in more bits than sets do in columns, whatever their lengths, and far sets differ in many."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (0, 1, 5, 63, 64, 65, 130, 500, 900, 3000):
+        base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[: size - size // 20], rng.integers(0, 1 << 62, size // 15).astype(np.uint64)]))]
+    maps = shingle_join.bitmaps(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    x, y = (k.ravel() for k in np.indices((len(sets), len(sets))))
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y)])
+    got = shingle_join.differing(maps, x, y)
+    assert (got <= apart).all() and (got[(x == y)] == 0).all()
+    n = np.array([len(s) for s in sets])
+    some = (n[x] > 0) & (n[y] > 0)
+    links = np.array([shingle_join.linked(len(np.intersect1d(sets[i], sets[j])), n[i], n[j], 80, 100) for i, j in zip(x, y)])
+    assert not (links & some & ~shingle_join.possible(maps, n, x, y, 80, 100)).any()
+    assert shingle_join.possible(maps, n, x, y, 80, 100)[some].sum() <= links[some].sum() + 4
+
+
 def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
     """Names of sets, in tasks and in tables, where first hashes are cut to three bits: the second tells them apart."""
     whole = shingle_join.fingerprints
