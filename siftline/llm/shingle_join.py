@@ -200,14 +200,16 @@ class ShingleJoin:
                     grams, bounds = incidence(part.column(1), n)
                     one, two = fingerprints(grams, bounds)
                     new = np.zeros(len(one), bool)
-                    for i, key in enumerate(one.tolist()):
+                    for i, key in enumerate(zip(one.tolist(), two.tolist())):
                         if key not in seen:
                             seen.add(key)
                             new[i] = True
                     cells = (grams[np.repeat(new, np.diff(bounds))] & np.uint64(CELLS - 1)).astype(np.int64)
                     cells, times = np.unique(cells, return_counts=True)
                     counts[cells] += times.astype(np.uint32)
-                    yield _rows(part.column(0), np.diff(bounds), one, two, bitmaps(grams, bounds), None)
+                    # A bitmap for a set's first row in this task; so those of a group of copies are as many as tasks.
+                    bits = [m if first else None for m, first in zip(bitmaps(grams, bounds), new.tolist())]
+                    yield _rows(part.column(0), np.diff(bounds), one, two, bits, None)
             for k, raw in _segments(counts):
                 yield _rows(pa.nulls(1, pa.int64()), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), [raw], k)
 
@@ -305,7 +307,7 @@ class ShingleJoin:
     def bits_of(self, nodes: DataFrame) -> DataFrame:
         """(node, bits): the bitmaps of the nodes given."""
         self._describe()
-        return self._described.select("node", "bits").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return self._described.filter("bits IS NOT NULL").select("node", "bits").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     def _fit(self):
         return F.lit(self.den) * F.least("n", "m") >= F.lit(self.num) * F.greatest("n", "m")
