@@ -6,6 +6,7 @@ Files are parsed in Arrow batches; everything after that is joins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -125,7 +126,7 @@ def ancestors(all_: DataFrame) -> DataFrame:
     known = written(classes.select(F.col("name").alias("type"), F.col("name").alias("ancestor"), F.lit(0).alias("depth")).distinct())
     edge = known.filter("false")
     frontier = known
-    for depth in range(1, 64):
+    for depth in count(1):  # a round adds what is new only, so cycles end it
         nxt = frontier.select("type", F.col("ancestor").alias("a")).join(above.select(F.col("type").alias("a"), F.col("ancestor")), "a")
         fresh = nxt.select("type", "ancestor").distinct().join(known.unionByName(edge), ["type", "ancestor"], "left_anti")
         frontier = written(fresh.withColumn("depth", F.lit(depth)))

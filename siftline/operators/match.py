@@ -25,19 +25,36 @@ def unicode(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+#: Matches that are numbered together; lists grow by copies, so whole texts are not done at once.
+CHUNK = 64
+
+
 def find_all(text: Column, pattern: str) -> Column:
-    """Array of (ord, start, match): start counts characters from 0.  The pattern doesn't match empty text."""
+    """Array of (ord, start, match): start counts characters from 0.  The pattern doesn't match empty text.
+
+    Lengths of the pieces between matches are added up chunk by chunk, so the work is in proportion to the matches.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("t")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<ord:int,start:int,match:string>>").alias("out"))
+    none = F.array().cast("array<struct<ord:int,start:int,match:string>>")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda c: F.struct((c * CHUNK).alias("first"), F.slice(sizes, c * CHUNK + 1, CHUNK).alias("parts")))
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + x["g"] + x["m"])
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = lambda chunks: F.aggregate(
+        chunks, begin, lambda acc, c: F.struct((acc["at"] + total(c["parts"])).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"]
+    )
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
-        row = F.struct(F.size(acc["out"]).alias("ord"), start.alias("start"), x["t"].alias("match"))
-        return F.struct((start + x["m"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+        row = F.struct((acc["first"] + F.size(acc["out"])).alias("ord"), start.alias("start"), x["t"].alias("match"))
+        return F.struct(acc["first"].alias("first"), (start + x["m"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    def numbered(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk["parts"], F.struct(chunk["first"].alias("first"), at.alias("at"), none.alias("out")), step, lambda a: a["out"])
 
-    return F.aggregate(sizes, zero, step, lambda a: a["out"])
+    whole = F.transform(F.array(chunks), lambda c: F.flatten(F.zip_with(c, starts(c), numbered)))  # bound once
+    return F.when(F.size(found) > 0, F.element_at(whole, 1)).otherwise(none)
 
 
 def _of_rule(ord_: int, rule: Rule, classes) -> Column:

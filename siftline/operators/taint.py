@@ -1,10 +1,12 @@
 """Data flow from sources to sinks, within functions and across files.
 
 A function is summarised by few bits: whether it returns tainted data with
-nothing bound, and which of its parameters (or none, -1) reach a sink.  Rounds
-over the files close the summaries, joined to files by the names these call;
-then one walk a file reports findings.  Candidates of a call are all functions
-of its name, an import's original name included.
+nothing bound, and which of its parameters (or none, -1) reach a sink.  One
+pass over the files gives their own summaries and the names they call; rounds
+close them, each over the files only that call a function of which they don't
+yet know all, until no file is left.  Then one walk reports findings, of files
+that hold a sink or call what reaches one.  Candidates of a call are all
+functions of its name, an import's original name included.
 """
 
 from __future__ import annotations
@@ -224,75 +226,97 @@ class Walker:
         return self.returns & own, {k: v for k, v in self.reach.items() if k[0] in own}
 
 
-_SUMMARY = "rule_ord int, name string, pos int, sink string"  # pos -2: returns tainted data
+#: Position of a summary that says that a function returns tainted data, and of a row that says that a file calls a name.
+RETURNS, CALLS = -2, -3
+_KNOWN = "array<struct<rule_ord:int,name:string,pos:int,sink:string>>"
+_FACT = "file_id long, rule_ord int, name string, pos int, sink string"
 
 
-def _walkers(batch: pa.RecordBatch, rules: list[Rule]) -> Iterator[tuple[int, int, str, int, Walker]]:
+def _applicable(rules: list[Rule], language: str) -> list[tuple[int, Rule]]:
+    return [(i, r) for i, r in enumerate(rules) if r.capability == "taint" and r.sources and r.sinks and r.applies(language)]
+
+
+def _walker(tree: S.Tree, i: int, rule: Rule, known: list | None) -> Walker:
+    mine = [k for k in known or [] if k["rule_ord"] == i]
+    return Walker(tree, rule, {k["name"] for k in mine if k["pos"] == RETURNS}, {(k["name"], k["pos"]): k["sink"] for k in mine if k["pos"] > RETURNS})
+
+
+def _files(batch: pa.RecordBatch, rules: list[Rule]) -> Iterator[tuple[int, str, str, list, S.Tree, list | None]]:
+    """(file_id, path, language, rules, tree, what is known) of files that have rules; each is parsed once."""
     for file_id, path, language, text, known in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-        own = [(i, r) for i, r in enumerate(rules) if r.capability == "taint" and r.sources and r.sinks and r.applies(language)]
-        if not own or text is None:
-            continue
-        tree = S.Tree(text, language)
-        for i, r in own:
-            mine = [k for k in known or [] if k["rule_ord"] == i]
-            yield file_id, i, path, language, Walker(tree, r, {k["name"] for k in mine if k["pos"] == -2}, {(k["name"], k["pos"]): k["sink"] for k in mine if k["pos"] > -2})
+        own = _applicable(rules, language)
+        if own and text is not None:
+            yield file_id, path, language, own, S.Tree(text, language), known
 
 
-def summaries(corpus: DataFrame, rules: list[Rule], rounds: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(closed summaries: rule_ord, name, pos, sink; names that each file calls); files get what they call by a join."""
+def _calls(tree: S.Tree) -> set[str]:
+    """Names that a file calls, and what it imports, under both of its names."""
+    found = {n.name or tree.text(n).split("(")[0].rsplit(".", 1)[-1] for n in tree.root.walk() if n.kind in S.CALLS[tree.family]}
+    return found | {x for n in tree.root.walk() if n.kind == "import_specifier" for x in n.name.split("=")}
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, called = [], []
-            for file_id, text, language in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist()):
-                if text is None or language not in S.EXTENSIONS.values():
-                    continue
-                tree = S.Tree(text, language)
-                found = {n.name or tree.text(n).split("(")[0].rsplit(".", 1)[-1] for n in tree.root.walk() if n.kind in S.CALLS[tree.family]}
-                found |= {x for n in tree.root.walk() if n.kind == "import_specifier" for x in n.name.split("=")}
-                ids += [file_id] * len(found)
-                called += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(called, pa.string())], ["file_id", "name"])
+
+def _facts(files: DataFrame, rules: list[Rule], with_calls: bool) -> DataFrame:
+    """Summaries of each file's functions, given what is known, and at will the names that it calls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = set()
-            for _, i, _, _, w in _walkers(batch, rules):
-                returns, reach = w.summarise()
-                rows |= {(i, n, -2, "") for n in returns} | {(i, n, p, s) for (n, p), s in reach.items()}
-            columns = list(zip(*sorted(rows), strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)], ["rule_ord", "name", "pos", "sink"])
-
-    files = corpus.select("file_id", "path", "language", "text")
-    called = written(files.mapInArrow(names, "file_id long, name string"))
-    known = written(_with_known(files, None, called).mapInArrow(run, _SUMMARY).groupBy("rule_ord", "name", "pos").agg(F.min("sink").alias("sink")))
-    for _ in range(rounds):
-        before = known.count()
-        now = _with_known(files, known, called).mapInArrow(run, _SUMMARY)
-        known = written(now.groupBy("rule_ord", "name", "pos").agg(F.min("sink").alias("sink")))
-        if known.count() == before:
+            rows = []
+            for file_id, _, _, own, tree, known in _files(batch, rules):
+                text = tree.source
+                if with_calls:
+                    rows += [(file_id, None, n, CALLS, "") for n in sorted(_calls(tree))]
+                for i, r in own:
+                    if known or any(x in text for x in (*r.sources, *r.sinks)):  # else nothing to summarise
+                        returns, reach = _walker(tree, i, r, known).summarise()
+                        rows += sorted((file_id, i, n, RETURNS, "") for n in returns) + sorted((file_id, i, n, p, s) for (n, p), s in reach.items())
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)], ["file_id", "rule_ord", "name", "pos", "sink"])
+
+    return files.mapInArrow(run, _FACT)
+
+
+def summaries(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(file_id, known): the closed summaries of the functions that each file calls."""
+    unknown = F.lit(None).cast(_KNOWN).alias("known")
+    facts = written(_facts(files.select("*", unknown), rules, True))
+    called = facts.filter(F.col("pos") == CALLS).select("file_id", "name")
+    own = facts.filter(F.col("pos") != CALLS)
+    key = ["rule_ord", "name", "pos"]
+    while True:
+        known = written(own.groupBy(*key).agg(F.min("sink").alias("sink")))
+        needed = called.join(known, "name")
+        # What a file has found out itself is not news to it.
+        news = needed.join(own.select("file_id", *key).distinct(), ["file_id", *key], "left_anti")
+        seen = written(news.select("file_id", *key))
+        if seen.isEmpty():
             break
-    return known.join(called.select("name").distinct(), "name", "left_semi").select("rule_ord", "name", "pos", "sink"), called
+        behind = _with_known(files.join(seen.select("file_id").distinct(), "file_id", "left_semi").select(*files.columns), needed)
+        more = _facts(behind, rules, False).unionByName(seen.withColumn("sink", F.lit(None).cast("string")).select("file_id", *key, "sink"))
+        # What came from elsewhere is kept as known to the file, without a sink of its own.
+        own = written(own.unionByName(more).groupBy("file_id", *key).agg(F.min("sink").alias("sink")))
+    return needed.groupBy("file_id").agg(F.collect_set(F.struct("rule_ord", "name", "pos", "sink")).alias("known"))
 
 
-def _with_known(files: DataFrame, known: DataFrame | None, called: DataFrame) -> DataFrame:
-    kind = "array<struct<rule_ord:int,name:string,pos:int,sink:string>>"
-    if known is None:
-        return files.withColumn("known", F.lit(None).cast(kind))
-    needed = called.join(known, "name").groupBy("file_id").agg(F.collect_set(F.struct("rule_ord", "name", "pos", "sink")).alias("known"))
-    return files.join(needed, "file_id", "left").select(*files.columns, F.col("known").cast(kind).alias("known"))
+def _with_known(files: DataFrame, needed: DataFrame) -> DataFrame:
+    """``files`` with what is known of the functions that they call; ``needed``: (file_id, rule_ord, name, pos, sink)."""
+    lists = needed.groupBy("file_id").agg(F.collect_set(F.struct("rule_ord", "name", "pos", "sink")).alias("known"))
+    return files.join(lists, "file_id", "left").select(*files.columns, F.col("known").cast(_KNOWN).alias("known"))
 
 
 def taint_findings(corpus: DataFrame, rules: list[Rule]) -> DataFrame:
     """Findings of taint rules: ``file_id``, the columns of FINDING, and ``source_line``."""
     ship(corpus.sparkSession)
     files = corpus.select("file_id", "path", "language", "text")
-    known, called = summaries(files, rules)
+    known = files.join(summaries(files, rules), "file_id", "left").select(*files.columns, F.col("known").cast(_KNOWN).alias("known"))
+    sinks = sorted({x for r in rules if r.capability == "taint" for x in r.sinks})
+    holds = F.coalesce(F.size("known") > 0, F.lit(False))
+    for x in sinks:
+        holds = holds | F.contains("text", F.lit(x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for file_id, i, path, language, w in _walkers(batch, rules):
+            for file_id, path, language, i, w in ((f, p, x, i, _walker(t, i, r, k)) for f, p, x, own, t, k in _files(batch, rules) for i, r in own):
                 w.walk(w.tree.root)
                 for k, (a, b, names, sink, line) in enumerate(sorted(w.found, key=lambda x: (x[0], -x[1]))):
                     text = w.tree.source[a:b]
@@ -305,7 +329,7 @@ def taint_findings(corpus: DataFrame, rules: list[Rule]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _LOCATED)
 
     schema = "file_id long, rule_ord int, path string, language string, start_char long, start_byte long, end_byte long, start_line long, start_column long, end_line long, end_column long, ord int, match_text string, code_snippet string, message string, source_line long"
-    located = written(_with_known(files, known, called).mapInArrow(run, schema))
+    located = written(known.filter(holds).mapInArrow(run, schema))
     kept = innermost(located.withColumn("rule_id", F.col("rule_ord").cast("string")))
     lines = kept.select("file_id", "rule_ord", "start_byte", "ord", "source_line")
     described = match.describe(kept.drop("rule_id"), rules)

@@ -92,13 +92,15 @@ def language_col(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(path, length, content) of files; any file system Spark knows."""
+    """(path, length, content) of files; any file system Spark knows.  Files over the limit are listed, not read."""
     if not files:
         return spark.createDataFrame([], "path string, length long, content binary")
     wanted = spark.createDataFrame([(os.path.abspath(f), f) for f in files], "absolute string, shown string")
     rows = spark.read.format("binaryFile").load([Path(f).absolute().as_uri() for f in files])
+    small = rows.filter(F.col("length") <= MAX_BYTES).select("path", "length", "content")  # the source sees the filter first
+    large = rows.filter(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
     local = F.expr("url_decode(replace(regexp_replace(path, '^file:/+', '/'), '+', '%2B'))")
-    return rows.withColumn("absolute", local).join(F.broadcast(wanted), "absolute").select(F.col("shown").alias("path"), "length", "content")
+    return small.unionByName(large).withColumn("absolute", local).join(wanted, "absolute").select(F.col("shown").alias("path"), "length", "content")
 
 
 def prepare(files: DataFrame) -> DataFrame:
