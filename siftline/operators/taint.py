@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from siftline.functions import text as X
 from siftline.operators import match
 from siftline.operators.findings import innermost
-from siftline.session import ship, written
+from siftline.session import ship, spread, written
 from siftline.sources import syntax as S
 from siftline.sources.packs import Rule
 
@@ -306,7 +306,7 @@ def _with_known(files: DataFrame, needed: DataFrame) -> DataFrame:
 def taint_findings(corpus: DataFrame, rules: list[Rule]) -> DataFrame:
     """Findings of taint rules: ``file_id``, the columns of FINDING, and ``source_line``."""
     ship(corpus.sparkSession)
-    files = corpus.select("file_id", "path", "language", "text")
+    files = spread(corpus.select("file_id", "path", "language", "text"))
     known = files.join(summaries(files, rules), "file_id", "left").select(*files.columns, F.col("known").cast(_KNOWN).alias("known"))
     sinks = sorted({x for r in rules if r.capability == "taint" for x in r.sinks})
     holds = F.coalesce(F.size("known") > 0, F.lit(False))
