@@ -191,7 +191,12 @@ def closure(calls: DataFrame) -> DataFrame:
         known = written(known.unionByName(fresh))
 
 
-def same_files(now: DataFrame, was: DataFrame) -> bool:
-    """Whether two snapshots (path, source_hash) name the same files; unhashable ones (null) don't count."""
+def changed(now: DataFrame, was: DataFrame) -> DataFrame:
+    """Rows (path, source_hash) of one snapshot that the other lacks; unhashable files (null) don't count."""
     a, b = (x.select("path", "source_hash").filter("source_hash IS NOT NULL") for x in (now, was))
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return a.exceptAll(b)
+
+
+def same_files(now: DataFrame, was: DataFrame) -> bool:
+    """Whether two snapshots (path, source_hash) name the same files."""
+    return changed(now, was).isEmpty() and changed(was, now).isEmpty()

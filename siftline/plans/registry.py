@@ -7,15 +7,18 @@ code.  Every query runs over whole tables and texts.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import text as X
 from siftline.operators import findings as O
-from siftline.operators import match, nodes, suppress
+from siftline.operators import graph, match, nodes, query, suppress, taint
+from siftline.operators.graph import changed
 from siftline.sources import tree
-from siftline.sources.packs import BUILT_IN, SEVERITIES, Rule, load_pack, rules_table
-from siftline.session import table
+from siftline.sources.packs import BUILT_IN, SEVERITIES, Registry, Rule, load_pack, rules_table
+from siftline.session import spread, table, written
 
 
 def prose_rules() -> list[Rule]:
@@ -42,6 +45,14 @@ _INLINE = Rule(id="page.inline-script", name="Inline script", severity="low", la
 _NO_TRACK = Rule(id="page.quiet-script", name="Script without tracking", severity="info", languages=("text",), regex=r"<style>[^<]*", not_regex=r"track\([0-9]*[05]\)", capability="pattern")
 
 
+_ACCENTED = Rule(id="text.accented", name="Word from an accented letter on", severity="info", languages=("text",), regex=r"[éèñü]\w+", capability="pattern")
+
+
+def scan_unicode_words(spark, sf_dir):
+    """Classes as Unicode ones, the default of scans."""
+    return match.findings(corpus(spark, sf_dir), [_ACCENTED]).select("path", "ord", "start_char", "start_byte", "start_line", "match_text")
+
+
 def scan_pages(spark, sf_dir):
     return match.findings(corpus(spark, sf_dir, "pages", "page_id", "html"), [_INLINE], False).select("rule_id", "path", "start_line", "start_column", "match_text")
 
@@ -65,13 +76,16 @@ _FOR_LANGUAGE = [
     Rule(id="only.en", languages=("en",), regex="x"),
     Rule(id="only.romance", languages=("fr", "es"), regex="x"),
     Rule(id="any", languages=("en", "fr", "es", "de"), regex="x"),
+    Rule(id="only.typescript", languages=("typescript",), regex="x"),
 ]
 
 
 def language_rule_applicability(spark, sf_dir):
-    rules = rules_table(spark, _FOR_LANGUAGE).select("rule_id", F.explode("languages").alias("lang"))
-    docs = table(spark, sf_dir, "documents")
-    return docs.join(F.broadcast(rules), "lang").groupBy("rule_id", "lang").agg(F.count("doc_id").alias("files"))
+    """Files that each rule is for; TSX files take TypeScript rules."""
+    docs = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 9 == 0, "tsx").otherwise(F.col("lang")).alias("lang"))
+    counts = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("files"))
+    own = [F.when(F.col("lang").isin([x for x in ("en", "fr", "es", "de", "tsx", "typescript") if r.applies(x)]), F.lit(r.id)) for r in _FOR_LANGUAGE]
+    return counts.select(F.explode(F.array_compact(F.array(*own))).alias("rule_id"), "lang", "files")
 
 
 def category_rollup_zero_fill(spark, sf_dir):
@@ -91,31 +105,36 @@ def min_severity_floor(spark, sf_dir):
 
 
 def exit_policy(spark, sf_dir):
-    rows = found(spark, sf_dir)
-    flags = [F.coalesce(F.bool_or(F.col("severity_rank") >= i), F.lit(False)).alias(f"fails_{s}") for i, s in enumerate(SEVERITIES)]
-    return rows.agg(*flags)
+    """The exit code under each severity that may fail a scan, and of a degraded scan."""
+    rows = written(found(spark, sf_dir))
+    codes = [(s, O.exit_code(rows, False, s)) for s in SEVERITIES] + [("none", O.exit_code(rows, False, None)), ("degraded", O.exit_code(rows, True, None))]
+    return spark.createDataFrame(codes, "fail_on string, exit_code int")
 
 
-def _baseline(spark, sf_dir):
+def _baseline(spark, rows):
     """What findings of even documents were known by, and two fingerprints of findings that are gone."""
-    known = found(spark, sf_dir).filter("file_id % 2 = 0").select("fingerprint")
+    known = rows.filter("file_id % 2 = 0").select("fingerprint")
     return known.unionByName(spark.createDataFrame([("ghost-a",), ("ghost-b",)], "fingerprint string"))
 
 
 def baseline_new(spark, sf_dir):
-    return O.new_against(found(spark, sf_dir), _baseline(spark, sf_dir)).select("rule_id", "path", "ord", "start_line")
+    rows = written(found(spark, sf_dir))
+    return O.new_against(rows, _baseline(spark, rows)).select("rule_id", "path", "ord", "start_line")
 
 
 def baseline_existing(spark, sf_dir):
-    return O.existing_in(found(spark, sf_dir), _baseline(spark, sf_dir)).select("rule_id", "path", "ord", "start_line")
+    rows = written(found(spark, sf_dir))
+    return O.existing_in(rows, _baseline(spark, rows)).select("rule_id", "path", "ord", "start_line")
 
 
 def baseline_fixed(spark, sf_dir):
-    return O.fixed_since(found(spark, sf_dir), _baseline(spark, sf_dir))
+    rows = written(found(spark, sf_dir))
+    return O.fixed_since(rows, _baseline(spark, rows))
 
 
 def baseline_counts(spark, sf_dir):
-    return O.baseline_counts(found(spark, sf_dir), _baseline(spark, sf_dir))
+    rows = written(found(spark, sf_dir))
+    return O.baseline_counts(rows, _baseline(spark, rows))
 
 
 def first_finding_per_rule(spark, sf_dir):
@@ -180,9 +199,9 @@ def fixture_verdicts(spark, sf_dir):
 
 def snapshot_changed_files(spark, sf_dir):
     """Files whose hash a snapshot lacks: every document, against one in which every tenth text was longer."""
-    now = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    was = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
-    return now.exceptAll(was).select("doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id")
+    was = docs.select("path", F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("source_hash"))
+    return changed(docs.select("path", F.sha2("text", 256).alias("source_hash")), was).select(F.col("path").cast("long").alias("doc_id"))
 
 
 def _event_paths(spark, sf_dir):
@@ -225,28 +244,67 @@ def enclosing_spans(spark, sf_dir):
 
 def call_graph_closure(spark, sf_dir):
     """What each function reaches: functions are nations, each calls two others of higher number."""
-    from siftline.operators.graph import closure
-
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     calls = n.select(F.col("k").alias("caller"), F.explode(F.array(F.col("k") * 2 + 1, F.col("k") + 7)).alias("callee")).filter("callee < 25")
-    return closure(calls)
+    return graph.closure(calls)
 
 
 def taint_findings(spark, sf_dir):
     """Request parameters that reach a shell, through calls between the functions of one file."""
-    from siftline.operators.taint import taint_findings as run
-    from siftline.sources.packs import Registry
-
     e = table(spark, sf_dir, "events")
     body = F.when(F.col("event_id") % 2 == 0, F.lit("name = request.args.get('n')\n    return send(name)")).otherwise(F.lit("name = clean()\n    return send(name)"))
     text = F.concat(F.lit("def send(url):\n    return requests.get(url)\n\ndef view(request):\n    "), body, F.lit("\n"))
     files = e.select(F.col("event_id").alias("file_id"), F.concat(F.lit("src/"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"))
     rules = [r for r in Registry.built_in().rules if r.id == "python.security.ssrf"]
-    return run(files, rules).select("rule_id", "path", "start_line", "source_line", "message")
+    return taint.taint_findings(files, rules).select("rule_id", "path", "start_line", "source_line", "message")
+
+
+def project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python module for each event: it hashes its argument and hands the digest to the module of half its number."""
+    e = table(spark, sf_dir, "events")
+    half = F.expr("CAST(event_id DIV 2 AS STRING)")
+    algorithm = F.element_at(F.array(*[F.lit(x) for x in ("md5", "sha1", "sha256", "blake2b")]), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+    text = F.concat(
+        F.lit("import hashlib\nfrom m"), half, F.lit(" import run_"), half, F.lit("\n\ndef run_"), F.col("event_id").cast("string"),
+        F.lit("(value):\n    digest = hashlib."), algorithm, F.lit("(value)\n    return run_"), half, F.lit("(digest)\n"),
+    )
+    return spread(e.select(F.col("event_id").cast("long").alias("file_id"), F.concat(F.lit("src/m"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text")))
+
+
+def code_symbols(spark, sf_dir):
+    return graph.symbols(graph.facts(project(spark, sf_dir))).select("path", "name", "kind", "line", "has_body")
+
+
+def code_imports(spark, sf_dir):
+    """What each import of a name binds, and the stem of the file it means."""
+    return graph.imports(graph.facts(project(spark, sf_dir))).filter("original != '*'").select("file_id", "local", "original", "target")
+
+
+def code_call_edges(spark, sf_dir):
+    """Calls with the file of the function that they resolve to, and how."""
+    facts = written(graph.facts(project(spark, sf_dir)))
+    syms = graph.symbols(facts).select(F.col("symbol_id").alias("callee_symbol"), F.col("path").alias("callee_path"))
+    edges = graph.edges(project(spark, sf_dir), facts)
+    return edges.join(syms, "callee_symbol", "left").select("file_id", "line", "callee_text", "how", "callee_path")
+
+
+def ast_query_findings(spark, sf_dir):
+    """A rule over syntax trees, with predicates, an anchor and a not-regex."""
+    rules = [r for r in Registry.built_in().rules if r.id == "korea.py.unsalted-hash"]
+    return query.findings(project(spark, sf_dir), rules).select("rule_id", "path", "start_line", "start_column", "match_text")
+
+
+def class_ancestors(spark, sf_dir):
+    """All types above each class; a class for each event, which extends that of half its number."""
+    e = table(spark, sf_dir, "events")
+    text = F.concat(F.lit("class C"), F.col("event_id").cast("string"), F.when(F.col("event_id") > 1, F.concat(F.lit(" extends C"), F.expr("CAST(event_id DIV 2 AS STRING)"))).otherwise(F.lit("")), F.lit(" { }\n"))
+    files = e.select(F.col("event_id").cast("long").alias("file_id"), F.concat(F.lit("C"), F.col("event_id").cast("string"), F.lit(".java")).alias("path"), F.lit("java").alias("language"), text.alias("text"))
+    return graph.ancestors(written(graph.facts(spread(files)))).select("type", "ancestor", F.col("depth").cast("long").alias("depth"))
 
 
 def queries() -> dict:
     own = [
+        scan_unicode_words, code_symbols, code_imports, code_call_edges, ast_query_findings, class_ancestors,
         scan_pattern_findings, scan_pages, scan_not_regex, scan_conversations, findings_snippet_line, language_rule_applicability,
         category_rollup_zero_fill, severity_summary, triage_topk, min_severity_floor, exit_policy, baseline_new, baseline_existing,
         baseline_fixed, baseline_counts, first_finding_per_rule, innermost_spans, fingerprint_fnv1a, suppressed_findings,
@@ -274,10 +332,33 @@ def oracle_sql() -> dict[str, str]:
     docs = "WITH " + _sql_found("documents", "doc_id", "text", "documents/", prose_rules(), ", trim(string_split(t, chr(10))[len(string_split(t[1:CAST(off AS BIGINT)], chr(10)))], ' ' || chr(9) || chr(13)) AS code_snippet")
     pages = lambda rule: "WITH " + _sql_found("pages", "page_id", "html", "pages/", [rule])
     nested = "WITH " + _sql_found("documents", "doc_id", "text", "documents/", _NESTED)
-    fold = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, x: ((h - h % 256 + xor(h % 256, x)) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    byte = "list_transform(range(octet_length(encode({0}))), lambda i: ((strpos('0123456789ABCDEF', hex(encode({0}))[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hex(encode({0}))[2 * i + 2]) - 1)::UHUGEINT)"
+    fold = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, " + byte + "), lambda h, x: ((h - h % 256 + xor(h % 256, x)) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
     known = docs + ", print AS (SELECT *, rule_id || chr(0) || path || chr(0) || regexp_replace(code_snippet, '\\s+', ' ', 'g') AS fp FROM found), base AS (SELECT DISTINCT fp FROM print WHERE k % 2 = 0)"
-    code = """WITH files AS (SELECT event_id AS k, 'src/' || event_id || '.py' AS path, event_id % 5 AS kind FROM events),
-              hits AS (SELECT path, kind, CASE WHEN kind IN (0, 2) THEN 2 WHEN kind IN (1, 3) THEN 3 ELSE 1 END AS start_line FROM files)"""
+    numbered = """lines AS (SELECT k, path, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM files)"""
+    body = """CASE event_id % 5 WHEN 0 THEN 'import os' || chr(10) || 'os.system(cmd)' || chr(10) WHEN 1 THEN 'import os' || chr(10) || '# nosec' || chr(10) || 'os.system(cmd)' || chr(10)
+              WHEN 2 THEN 'import os' || chr(10) || 'os.system(cmd)  # nosec: py.other' || chr(10) WHEN 3 THEN '# nosec py.os-system' || chr(10) || chr(10) || 'os.system(''x'')' || chr(10)
+              ELSE 'x = ''nosec''; os.system(x)' || chr(10) END"""
+    code = f"""WITH files AS (SELECT event_id AS k, 'src/' || event_id || '.py' AS path, {body} AS t FROM events), {numbered},
+              hits AS (SELECT k, path, n FROM lines WHERE regexp_matches(l, 'os\\.system\\s*\\(')),
+              marks AS (SELECT k, n, regexp_extract(l, '(//|#|/\\*|\\*|--)\\s*nosec(.*)$', 2) AS names FROM lines WHERE regexp_matches(l, '(//|#|/\\*|\\*|--)\\s*nosec')),
+              silent AS (SELECT DISTINCT h.k, h.n FROM hits h JOIN marks m ON m.k = h.k AND h.n IN (m.n, m.n + 1) WHERE NOT regexp_matches(names, '[A-Za-z0-9]') OR list_contains(regexp_split_to_array(names, '[, :\t]+'), 'py.os-system'))"""
+    noted = f"""WITH files AS (SELECT event_id AS k, '' AS path, CASE WHEN event_id % 2 = 0 THEN '# ruleid: py.os-system' ELSE '# ok: py.os-system' END || chr(10) || CASE WHEN event_id % 3 = 0 THEN 'os.system(c)' ELSE 'pass' END || chr(10) AS t FROM events), {numbered},
+              hits AS (SELECT k, n FROM lines WHERE regexp_matches(l, 'os\\.system\\s*\\(')),
+              notes AS (SELECT k, n, regexp_extract(l, '(ruleid|ok):\\s*(\\S+)', 1) AS kind, regexp_extract(l, '(ruleid|ok):\\s*(\\S+)', 2) AS rule_id FROM lines WHERE regexp_matches(l, '(ruleid|ok):'))"""
+    module = """'import hashlib' || chr(10) || 'from m' || event_id // 2 || ' import run_' || event_id // 2 || chr(10) || chr(10) || 'def run_' || event_id || '(value):' || chr(10) || '    digest = hashlib.' ||
+              ['md5', 'sha1', 'sha256', 'blake2b'][event_id % 4 + 1] || '(value)' || chr(10) || '    return run_' || event_id // 2 || '(digest)' || chr(10)"""
+    modules = f"WITH files AS (SELECT CAST(event_id AS BIGINT) AS k, 'src/m' || event_id || '.py' AS path, {module} AS t FROM events), {numbered}"
+    bound = ", bound AS (SELECT k, regexp_extract(l, 'import (\\w+)$', 1) AS local, 'src/' || regexp_extract(l, '^from (\\w+)', 1) AS target FROM lines WHERE l LIKE 'from %')"
+    defined = ", defined AS (SELECT k, path, n, regexp_extract(l, 'def (\\w+)', 1) AS name FROM lines WHERE l LIKE 'def %')"
+    called = ", called AS (SELECT k, n, regexp_extract(l, '([\\w.]+)\\(', 1) AS callee FROM lines WHERE l LIKE ' %')"
+    flow = f"""WITH files AS (SELECT event_id AS k, 'src/' || event_id || '.py' AS path, 'def send(url):' || chr(10) || '    return requests.get(url)' || chr(10) || chr(10) || 'def view(request):' || chr(10) || '    ' ||
+              CASE WHEN event_id % 2 = 0 THEN 'name = request.args.get(''n'')' ELSE 'name = clean()' END || chr(10) || '    return send(name)' || chr(10) AS t FROM events), {numbered},
+              bodies AS (SELECT k, path, n, l, max(CASE WHEN l LIKE 'def %' THEN n END) OVER (PARTITION BY k ORDER BY n) AS f FROM lines),
+              params AS (SELECT k, n AS f, regexp_extract(l, 'def (\\w+)', 1) AS name, regexp_extract(l, '\\((\\w+)\\)', 1) AS p FROM bodies WHERE l LIKE 'def %'),
+              sinks AS (SELECT p.k, p.name FROM params p JOIN bodies b ON b.k = p.k AND b.f = p.f WHERE contains(b.l, 'requests.get(' || p.p || ')')),
+              given AS (SELECT k, f, n, regexp_extract(l, '^ +(\\w+) = ', 1) AS v FROM bodies WHERE contains(l, ' = request.args')),
+              calls AS (SELECT k, path, f, n, regexp_extract(l, '(\\w+)\\((\\w*)\\)$', 1) AS name, regexp_extract(l, '(\\w+)\\((\\w*)\\)$', 2) AS a FROM bodies WHERE l NOT LIKE 'def %')"""
     values = ", ".join(f"('{r.id}', '{x}')" for r in _FOR_LANGUAGE for x in r.languages)
     zero = ", ".join(f"('{r.category or 'uncategorized'}')" for r in prose_rules())
     paths = """WITH paths AS (SELECT event_id, ['src', 'gen/deep', 'node_modules/x', './lib', '.github', 'a.b'][event_id % 6 + 1] || '/' ||
@@ -288,28 +369,35 @@ def oracle_sql() -> dict[str, str]:
         "normalized_paths": paths + " SELECT event_id, CASE WHEN path LIKE './%' THEN path[3:] WHEN path LIKE '.%' THEN path[2:] ELSE path END AS path FROM paths",
         "escaped_pages": "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS escaped_md5 FROM pages",
         "sarif_levels": docs + " SELECT CASE WHEN severity_rank >= 3 THEN 'error' WHEN severity_rank = 2 THEN 'warning' ELSE 'note' END AS level, count(*) AS findings FROM found GROUP BY 1",
-        "enclosing_spans": "WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS f, c_custkey % 50 AS a, c_custkey % 97 + 1 AS n, c_custkey AS span FROM customer WHERE c_custkey % 7 < 5) SELECT CAST(s_nationkey AS BIGINT) AS file_id, s_suppkey AS at, coalesce((SELECT span FROM s WHERE f = s_nationkey AND a <= s_suppkey AND s_suppkey < a + n ORDER BY n, span LIMIT 1), -1) AS span FROM supplier",
+        "enclosing_spans": "WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS f, c_custkey % 50 AS a, c_custkey % 97 + 1 AS n, c_custkey AS span FROM customer) SELECT CAST(s_nationkey AS BIGINT) AS file_id, s_suppkey AS at, coalesce((SELECT span FROM s WHERE f = s_nationkey AND a <= s_suppkey AND s_suppkey < a + n ORDER BY n, span LIMIT 1), -1) AS span FROM supplier",
         "scan_pattern_findings": docs + " SELECT rule_id, severity, path, start_char, start_byte, start_line, start_column, start_column + strlen(match_text) AS end_column, ord, match_text FROM found",
+        "scan_unicode_words": "WITH " + _sql_found("documents", "doc_id", "text", "documents/", [replace(_ACCENTED, regex=r"[éèñü][\pL\pM\p{Nd}\p{Pc}]+")]) + " SELECT path, ord, start_char, start_byte, start_line, match_text FROM found",
+        "code_symbols": modules + defined + " SELECT path, name, 'function' AS kind, CAST(n AS BIGINT) AS line, true AS has_body FROM defined",
+        "code_imports": modules + bound + " SELECT k AS file_id, local, local AS original, target FROM bound",
+        "code_call_edges": modules + bound + defined + called + " SELECT c.k AS file_id, CAST(c.n AS BIGINT) AS line, callee AS callee_text, CASE WHEN d.name IS NOT NULL THEN 'import' END AS how, d.path AS callee_path FROM called c LEFT JOIN bound b ON b.k = c.k AND b.local = c.callee LEFT JOIN defined d ON d.name = b.local AND d.path = b.target || '.py'",
+        "ast_query_findings": modules + " SELECT 'korea.py.unsalted-hash' AS rule_id, path, CAST(n AS BIGINT) AS start_line, CAST(strpos(l, 'hashlib') AS BIGINT) AS start_column, regexp_extract(l, 'hashlib[.]\\w+\\([^)]*\\)') AS match_text FROM lines WHERE regexp_matches(l, 'hashlib[.](sha256|sha224|sha384|sha512|sha3_256|sha3_384|sha3_512|blake2b|blake2s)\\(') AND NOT contains(l, '+')",
+        "class_ancestors": "WITH RECURSIVE files AS (SELECT 'class C' || event_id || CASE WHEN event_id > 1 THEN ' extends C' || event_id // 2 ELSE '' END || ' { }' AS t FROM events), types AS (SELECT regexp_extract(t, 'class (\\w+)', 1) AS type, regexp_extract(t, 'extends (\\w+)', 1) AS above FROM files), up AS (SELECT type, type AS ancestor, CAST(0 AS BIGINT) AS depth FROM types UNION ALL SELECT u.type, t.above, u.depth + 1 FROM up u JOIN types t ON t.type = u.ancestor WHERE t.above <> '') SELECT * FROM up",
+        "taint_findings": flow + " SELECT 'python.security.ssrf' AS rule_id, c.path, CAST(c.n AS BIGINT) AS start_line, CAST(g.n AS BIGINT) AS source_line, 'Tainted data from ' || g.v || ' (source at line ' || g.n || ') reached ' || c.name || '(...) reaches sink requests.get(.' AS message FROM calls c JOIN given g ON g.k = c.k AND g.f = c.f AND g.v = c.a AND g.n < c.n JOIN sinks s ON s.k = c.k AND s.name = c.name",
         "scan_pages": pages(_INLINE) + " SELECT rule_id, path, start_line, start_column, match_text FROM found",
         "scan_not_regex": pages(_NO_TRACK) + " SELECT rule_id, path, start_line, start_column FROM found WHERE NOT regexp_matches(string_split(t, chr(10))[start_line], 'track\\([0-9]*[05]\\)')",
         "scan_conversations": "WITH " + _sql_found("conversations", "conv_id || '/' || turn", "text", "conversations/", [Rule(id="chat.repeat", severity="info", languages=("text",), regex=r"(?:the the|la la|die die|und und|of of) [a-z]+")]) + " SELECT path, ord, start_char, start_line, match_text FROM found",
         "findings_snippet_line": docs + " SELECT rule_id, path, ord, start_line, code_snippet FROM found",
-        "language_rule_applicability": f"SELECT rule_id, d.lang AS lang, count(*) AS files FROM documents d JOIN (VALUES {values}) r(rule_id, lang) ON d.lang = r.lang GROUP BY ALL",
+        "language_rule_applicability": f"SELECT rule_id, d.lang AS lang, count(*) AS files FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN 'tsx' ELSE lang END AS lang FROM documents) d JOIN (VALUES {values}, ('only.typescript', 'tsx')) r(rule_id, lang) ON d.lang = r.lang GROUP BY ALL",
         "category_rollup_zero_fill": docs + f", loaded AS (SELECT category, count(*) AS rules FROM (VALUES {zero}) v(category) GROUP BY 1), hit AS (SELECT category, count(*) AS findings FROM found GROUP BY 1) SELECT coalesce(l.category, h.category) AS category, coalesce(rules, 0) AS rules, coalesce(findings, 0) AS findings FROM loaded l FULL JOIN hit h ON l.category = h.category",
         "severity_summary": docs + " SELECT " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES) + " FROM found",
         "triage_topk": docs + " SELECT rule_id, severity, path, start_line, start_column FROM found ORDER BY severity_rank DESC, path, start_line, start_column, rule_id LIMIT 10",
         "min_severity_floor": docs + " SELECT rule_id, severity, count(*) AS findings FROM found WHERE severity_rank >= 3 GROUP BY ALL",
-        "exit_policy": docs + " SELECT " + ", ".join(f"coalesce(bool_or(severity_rank >= {i}), false) AS fails_{s}" for i, s in enumerate(SEVERITIES)) + " FROM found",
+        "exit_policy": docs + " SELECT s AS fail_on, CAST(CASE WHEN EXISTS (FROM found WHERE severity_rank >= i) THEN 2 ELSE 0 END AS INTEGER) AS exit_code FROM (VALUES " + ", ".join(f"('{x}', {i})" for i, x in enumerate([*SEVERITIES])) + ", ('none', 0)) v(s, i) UNION ALL SELECT 'degraded', 3",
         "baseline_new": known + " SELECT rule_id, path, ord, start_line FROM print WHERE fp NOT IN (FROM base)",
         "baseline_existing": known + " SELECT rule_id, path, ord, start_line FROM print WHERE fp IN (FROM base)",
-        "baseline_fixed": "SELECT unnest(['ghost-a', 'ghost-b']) AS fingerprint",
+        "baseline_fixed": known + " SELECT unnest(['ghost-a', 'ghost-b']) AS fingerprint UNION ALL SELECT fp FROM base WHERE fp NOT IN (SELECT fp FROM print)",
         "baseline_counts": known + " SELECT count(*) FILTER (fp IN (FROM base)) AS existing, count(*) FILTER (fp NOT IN (FROM base)) AS \"new\", CAST(2 AS BIGINT) AS fixed FROM print",
         "first_finding_per_rule": docs + " SELECT rule_id, path, start_line, start_column FROM found QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY path, start_line, start_column) = 1",
         "innermost_spans": nested + ", spans AS (SELECT rule_id, path, start_byte, start_byte + strlen(match_text) AS end_byte FROM found) SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans t WHERE t.path = s.path AND t.start_byte >= s.start_byte AND t.end_byte <= s.end_byte AND t.end_byte - t.start_byte < s.end_byte - s.start_byte)",
-        "fingerprint_fnv1a": docs + f" SELECT rule_id, path, ord, lpad(lower(printf('%x', CAST({fold.format('match_text')} // 4294967296 AS BIGINT))), 8, '0') || lpad(lower(printf('%x', CAST({fold.format('match_text')} % 4294967296 AS BIGINT))), 8, '0') AS hash, 'cbf29ce484222325' AS empty_hash FROM found WHERE strlen(code_snippet) = length(code_snippet)",
-        "suppressed_findings": code + " SELECT 'py.os-system' AS rule_id, path, CAST(start_line AS BIGINT) AS start_line FROM hits WHERE kind = 1",
-        "unsuppressed_findings": code + " SELECT 'py.os-system' AS rule_id, path, CAST(start_line AS BIGINT) AS start_line FROM hits WHERE kind <> 1",
-        "fixture_verdicts": "SELECT event_id AS file_id, CASE WHEN event_id % 2 = 0 THEN 'expected' ELSE 'unexpected' END AS kind, 'py.os-system' AS rule_id, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS line FROM events WHERE (event_id % 2 = 0) <> (event_id % 3 = 0)",
-        "snapshot_changed_files": "SELECT doc_id FROM documents WHERE doc_id % 10 = 0",
+        "fingerprint_fnv1a": docs + f" SELECT rule_id, path, ord, lpad(lower(printf('%x', CAST({fold.format('match_text')} // 4294967296 AS BIGINT))), 8, '0') || lpad(lower(printf('%x', CAST({fold.format('match_text')} % 4294967296 AS BIGINT))), 8, '0') AS hash, 'cbf29ce484222325' AS empty_hash FROM found",
+        "suppressed_findings": code + " SELECT 'py.os-system' AS rule_id, path, CAST(n AS BIGINT) AS start_line FROM hits SEMI JOIN silent USING (k, n)",
+        "unsuppressed_findings": code + " SELECT 'py.os-system' AS rule_id, path, CAST(n AS BIGINT) AS start_line FROM hits ANTI JOIN silent USING (k, n)",
+        "fixture_verdicts": noted + " SELECT k AS file_id, 'expected' AS kind, rule_id, CAST(n AS BIGINT) AS line FROM notes s WHERE kind = 'ruleid' AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.k = s.k AND h.n IN (s.n, s.n + 1)) UNION ALL SELECT h.k, 'unexpected', s.rule_id, CAST(h.n AS BIGINT) FROM notes s JOIN hits h ON h.k = s.k AND h.n IN (s.n, s.n + 1) WHERE kind = 'ok'",
+        "snapshot_changed_files": "SELECT doc_id FROM documents WHERE sha256(text) <> sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END)",
         "call_graph_closure": "WITH RECURSIVE c AS (SELECT CAST(n_nationkey AS BIGINT) AS caller, unnest([2 * n_nationkey + 1, n_nationkey + 7])::BIGINT AS callee FROM nation), e AS (SELECT * FROM c WHERE callee < 25), r AS (SELECT caller, callee FROM e UNION SELECT r.caller, e.callee FROM r JOIN e ON r.callee = e.caller) SELECT caller, callee FROM r",
     }
