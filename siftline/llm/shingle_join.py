@@ -368,7 +368,7 @@ class ShingleJoin:
         # A column's only pivot is multiplied with all others already.
         rows = left.select("place", "node", "n", F.col("c").alias("component")).union(left.filter("several").select("place", "pivot", "m", "d")).distinct()
         work = rows.withColumnRenamed("place", "cluster").withColumn("class", size_class(F.col("n"), num, den))
-        dealt, names = _dealt(materialise(_undecided(work), "candidates"), bits, "bits", BLOCK_ROWS, BLOCK_GRAMS, 1)
+        dealt, names = _dealt(materialise(_undecided(work), "candidates"), bits, "bits", min(LEAST_ROWS, BLOCK_ROWS), BLOCK_GRAMS, TILES)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, begin, end in _partners(batches, names):
