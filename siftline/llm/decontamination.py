@@ -14,8 +14,9 @@ or one where the benchmark has an item of one word).  Words are compared by the
 numbers that the benchmark's own vocabulary gives them; a training word enters
 that vocabulary by hash and then by its bytes, so matches are verbatim.
 
-The benchmark is handed to tasks in blocks of bounded bytes: a corpus pass for
-each block, narrow, without a shuffle.
+The benchmark is handed to tasks in blocks of bounded bytes (one longer item is a
+block of its own): a corpus pass for each block, narrow, without a shuffle, and
+written before the next, so that a task holds one block at once.
 
 Defined results
     null or empty text       no words; nothing is hit
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import slices, tidy
+from siftline.llm.shared import materialise, slices, tidy
 from siftline.llm.wordarrays import ALNUM, Words
 
 #: Words of a window.
@@ -56,10 +57,20 @@ RESULT = T.StructType(
 )
 
 
+def _words_at(numbers: np.ndarray, end: np.ndarray, at: np.ndarray, level: int, per: int) -> np.ndarray:
+    """The ``per`` words of a level of suffixes that begin ``at``; 0 from their text's end on."""
+    place = at[:, None] + np.arange(level * per, (level + 1) * per)
+    inside = place < end[at][:, None]
+    return np.where(inside, numbers[np.where(inside, place, 0)], 0)
+
+
 class Benchmark:
-    """Test suffixes of a block of items, as numbers of the block's vocabulary."""
+    """Test suffixes of a block of items, as numbers of the block's vocabulary; a suffix is known by its first word's index.
+
+    ``whole``: suffixes are told apart to their ends, not only within windows.  Memory is in proportion to the words.
+    """
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW, whole: bool = False):
         words = Words(pa.array([t for _, t in items], pa.string()), ALNUM)
         self.ids = [i or "" for i, _ in items]
         self.hashes, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
@@ -67,21 +78,22 @@ class Benchmark:
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
         n = np.diff(words.bounds)
         self.bits = max(1, int(len(self.hashes)).bit_length())
-        #: Words in one sort key, and keys (then words) that any comparison may need.
-        self.per = 62 // self.bits
-        self.keys = max(1, -(-int(n.max(initial=1)) // self.per))
-        self.depth = self.keys * self.per
-        text = np.zeros((len(items), 2 * self.depth), np.int64)
-        text[np.arange(2 * self.depth) < n[:, None]] = number + 1
-        self.item, self.at = np.nonzero(text)
-        self.left = n[self.item] - self.at
+        self.number = number.astype(np.int64) + 1
+        self.item = np.repeat(np.arange(len(n)), n)
+        self.end = words.bounds[1:][self.item]
+        self.at = np.arange(len(self.item)) - words.bounds[:-1][self.item]
+        left = self.end - np.arange(len(self.item))
         #: Words of the window that a test suffix begins; 0 if it is too short for one.
         width = np.minimum(n, window)[self.item]
-        self.width = np.where(self.left >= width, width, 0)
-        self.suffix = np.lib.stride_tricks.sliding_window_view(text, self.depth, axis=1)[self.item, self.at]
-        self.packed = np.stack([self.pack(self.suffix[:, k * self.per : (k + 1) * self.per]) for k in range(self.keys)], axis=1)
+        self.width = np.where(left >= width, width, 0)
+        #: Words in one sort key, and keys that any comparison may need.
+        longest = int(n.max(initial=1))
+        self.per = 62 // self.bits
+        self.keys = max(1, -(-(longest if whole else min(longest, window)) // self.per))
         self.head = int(min(2, np.minimum(n[n > 0], window).min(initial=2)))
-        self.heads = np.unique(self.suffix[self.left >= self.head, 0] << self.bits | (self.suffix[self.left >= self.head, 1] if self.head == 2 else 0)) if self.depth > 1 else np.unique(self.suffix[:, 0] << self.bits)
+        begins = np.flatnonzero(left >= self.head)
+        code = self.number[begins] << self.bits
+        self.heads = np.unique(code | self.number[begins + 1] if self.head == 2 else code)
         #: A first test of training words by the low bits of their hashes.
         self.low = np.uint64((1 << 20) - 1)
         self.maybe = np.zeros(1 << 20, bool)
@@ -93,6 +105,10 @@ class Benchmark:
             key = key << self.bits | words[:, k]
         return key
 
+    def key(self, which: np.ndarray, level: int) -> np.ndarray:
+        """Sort keys of a level of test suffixes."""
+        return self.pack(_words_at(self.number, self.end, which, level, self.per))
+
     def numbers(self, words: Words) -> np.ndarray:
         """Training words as numbers of the vocabulary; 0 for words outside it."""
         out = np.zeros(len(words), np.int64)
@@ -106,30 +122,24 @@ class Benchmark:
 
 
 class Shard:
-    """A suffix array over the words of a slice of the corpus."""
+    """A suffix array over the words of a slice of the corpus; a place is a word's index."""
 
     def __init__(self, column: pa.Array, bench: Benchmark):
         self.words = words = Words(column, ALNUM)
         self.bench = bench
-        self.texts, self.gap = len(words.bounds) - 1, bench.depth
-        text = np.repeat(np.arange(self.texts), np.diff(words.bounds))
-        self.number = np.zeros(len(words) + self.gap * (self.texts + 1), np.int64)
-        self.place = np.arange(len(words)) + self.gap * text
-        #: Place of the first word of each text; texts are followed by zeros.
-        self.start = words.bounds[:-1] + self.gap * np.arange(self.texts)
-        self.number[self.place] = bench.numbers(words)
+        self.end = np.repeat(words.bounds[1:], np.diff(words.bounds))
+        self.number = bench.numbers(words)
         self._sort()
 
     def _key(self, at: np.ndarray, level: int) -> np.ndarray:
-        per = self.bench.per
-        return self.bench.pack(self.number[at[:, None] + np.arange(level * per, (level + 1) * per)])
+        return self.bench.pack(_words_at(self.number, self.end, at, level, self.bench.per))
 
     def _sort(self) -> None:
         bench = self.bench
-        at = self.place[self.number[self.place] > 0]
+        at = np.flatnonzero(self.number)
         code = self.number[at] << bench.bits
         if bench.head == 2:
-            code |= self.number[at + 1]
+            code |= np.where(at + 1 < self.end[at], self.number[np.minimum(at + 1, len(self.number) - 1)], 0)
         if len(bench.heads):
             at = at[bench.heads[np.minimum(np.searchsorted(bench.heads, code), len(bench.heads) - 1)] == code]
         key = self._key(at, 0)
@@ -175,7 +185,7 @@ class Shard:
             if not len(going):
                 break
             missing = np.maximum(0, (level + 1) * bench.per - width[going]) * bench.bits
-            want = bench.packed[which[going], level] >> missing << missing
+            want = bench.key(which[going], level) >> missing << missing
             beyond = want + (np.int64(1) << missing)
             if level == 0:
                 low[going], high[going] = np.searchsorted(self.first, want), np.searchsorted(self.first, beyond)
@@ -193,14 +203,7 @@ class Shard:
         count = np.maximum(high - low, 0)
         test = np.repeat(which, count)
         place = self.at[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        return self.word(place), bench.width[test], bench.item[test]
-
-    def word(self, place: np.ndarray) -> np.ndarray:
-        return place - self.gap * self.text(place)
-
-    def text(self, place: np.ndarray) -> np.ndarray:
-        """Text of a place.  Empty texts share a start with no one, as gaps set all apart."""
-        return np.searchsorted(self.start, place, side="right") - 1
+        return place, bench.width[test], bench.item[test]
 
     def verified(self, first: np.ndarray, width: np.ndarray) -> bool:
         """Compares the words of occurrences byte by byte; takes words out that only share a hash."""
@@ -209,9 +212,8 @@ class Shard:
         np.add.at(edge, first + width, -1)
         good = True
         for w in np.flatnonzero(np.cumsum(edge)[:-1] > 0).tolist():
-            p = self.place[w]
-            if self.words.data[self.words.begin[w] : self.words.end[w]].tobytes() != self.bench.texts[self.number[p] - 1]:
-                self.number[p], good = 0, False
+            if self.words.data[self.words.begin[w] : self.words.end[w]].tobytes() != self.bench.texts[self.number[w] - 1]:
+                self.number[w], good = 0, False
         return good
 
     def longest(self) -> tuple[np.ndarray, np.ndarray]:
@@ -221,20 +223,29 @@ class Shard:
         best, where = np.zeros(n, np.int64), np.zeros(n, np.int64)
         if not len(self.at):
             return best, where
-        low, _ = self.search(np.arange(n), np.full(n, bench.depth))
+        low, _ = self.search(np.arange(n), bench.end - np.arange(n))
         for neighbour in (low - 1, low):
-            ok = (neighbour >= 0) & (neighbour < len(self.at))
-            place = self.at[np.clip(neighbour, 0, len(self.at) - 1)]
-            theirs = self.number[place[:, None] + np.arange(bench.depth)]
-            differ = (theirs != bench.suffix) | (bench.suffix == 0)
-            length = np.where(ok, np.where(differ.any(axis=1), differ.argmax(axis=1), bench.depth), 0)
-            where = np.where(length > best, place, where)
+            length = self._common(np.arange(n), self.at[np.clip(neighbour, 0, len(self.at) - 1)])
+            length[(neighbour < 0) | (neighbour >= len(self.at))] = 0
+            where = np.where(length > best, self.at[np.clip(neighbour, 0, len(self.at) - 1)], where)
             best = np.maximum(best, length)
         return best, where
 
+    def _common(self, which: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Words that test suffixes and the suffixes of places begin with alike."""
+        bench, out = self.bench, np.zeros(len(which), np.int64)
+        room = np.minimum(bench.end[which] - which, self.end[place] - place)
+        going = np.flatnonzero(room > 0)
+        while len(going):
+            k = out[going]
+            going = going[bench.number[which[going] + k] == self.number[place[going] + k]]
+            out[going] += 1
+            going = going[out[going] < room[going]]
+        return out
+
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list]:
-    """The benchmark's distinct items in blocks of bounded size."""
+    """The benchmark's distinct items in blocks of bounded size; there is one at least."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).dropDuplicates()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
@@ -254,6 +265,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_
     schema = T.StructType([*kept.schema.fields, T.StructField(out, RESULT)])
     found = kept
     for k, block in enumerate(_blocks(benchmark, item_col, "text")):
+        if k:
+            found = materialise(found, "scanned")
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, again=k > 0) -> Iterator[pa.RecordBatch]:
@@ -319,20 +332,20 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value)
+            bench = Benchmark(shared.value, whole=True)
             for batch in batches:
                 for part in slices(batch):
                     shard = Shard(part.column(1), bench)
                     best, place = shard.longest()
                     k = np.flatnonzero(best >= least)
-                    text = shard.text(place[k])
+                    text = np.searchsorted(shard.words.bounds, place[k], side="right") - 1
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([bench.ids[i] for i in bench.item[k]], pa.string()),
-                            pa.array(bench.at[k].astype(np.int64)),
+                            pa.array(bench.at[k]),
                             pa.array(best[k]),
                             part.column(0).take(pa.array(text)),
-                            pa.array(place[k] - shard.start[text]),
+                            pa.array(place[k] - shard.words.bounds[text]),
                         ],
                         ["item_id", "item_word", "n_words", "doc_id", "doc_word"],
                     )

@@ -220,6 +220,39 @@ def test_chat(spark):
     assert chat.format_chat(turns.limit(0)).count() == 0
 
 
+def test_chat_of_odd_json(spark):
+    """Halves of surrogate pairs, deep nesting, NaN and long texts are serialised, none ends the job; other columns don't matter."""
+    call = '{"content": "c", "tool_calls": [{"id": "a", "name": "get", "arguments": %s}]}'
+    texts = [
+        '{"content": "\\ud800", "tool_call_id": "x"}', call % '{"q": "\\udc00"}', call % ("[" * 3000 + "]" * 3000), call % json.dumps("[" * 3000 + "]" * 3000), call % "NaN", call % "1e999",
+        call % json.dumps("NaN"), call % ("[" * 200 + "]" * 200), call % '"' + "[" * 5000, "{" * 100_000, '{"content": "' + "long [ " * 200_000 + '", "tool_call_id": "a"}', call % json.dumps({"k": "[" * 300}),
+    ]
+    rows = ship(spark).createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = chat.format_chat(rows.selectExpr("*", "1 AS level", "'x' AS id", "2 AS calls")).orderBy("turn").collect()
+    kinds = [r.n_calls for r in got]
+    assert kinds == [0, 0, 0, 1, 0, 0, 1, 1, 0, 0, 0, 1]
+    for r, t in zip(got, texts):
+        message = json.loads(r.message, parse_constant=lambda x: pytest.fail(x))
+        if r.turn in (0, 1, 2, 4, 5, 8, 9):
+            assert message == {"content": t, "role": "user"}
+    assert json.loads(got[6].message)["tool_calls"][0]["arguments"] == "NaN" and len(json.loads(got[10].message)["content"]) == 1_400_000
+
+
+def test_chat_levels_against_brute_force(spark):
+    """Levels of random references, with chains, cycles and references to nothing."""
+    rng = random.Random(12)
+    calls = [(c, f"c{k}", [f"c{rng.randrange(30)}" for _ in range(rng.choice([0, 0, 1, 1, 2]))]) for c in range(12) for k in range(25)]
+    calls += [(99, f"d{k}", [f"d{k - 1}"] if k else []) for k in range(40)]
+    want = {}
+    for conv in {c for c, _, _ in calls}:
+        own = {i: {r for r in refs if any(x[:2] == (conv, r) for x in calls)} for c, i, refs in calls if c == conv}
+        while ready := [i for i in own if (conv, i) not in want and all((conv, r) in want for r in own[i])]:
+            for i, n in [(i, 1 + max((want[conv, r] for r in own[i]), default=-1)) for i in ready]:
+                want[conv, i] = n
+    got = chat.levels(ship(spark).createDataFrame(calls, "conv_id long, id string, refs array<string>")).collect()
+    assert {(r.conv_id, r.id): r.level for r in got} == want and want[99, "d39"] == 39 and len(want) < len(calls)
+
+
 def test_pipeline_stages(spark):
     """Each stage on its own input against brute force; small rows with planted cases."""
     ship(spark)

@@ -140,6 +140,22 @@ def test_perfect_hash_is_minimal():
         assert sorted(slot.tolist()) == list(range(n)) and (token_files.slots_of(hashes, displacement, n) == slot).all()
 
 
+def test_long_benchmark_items_take_little_memory(spark):
+    """An item of 100,000 words beside short ones: arrays in proportion to the words, windows and longest matches as ever; a null item_id is an empty string."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    long = [rng.choice(vocabulary) for _ in range(100_000)]
+    items = [("long", " ".join(long)), *((f"s{k}", " ".join(rng.choices(vocabulary, k=3))) for k in range(500)), (None, "null item here")]
+    held = decontamination.Benchmark(items)
+    assert sum(v.nbytes for v in vars(held).values() if isinstance(v, np.ndarray)) < 100 * len(held.item) + (4 << 20)
+    texts = ["x " + " ".join(long[70_000:70_500]) + " y", " ".join(long[99_995:]), "a null item here", "none"]
+    got = decontamination.scan(H.docs(spark, texts), bench(spark, items)).orderBy("doc_id").select("contamination.*").collect()
+    want = H.contaminated(texts, [(k or "", t) for k, t in items])
+    assert [(r.n_words, sum(x["last"] - x["first"] + 1 for x in r.hits), sorted(r["items"])) for r in got] == want and want[0][1] >= 500 and want[2][2] == [""]
+    best = decontamination.longest_matches(H.docs(spark, texts), bench(spark, items[:1])).filter("item_word = 70000").first()
+    assert (best.n_words, best.doc_id, best.doc_word) == (500, 0, 1)
+
+
 def test_clashing_hashes_are_set_apart():
     """Two keys of one 64-bit hash get a seed that tells them apart; the index file keeps it."""
     hashes, others = np.array([7, 7, 9, 11], np.uint64), np.array([1, 2, 1, 5], np.uint64)
