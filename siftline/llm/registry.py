@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontamination, language, pieces, quality, shingle_join, suffix_dedup, token_counts, token_files, url_filter
+from siftline.llm import chat, decontamination, language, oracles, pieces, quality, shingle_join, suffix_dedup, token_counts, token_files, url_filter
 from siftline.session import table
 
 
@@ -117,4 +117,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
