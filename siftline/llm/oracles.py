@@ -58,5 +58,29 @@ def ngram_jaccard(n: int = 3, num: int = 90, den: int = 100) -> str:
     SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.b AS component_id FROM sets s JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = s.doc_id"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination(), "op3_quality_rules": quality_rules(), "op9_ngram_jaccard": ngram_jaccard()}
+def url_filter(rules: dict[str, str]) -> str:
+    """Hosts, paths and rules of all pages; verdicts where no page links to another host.
+
+    Ranks have no SQL.  Without links between hosts a host's distrust is its own, so it is blocked where rules block
+    most of its pages; with any such link the verdict is null and the comparison fails.
+    """
+    values = ", ".join("('{}', '{}', '{}', '{}')".format(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in rules.items())
+    return f"""
+    WITH cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM (SELECT page_id, html, coalesce(url, '') AS url FROM pages)),
+    named AS (SELECT page_id, html, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
+    rules(site, start, rule, verdict) AS (VALUES {values}),
+    fit AS (SELECT n.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+            FROM named n JOIN rules r ON (n.host = r.site OR ends_with(n.host, '.' || r.site)) AND starts_with(n.path, r.start) GROUP BY n.page_id),
+    judged AS (SELECT n.page_id, host, path, rule, verdict FROM named n LEFT JOIN fit f USING (page_id)),
+    linked AS (SELECT count(*) AS n FROM named WHERE regexp_matches(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*[a-z][a-z0-9+.-]*://')),
+    spoiled AS (SELECT host FROM judged WHERE host <> '' GROUP BY host HAVING 2 * count(*) FILTER (verdict = 'block') > count(*))
+    SELECT page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHEN (SELECT n FROM linked) > 0 THEN NULL WHEN host IN (FROM spoiled) THEN 'block' ELSE 'allow' END AS verdict FROM judged"""
+
+
+def oracle_sql(url_rules: dict[str, str]) -> dict[str, str]:
+    return {
+        "op1_decontamination": decontamination(),
+        "op3_quality_rules": quality_rules(),
+        "op6_url_filter": url_filter(url_rules),
+        "op9_ngram_jaccard": ngram_jaccard(),
+    }

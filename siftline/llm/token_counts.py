@@ -1,8 +1,8 @@
 """Token counts with a whole-token shortcut.
 
 Most pre-tokens of ordinary text are themselves entries of the vocabulary.
-:func:`whole_tokens` proves, once per tokenizer, which vocabulary strings the
-library encodes alone as exactly one id.  Counting a text is then: cut it into
+:func:`whole_tokens` proves, once per tokenizer and worker, which vocabulary
+strings the library encodes alone as exactly one id.  Counting a text is then: cut it into
 units, cut new units into pre-tokens, count each proven pre-token as one, and
 merge only the rest with the library.
 
@@ -38,7 +38,7 @@ def whole_tokens(tokenizer) -> frozenset[str]:
     return frozenset(t for i, t, e in zip(ids, texts, proven, strict=True) if e.ids == [i])
 
 
-# Fixed value: the pre-token pattern of the byte-level vocabularies.
+# Fixed value: the pre-token pattern of the library's byte-level pre-tokenizer, the only one that is accepted.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 

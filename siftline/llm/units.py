@@ -131,7 +131,16 @@ class ByteBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        how, model, added = t.pre_tokenizer, t.model, t.get_added_tokens_decoder().values()
+        if type(how).__name__ != "ByteLevel" or not how.use_regex or how.add_prefix_space or t.normalizer is not None:
+            raise ValueError(f"{path}: texts can be cut into units only for byte-level pre-tokens without a normalizer or prefix space")
+        if type(model).__name__ != "BPE" or model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix:
+            raise ValueError(f"{path}: not a plain BPE model")
+        if any(a.lstrip or a.rstrip or a.single_word or a.normalized or any(c.isspace() for c in a.content) for a in added):
+            raise ValueError(f"{path}: an added token reaches beyond its own characters or holds white space")
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.heads = UnitCache(self.fill, CACHE_UNITS // 8)
         self.tails = UnitCache(lambda units: self.fill([u if u[:1] == "\n" else u[1:] if u[:1] == "\x01" else " " + u for u in units]))

@@ -156,6 +156,14 @@ def test_long_benchmark_items_take_little_memory(spark):
     assert (best.n_words, best.doc_id, best.doc_word) == (500, 0, 1)
 
 
+def test_other_kinds_of_tokenizers_are_refused():
+    """Texts are cut for byte-level pre-tokens only; a vocabulary with others is an error, not a wrong count."""
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="word_bpe"):
+        ByteBpe(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_clashing_hashes_are_set_apart():
     """Two keys of one 64-bit hash get a seed that tells them apart; the index file keeps it."""
     hashes, others = np.array([7, 7, 9, 11], np.uint64), np.array([1, 2, 1, 5], np.uint64)
