@@ -47,9 +47,14 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _nearest(edges: DataFrame) -> DataFrame:
+#: Edges from which on the least neighbours are written before they are joined: a join of two tables may split a hub's rows.
+WRITE_FROM = 1_000_000
+
+
+def _nearest(edges: DataFrame, write: bool) -> DataFrame:
     """Edges with the least b of each a."""
-    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    return edges.join(materialise(least, "nearest") if write else least, "a")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -66,9 +71,10 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        write = now[0] > WRITE_FROM
         both = edges.union(edges.select("b", "a"))
-        large = _nearest(both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        small = _nearest(large)
+        large = _nearest(both, write).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        small = _nearest(large, write)
         edges = small.select("a", F.col("m").alias("b")).union(small.filter("b != m").select("b", "m")).distinct()
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(edges.select("b", "b").distinct())

@@ -65,7 +65,7 @@ def url_filter(rules: dict[str, str]) -> str:
     most of its pages; with any such link the verdict is null and the comparison fails.
     """
     values = ", ".join("('{}', '{}', '{}', '{}')".format(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in rules.items())
-    return f"""
+    return rf"""
     WITH cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM (SELECT page_id, html, coalesce(url, '') AS url FROM pages)),
     named AS (SELECT page_id, html, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
     rules(site, start, rule, verdict) AS (VALUES {values}),

@@ -119,7 +119,9 @@ def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
     assert {((r.h1, r.h2), r.node) for r in named.collect()} == set(zip(keys, nodes))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("write", [components.WRITE_FROM, 0])
+def test_components(spark, monkeypatch, write):
+    monkeypatch.setattr(components, "WRITE_FROM", write)
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (300, 100), (5, 5), (-3, 7), (60, 61)]
     got = {r.node: r.component for r in components.components(ship(spark).createDataFrame(links, "a long, b long").repartition(5)).collect()}
     assert got == {i: -3 for i in [*range(1, 41), -3]} | {100: 100, 200: 100, 300: 100, 60: 60, 61: 60}
@@ -283,6 +285,29 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(list(got.values()), out.schema) if name != "sentencepiece" else out
 
 
+def test_pipeline_run(spark):
+    """All stages in a row on whole tables, against brute force from the language stage on."""
+    import hashlib
+
+    import sentencepiece
+    from siftline.llm.registry import vocabulary
+
+    sf = "/root/testdata/sf0.001"
+    ship(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, docs, sf).collect())
+    rows = [x for x, w in zip(rows, H.jaccard_components([t for _, t in rows], 5, 80, 100)) if rows[w[1]][0] == x[0]]
+    cut = H.removed([t for _, t in rows])
+    rows = [(i, t if n == len(k) else k.decode("utf-8", "ignore")) for (i, t), (n, k, _) in zip(rows, cut) if k or not n]
+    items = [tuple(map(str, r)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [x for x, w in zip(rows, H.contaminated([t for _, t in rows], items)) if not w[2]]
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    ids = [model.encode(t or "", add_bos=True, add_eos=True) for _, t in rows]
+    want = [(i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(x).encode()).hexdigest()) for (i, _), x in zip(rows, ids)]
+    got = corpus_pipeline.run(spark, sf)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == want and len(want) > 100
+
+
 def test_pipeline_near_copies_share_runs_of_five_words(spark):
     """The stage's own 5 words and 0.8 against brute force; some pairs link under these and not under 3 words and 0.9."""
     base = [f"w{k}" for k in range(100)]
