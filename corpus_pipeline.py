@@ -1,8 +1,20 @@
 """Training-corpus pipeline: five stages over the documents table, each written and read again.
 
 ``run`` gives the rows of the last stage.  SQL can express neither the models
-nor the encoders, so there is no oracle; tests hold the stages against
-brute-force versions.
+nor the encoders, so there is no oracle; tests hold the stages, and all of them
+in a row, against brute-force versions.
+
+Defined results
+    null or empty text   shows no language, so it leaves in the first stage
+    very long text       whole in every stage
+    repeated rows, ties  equal rows share their fate: of near copies those with the
+                         least doc_id stay
+    null doc_id          has no id to be rejected by, so it stays in the first two stages
+                         and isn't cut in the third; decontaminated and encoded as any row
+    all repeats          a text that an earlier one repeats whole leaves in the third stage
+    empty table          empty result
+    clashing columns     all but the last stage return the columns of their input, whatever
+                         they are named; the last one returns its own
 """
 
 from __future__ import annotations
@@ -12,7 +24,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import decontamination, language, pieces, shingle_join, suffix_dedup
 from siftline.llm.registry import vocabulary
-from siftline.llm.shared import new_path
+from siftline.llm.shared import Scratch, drop_path, new_path
 from siftline.session import ship, table
 
 # Near copies share this part of their runs of so many words.  The narrower ones of op9_ngram_jaccard are its own.
@@ -72,11 +84,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what stages write on the way goes as soon as the next table is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with Scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
