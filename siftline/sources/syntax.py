@@ -113,7 +113,7 @@ class Tree:
                 if n.children:
                     n.start, n.end = n.children[0].start, n.children[-1].end
                 return n
-            n = Node(type(x).__name__.lower(), *span(x))
+            n = Node(_python_kind(x), *span(x))
             if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef):
                 n.kind, n.name = "function_definition", x.name
                 args = [*x.args.posonlyargs, *x.args.args, *([x.args.vararg] if x.args.vararg else []), *x.args.kwonlyargs]
@@ -170,6 +170,25 @@ class Tree:
         return root
 
 
+# Kinds of Python's grammar by the classes of its syntax tree, where lower case is not enough.
+_PYTHON_KINDS = {
+    "Expr": "expression_statement", "Raise": "raise_statement", "Try": "try_statement", "TryStar": "try_statement", "With": "with_statement", "AsyncWith": "with_statement",
+    "Assert": "assert_statement", "Delete": "delete_statement", "Global": "global_statement", "Nonlocal": "nonlocal_statement", "Pass": "pass_statement", "Break": "break_statement",
+    "Continue": "continue_statement", "Match": "match_statement", "ExceptHandler": "except_clause", "AugAssign": "augmented_assignment", "BinOp": "binary_operator", "BoolOp": "boolean_operator",
+    "Compare": "comparison_operator", "UnaryOp": "unary_operator", "Dict": "dictionary", "ListComp": "list_comprehension", "SetComp": "set_comprehension", "DictComp": "dictionary_comprehension",
+    "GeneratorExp": "generator_expression", "IfExp": "conditional_expression", "Starred": "list_splat", "NamedExpr": "named_expression", "JoinedStr": "string", "FormattedValue": "interpolation",
+}
+
+
+def _python_kind(x: ast.AST) -> str:
+    if isinstance(x, ast.Constant):
+        kinds = {str: "string", bytes: "string", bool: str(x.value).lower(), int: "integer", float: "float", complex: "float", type(None): "none", type(...): "ellipsis"}
+        return kinds[type(x.value)]
+    if isinstance(x, ast.UnaryOp) and isinstance(x.op, ast.Not):
+        return "not_operator"
+    return _PYTHON_KINDS.get(type(x).__name__, type(x).__name__.lower())
+
+
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"""
     r"""|(?P<word>[^\W\d]\w*|[$@][\w$]*|\d[\w.]*)|(?P<op>=>|:=|===|!==|==|!=|<=|>=|&&|\|\||\+\+|--|->|::|\.\.\.|[+\-*/%&|^]=|.)""",

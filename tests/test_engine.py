@@ -185,6 +185,31 @@ def test_taint_javascript_and_go(spark):
     assert [x[1:] for x in lines(got)] == [("b.go", 4), ("a.js", 4), ("a.js", 6)]
 
 
+@pytest.mark.parametrize(
+    "pattern,want",
+    [
+        ("(call function: (identifier) @f)", ["f", "g", "h", "k"]),
+        ("(call arguments: (argument_list . (identifier) @a .))", ["x"]),
+        ("(call arguments: (argument_list . (identifier) @a))", ["x", "y", "p"]),
+        ("(call arguments: (argument_list (identifier) @a .))", ["x", "z", "p"]),
+        ("(call arguments: (argument_list (identifier) @a . (identifier) @b))", ["y", "z"]),
+        ("(call arguments: (argument_list (identifier)+ @a))", ["x", "y", "z", "p"]),
+        ("(call function: (identifier) @f arguments: (argument_list (string)? @s))", ["f", "g", "h", "k", "'s'"]),
+        ("(call arguments: (argument_list [(string) (integer)] @a))", ["'s'", "1"]),
+        ("(call arguments: (argument_list . _ @a))", ["x", "y", "'s'", "p"]),
+        ("(call function: [(identifier) (attribute)] @f) (#any-of? @f \"g\" \"m.n\")", ["g", "m.n"]),
+        ("(call !function)", []),
+    ],
+)
+def test_query_language(pattern, want):
+    """Alternations, quantifiers, anchors and wildcards, over a few calls."""
+    from siftline.sources.syntax import Tree
+
+    tree = Tree("f(x)\ng(y, z)\nh('s', 1)\nk(p, 1, p)\nm.n()\n", "python")
+    got = [tree.text(n) for n in query.sites(tree, Rule(id="q", languages=("python",), query=pattern, capability="query"))]
+    assert sorted(set(got)) == sorted(want)
+
+
 def test_query_rules(spark):
     files = corpus(spark, {"a.py": "import hashlib\nhashlib.sha256(p)\nhashlib.sha256(p + salt)\nhashlib.md5(p)\n", "B.java": 'class B { void f() { Class.forName(n); Class.forName("x"); } }\n'})
     rules = [r for r in Registry.built_in().rules if r.capability == "query"]
