@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import materialise, slices, tidy
+from siftline.llm.shared import fresh, materialise, slices, tidy
 from siftline.llm.wordarrays import ALNUM, Words
 
 #: Words of a window.
@@ -315,7 +315,8 @@ def _scanned(column: pa.Array, bench: Benchmark, before: list | None) -> pa.Arra
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without those in which a window of the benchmark occurs."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return scan(docs, benchmark, out="__contamination", **options).filter(F.size("__contamination.items") == 0).select(*columns)
+    out = fresh("__contamination", docs.columns)
+    return scan(docs, benchmark, out=out, **options).filter(F.size(F.col(out)["items"]) == 0).select(*columns)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", least: int = 2) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import slices, tidy
+from siftline.llm.shared import fresh, slices, tidy
 from siftline.llm.units import MARKS, Cut, UnitCache, coder, concatenated
 
 MARK = "▁"
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = Tru
     release_bytes = 16 * slice_bytes if slice_bytes >= SLICE else slice_bytes
     own = [f.name for f in ADDED]
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own or c == text_col])
-    schema = T.StructType(kept.schema.fields + [T.StructField("__" + f.name, f.dataType) for f in ADDED])
+    schema = T.StructType(kept.schema.fields + [T.StructField(fresh("__" + f.name, docs.columns), f.dataType) for f in ADDED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = coder(PieceEncoder, path)
@@ -267,4 +267,4 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = Tru
             )
 
     out = kept.mapInArrow(tidy(run), schema)
-    return out.select(*[F.col(f"`{c}`") for c in kept.columns if c not in own], *[F.col("__" + c).alias(c) for c in own])
+    return out.select(*[F.col(f"`{c}`") for c in kept.columns if c not in own], *[F.col(fresh("__" + c, docs.columns)).alias(c) for c in own])

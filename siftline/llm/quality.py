@@ -88,7 +88,7 @@ def measure(docs: DataFrame, text_col: str = "text", out: str = "quality") -> Da
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     split = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"),  # so that no name of theirs clashes
         text.alias("__t"),
         F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("__w"),
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("__l"),
@@ -100,7 +100,7 @@ def measure(docs: DataFrame, text_col: str = "text", out: str = "quality") -> Da
     )
     stops = F.filter(F.col("__w"), lambda x: F.lower(x).isin(*STOP_WORDS))
     counted = hashed.select(
-        *[F.col(f"`{c}`") for c in keep],
+        "__row",
         F.size("__w").cast("long").alias("__n"),
         F.length(F.concat_ws("", "__w")).cast("long").alias("__c"),
         F.length(F.regexp_replace("__t", NOT_SYMBOL, "")).cast("long").alias("__s"),
@@ -111,7 +111,7 @@ def measure(docs: DataFrame, text_col: str = "text", out: str = "quality") -> Da
     )
     n, c, s, k, ln, d, r = (F.col(x) for x in ("__n", "__c", "__s", "__k", "__ln", "__d", "__r"))
     return counted.select(
-        *[F.col(f"`{x}`") for x in keep],
+        *[F.col("__row").getField(x).alias(x) for x in keep],
         F.struct(
             n.alias("n_words"),
             c.alias("word_chars"),

@@ -146,6 +146,14 @@ def release() -> None:
         _TRIM(0)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: Bytes of keys that may be broadcast.
 BROADCAST_BYTES = 8 << 20
 

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import Scratch, materialise, slices, tidy
+from siftline.llm.shared import Scratch, fresh, materialise, slices, tidy
 from siftline.llm.shingle_join import node_filter, passing
 from siftline.llm.wordarrays import Prefix, buffer_of, mix64
 
@@ -339,16 +339,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     Bytes of a character of which a cut has taken a part go with it.
     """
     job = SuffixDedup(docs, id_col, text_col, length)
-    found = job.found().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("__ranges"))
+    ident, spans, kept = (fresh(c, docs.columns) for c in ("__id", "__ranges", "__left"))
+    found = job.found().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias(spans))
     names = docs.columns
-    keyed = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")).join(found.withColumnRenamed("doc_id", "__id"), "__id", "left")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__left", T.BooleanType())])
+    keyed = docs.withColumn(ident, F.col(f"`{id_col}`").cast("long")).join(found.withColumnRenamed("doc_id", ident), ident, "left")
+    schema = T.StructType([*docs.schema.fields, T.StructField(kept, T.BooleanType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 at = part.schema.get_field_index(text_col)
-                ranges = part.column(part.schema.get_field_index("__ranges"))
+                ranges = part.column(part.schema.get_field_index(spans))
                 columns = [part.column(part.schema.get_field_index(c)) for c in names]
                 done = cut_out(pa.RecordBatch.from_arrays([columns[0], columns[names.index(text_col)], ranges], ["i", "t", "r"]))
                 raw, gone = done.column(4).to_pylist(), done.column(2).to_pylist()
@@ -356,4 +357,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 columns[names.index(text_col)] = pa.array([x.decode("utf-8", "ignore") if g else o for x, g, o in zip(raw, gone, old)], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([not g or bool(x) for x, g in zip(raw, gone)])], schema.fieldNames())
 
-    return keyed.mapInArrow(tidy(cut), schema).filter("__left").drop("__left")
+    return keyed.mapInArrow(tidy(cut), schema).filter(F.col(kept)).drop(kept)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import slices, tidy
+from siftline.llm.shared import fresh, slices, tidy
 from siftline.llm.units import STABLE, UNIT_SLICE, ByteBpe, coder, plain
 
 def whole_tokens(tokenizer) -> frozenset[str]:
@@ -108,7 +108,8 @@ def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", limit:
     """
     own = ("n_bytes", "n_tokens", "over_limit")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own or c == text_col])
-    counts = T.StructType([T.StructField("__n_bytes", T.LongType()), T.StructField("__n_tokens", T.LongType())])
+    names = [fresh("__n_bytes", docs.columns), fresh("__n_tokens", docs.columns)]
+    counts = T.StructType([T.StructField(c, T.LongType()) for c in names])
     schema = T.StructType(kept.schema.fields + counts.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +119,12 @@ def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", limit:
                 col = part.column(part.schema.get_field_index(text_col))
                 n_bytes = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
                 n_tokens = pa.array(counter.count(pc.fill_null(col, "")), pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, n_bytes, n_tokens], [*part.schema.names, "__n_bytes", "__n_tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns, n_bytes, n_tokens], [*part.schema.names, *names])
 
     out = kept.mapInArrow(tidy(run), schema)
     return out.select(
         *[F.col(f"`{c}`") for c in kept.columns if c not in own],
-        F.col("__n_bytes").alias("n_bytes"),
-        F.col("__n_tokens").alias("n_tokens"),
-        (F.col("__n_tokens") > limit).alias("over_limit"),
+        F.col(names[0]).alias("n_bytes"),
+        F.col(names[1]).alias("n_tokens"),
+        (F.col(names[1]) > limit).alias("over_limit"),
     )

@@ -31,7 +31,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import drop_path, materialise
+from siftline.llm.shared import drop_path, fresh, materialise
 
 #: Whole-number weight of all seeds together; ranks are parts of it.
 UNITS = 10**15
@@ -130,11 +130,12 @@ def judge(pages: DataFrame, rules: dict[str, str], url_col: str = "url", html_co
     rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict") or c in (url_col, html_col)]
     url = F.col(f"`{url_col}`")
     ruled = apply_rules(pages.select(*rest, host_of(url).alias("host"), path_of(url).alias("path")), rules)
-    graph = materialise(blocked_hosts(ruled, rules, threshold, html_col).select("host", F.lit(True).alias("__blocked")), "blocked")
-    verdict = F.when(F.col("__blocked"), F.lit("block")).otherwise(F.lit("allow"))
+    mark = fresh("__blocked", ruled.columns)
+    graph = materialise(blocked_hosts(ruled, rules, threshold, html_col).select("host", F.lit(True).alias(mark)), "blocked")
+    verdict = F.when(F.col(mark), F.lit("block")).otherwise(F.lit("allow"))
     for what in ("allow", "block"):
         verdict = F.when(F.col("rule").isin([r for r, v in rules.items() if v == what]), F.lit(what)).otherwise(verdict)
     bare = ruled.drop(*[c for c in (html_col,) if c in ruled.columns])
     if graph.isEmpty():
         return bare.withColumn("verdict", F.when(F.col("rule").isNull(), F.lit("allow")).otherwise(F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])[F.col("rule")]))
-    return bare.join(graph, "host", "left").withColumn("verdict", verdict).drop("__blocked")
+    return bare.join(graph, "host", "left").withColumn("verdict", verdict).drop(mark)

@@ -235,3 +235,86 @@ def test_language_models_every_label(spark):
     many = spark.range(language.MOST_LABELS + 1).selectExpr("id AS key", "'abc' AS text", "concat('l', id) AS label")
     with pytest.raises(ValueError, match="labels"):
         language.fit(many)
+
+
+def posteriors(rows, languages, table, least=language.LEAST):
+    """Brute force over rows (key, text, address): (language, confidence, kept), from the model's table and the module's constants."""
+    import math
+    import re
+    from collections import Counter
+
+    n, seen, own = len(languages), [], {}
+    letter = lambda b: b + 32 if 65 <= b <= 90 else b
+    for key, text, address in rows:
+        data = [letter(b) for b in (text or "").encode()]
+        data = [b if 97 <= b <= 122 or b >= 128 else 32 for b in data]
+        grams = [(a << 16 | b << 8 | c) for a, b, c in zip(data, data[1:], data[2:]) if (a, b, c) != (32, 32, 32)]
+        classes = [((g * 0x9E3779B97F4A7C15) % (1 << 64)) >> 49 for g in grams]
+        total = [math.fsum(float(table[k][g]) for g in classes) for k in range(n + 1)]
+        weight = min(language.SHARE, language.LIMIT / max(1, len(grams)))
+        score = [(t - max(total[:n])) * weight for t in total[:n]]
+        declared = (re.search(r"""(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([a-z]{2,3})""", text or "") or [None, ""])[1].lower()
+        host = re.match(r"^(?:[^:/?#]+://)?([^/?#:]*)", address or "")[1].lower()
+        suffix = language.SUFFIXES.get(host.rpartition(".")[2]) if "." in host else None
+        for named, trust in ((declared, language.DECLARED), (suffix, language.SUFFIX)):
+            if named in languages:
+                score = [s + math.log(trust if x == named else (1 - trust) / max(1, n - 1)) for s, x in zip(score, languages)]
+        fits = bool(grams) and max(total[:n]) > total[n]
+        shown = fits or declared in languages or (suffix in languages and not grams)
+        own[key] = score, host, shown
+        if shown:
+            seen.append((host, max(range(n), key=lambda k: score[k])))
+    part = lambda host, size: ".".join(host.split(".")[-size:])
+    counts = [Counter((level(h), k) for h, k in seen) for level in (lambda h: "", lambda h: part(h, 1), lambda h: part(h, 2), lambda h: h)]
+    hosts, out = {h for h, _ in seen}, {}
+    for key, (score, host, shown) in own.items():
+        prior = [1 / n] * n
+        if host in hosts:
+            for count, name in zip(counts, ("", part(host, 1), part(host, 2), host)):
+                size = sum(count[name, k] for k in range(n))
+                prior = [(count[name, k] + language.SMOOTHING * prior[k]) / (size + language.SMOOTHING) for k in range(n)]
+        post = [s + math.log(p) for s, p in zip(score, prior)]
+        best = max(range(n), key=lambda k: post[k])
+        confidence = 1 / math.fsum(math.exp(x - post[best]) for x in post)
+        out[key] = languages[best], confidence, shown and round(confidence, 6) >= least
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    """Documents with odd rows, and pages with markup and addresses: every language, confidence and verdict."""
+    from siftline.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    docs = ship(spark).read.parquet(f"{sf}/documents.parquet")
+    odd = [(5000, None, None, "x.de"), (5001, "", None, None), (5002, '<html lang="fr"> the', None, "http://a.b.fr:80/x"), (5003, "the " * 3000, None, "a.b.fr"), (5004, "12", None, "c.at"), (5004, "12", None, "c.at")]
+    rows = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    models = language.fit(rows.selectExpr("doc_id AS key", "text", "lang AS label")), language.fit(docs.selectExpr("doc_id AS key", "text", "lang AS label"))
+    for (languages, table), held, found, key in (
+        (models[0], [tuple(r) for r in rows.select("doc_id", "text", "source").collect()], language.identify(rows.selectExpr("*", "1 AS host", "'x' AS key"), model=models[0]), "doc_id"),
+        (models[1], [tuple(r) for r in pages.select("page_id", "html", "url").collect()], registry.llm_page_languages(spark, sf), "page_id"),
+    ):
+        want, got = posteriors([*{r[0]: r for r in held}.values()] if key == "page_id" else held, languages, table), found.collect()
+        assert len(got) == len(held) and {r[key] for r in got} == set(want)
+        for r in got:
+            name, confidence, kept = want[r[key]]
+            assert abs(r.confidence - confidence) < 1e-4 and r.kept == kept and (r.language == name or abs(confidence - 0.5) < 1e-3)
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    """Operators that add columns to a table: nothing for no rows, other columns pass through, those of the added names are replaced."""
+    rows = H.docs(ship(spark), extra=False).select("doc_id", "text")
+    adding = {
+        "quality": (lambda d: quality.judge(d), ["quality"]),
+        "counts": (lambda d: token_counts.with_token_counts(d, BPE), ["n_bytes", "n_tokens", "over_limit"]),
+        "pieces": (lambda d: pieces.encode(d, PIECE), ["ids", "n_tokens", "decoded", "agrees"]),
+        "benchmark": (lambda d: decontamination.scan(d, bench(spark)), ["contamination"]),
+    }
+    for run, added in adding.values():
+        assert run(rows.limit(0)).count() == 0
+        plain = run(rows).orderBy("doc_id").collect()
+        clash = run(rows.selectExpr("*", *[f"'old' AS {c}" for c in added], "'kept' AS `__t`", "7 AS `other name`", "'kept' AS `__n_tokens`")).orderBy("doc_id")
+        assert sorted(clash.columns) == sorted([*rows.columns, *added, "__t", "other name", "__n_tokens"])
+        got = clash.collect()
+        assert [tuple(r[c] for c in ("doc_id", "text", *added)) for r in got] == [tuple(r[c] for c in ("doc_id", "text", *added)) for r in plain]
+        assert all(r["__t"] == r["__n_tokens"] == "kept" and r["other name"] == 7 for r in got)
