@@ -77,7 +77,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 #: Bytes of text after which a worker gives free memory back; more often costs page faults.
-RELEASE_BYTES = 16 << 20
+RELEASE_BYTES = 8 << 20
 _unreleased = 0
 
 try:

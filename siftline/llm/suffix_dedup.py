@@ -56,9 +56,9 @@ from siftline.llm.wordarrays import Prefix, buffer_of, mix64
 LENGTH = 100
 FIRST = 32
 #: Bytes handled at once; a longer text is cut into overlapping pieces.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Anchors or strings that a task gathers before it sends them on, and rows of a batch that it sends.
-FLUSH = 250_000
+FLUSH = 125_000
 SENT_ROWS = 20_000
 _PLACE = 23  # bits of a position in a piece
 
