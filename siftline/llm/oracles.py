@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from siftline.llm import quality
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -77,8 +79,29 @@ def url_filter(rules: dict[str, str]) -> str:
     SELECT page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHEN (SELECT n FROM linked) > 0 THEN NULL WHEN host IN (FROM spoiled) THEN 'block' ELSE 'allow' END AS verdict FROM judged"""
 
 
+def filter_audit() -> str:
+    """Each document is taken through each order; a filter removes what fails it and none before it."""
+    orders = ", ".join("('{}')".format("".join(p)) for p in permutations("ABCDE"))
+    fails = """(CASE f WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END)"""
+    return f"""
+    WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    judged AS (SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+                      coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM docs LEFT JOIN marks USING (doc_id)),
+    kinds AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL),
+    steps AS (SELECT o AS filter_order, unnest(range(1, 6)) AS step FROM (VALUES {orders}) v(o)),
+    met AS (SELECT k.*, filter_order, step, substr(filter_order, step, 1) AS f, (strpos(filter_order[1:step - 1], 'A') > 0 AND a) OR (strpos(filter_order[1:step - 1], 'B') > 0 AND b)
+              OR (strpos(filter_order[1:step - 1], 'C') > 0 AND c) OR (strpos(filter_order[1:step - 1], 'D') > 0 AND d) OR (strpos(filter_order[1:step - 1], 'E') > 0 AND e) AS gone,
+              CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) AS n_fails FROM kinds k, steps),
+    told AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, f, sum(n) FILTER (NOT gone AND NOT {fails}) AS kept, sum(n) FILTER (NOT gone AND {fails}) AS removed, sum(n) FILTER (gone AND {fails}) AS redundant,
+                    sum(n) FILTER ({fails} AND n_fails = 1) AS unique_fails, sum(good) FILTER (NOT gone AND {fails}) AS good_lost, sum(toxic) FILTER (NOT gone AND {fails}) AS toxic_lost FROM met GROUP BY part, filter_order, step, f)
+    SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+           coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM told"""
+
+
 def oracle_sql(url_rules: dict[str, str]) -> dict[str, str]:
     return {
+        "op11_filter_audit": filter_audit(),
         "op1_decontamination": decontamination(),
         "op3_quality_rules": quality_rules(),
         "op6_url_filter": url_filter(url_rules),

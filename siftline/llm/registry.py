@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontamination, language, oracles, pieces, quality, shingle_join, suffix_dedup, token_counts, token_files, url_filter
+from siftline.llm import chat, decontamination, filter_audit, language, mixing, oracles, pieces, quality, shingle_join, suffix_dedup, token_counts, token_files, url_filter
+from siftline.llm.shared import Scratch
 from siftline.session import table
 
 
@@ -100,8 +101,20 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as block:
+        mix = mixing.Mix(table(spark, sf_dir, "documents"))
+        return block.keep(mix.taken().withColumnRenamed("key", "doc_id"))
+
+
 def queries() -> dict:
     return {
+        "op11_filter_audit": op11_filter_audit,
+        "op12_mixing": op12_mixing,
         "op1_decontamination": op1_decontamination,
         "op7_token_files": op7_token_files,
         "op2_language_id": op2_language_id,
