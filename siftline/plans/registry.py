@@ -314,7 +314,7 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
-def _sql_found(source: str, key: str, text: str, prefix: str, rules: list[Rule], extra: str = "") -> str:
+def sql_found(source: str, key: str, text: str, prefix: str, rules: list[Rule], extra: str = "") -> str:
     """A CTE ``found`` that finds the rules' matches with offsets, in DuckDB."""
     values = ", ".join("('{}', '{}', {}, '{}', '{}')".format(r.id, r.severity, r.severity_rank, r.category or "uncategorized", r.regex.replace("'", "''")) for r in rules)
     return f"""
@@ -328,10 +328,18 @@ def _sql_found(source: str, key: str, text: str, prefix: str, rules: list[Rule],
                      length(string_split(t[1:CAST(off AS BIGINT)], chr(10))[-1]) + 1 AS start_column, CAST(i AS INTEGER) AS ord, m[i + 1] AS match_text{extra} FROM placed)"""
 
 
+#: FNV-1a in DuckDB, over the hexadecimal digits of a text's bytes.
+FNV_SQL = (
+    "(SELECT lpad(lower(printf('%x', CAST(h // 4294967296 AS BIGINT))), 8, '0') || lpad(lower(printf('%x', CAST(h % 4294967296 AS BIGINT))), 8, '0') FROM (SELECT "
+    "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(length({0}) // 2), lambda i: ((strpos('0123456789ABCDEF', {0}[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', {0}[2 * i + 2]) - 1)::UHUGEINT)), "
+    "lambda h, x: ((h - h % 256 + xor(h % 256, x)) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h))"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    docs = "WITH " + _sql_found("documents", "doc_id", "text", "documents/", prose_rules(), ", trim(string_split(t, chr(10))[len(string_split(t[1:CAST(off AS BIGINT)], chr(10)))], ' ' || chr(9) || chr(13)) AS code_snippet")
-    pages = lambda rule: "WITH " + _sql_found("pages", "page_id", "html", "pages/", [rule])
-    nested = "WITH " + _sql_found("documents", "doc_id", "text", "documents/", _NESTED)
+    docs = "WITH " + sql_found("documents", "doc_id", "text", "documents/", prose_rules(), ", trim(string_split(t, chr(10))[len(string_split(t[1:CAST(off AS BIGINT)], chr(10)))], ' ' || chr(9) || chr(13)) AS code_snippet")
+    pages = lambda rule: "WITH " + sql_found("pages", "page_id", "html", "pages/", [rule])
+    nested = "WITH " + sql_found("documents", "doc_id", "text", "documents/", _NESTED)
     byte = "list_transform(range(octet_length(encode({0}))), lambda i: ((strpos('0123456789ABCDEF', hex(encode({0}))[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hex(encode({0}))[2 * i + 2]) - 1)::UHUGEINT)"
     fold = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, " + byte + "), lambda h, x: ((h - h % 256 + xor(h % 256, x)) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
     known = docs + ", print AS (SELECT *, rule_id || chr(0) || path || chr(0) || regexp_replace(code_snippet, '\\s+', ' ', 'g') AS fp FROM found), base AS (SELECT DISTINCT fp FROM print WHERE k % 2 = 0)"
@@ -371,7 +379,7 @@ def oracle_sql() -> dict[str, str]:
         "sarif_levels": docs + " SELECT CASE WHEN severity_rank >= 3 THEN 'error' WHEN severity_rank = 2 THEN 'warning' ELSE 'note' END AS level, count(*) AS findings FROM found GROUP BY 1",
         "enclosing_spans": "WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS f, c_custkey % 50 AS a, c_custkey % 97 + 1 AS n, c_custkey AS span FROM customer) SELECT CAST(s_nationkey AS BIGINT) AS file_id, s_suppkey AS at, coalesce((SELECT span FROM s WHERE f = s_nationkey AND a <= s_suppkey AND s_suppkey < a + n ORDER BY n, span LIMIT 1), -1) AS span FROM supplier",
         "scan_pattern_findings": docs + " SELECT rule_id, severity, path, start_char, start_byte, start_line, start_column, start_column + strlen(match_text) AS end_column, ord, match_text FROM found",
-        "scan_unicode_words": "WITH " + _sql_found("documents", "doc_id", "text", "documents/", [replace(_ACCENTED, regex=r"[éèñü][\pL\pM\p{Nd}\p{Pc}]+")]) + " SELECT path, ord, start_char, start_byte, start_line, match_text FROM found",
+        "scan_unicode_words": "WITH " + sql_found("documents", "doc_id", "text", "documents/", [replace(_ACCENTED, regex=r"[éèñü][\pL\pM\p{Nd}\p{Pc}]+")]) + " SELECT path, ord, start_char, start_byte, start_line, match_text FROM found",
         "code_symbols": modules + defined + " SELECT path, name, 'function' AS kind, CAST(n AS BIGINT) AS line, true AS has_body FROM defined",
         "code_imports": modules + bound + " SELECT k AS file_id, local, local AS original, target FROM bound",
         "code_call_edges": modules + bound + defined + called + " SELECT c.k AS file_id, CAST(c.n AS BIGINT) AS line, callee AS callee_text, CASE WHEN d.name IS NOT NULL THEN 'import' END AS how, d.path AS callee_path FROM called c LEFT JOIN bound b ON b.k = c.k AND b.local = c.callee LEFT JOIN defined d ON d.name = b.local AND d.path = b.target || '.py'",
@@ -380,7 +388,7 @@ def oracle_sql() -> dict[str, str]:
         "taint_findings": flow + " SELECT 'python.security.ssrf' AS rule_id, c.path, CAST(c.n AS BIGINT) AS start_line, CAST(g.n AS BIGINT) AS source_line, 'Tainted data from ' || g.v || ' (source at line ' || g.n || ') reached ' || c.name || '(...) reaches sink requests.get(.' AS message FROM calls c JOIN given g ON g.k = c.k AND g.f = c.f AND g.v = c.a AND g.n < c.n JOIN sinks s ON s.k = c.k AND s.name = c.name",
         "scan_pages": pages(_INLINE) + " SELECT rule_id, path, start_line, start_column, match_text FROM found",
         "scan_not_regex": pages(_NO_TRACK) + " SELECT rule_id, path, start_line, start_column FROM found WHERE NOT regexp_matches(string_split(t, chr(10))[start_line], 'track\\([0-9]*[05]\\)')",
-        "scan_conversations": "WITH " + _sql_found("conversations", "conv_id || '/' || turn", "text", "conversations/", [Rule(id="chat.repeat", severity="info", languages=("text",), regex=r"(?:the the|la la|die die|und und|of of) [a-z]+")]) + " SELECT path, ord, start_char, start_line, match_text FROM found",
+        "scan_conversations": "WITH " + sql_found("conversations", "conv_id || '/' || turn", "text", "conversations/", [Rule(id="chat.repeat", severity="info", languages=("text",), regex=r"(?:the the|la la|die die|und und|of of) [a-z]+")]) + " SELECT path, ord, start_char, start_line, match_text FROM found",
         "findings_snippet_line": docs + " SELECT rule_id, path, ord, start_line, code_snippet FROM found",
         "language_rule_applicability": f"SELECT rule_id, d.lang AS lang, count(*) AS files FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN 'tsx' ELSE lang END AS lang FROM documents) d JOIN (VALUES {values}, ('only.typescript', 'tsx')) r(rule_id, lang) ON d.lang = r.lang GROUP BY ALL",
         "category_rollup_zero_fill": docs + f", loaded AS (SELECT category, count(*) AS rules FROM (VALUES {zero}) v(category) GROUP BY 1), hit AS (SELECT category, count(*) AS findings FROM found GROUP BY 1) SELECT coalesce(l.category, h.category) AS category, coalesce(rules, 0) AS rules, coalesce(findings, 0) AS findings FROM loaded l FULL JOIN hit h ON l.category = h.category",

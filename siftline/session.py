@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from pathlib import Path
 
@@ -51,8 +52,59 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+class _Blocks(threading.local):
+    """Blocks open in a thread of the driver, the innermost last."""
+
+    def __init__(self):
+        self.open: list[Scratch] = []
+
+
+_BLOCKS = _Blocks()
+
+
+class Scratch:
+    """Tables that this thread writes inside the block go at its end, but for those given to :meth:`keep`."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+
+    def __enter__(self) -> Scratch:
+        _BLOCKS.open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes a result that outlives the block; an enclosing block may drop it in turn."""
+        out = written(df, "kept")
+        self.paths.discard(out.scratch_path)
+        if len(_BLOCKS.open) > 1:
+            _BLOCKS.open[-2].paths.add(out.scratch_path)
+        return out
+
+    def __exit__(self, *_) -> None:
+        _BLOCKS.open.pop()
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no one else uses; an open block drops what comes to stand there."""
+    path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
+    if _BLOCKS.open:
+        _BLOCKS.open[-1].paths.add(path)
+    return path
+
+
+def written(df: DataFrame, name: str = "engine") -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/siftline/engine-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of the shared place."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
