@@ -108,6 +108,11 @@ def _joined_path(base: Column, relative: Column) -> Column:
 
 def imports(all_: DataFrame) -> DataFrame:
     """(file_id, local, original, target): target is the stem that a module path names, seen from its file."""
+    return _bindings(all_).drop("exact").distinct()
+
+
+def _bindings(all_: DataFrame) -> DataFrame:
+    """:func:`imports`, with the path that an import names where it gives an extension."""
     module = F.col("detail")
     dots = F.length(F.regexp_extract(module, r"^\.*", 0))
     rest = F.replace(F.regexp_replace(module, r"^\.+", ""), F.lit("."), F.lit("/"))
@@ -115,7 +120,31 @@ def imports(all_: DataFrame) -> DataFrame:
     python = _joined_path(F.col("path"), relative)
     script = F.when(module.startswith("."), _joined_path(F.col("path"), F.regexp_replace(module, r"\.(js|jsx|ts|tsx|mjs|cjs)$", ""))).otherwise(module)
     target = F.when(F.col("language") == "python", python).otherwise(script)
-    return all_.filter("kind = 'import'").select("file_id", F.col("name").alias("local"), F.col("other").alias("original"), _stem(target).alias("target")).distinct()
+    return all_.filter("kind = 'import'").select("file_id", F.col("name").alias("local"), F.col("other").alias("original"), _stem(target).alias("target"), F.when(module.startswith("."), _joined_path(F.col("path"), module)).alias("exact")).distinct()
+
+
+# Extensions that an import without one may mean, in order; of each the file itself comes before the index file of a folder.
+IMPORTED = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "py", "pyw")
+
+
+def import_files(all_: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, local, original, target_file, target_path, rank): the file that each import means; ``files``: file_id, path.
+
+    Files meet imports at their path without extension and index name, so an import meets only the few that it may mean; the
+    least rank is kept; a file that an import names with its extension comes first.  Where there is none, a file beside the importing one counts that has the last name of the import.
+    """
+    own = _bindings(all_).join(files.select("file_id", F.col("path").alias("from")), "file_id")
+    extension = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
+    index = F.col("path").rlike(r"/(index|__init__)\.[A-Za-z0-9]+$")
+    order = F.create_map(*[F.lit(x) for i, e in enumerate(IMPORTED) for x in (e, 2 * i)])[extension]
+    known = files.select(F.col("file_id").alias("target_file"), F.col("path").alias("target_path"), _stem(F.col("path")).alias("target"), (order + index.cast("int")).alias("rank"))
+    exact = known.filter("rank IS NOT NULL").join(own, "target").select("file_id", "local", "original", "target_file", "target_path", F.when(F.col("target_path") == F.col("exact"), -1).otherwise(F.col("rank")).alias("rank"))
+    folder, last = lambda p: F.regexp_replace(p, r"/?[^/]*$", ""), lambda p: F.regexp_extract(p, r"([^/]*)$", 1)
+    beside = files.groupBy(folder(F.col("path")).alias("folder"), F.regexp_replace(last(F.col("path")), r"\.[^.]*$", "").alias("stem")).agg(F.min(F.struct("path", "file_id")).alias("b"))
+    near = own.withColumns({"folder": folder(F.col("from")), "stem": last(F.col("target"))}).join(beside, ["folder", "stem"])
+    near = near.select("file_id", "local", "original", F.col("b.file_id").alias("target_file"), F.col("b.path").alias("target_path"), F.lit(2 * len(IMPORTED)).alias("rank"))
+    least = exact.unionByName(near).groupBy("file_id", "local", "original").agg(F.min(F.struct("rank", "target_path", "target_file")).alias("m"))
+    return least.select("file_id", "local", "original", "m.target_file", "m.target_path", "m.rank")
 
 
 def ancestors(all_: DataFrame) -> DataFrame:
@@ -136,31 +165,35 @@ def ancestors(all_: DataFrame) -> DataFrame:
     return known.unionByName(edge)
 
 
-def edges(corpus: DataFrame, all_: DataFrame | None = None) -> DataFrame:
+def edges(corpus: DataFrame, all_: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
     """(edge_id, file_id, line, caller_symbol, callee_text, callee_symbol, how): calls with what they resolve to.
 
+    ``calls`` (file_id, name) narrows it to calls of these names in these files.
+
     First of: the import that binds a plain name, the namespace a method is
     called on, the declared type of the receiver (then its ancestors, then
     classes below it), and any symbol of that name, one of the same file first.
     """
     all_ = all_ if all_ is not None else written(facts(corpus))
     syms = written(symbols(all_))
-    calls = all_.filter("kind = 'call'").select(F.xxhash64("file_id", "start", "detail").alias("edge_id"), "file_id", "line", "name", F.col("detail").alias("callee_text"), F.col("other").alias("held"), "owner", "owner_line")
+    made = all_.filter("kind = 'call'")
+    made = made if calls is None else made.join(calls, ["file_id", "name"], "left_semi")
+    calls = made.select(F.xxhash64("file_id", "start", "detail").alias("edge_id"), "file_id", "line", "name", F.col("detail").alias("callee_text"), F.col("other").alias("held"), "owner", "owner_line")
     callers = syms.groupBy("file_id", F.col("line").alias("owner_line"), F.col("name").alias("owner")).agg(F.max_by("symbol_id", "start").alias("caller_symbol"))
     calls = written(calls.join(callers, ["file_id", "owner_line", "owner"]).dropDuplicates(["edge_id"]))
-    bound = imports(all_)
-    by_stem = syms.select(_stem(F.col("path")).alias("target"), F.col("name").alias("symbol_name"), "symbol_id")
+    bound = written(import_files(all_, corpus.select("file_id", "path")))
+    in_file = syms.groupBy(F.col("file_id").alias("target_file"), F.col("name").alias("symbol_name")).agg(F.min_by("symbol_id", "start").alias("symbol_id"))
 
     named = calls.filter("held IS NULL").join(bound.filter("original != '*'"), (calls["file_id"] == bound["file_id"]) & (calls["name"] == bound["local"]))
-    named = named.select("edge_id", "target", F.explode(F.array_distinct(F.array("original", "local"))).alias("symbol_name"), (F.col("symbol_name") == F.col("original")).alias("first"))
+    named = named.select("edge_id", "target_file", F.explode(F.array_distinct(F.array("original", "local"))).alias("symbol_name"), (F.col("symbol_name") == F.col("original")).alias("first"))
     spaced = calls.filter("held IS NOT NULL").join(bound, (calls["file_id"] == bound["file_id"]) & (calls["held"] == bound["local"]))
-    spaced = spaced.select("edge_id", "target", F.col("name").alias("symbol_name"), F.lit(True).alias("first"))
+    spaced = spaced.select("edge_id", "target_file", F.col("name").alias("symbol_name"))
 
     def best(found: DataFrame, how: str, rank: int) -> DataFrame:
         return found.groupBy("edge_id").agg(F.min(F.struct(*[c for c in found.columns if c not in ("edge_id", "symbol_id")], "symbol_id")).alias("b")).select("edge_id", F.lit(rank).alias("rank"), F.lit(how).alias("how"), "b.symbol_id")
 
-    by_import = best(named.join(by_stem, ["target", "symbol_name"]).select("edge_id", (~F.col("first")).alias("late"), "symbol_id"), "import", 0)
-    by_space = best(spaced.join(by_stem, ["target", "symbol_name"]).select("edge_id", "symbol_id"), "namespace", 1)
+    by_import = best(named.join(in_file, ["target_file", "symbol_name"]).select("edge_id", (~F.col("first")).alias("late"), "symbol_id"), "import", 0)
+    by_space = best(spaced.join(in_file, ["target_file", "symbol_name"]).select("edge_id", "symbol_id"), "namespace", 1)
 
     types = all_.filter("kind = 'type'").select("file_id", F.col("owner_line").alias("type_line"), F.col("name").alias("held"), F.col("detail").alias("type"))
     typed = calls.join(types, ["file_id", "held"]).filter("type_line = owner_line OR type_line = 0")
@@ -171,8 +204,11 @@ def edges(corpus: DataFrame, all_: DataFrame | None = None) -> DataFrame:
     by_type = typed.join(up.unionByName(down), "type").join(qualified, ["ancestor", "name"]).select("edge_id", "bare", "wide", "depth", "symbol_id")
     by_type = best(by_type, "type", 2)
 
-    anywhere = calls.select("edge_id", "name", F.col("file_id").alias("f")).join(syms.select("name", "file_id", "symbol_id", "path", "start"), "name")
-    by_name = best(anywhere.select("edge_id", (F.col("f") != F.col("file_id")).alias("elsewhere"), "path", "start", "symbol_id"), "name", 3)
+    # One symbol a name, and one a name and file, are chosen before any call meets them: no name brings all its pairs.
+    first = F.min(F.struct("path", "start", "symbol_id"))
+    anywhere, here = syms.groupBy("name").agg(first.alias("any")), syms.groupBy("name", "file_id").agg(first.alias("here"))
+    met = calls.select("edge_id", "name", "file_id").join(anywhere, "name").join(here, ["name", "file_id"], "left")
+    by_name = met.select("edge_id", F.lit(3).alias("rank"), F.lit("name").alias("how"), F.coalesce("here.symbol_id", "any.symbol_id").alias("symbol_id"))
 
     every = by_import.unionByName(by_space).unionByName(by_type).unionByName(by_name)
     chosen = every.groupBy("edge_id").agg(F.min(F.struct("rank", "how", "symbol_id")).alias("c"))

@@ -1,340 +1,229 @@
-"""Data flow from sources to sinks, within functions and across files.
-
-A function is summarised by few bits: whether it returns tainted data with
-nothing bound, and which of its parameters (or none, -1) reach a sink.  One
-pass over the files gives their own summaries and the names they call; rounds
-close them, each over the files only that call a function of which they don't
-yet know all, until no file is left.  Then one walk reports findings, of files
-that hold a sink or call what reaches one.  Candidates of a call are all
-functions of its name, an import's original name included.
+"""Data flow from sources to sinks, within functions and across files, as joins.
+
+``operators.flow`` tells what each value is made of.  Here the texts of those
+rows are held against the rules once, and two closures follow: forward from
+sources (which values are tainted, since which line) and backward from sinks
+(which parameters reach one).  Both start from few rows and carry on only what
+a round has added, so a round reads the edges and moves little.  A finding is a
+sink that tainted data reaches, or a call that hands it to a function from
+which it reaches one.
+
+A call means the functions of its name in its own file, those that the code
+graph resolves it to, and all others of that name, an import's original name
+included; of these the first that reaches a sink is named.  The graph is asked
+only about names that several files define and the caller's own doesn't.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as X
-from siftline.operators import match
+from siftline.operators import flow, match
 from siftline.operators.findings import innermost
-from siftline.session import ship, spread, written
+from siftline.session import Scratch, ship, spread, written
 from siftline.sources import syntax as S
 from siftline.sources.packs import Rule
 
-#: (name, position): a parameter; position -1 says that no parameter is needed.
-Reach = dict[tuple[str, int], str]
-
-
-class Walker:
-    """One rule in one file; summaries of functions elsewhere come in by name."""
-
-    def __init__(self, tree: S.Tree, rule: Rule, returns: set[str], reach: Reach):
-        self.tree, self.rule, self.returns, self.reach = tree, rule, set(returns), dict(reach)
-        f = tree.family
-        self.methods, self.calls, self.assigns = S.METHODS[f], S.CALLS[f], S.ASSIGNMENTS[f]
-        self.declares = (*S.DECLARATIONS[f], "variable_declaration") if f == "javascript" else S.DECLARATIONS[f]
-        self.functions = [n for n in tree.root.walk() if n.kind in self.methods and n.name]
-        self.alias = {}
-        for n in tree.root.walk():
-            if n.kind == "import_specifier":
-                local, _, original = n.name.partition("=")
-                self.alias[local] = original
-        self.tainted: set[str] = set()
-        self.origin: dict[str, int] = {}
-        self.touched: set[str] = set()
-        self.found: list[tuple] = []
-
-    # What expressions carry.
-
-    def names(self, text: str) -> list[str]:
-        bare = X.strip_string_literals(text) if any(q in text for q in "\"'`") else text
-        return sorted(v for v in self.tainted if X.contains_identifier(bare, v))
-
-    def source_in(self, text: str) -> bool:
-        return any(s in text for s in self.rule.sources)
-
-    def is_tainted(self, text: str) -> bool:
-        if self.source_in(text) or self.names(text):
-            return True
-        call = X.parse_call(text)
-        return call is not None and (any(self.is_tainted(a) for a in call[1]) or call[0] in self.returns or self.alias.get(call[0]) in self.returns)
-
-    def sink_in(self, text: str) -> str | None:
-        return next((s for s in self.rule.sinks if s in text), None)
-
-    def bound_query(self, text: str) -> bool:
-        """Whether the first argument is one quoted literal with placeholders: values are bound, not spliced."""
-        call = X.parse_call(text)
-        if not call or not call[1]:
-            return False
-        first = call[1][0]
-        return len(first) > 1 and first[0] in "\"'" and first[-1] == first[0] and first[0] not in first[1:-1] and X.has_placeholder(first) and not self.is_tainted(first)
-
-    def reached(self, text: str) -> tuple[str, str] | None:
-        """(name, sink) if a function that a call names carries what is given to it into a sink."""
-        call = X.parse_call(text)
-        if not call:
+#: Position of a function that leads to a sink from a source of its own, whatever it is given.
+OWN = -1
+NODE = ["file_id", "node", "rule"]
+
+
+def _first(text: Column, strings: tuple[str, ...]) -> Column:
+    """The first of some strings that a text holds."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(s)), s) for s in strings], F.lit(None).cast("string"))
+
+
+def _rules(rules: list[tuple[int, Rule]], attribute: str, text: Column) -> Column:
+    """Rules of a row's language of which some string of an attribute is in a text; their ordinals."""
+    own = [F.when(_language(r) & _first(text, getattr(r, attribute)).isNotNull(), F.lit(i)) for i, r in rules]
+    return F.array_compact(F.array(*own))
+
+
+def _language(rule: Rule) -> Column:
+    return F.col("language").isin([x for x in dict.fromkeys(S.EXTENSIONS.values()) if rule.applies(x)])
+
+
+class Flow:
+    """The flow tables of a corpus under some rules."""
+
+    def __init__(self, files: DataFrame, rules: list[Rule], facts: DataFrame | None = None):
+        self.rules = [(i, r) for i, r in enumerate(rules) if r.capability == "taint" and r.sources and r.sinks]
+        self.files, self.facts = files, facts
+        self.nodes = written(self._judged())
+        nodes = self.nodes
+        made = nodes.filter(F.col("kind").isin(flow.DEF, flow.PARAM)).select("file_id", F.col("node").alias("def"), F.col("kind").alias("def_kind"), F.col("fn").alias("def_fn"), F.col("pos").alias("def_pos"), F.col("clean").alias("def_clean"))
+        used = nodes.select("file_id", "node", "kind", "fn", "line", "clean", F.explode("uses").alias("u")).select("*", "u.def", "u.counts", "u.var").drop("u")
+        #: A row for each definition that reaches a use, with what both of them are.
+        self.edges = written(used.join(made, ["file_id", "def"]))
+        self.functions = nodes.filter(F.col("kind") == flow.FUNCTION).select("file_id", "fn", "name", "path")
+        self.calls = nodes.select("file_id", "node", "kind", "fn", "line", "clean", "applicable", F.explode("calls").alias("name"))
+        names = F.explode(F.array_distinct(F.array_compact(F.array("name", "other"))))
+        self.args = nodes.filter(F.col("kind") == flow.ARG).select("file_id", "node", "pos", "of", "applicable", F.transform("sinks", lambda s: s["rule"]).alias("blocked"), F.col("name").alias("shown"), names.alias("name"))
+        self.sites = nodes.filter(F.col("kind") == flow.CALL).select("file_id", "node", "fn", "start", F.transform("sinks", lambda s: s["rule"]).alias("blocked"), F.col("name").alias("shown"), names.alias("name"))
+        self.resolved = self._resolved()
+
+    def _judged(self) -> DataFrame:
+        """The rows of the files with what rules say of their texts, instead of the texts; rows that nothing can flow through go."""
+        rows = flow.values(self.files, [x for x in dict.fromkeys(S.EXTENSIONS.values()) if any(r.applies(x) for _, r in self.rules)])
+        text, kind, none = F.col("source_text"), F.col("kind"), F.array().cast("array<int>")
+        given = _rules(self.rules, "param_annotations", text)
+        source = F.when(kind == flow.PARAM, given).when(kind == flow.FUNCTION, none).otherwise(_rules(self.rules, "sources", text))
+        sinks = [F.when(_language(r), F.struct(F.lit(i).alias("rule"), _first(F.col("sink_text"), r.sinks).alias("sink"))) for i, r in self.rules]
+        judged = rows.select(
+            *[c for c in rows.columns if not c.endswith("_text")],
+            source.alias("source"),
+            F.when(kind == flow.DEF, _rules(self.rules, "sanitizers", text)).otherwise(none).alias("clean"),
+            F.filter(F.array_compact(F.array(*sinks)), lambda s: s["sink"].isNotNull()).alias("sinks"),
+            F.array_compact(F.array(*[F.when(_language(r), F.lit(i)) for i, r in self.rules])).alias("applicable"),
+        )
+        return judged.filter(kind.isin(flow.FUNCTION, flow.PARAM) | (F.size("uses") + F.size("calls") + F.size("source") > 0))
+
+    def _resolved(self) -> DataFrame | None:
+        """(file_id, name, callee_file, callee_fn) of calls whose name several functions have, none of them in the same file."""
+        from siftline.operators import graph
+
+        several = self.functions.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
+        away = self.sites.select("file_id", "name", "shown").distinct().join(several, "name", "left_semi").join(self.functions.select("file_id", "name"), ["file_id", "name"], "left_anti")
+        away = written(away)
+        if away.isEmpty():
             return None
-        for name in (call[0], self.alias.get(call[0])):
-            if name is None:
-                continue
-            if (name, -1) in self.reach and self.is_tainted(text):
-                return call[0], self.reach[name, -1]
-            for i, a in enumerate(call[1]):
-                if (name, i) in self.reach and self.is_tainted(a):
-                    return call[0], self.reach[name, i]
-        return None
-
-    # Statements.
-
-    def assign(self, target: str, value: S.Node | None) -> None:
-        self.touched.add(target)
-        text = self.tree.text(value) if value is not None else ""
-        if value is None or any(s in text for s in self.rule.sanitizers) or not self.is_tainted(text):
-            self.tainted.discard(target)
-            self.origin.pop(target, None)
-            return
-        own = self.tree.line(value.start)
-        known = [self.origin[v] for v in self.names(text) if v in self.origin]
-        self.tainted.add(target)
-        self.origin[target] = own if self.source_in(text) or not known else min(known)
-
-    def step(self, n: S.Node) -> bool:
-        """Effects of a declaration or assignment; whether the node was one."""
-        if n.kind in self.declares:
-            self.assign(n.name, n.fields.get("value"))
-            return True
-        if n.kind in self.assigns and "left" in n.fields:
-            self.assign(self.tree.text(n.fields["left"]).strip(), n.fields.get("right"))
-            return True
-        return False
-
-    def walk(self, n: S.Node, depth: int = 0) -> None:
-        if depth > S.DEPTH:
-            return
-        if n.kind in self.methods:
-            saved = set(self.tainted), dict(self.origin), set(self.touched)
-            self.annotated(n)
-            self.inside(n, depth)
-            self.tainted, self.origin, self.touched = saved
-        elif n.kind == "if_statement":
-            self.branch(n, depth)
-        elif n.kind in S.LOOPS:
-            tainted, origin = set(self.tainted), dict(self.origin)
-            self.inside(n, depth)
-            self.tainted |= tainted
-            self.origin = origin | self.origin
-        else:
-            if self.step(n):
-                if n.kind in self.assigns and (sink := self.sink_in(self.tree.text(n))) and self.is_tainted(self.tree.text(n.fields["right"])):
-                    self.report(n, sink)
-            elif n.kind in self.calls:
-                text = self.tree.text(n)
-                if sink := self.sink_in(text):
-                    if self.is_tainted(text) and not self.bound_query(text):
-                        self.report(n, sink)
-                elif got := self.reached(text):
-                    self.report(n, f"{got[0]}(...) reaches sink {got[1]}")
-            self.inside(n, depth)
-
-    def inside(self, n: S.Node, depth: int) -> None:
-        for c in n.children:
-            self.walk(c, depth + 1)
-
-    def branch(self, n: S.Node, depth: int) -> None:
-        """Both branches from the entry state; a variable either branch has set keeps either's taint."""
-        entry, origin, outer = set(self.tainted), dict(self.origin), set(self.touched)
-        states = []
-        for part in ("consequence", "alternative"):
-            self.tainted, self.origin, self.touched = set(entry), dict(origin), set()
-            if part in n.fields:
-                self.walk(n.fields[part], depth + 1)
-            states.append((self.tainted, self.origin, self.touched))
-        touched = states[0][2] | states[1][2]
-        self.tainted = {v for v in entry if v not in touched} | {v for t, _, _ in states for v in t}
-        self.origin = origin | states[1][1] | states[0][1]
-        self.touched = outer | touched
-
-    def annotated(self, n: S.Node) -> None:
-        if self.tree.family != "java" or "parameters" not in n.fields:
-            return
-        for p in n.fields["parameters"].children:
-            if p.name and any(a in self.tree.text(p) for a in self.rule.param_annotations):
-                self.tainted.add(p.name)
-                self.origin[p.name] = self.tree.line(p.start)
-
-    def report(self, n: S.Node, sink: str) -> None:
-        text = self.tree.text(n)
-        names = self.names(text)
-        lines = [self.origin[v] for v in names if v in self.origin]
-        if self.source_in(text):
-            lines.append(self.tree.line(n.start))
-        self.found.append((n.start, n.end, ", ".join(names) or "tainted expression", sink, min(lines, default=None)))
-
-    # Summaries.
-
-    def body(self, n: S.Node) -> Iterator[S.Node]:
-        """Nodes of a function's body in order, without functions inside it."""
-        for c in n.children:
-            if c.kind not in self.methods:
-                yield c
-                yield from self.body(c)
-
-    def summary(self, n: S.Node, bound: str | None) -> tuple[bool, str | None]:
-        """(returns tainted data, sink reached) of a function with one parameter tainted, or none; a linear pass."""
-        self.tainted, self.origin, self.touched = ({bound} if bound else set()), {}, set()
-        returns, reached = False, None
-        if n.fields.get("body") is not None and n.fields["body"].kind == "expression":
-            returns = self.is_tainted(self.tree.text(n.fields["body"]))
-        for x in self.body(n):
-            if self.step(x):
-                if x.kind in self.assigns and (sink := self.sink_in(self.tree.text(x))) and self.is_tainted(self.tree.text(x.fields["right"])):
-                    reached = reached or sink
-            elif x.kind == "return_statement":
-                value = self.tree.text(x).removeprefix("return")
-                returns = returns or self.is_tainted(value)
-            elif x.kind in self.calls:
-                text = self.tree.text(x)
-                sink = self.sink_in(text)
-                if sink and self.is_tainted(text) and not self.bound_query(text):
-                    reached = reached or sink
-                elif not sink and (got := self.reached(text)):
-                    reached = reached or got[1]
-        return returns, reached
-
-    def summarise(self) -> tuple[set[str], Reach]:
-        """Summaries of the file's functions, closed within the file."""
-        while True:
-            before = len(self.returns), len(self.reach)
-            for n in self.functions:
-                returns, sink = self.summary(n, None)
-                if returns:
-                    self.returns.add(n.name)
-                if sink:
-                    self.reach.setdefault((n.name, -1), sink)
-                for i, p in enumerate(n.fields["parameters"].children if "parameters" in n.fields else []):
-                    if p.name and (n.name, i) not in self.reach:
-                        _, sink = self.summary(n, p.name)
-                        if sink:
-                            self.reach[n.name, i] = sink
-            if (len(self.returns), len(self.reach)) == before:
-                break
-        own = {n.name for n in self.functions}
-        return self.returns & own, {k: v for k, v in self.reach.items() if k[0] in own}
-
-
-#: Position of a summary that says that a function returns tainted data, and of a row that says that a file calls a name.
-RETURNS, CALLS = -2, -3
-_KNOWN = "array<struct<rule_ord:int,name:string,pos:int,sink:string>>"
-_FACT = "file_id long, rule_ord int, name string, pos int, sink string"
-
-
-def _applicable(rules: list[Rule], language: str) -> list[tuple[int, Rule]]:
-    return [(i, r) for i, r in enumerate(rules) if r.capability == "taint" and r.sources and r.sinks and r.applies(language)]
-
-
-def _walker(tree: S.Tree, i: int, rule: Rule, known: list | None) -> Walker:
-    mine = [k for k in known or [] if k["rule_ord"] == i]
-    return Walker(tree, rule, {k["name"] for k in mine if k["pos"] == RETURNS}, {(k["name"], k["pos"]): k["sink"] for k in mine if k["pos"] > RETURNS})
-
-
-def _files(batch: pa.RecordBatch, rules: list[Rule]) -> Iterator[tuple[int, str, str, list, S.Tree, list | None]]:
-    """(file_id, path, language, rules, tree, what is known) of files that have rules; each is parsed once."""
-    for file_id, path, language, text, known in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-        own = _applicable(rules, language)
-        if own and text is not None:
-            yield file_id, path, language, own, S.Tree(text, language), known
-
-
-def _calls(tree: S.Tree) -> set[str]:
-    """Names that a file calls, and what it imports, under both of its names."""
-    found = {n.name or tree.text(n).split("(")[0].rsplit(".", 1)[-1] for n in tree.root.walk() if n.kind in S.CALLS[tree.family]}
-    return found | {x for n in tree.root.walk() if n.kind == "import_specifier" for x in n.name.split("=")}
-
-
-def _facts(files: DataFrame, rules: list[Rule], with_calls: bool) -> DataFrame:
-    """Summaries of each file's functions, given what is known, and at will the names that it calls."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for file_id, _, _, own, tree, known in _files(batch, rules):
-                text = tree.source
-                if with_calls:
-                    rows += [(file_id, None, n, CALLS, "") for n in sorted(_calls(tree))]
-                for i, r in own:
-                    if known or any(x in text for x in (*r.sources, *r.sinks)):  # else nothing to summarise
-                        returns, reach = _walker(tree, i, r, known).summarise()
-                        rows += sorted((file_id, i, n, RETURNS, "") for n in returns) + sorted((file_id, i, n, p, s) for (n, p), s in reach.items())
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)], ["file_id", "rule_ord", "name", "pos", "sink"])
-
-    return files.mapInArrow(run, _FACT)
-
-
-def summaries(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(file_id, known): the closed summaries of the functions that each file calls."""
-    unknown = F.lit(None).cast(_KNOWN).alias("known")
-    facts = written(_facts(files.select("*", unknown), rules, True))
-    called = facts.filter(F.col("pos") == CALLS).select("file_id", "name")
-    own = facts.filter(F.col("pos") != CALLS)
-    key = ["rule_ord", "name", "pos"]
-    while True:
-        known = written(own.groupBy(*key).agg(F.min("sink").alias("sink")))
-        needed = called.join(known, "name")
-        # What a file has found out itself is not news to it.
-        news = needed.join(own.select("file_id", *key).distinct(), ["file_id", *key], "left_anti")
-        seen = written(news.select("file_id", *key))
-        if seen.isEmpty():
-            break
-        behind = _with_known(files.join(seen.select("file_id").distinct(), "file_id", "left_semi").select(*files.columns), needed)
-        more = _facts(behind, rules, False).unionByName(seen.withColumn("sink", F.lit(None).cast("string")).select("file_id", *key, "sink"))
-        # What came from elsewhere is kept as known to the file, without a sink of its own.
-        own = written(own.unionByName(more).groupBy("file_id", *key).agg(F.min("sink").alias("sink")))
-    return needed.groupBy("file_id").agg(F.collect_set(F.struct("rule_ord", "name", "pos", "sink")).alias("known"))
-
-
-def _with_known(files: DataFrame, needed: DataFrame) -> DataFrame:
-    """``files`` with what is known of the functions that they call; ``needed``: (file_id, rule_ord, name, pos, sink)."""
-    lists = needed.groupBy("file_id").agg(F.collect_set(F.struct("rule_ord", "name", "pos", "sink")).alias("known"))
-    return files.join(lists, "file_id", "left").select(*files.columns, F.col("known").cast(_KNOWN).alias("known"))
-
-
-def taint_findings(corpus: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Findings of taint rules: ``file_id``, the columns of FINDING, and ``source_line``."""
-    ship(corpus.sparkSession)
+        facts = self.facts if self.facts is not None else written(graph.facts(self.files))
+        asked = graph.edges(self.files, facts, calls=away.select("file_id", F.col("shown").alias("name")).distinct())
+        symbols = graph.symbols(facts).select(F.col("symbol_id").alias("callee_symbol"), F.col("file_id").alias("callee_file"), F.col("start").alias("callee_fn"))
+        sure = asked.filter("how != 'name'").select("file_id", F.element_at(F.split("callee_text", r"\."), -1).alias("shown"), "callee_symbol").distinct()
+        return written(sure.join(symbols, "callee_symbol").join(away, ["file_id", "shown"]).select("file_id", "name", "callee_file", "callee_fn").distinct())
+
+    # Forward: what sources taint.
+
+    def tainted(self) -> DataFrame:
+        """(file_id, node, rule, line, seed): tainted values, and the line that the taint came in at."""
+        seeds = self.nodes.filter(F.size("source") > 0).select("file_id", "node", "kind", "fn", F.explode(F.array_except("source", "clean")).alias("rule"), "line", F.lit(True).alias("seed"))
+        delta = known = written(seeds)
+        while not delta.isEmpty():
+            made = delta.filter(F.col("kind").isin(flow.DEF, flow.PARAM)).select("file_id", F.col("node").alias("def"), "rule", F.col("line").alias("since"))
+            along = self.edges.filter("counts").join(made, ["file_id", "def"]).select("file_id", "node", "kind", "fn", "rule", F.col("since").alias("line"), "clean")
+            given = delta.filter(F.col("kind") == flow.OUT).select("file_id", "fn", "rule").distinct().join(self.functions, ["file_id", "fn"])
+            back = self.calls.join(given.select("rule", "name").distinct(), "name").filter(F.array_contains("applicable", F.col("rule"))).select("file_id", "node", "kind", "fn", "rule", "line", "clean")
+            more = along.unionByName(back)
+            if self.resolved is not None:
+                found = given.select(F.col("file_id").alias("callee_file"), F.col("fn").alias("callee_fn"), "rule").join(self.resolved, ["callee_file", "callee_fn"]).select("file_id", "name", "rule").distinct()
+                far = self.calls.join(found, ["file_id", "name"]).filter(F.array_contains("applicable", F.col("rule")))
+                more = more.unionByName(far.select("file_id", "node", "kind", "fn", "rule", "line", "clean"))
+            new = more.filter(~F.array_contains("clean", F.col("rule"))).groupBy(*NODE).agg(F.min("line").alias("line"), F.first("kind").alias("kind"), F.first("fn").alias("fn"))
+            # A value that comes in earlier than was known is news; a source's own line stands.
+            was = known.groupBy(*NODE).agg(F.min("line").alias("was"), F.max("seed").alias("fixed"))
+            news = new.join(was, NODE, "left").filter("was IS NULL OR (NOT fixed AND line < was)")
+            delta = written(news.select("file_id", "node", "kind", "fn", "rule", "line", F.lit(False).alias("seed")))
+            known = known.unionByName(delta)
+        return known.groupBy(*NODE).agg(F.min("line").alias("line"))
+
+    # Backward: what leads to sinks.
+
+    def reaching(self) -> DataFrame:
+        """(file_id, fn, pos, rule, sink): parameters that reach a sink, by rounds over what leads there."""
+        seeds = self.nodes.filter(F.col("kind").isin(flow.CALL, flow.ASSIGN)).select("file_id", "node", "start", F.explode("sinks").alias("s")).select("file_id", "node", "s.rule", "s.sink", "start")
+        delta = known = written(seeds)
+        reach = None
+        while not delta.isEmpty():
+            up = self.edges.filter("counts").join(delta, ["file_id", "node"]).filter(~F.array_contains("def_clean", F.col("rule")))
+            up = written(up.groupBy("file_id", "def", "rule").agg(F.min_by("sink", "start").alias("sink"), F.min("start").alias("start"), *[F.first(c).alias(c) for c in ("def_kind", "def_fn", "def_pos")]))
+            at = up.filter(F.col("def_kind") == flow.PARAM).select("file_id", F.col("def_fn").alias("fn"), F.col("def_pos").alias("pos"), "rule", "sink")
+            fresh = at if reach is None else at.join(reach, ["file_id", "fn", "pos", "rule"], "left_anti")
+            fresh = written(fresh)
+            reach = fresh if reach is None else reach.unionByName(fresh)
+            more = up.filter(F.col("def_kind") == flow.DEF).select("file_id", F.col("def").alias("node"), "rule", "sink", "start")
+            handed = self.handing(self.args, fresh).select("file_id", "node", "rule", "sink", F.lit(0).cast("long").alias("start"))
+            new = more.unionByName(handed).groupBy(*NODE).agg(F.min_by("sink", "start").alias("sink"), F.min("start").alias("start"))
+            delta = written(new.join(known, NODE, "left_anti"))
+            known = known.unionByName(delta)
+        return reach if reach is not None else seeds.select("file_id", F.lit(0).cast("long").alias("fn"), F.lit(0).alias("pos"), "rule", "sink").filter("false")
+
+    def handing(self, calls: DataFrame, reach: DataFrame) -> DataFrame:
+        """``calls`` (with file_id, name, pos, blocked) with the rule and sink that what they hand over reaches.
+
+        Reaching functions are first brought to one row a name, a name and file, or a resolved call, so no call meets all functions of its name.
+        """
+        named = reach.join(self.functions, ["file_id", "fn"])
+        anywhere = named.groupBy("name", "pos", "rule").agg(F.min_by("sink", F.struct("path", "fn")).alias("any_sink"))
+        own = named.groupBy("file_id", "name", "pos", "rule").agg(F.min_by("sink", "fn").alias("own_sink"))
+        met = calls.join(anywhere, ["name", "pos"]).join(own, ["file_id", "name", "pos", "rule"], "left").withColumn("sure_sink", F.lit(None).cast("string"))
+        if self.resolved is not None:
+            far = self.resolved.join(reach.select(F.col("file_id").alias("callee_file"), F.col("fn").alias("callee_fn"), "pos", "rule", "sink"), ["callee_file", "callee_fn"])
+            sure = far.groupBy("file_id", "name", "pos", "rule").agg(F.min_by("sink", "callee_fn").alias("sure_sink"))
+            by_name = met.drop("sure_sink").join(sure, ["file_id", "name", "pos", "rule"], "left")
+            renamed = calls.join(sure, ["file_id", "name", "pos"]).withColumns({"any_sink": F.lit(None).cast("string"), "own_sink": F.lit(None).cast("string")})
+            met = by_name.unionByName(renamed.join(anywhere.select("name", "pos", "rule"), ["name", "pos", "rule"], "left_anti"))
+        allowed = met.filter(~F.array_contains("blocked", F.col("rule")))
+        if "applicable" in calls.columns:
+            allowed = allowed.filter(F.array_contains("applicable", F.col("rule")))
+        return allowed.withColumn("sink", F.coalesce("own_sink", "sure_sink", "any_sink")).drop("own_sink", "sure_sink", "any_sink")
+
+    # Both: where tainted data meets a sink.
+
+    def hits(self) -> tuple[DataFrame, DataFrame]:
+        """((file_id, node, rule, sink) of the places to report, with what is said of the sink; the tainted values)."""
+        tainted = written(self.tainted())
+        nodes = self.nodes.filter(F.col("kind").isin(flow.CALL, flow.ASSIGN)).select("file_id", "node", "fn", "start", F.explode("sinks").alias("s")).select("file_id", "node", "fn", "start", "s.rule", "s.sink")
+        direct = nodes.join(tainted.select(*NODE), NODE).withColumns({"pos": F.lit(-2), "bare": F.col("sink")})
+        tell = F.concat(F.col("shown"), F.lit("(...) reaches sink "), F.col("sink"))
+        handed = self.handing(self.args, self.reaching())
+        sites = self.sites.select("file_id", F.col("node").alias("of"), "fn", "start").distinct()
+        through = handed.join(tainted.select(*NODE), NODE).join(sites, ["file_id", "of"]).select("file_id", F.col("of").alias("node"), "fn", "start", "rule", tell.alias("sink"), "pos", F.col("sink").alias("bare"))
+        found = written(direct.unionByName(through))
+        # A function with such a place leads to a sink whatever it is given; calls that hand it tainted data are places, too.
+        given = written(self.sites.join(tainted.select(*NODE), ["file_id", "node"]).filter(~F.array_contains("blocked", F.col("rule"))).withColumn("pos", F.lit(OWN)))
+        own = lambda rows: rows.filter("fn IS NOT NULL").groupBy("file_id", "fn", "rule").agg(F.min_by("bare", "start").alias("sink")).withColumn("pos", F.lit(OWN))
+        delta = known = written(own(found))
+        while not delta.isEmpty():
+            reached = self.handing(given.withColumnRenamed("rule", "of_rule"), delta).filter("rule = of_rule")
+            more = written(reached.select("file_id", "node", "fn", "start", "rule", tell.alias("sink"), "pos", F.col("sink").alias("bare")))
+            found = found.unionByName(more)
+            delta = written(own(more).join(known, ["file_id", "fn", "rule"], "left_anti"))
+            known = known.unionByName(delta)
+        return found.groupBy(*NODE).agg(F.min_by("sink", F.struct("pos", "bare")).alias("sink")), tainted
+
+    def located(self) -> DataFrame:
+        """The places with positions, snippets and messages; texts are read again for files that have any."""
+        hits, tainted = self.hits()
+        hits = written(hits)
+        shown = self.edges.select("file_id", "node", "var", "def").join(hits.select(*NODE), ["file_id", "node"])
+        by = tainted.select("file_id", F.col("node").alias("def"), "rule", "line")
+        told = shown.join(by, ["file_id", "def", "rule"]).groupBy(*NODE).agg(F.sort_array(F.collect_set("var")).alias("vars"), F.min("line").alias("line"))
+        place = self.nodes.select("file_id", "node", "start", "end", F.col("line").alias("own_line"), "source")
+        full = hits.join(place, ["file_id", "node"]).join(told, NODE, "left")
+        own = F.when(F.array_contains("source", F.col("rule")), F.col("own_line"))
+        rows = full.select("file_id", F.col("rule").alias("rule_ord"), "start", "end", "sink", F.array_join("vars", ", ").alias("names"), F.least("line", own).alias("source_line"))
+        texts = rows.join(self.files.select("file_id", "path", "language", "text"), "file_id")
+        prefix = F.substring(F.col("text"), F.lit(1), F.col("start").cast("int"))
+        line_start = F.substring_index(prefix, "\n", -1)
+        found = F.substring(F.col("text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+        snippet = F.concat(line_start, F.substring_index(F.substr(F.col("text"), (F.col("start") + 1).cast("int")), "\n", 1))
+        column = (F.octet_length(line_start) + 1).cast("long")
+        since = F.when(F.col("source_line").isNotNull(), F.concat(F.lit(" (source at line "), F.col("source_line"), F.lit(")"))).otherwise("")
+        kind = F.when(F.contains("sink", F.lit(" reaches sink ")), "").otherwise("sink ")
+        names = F.when(F.col("names") != "", F.col("names")).otherwise("tainted expression")
+        order = Window.partitionBy("file_id", "rule_ord").orderBy("start", F.desc("end"))
+        return texts.select(
+            "file_id", "rule_ord", "path", "language", F.col("start").alias("start_char"), F.octet_length(prefix).cast("long").alias("start_byte"), (F.octet_length(prefix) + F.octet_length(found)).cast("long").alias("end_byte"),
+            X.line_of(prefix).alias("start_line"), column.alias("start_column"), X.line_of(prefix).alias("end_line"), (column + F.octet_length(found)).alias("end_column"), (F.row_number().over(order) - 1).alias("ord"),
+            found.alias("match_text"), F.regexp_replace(snippet, r"^(?U:\s)+|(?U:\s)+$", "").alias("code_snippet"), F.concat(F.lit("Tainted data from "), names, since, F.lit(" reached "), kind, F.col("sink"), F.lit(".")).alias("message"), "source_line",
+        )
+
+
+def taint_findings(corpus: DataFrame, rules: list[Rule], facts: DataFrame | None = None) -> DataFrame:
+    """Findings of taint rules: ``file_id``, the columns of FINDING, and ``source_line``.
+
+    ``facts``: those of the code graph, where they are known already.
+    """
+    spark = ship(corpus.sparkSession)
     files = spread(corpus.select("file_id", "path", "language", "text"))
-    known = files.join(summaries(files, rules), "file_id", "left").select(*files.columns, F.col("known").cast(_KNOWN).alias("known"))
-    sinks = sorted({x for r in rules if r.capability == "taint" for x in r.sinks})
-    holds = F.coalesce(F.size("known") > 0, F.lit(False))
-    for x in sinks:
-        holds = holds | F.contains("text", F.lit(x))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for file_id, path, language, i, w in ((f, p, x, i, _walker(t, i, r, k)) for f, p, x, own, t, k in _files(batch, rules) for i, r in own):
-                w.walk(w.tree.root)
-                for k, (a, b, names, sink, line) in enumerate(sorted(w.found, key=lambda x: (x[0], -x[1]))):
-                    text = w.tree.source[a:b]
-                    at, row, column = w.tree.position(a)
-                    origin = f" (source at line {line})" if line else ""
-                    message = f"Tainted data from {names}{origin} reached {'' if ' reaches sink ' in sink else 'sink '}{sink}."
-                    rows.append((file_id, i, path, language, a, at, at + len(text.encode()), row, column, row, column + len(text.encode()), k, text, w.tree.line_text(a), message, line))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 16
-            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 7, pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _LOCATED)
-
-    schema = "file_id long, rule_ord int, path string, language string, start_char long, start_byte long, end_byte long, start_line long, start_column long, end_line long, end_column long, ord int, match_text string, code_snippet string, message string, source_line long"
-    located = written(known.filter(holds).mapInArrow(run, schema))
-    kept = innermost(located.withColumn("rule_id", F.col("rule_ord").cast("string")))
-    lines = kept.select("file_id", "rule_ord", "start_byte", "ord", "source_line")
-    described = match.describe(kept.drop("rule_id"), rules)
-    back = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.id, i)])[F.col("rule_id")]
-    return described.withColumn("rule_ord", back).join(lines, ["file_id", "rule_ord", "start_byte", "ord"]).select("file_id", *match.FINDING, "source_line")
-
-
-_LOCATED = "file_id rule_ord path language start_char start_byte end_byte start_line start_column end_line end_column ord match_text code_snippet message source_line".split()
+    with Scratch(spark) as block:
+        located = written(Flow(files, rules, facts).located())
+        kept = innermost(located.withColumn("rule_id", F.col("rule_ord").cast("string")))
+        lines = kept.select("file_id", "rule_ord", "start_byte", "ord", "source_line")
+        described = match.describe(kept.drop("rule_id"), rules)
+        back = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.id, i)])[F.col("rule_id")]
+        return block.keep(described.withColumn("rule_ord", back).join(lines, ["file_id", "rule_ord", "start_byte", "ord"]).select("file_id", *match.FINDING, "source_line"))

@@ -288,6 +288,52 @@ def code_call_edges(spark, sf_dir):
     return edges.join(syms, "callee_symbol", "left").select("file_id", "line", "callee_text", "how", "callee_path")
 
 
+def import_targets(spark, sf_dir):
+    """The file that an import without extension means, among files of all extensions and index files beside the importing one."""
+    e = table(spark, sf_dir, "events")
+    places = [x for i, ext in enumerate(graph.IMPORTED) for x in ((2 * i, f"x.{ext}"), (2 * i + 1, f"x/index.{ext}"))] + [(23, "x.go")]
+    have = [F.when(F.expr(f"event_id DIV {i + 1} % {len(places)} = {(5 * i) % len(places)}"), F.lit(name)) for i, name in places]
+    names = F.concat(F.array(F.lit("main.ts")), F.array_compact(F.array(*have)))
+    own = e.select("event_id", F.explode(names).alias("name")).select("event_id", "name", F.concat(F.lit("d"), F.col("event_id").cast("string"), F.lit("/"), F.col("name")).alias("path"))
+    text = F.when(F.col("name") == "main.ts", 'import { run } from "./x";\n').otherwise("")
+    files = written(own.select(F.xxhash64("path").alias("file_id"), "path", tree.language_col(F.col("path")).alias("language"), text.alias("text"), "event_id"))
+    found = graph.import_files(graph.facts(spread(files.filter("text != ''"))), files.select("file_id", "path"))
+    return found.join(files.select("file_id", "event_id"), "file_id").select("event_id", "local", "target_path", "rank")
+
+
+def typed_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A TypeScript module for each event, which calls the module of half its number by name, namespace and type, and a function that every seventh module has."""
+    e = table(spark, sf_dir, "events")
+    k, half = F.col("event_id").cast("string"), F.expr("CAST(event_id DIV 2 AS STRING)")
+    text = F.concat(
+        F.lit('import * as ns from "./m'), half, F.lit('";\nimport { run_'), half, F.lit(' as go } from "./m'), half, F.lit('";\nclass Svc'), k, F.lit(" {\n  work() { return 1; }\n}\nfunction run_"), k, F.lit("(s: Svc"), half,
+        F.lit(") {\n  ns.run_"), half, F.lit("();\n  go();\n  s.work();\n  other();\n}\n"), F.when(F.col("event_id") % 7 == 0, "function other() { }\n").otherwise(""),
+    )
+    return spread(e.select(F.col("event_id").cast("long").alias("file_id"), F.concat(F.lit("src/m"), k, F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), text.alias("text")))
+
+
+def resolved_calls(spark, sf_dir):
+    """Calls by namespace, import, type and name alone, and where they lead."""
+    files = typed_project(spark, sf_dir)
+    facts = written(graph.facts(files))
+    syms = graph.symbols(facts).select(F.col("symbol_id").alias("callee_symbol"), F.col("path").alias("callee_path"), "qualified_name")
+    return graph.edges(files, facts).join(syms, "callee_symbol", "left").select("file_id", "line", "callee_text", "how", "callee_path", "qualified_name")
+
+
+def taint_same_names(spark, sf_dir):
+    """Every second file hands a request parameter to a function named run, of which each other file has its own, with a sink of its own."""
+    e = table(spark, sf_dir, "events")
+    half = F.expr("CAST(event_id DIV 2 AS STRING)")
+    sink = F.when(F.col("event_id") % 3 == 0, "requests.get").otherwise("requests.post")
+    lib = F.concat(F.lit("def run(value):\n    return "), sink, F.lit("(value)\n"))
+    app = F.concat(F.lit("from lib"), half, F.lit(" import run\n\ndef view(request):\n    name = request.args.get('n')\n    return run(name)\n"))
+    even = F.col("event_id") % 2 == 0
+    path = F.concat(F.when(even, "src/lib").otherwise("src/app"), half, F.lit(".py"))
+    files = e.select(F.col("event_id").cast("long").alias("file_id"), path.alias("path"), F.lit("python").alias("language"), F.when(even, lib).otherwise(app).alias("text"))
+    rules = [r for r in Registry.built_in().rules if r.id == "python.security.ssrf"]
+    return taint.taint_findings(files, rules).select("rule_id", "path", "start_line", "source_line", "message")
+
+
 def ast_query_findings(spark, sf_dir):
     """A rule over syntax trees, with predicates, an anchor and a not-regex."""
     rules = [r for r in Registry.built_in().rules if r.id == "korea.py.unsalted-hash"]
@@ -309,7 +355,7 @@ def queries() -> dict:
         category_rollup_zero_fill, severity_summary, triage_topk, min_severity_floor, exit_policy, baseline_new, baseline_existing,
         baseline_fixed, baseline_counts, first_finding_per_rule, innermost_spans, fingerprint_fnv1a, suppressed_findings,
         unsuppressed_findings, fixture_verdicts, snapshot_changed_files, language_detection, exclude_globs, normalized_paths,
-        escaped_pages, sarif_levels, enclosing_spans, call_graph_closure, taint_findings,
+        escaped_pages, sarif_levels, enclosing_spans, call_graph_closure, taint_findings, import_targets, resolved_calls, taint_same_names,
     ]
     return {f.__name__: f for f in own}
 
@@ -371,7 +417,17 @@ def oracle_sql() -> dict[str, str]:
     zero = ", ".join(f"('{r.category or 'uncategorized'}')" for r in prose_rules())
     paths = """WITH paths AS (SELECT event_id, ['src', 'gen/deep', 'node_modules/x', './lib', '.github', 'a.b'][event_id % 6 + 1] || '/' ||
                ['m.py', 'm.java', 'm.TS', 'm.tsx', 'm.jsx', 'm', 'm.go', 'm.test.js'][event_id % 8 + 1] AS path FROM events)"""
+    places = [(x, name) for i, ext in enumerate(graph.IMPORTED) for x, name in ((2 * i, f"x.{ext}"), (2 * i + 1, f"x/index.{ext}"))] + [(23, "x.go")]
+    kept = ", ".join(f"({i}, '{name}', {i + 1}, {5 * i % len(places)})" for i, name in places)
     return {
+        "import_targets": f"WITH have AS (SELECT event_id, least(p.r, 20) AS r, 'd' || event_id || '/' || p.name AS path FROM events JOIN (VALUES {kept}) p(r, name, n, x) ON event_id // p.n % {len(places)} = p.x) SELECT event_id, 'run' AS local, arg_min(path, (r, path)) AS target_path, CAST(min(r) AS INTEGER) AS rank FROM have GROUP BY event_id",
+        "resolved_calls": """WITH m AS (SELECT event_id AS k, event_id // 2 AS h FROM events), there AS (SELECT m.*, o.k IS NOT NULL AS has, 'src/m' || m.h || '.ts' AS to_path FROM m LEFT JOIN m o ON o.k = m.h),
+            others AS (SELECT min('src/m' || k || '.ts') AS p FROM m WHERE k % 7 = 0)
+            SELECT k AS file_id, CAST(7 AS BIGINT) AS line, 'ns.run_' || h AS callee_text, CASE WHEN has THEN 'namespace' END AS how, CASE WHEN has THEN to_path END AS callee_path, CASE WHEN has THEN 'run_' || h END AS qualified_name FROM there
+            UNION ALL SELECT k, 8, 'go', CASE WHEN has THEN 'import' END, CASE WHEN has THEN to_path END, CASE WHEN has THEN 'run_' || h END FROM there
+            UNION ALL SELECT k, 9, 's.work', CASE WHEN has THEN 'type' ELSE 'name' END, CASE WHEN has THEN to_path ELSE 'src/m' || k || '.ts' END, 'Svc' || CASE WHEN has THEN h ELSE k END || '.work' FROM there
+            UNION ALL SELECT k, 10, 'other', 'name', CASE WHEN k % 7 = 0 THEN 'src/m' || k || '.ts' ELSE (FROM others) END, 'other' FROM there""",
+        "taint_same_names": "SELECT 'python.security.ssrf' AS rule_id, 'src/app' || a.event_id // 2 || '.py' AS path, CAST(5 AS BIGINT) AS start_line, CAST(4 AS BIGINT) AS source_line, 'Tainted data from name (source at line 4) reached run(...) reaches sink ' || CASE WHEN l.event_id % 3 = 0 THEN 'requests.get(' ELSE 'requests.post(' END || '.' AS message FROM events a JOIN events l ON l.event_id = a.event_id - 1 WHERE a.event_id % 2 = 1",
         "language_detection": paths + " SELECT CASE regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) WHEN 'py' THEN 'python' WHEN 'java' THEN 'java' WHEN 'tsx' THEN 'tsx' WHEN 'go' THEN 'go' WHEN 'js' THEN 'javascript' ELSE 'unknown' END AS language, count(*) AS files FROM paths GROUP BY 1",
         "exclude_globs": paths + " SELECT event_id, path FROM paths WHERE NOT list_contains(string_split(path, '/'), 'gen') AND NOT starts_with(string_split(path, '/')[-1], 'm.t') AND path NOT LIKE 'node_modules/x/%'",
         "normalized_paths": paths + " SELECT event_id, CASE WHEN path LIKE './%' THEN path[3:] WHEN path LIKE '.%' THEN path[2:] ELSE path END AS path FROM paths",

@@ -50,14 +50,14 @@ class Scanner:
             registry.add(load_pack(d))
         return cls(spark, registry.select(packs) if packs else registry)
 
-    def findings(self, corpus: DataFrame) -> DataFrame:
-        """Findings of all three capabilities over (file_id, path, language, text), before suppression."""
+    def findings(self, corpus: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Findings of all three capabilities over (file_id, path, language, text), before suppression; ``known``: the graph's facts."""
         rules = self.registry.rules
         out = match.findings(corpus, rules, self.unicode).withColumn("source_line", F.lit(None).cast("long"))
         if any(r.capability == "query" for r in rules):
             out = out.unionByName(query.findings(corpus, rules).withColumn("source_line", F.lit(None).cast("long")))
         if any(r.capability == "taint" for r in rules):
-            out = out.unionByName(taint.taint_findings(corpus, rules))
+            out = out.unionByName(taint.taint_findings(corpus, rules, known))
         return out
 
     def scan(self, corpus: DataFrame) -> ScanResult:
