@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.session import ship, written
+from siftline.session import Rounds, ship, written
 from siftline.sources import syntax as S
 
 _FACT = "kind string, file_id long, path string, language string, name string, qualified string, detail string, line long, start long, has_body boolean, owner string, owner_line long, other string"
@@ -152,17 +152,14 @@ def ancestors(all_: DataFrame) -> DataFrame:
     classes = all_.filter("kind = 'class'")
     up = F.explode(F.filter(F.split(F.concat_ws(",", "detail", "other"), ","), lambda x: x != ""))
     above = written(classes.select(F.col("name").alias("type"), up.alias("ancestor")).filter("type != ancestor").distinct())
-    known = written(classes.select(F.col("name").alias("type"), F.col("name").alias("ancestor"), F.lit(0).alias("depth")).distinct())
-    edge = known.filter("false")
-    frontier = known
+    known = Rounds(classes.sparkSession, "ancestors")
+    frontier = known.add(classes.select(F.col("name").alias("type"), F.col("name").alias("ancestor"), F.lit(0).alias("depth")).distinct())
     for depth in count(1):  # a round adds what is new only, so cycles end it
         nxt = frontier.select("type", F.col("ancestor").alias("a")).join(above.select(F.col("type").alias("a"), F.col("ancestor")), "a")
-        fresh = nxt.select("type", "ancestor").distinct().join(known.unionByName(edge), ["type", "ancestor"], "left_anti")
-        frontier = written(fresh.withColumn("depth", F.lit(depth)))
+        fresh = nxt.select("type", "ancestor").distinct().join(known.all(), ["type", "ancestor"], "left_anti")
+        frontier = known.add(fresh.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
-        edge = edge.unionByName(frontier)
-    return known.unionByName(edge)
+            return known.all()
 
 
 def edges(corpus: DataFrame, all_: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
@@ -218,13 +215,12 @@ def edges(corpus: DataFrame, all_: DataFrame | None = None, calls: DataFrame | N
 def closure(calls: DataFrame) -> DataFrame:
     """(caller, callee): everything each caller reaches, by joining only what a round has added."""
     step = written(calls.select("caller", "callee").distinct())
-    known, fresh = step, step
-    while True:
+    known = Rounds(calls.sparkSession, "closure")
+    fresh = known.add(step)
+    while not fresh.isEmpty():
         ahead = fresh.join(step.select(F.col("caller").alias("callee"), F.col("callee").alias("next")), "callee").select("caller", F.col("next").alias("callee")).distinct()
-        fresh = written(ahead.join(known, ["caller", "callee"], "left_anti"))
-        if fresh.isEmpty():
-            return known
-        known = written(known.unionByName(fresh))
+        fresh = known.add(ahead.join(known.all(), ["caller", "callee"], "left_anti"))
+    return known.all()
 
 
 def changed(now: DataFrame, was: DataFrame) -> DataFrame:

@@ -29,82 +29,107 @@ def unicode(pattern: str) -> str:
 CHUNK = 64
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """Array of (ord, start, match): start counts characters from 0.  The pattern doesn't match empty text.
+_ROWS = "array<struct<ord:int,start:int,byte:int,line:int,column:int,match:string,snippet:string%s>>"
 
-    Lengths of the pieces between matches are added up chunk by chunk, so the work is in proportion to the matches.
+
+def _extent(piece: Column) -> Column:
+    """Characters, bytes and line ends of a piece of text, and the characters after its last line end."""
+    ends = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+    return F.struct(F.length(piece).alias("n"), F.octet_length(piece).alias("b"), ends.alias("k"), F.length(F.substring_index(piece, "\n", -1)).alias("t"))
+
+
+def _after(at: Column, x: Column) -> Column:
+    """Where a text is (characters, bytes, line ends, characters of the line) once a piece has followed."""
+    return F.struct((at["n"] + x["n"]).alias("n"), (at["b"] + x["b"]).alias("b"), (at["k"] + x["k"]).alias("k"), F.when(x["k"] > 0, x["t"]).otherwise(at["t"] + x["n"]).alias("t"))
+
+
+def _none(around: bool = False) -> Column:
+    """No matches, as :func:`find_all` would give them."""
+    return F.array().cast(_ROWS % (",around:string" if around else ""))
+
+
+def find_all(text: Column, pattern: str, around: bool = False) -> Column:
+    """Array of (ord, start, byte, line, column, match, snippet) of all matches, from 0.  The pattern doesn't match empty text.
+
+    Extents of the pieces between matches are added up chunk by chunk, and lines are cut once, so the work is in proportion to
+    the text and its matches.  ``snippet`` is the line that a match begins on; at will, ``around`` is all lines that it touches.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("t")))
-    none = F.array().cast("array<struct<ord:int,start:int,match:string>>")
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda c: F.struct((c * CHUNK).alias("first"), F.slice(sizes, c * CHUNK + 1, CHUNK).alias("parts")))
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + x["g"] + x["m"])
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    past = lambda at, x: _after(_after(at, x["g"]), x["m"])
+    zero = F.struct(*[F.lit(0).alias(c) for c in "nbkt"])
+    begin = F.struct(zero.alias("at"), F.array().cast("array<struct<n:int,b:int,k:int,t:int>>").alias("out"))
     starts = lambda chunks: F.aggregate(
-        chunks, begin, lambda acc, c: F.struct((acc["at"] + total(c["parts"])).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"]
+        chunks, begin, lambda acc, c: F.struct(F.aggregate(c["parts"], acc["at"], past).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"]
     )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        row = F.struct((acc["first"] + F.size(acc["out"])).alias("ord"), start.alias("start"), x["t"].alias("match"))
-        return F.struct(acc["first"].alias("first"), (start + x["m"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def rows(chunk: Column, at: Column, lines: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            here = _after(acc["at"], x["g"])
+            row = F.struct(
+                (chunk["first"] + F.size(acc["out"])).alias("ord"), here["n"].alias("start"), here["b"].alias("byte"), here["k"].alias("line"), here["t"].alias("column"), x["text"].alias("match"),
+                F.element_at(lines, here["k"] + 1).alias("snippet"), *([F.array_join(F.slice(lines, here["k"] + 1, x["m"]["k"] + 1), "\n").alias("around")] if around else []),
+            )
+            return F.struct(_after(here, x["m"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    def numbered(chunk: Column, at: Column) -> Column:
-        return F.aggregate(chunk["parts"], F.struct(chunk["first"].alias("first"), at.alias("at"), none.alias("out")), step, lambda a: a["out"])
+        return F.aggregate(chunk["parts"], F.struct(at.alias("at"), _none(around).alias("out")), step, lambda a: a["out"])
 
-    whole = F.transform(F.array(chunks), lambda c: F.flatten(F.zip_with(c, starts(c), numbered)))  # bound once
-    return F.when(F.size(found) > 0, F.element_at(whole, 1)).otherwise(none)
+    def cut(b: Column) -> Column:
+        """The pieces before matches with the matches, in chunks."""
+        parts = F.zip_with(F.slice(b["gaps"], 1, F.size(b["found"])), b["found"], lambda g, m: F.struct(_extent(g).alias("g"), _extent(m).alias("m"), m.alias("text")))
+        return F.struct(parts.alias("parts"), b["lines"].alias("lines"))
+
+    def chunked(b: Column) -> Column:
+        last = F.greatest(F.floor((F.size(b["parts"]) - 1) / CHUNK).cast("int"), F.lit(0))
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.struct((c * CHUNK).alias("first"), F.slice(b["parts"], c * CHUNK + 1, CHUNK).alias("parts")))
+        return F.struct(chunks.alias("chunks"), b["lines"].alias("lines"))
+
+    # What several expressions use is bound by a transform of an array of one, and so computed once a text.
+    read = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"), F.split(text, "\n", -1).alias("lines"))
+    bound = F.transform(F.transform(F.array(read), cut), chunked)
+    return F.element_at(F.transform(bound, lambda b: F.flatten(F.zip_with(b["chunks"], starts(b["chunks"]), lambda c, at: rows(c, at, b["lines"])))), 1)
 
 
 def _of_rule(ord_: int, rule: Rule, classes) -> Column:
     """Matches of one rule in a row's text, without those whose lines its not-regex finds."""
     text, pattern = F.col("text"), classes(rule.regex)
     applies = F.col("language").isin([x for x in {*rule.languages, "tsx"} if rule.applies(x)])
-    empty = F.array().cast("array<struct<ord:int,start:int,match:string>>")
-    own = F.when(applies & text.rlike(pattern), find_all(text, pattern)).otherwise(empty)
-    if rule.not_regex:
-        own = F.filter(own, lambda m: ~line_range(text, m["start"], m["match"]).rlike(classes(rule.not_regex)))
-    return F.transform(own, lambda m: F.struct(F.lit(ord_).alias("rule_ord"), m["ord"].alias("ord"), m["start"].alias("start_char"), m["match"].alias("match_text")))
+    around = rule.not_regex is not None
+    own = F.when(applies & text.rlike(pattern), find_all(text, pattern, around)).otherwise(_none(around))
+    if around:
+        own = F.filter(own, lambda m: ~m["around"].rlike(classes(rule.not_regex)))
+    return F.transform(
+        own,
+        lambda m: F.struct(
+            F.lit(ord_).alias("rule_ord"), m["ord"].alias("ord"), m["start"].alias("start_char"), m["match"].alias("match_text"), m["byte"].cast("long").alias("start_byte"),
+            (m["line"] + 1).cast("long").alias("start_line"), (m["column"] + 1).cast("long").alias("start_column"), m["snippet"].alias("code_snippet"),
+        ),
+    )
+
+
+_MATCH = "rule_ord int, ord int, start_char int, match_text string, start_byte long, start_line long, start_column long, code_snippet string"
 
 
 def matches(corpus: DataFrame, rules: list[Rule], unicode_classes: bool = True) -> DataFrame:
-    """(file_id, path, language, text, rule_ord, ord, start_char, match_text) of every match of every applicable rule.
+    """(file_id, path, language, rule_ord, ord, start_char, match_text, start_byte, start_line, start_column, code_snippet) of every match of every applicable rule.
 
-    ``corpus``: file_id, path, language, text; null texts have no matches.
+    ``corpus``: file_id, path, language, text; null texts have no matches.  Places are known before matches become rows, so no row carries a text.
     """
     classes = unicode if unicode_classes else str
     found = [_of_rule(i, r, classes) for i, r in enumerate(rules) if r.capability == "pattern"]
-    if not found:
-        return corpus.select("file_id", "path", "language", "text").withColumns({"rule_ord": F.lit(0), "ord": F.lit(0), "start_char": F.lit(0), "match_text": F.lit("")}).filter("false")
-    rows = corpus.select("file_id", "path", "language", "text", F.explode(F.flatten(F.array(*found))).alias("m"))
-    return rows.select("file_id", "path", "language", "text", "m.*")
-
-
-def line_range(text: Column, start: Column, match: Column) -> Column:
-    """From the start of the line a match begins on to the end of the line it ends on."""
-    before = F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)
-    after = F.substring_index(F.substr(text, start + F.length(match) + 1), "\n", 1)
-    return F.concat(before, match, after)
+    all_ = F.flatten(F.array(*found)) if found else F.array().cast(f"array<struct<{_MATCH.replace(' ', ':').replace(',:', ',')}>>")
+    return corpus.select("file_id", "path", "language", F.explode(all_).alias("m")).select("file_id", "path", "language", "m.*")
 
 
 def locate(found: DataFrame) -> DataFrame:
-    """Adds start_byte, start_line, start_column, end_line, end_column and code_snippet; drops the text.
+    """Adds end_line and end_column, and trims the snippets.
 
     The end is on the start's line, at its column plus the match's bytes.
     """
-    prefix = F.substring(F.col("text"), F.lit(1), F.col("start_char"))
-    rest = F.substr(F.col("text"), F.col("start_char") + 1)
-    line = X.line_of(prefix)
-    snippet = F.trim(F.concat(F.substring_index(prefix, "\n", -1), F.substring_index(rest, "\n", 1)))
-    return found.select(
-        *[c for c in found.columns if c != "text"],
-        F.octet_length(prefix).cast("long").alias("start_byte"),
-        line.alias("start_line"),
-        X.column_of(prefix).alias("start_column"),
-        line.alias("end_line"),
-        (X.column_of(prefix) + F.octet_length("match_text")).alias("end_column"),
-        F.regexp_replace(snippet, r"^(?U:\s)+|(?U:\s)+$", "").alias("code_snippet"),
+    return found.withColumns(
+        {
+            "end_line": F.col("start_line"),
+            "end_column": F.col("start_column") + F.octet_length("match_text"),
+            "code_snippet": F.regexp_replace("code_snippet", r"^(?U:\s)+|(?U:\s)+$", ""),
+        }
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from siftline.functions import text as X
 from siftline.operators import flow, match
 from siftline.operators.findings import innermost
-from siftline.session import Scratch, ship, spread, written
+from siftline.session import Rounds, Scratch, ship, spread, written
 from siftline.sources import syntax as S
 from siftline.sources.packs import Rule
 
@@ -51,7 +51,7 @@ class Flow:
 
     def __init__(self, files: DataFrame, rules: list[Rule], facts: DataFrame | None = None):
         self.rules = [(i, r) for i, r in enumerate(rules) if r.capability == "taint" and r.sources and r.sinks]
-        self.files, self.facts = files, facts
+        self.files, self.facts, self.spark = files, facts, files.sparkSession
         self.nodes = written(self._judged())
         nodes = self.nodes
         made = nodes.filter(F.col("kind").isin(flow.DEF, flow.PARAM)).select("file_id", F.col("node").alias("def"), F.col("kind").alias("def_kind"), F.col("fn").alias("def_fn"), F.col("pos").alias("def_pos"), F.col("clean").alias("def_clean"))
@@ -101,7 +101,8 @@ class Flow:
     def tainted(self) -> DataFrame:
         """(file_id, node, rule, line, seed): tainted values, and the line that the taint came in at."""
         seeds = self.nodes.filter(F.size("source") > 0).select("file_id", "node", "kind", "fn", F.explode(F.array_except("source", "clean")).alias("rule"), "line", F.lit(True).alias("seed"))
-        delta = known = written(seeds)
+        known = Rounds(self.spark, "tainted")
+        delta = known.add(seeds)
         while not delta.isEmpty():
             made = delta.filter(F.col("kind").isin(flow.DEF, flow.PARAM)).select("file_id", F.col("node").alias("def"), "rule", F.col("line").alias("since"))
             along = self.edges.filter("counts").join(made, ["file_id", "def"]).select("file_id", "node", "kind", "fn", "rule", F.col("since").alias("line"), "clean")
@@ -114,32 +115,30 @@ class Flow:
                 more = more.unionByName(far.select("file_id", "node", "kind", "fn", "rule", "line", "clean"))
             new = more.filter(~F.array_contains("clean", F.col("rule"))).groupBy(*NODE).agg(F.min("line").alias("line"), F.first("kind").alias("kind"), F.first("fn").alias("fn"))
             # A value that comes in earlier than was known is news; a source's own line stands.
-            was = known.groupBy(*NODE).agg(F.min("line").alias("was"), F.max("seed").alias("fixed"))
+            was = known.all().groupBy(*NODE).agg(F.min("line").alias("was"), F.max("seed").alias("fixed"))
             news = new.join(was, NODE, "left").filter("was IS NULL OR (NOT fixed AND line < was)")
-            delta = written(news.select("file_id", "node", "kind", "fn", "rule", "line", F.lit(False).alias("seed")))
-            known = known.unionByName(delta)
-        return known.groupBy(*NODE).agg(F.min("line").alias("line"))
+            delta = known.add(news.select("file_id", "node", "kind", "fn", "rule", "line", F.lit(False).alias("seed")))
+        return known.all().groupBy(*NODE).agg(F.min("line").alias("line"))
 
     # Backward: what leads to sinks.
 
     def reaching(self) -> DataFrame:
         """(file_id, fn, pos, rule, sink): parameters that reach a sink, by rounds over what leads there."""
         seeds = self.nodes.filter(F.col("kind").isin(flow.CALL, flow.ASSIGN)).select("file_id", "node", "start", F.explode("sinks").alias("s")).select("file_id", "node", "s.rule", "s.sink", "start")
-        delta = known = written(seeds)
-        reach = None
+        known, reach = Rounds(self.spark, "leading"), Rounds(self.spark, "reach")
+        delta = known.add(seeds)
+        reach.add(seeds.select("file_id", F.lit(0).cast("long").alias("fn"), F.lit(0).alias("pos"), "rule", "sink").filter("false"))
         while not delta.isEmpty():
             up = self.edges.filter("counts").join(delta, ["file_id", "node"]).filter(~F.array_contains("def_clean", F.col("rule")))
             up = written(up.groupBy("file_id", "def", "rule").agg(F.min_by("sink", "start").alias("sink"), F.min("start").alias("start"), *[F.first(c).alias(c) for c in ("def_kind", "def_fn", "def_pos")]))
             at = up.filter(F.col("def_kind") == flow.PARAM).select("file_id", F.col("def_fn").alias("fn"), F.col("def_pos").alias("pos"), "rule", "sink")
-            fresh = at if reach is None else at.join(reach, ["file_id", "fn", "pos", "rule"], "left_anti")
-            fresh = written(fresh)
-            reach = fresh if reach is None else reach.unionByName(fresh)
+            fresh = reach.add(at.join(reach.all(), ["file_id", "fn", "pos", "rule"], "left_anti"))
             more = up.filter(F.col("def_kind") == flow.DEF).select("file_id", F.col("def").alias("node"), "rule", "sink", "start")
-            handed = self.handing(self.args, fresh).select("file_id", "node", "rule", "sink", F.lit(0).cast("long").alias("start"))
-            new = more.unionByName(handed).groupBy(*NODE).agg(F.min_by("sink", "start").alias("sink"), F.min("start").alias("start"))
-            delta = written(new.join(known, NODE, "left_anti"))
-            known = known.unionByName(delta)
-        return reach if reach is not None else seeds.select("file_id", F.lit(0).cast("long").alias("fn"), F.lit(0).alias("pos"), "rule", "sink").filter("false")
+            if not fresh.isEmpty():
+                more = more.unionByName(self.handing(self.args, fresh).select("file_id", "node", "rule", "sink", F.lit(0).cast("long").alias("start")))
+            new = more.groupBy(*NODE).agg(F.min_by("sink", "start").alias("sink"), F.min("start").alias("start"))
+            delta = known.add(new.join(known.all(), NODE, "left_anti"))
+        return reach.all()
 
     def handing(self, calls: DataFrame, reach: DataFrame) -> DataFrame:
         """``calls`` (with file_id, name, pos, blocked) with the rule and sink that what they hand over reaches.
@@ -172,18 +171,17 @@ class Flow:
         handed = self.handing(self.args, self.reaching())
         sites = self.sites.select("file_id", F.col("node").alias("of"), "fn", "start").distinct()
         through = handed.join(tainted.select(*NODE), NODE).join(sites, ["file_id", "of"]).select("file_id", F.col("of").alias("node"), "fn", "start", "rule", tell.alias("sink"), "pos", F.col("sink").alias("bare"))
-        found = written(direct.unionByName(through))
+        found = direct.unionByName(through)
         # A function with such a place leads to a sink whatever it is given; calls that hand it tainted data are places, too.
         given = written(self.sites.join(tainted.select(*NODE), ["file_id", "node"]).filter(~F.array_contains("blocked", F.col("rule"))).withColumn("pos", F.lit(OWN)))
         own = lambda rows: rows.filter("fn IS NOT NULL").groupBy("file_id", "fn", "rule").agg(F.min_by("bare", "start").alias("sink")).withColumn("pos", F.lit(OWN))
-        delta = known = written(own(found))
+        known, places = Rounds(self.spark, "leading"), Rounds(self.spark, "places")
+        delta = known.add(own(places.add(found)))
         while not delta.isEmpty():
             reached = self.handing(given.withColumnRenamed("rule", "of_rule"), delta).filter("rule = of_rule")
-            more = written(reached.select("file_id", "node", "fn", "start", "rule", tell.alias("sink"), "pos", F.col("sink").alias("bare")))
-            found = found.unionByName(more)
-            delta = written(own(more).join(known, ["file_id", "fn", "rule"], "left_anti"))
-            known = known.unionByName(delta)
-        return found.groupBy(*NODE).agg(F.min_by("sink", F.struct("pos", "bare")).alias("sink")), tainted
+            more = places.add(reached.select("file_id", "node", "fn", "start", "rule", tell.alias("sink"), "pos", F.col("sink").alias("bare")))
+            delta = known.add(own(more).join(known.all(), ["file_id", "fn", "rule"], "left_anti"))
+        return places.all().groupBy(*NODE).agg(F.min_by("sink", F.struct("pos", "bare")).alias("sink")), tainted
 
     def located(self) -> DataFrame:
         """The places with positions, snippets and messages; texts are read again for files that have any."""

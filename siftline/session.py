@@ -103,6 +103,24 @@ def written(df: DataFrame, name: str = "engine") -> DataFrame:
     return out
 
 
+class Rounds:
+    """A table that grows by what each round of a loop adds; reading it is one scan, whatever the number of rounds."""
+
+    def __init__(self, spark: SparkSession, name: str = "rounds"):
+        self.spark, self.path, self.n = spark, new_path(spark, name), 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes what a round has found, and gives it back as a table."""
+        at = f"{self.path}/round={self.n}"
+        df.write.parquet(at)
+        self.n, self.schema = self.n + 1, df.schema
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        """What all rounds have added."""
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/round={i}" for i in range(self.n)])
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a table or folder of the shared place."""
     jvm = spark.sparkContext._jvm
