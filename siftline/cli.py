@@ -38,7 +38,8 @@ def scan(args: argparse.Namespace) -> int:
         files = tree.under((tree.staged_files if args.staged else tree.changed_files)("."), args.paths)
     paths = args.paths or c.include
     cache = None if args.no_cache else state.FindingsCache(scanner.spark, str(Path(c.root) / tree.STATE / "cache"), scanner.registry.namespace())
-    result = scanner.scan_paths(paths, c.exclude, files, cache)
+    snapshot = None if args.no_cache else state.GraphSnapshot(scanner.spark, str(Path(c.root) / tree.STATE / "graph"))
+    result = scanner.scan_paths(paths, c.exclude, files, cache, snapshot)
     if cache:
         cache.prune()
     if args.baseline:

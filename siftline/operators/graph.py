@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from siftline.session import Rounds, ship, written
 from siftline.sources import syntax as S
 
-_FACT = "kind string, file_id long, path string, language string, name string, qualified string, detail string, line long, start long, has_body boolean, owner string, owner_line long, other string"
+#: Columns of facts.
+FACT = "kind string, file_id long, path string, language string, name string, qualified string, detail string, line long, start long, has_body boolean, owner string, owner_line long, other string"
 
 
 def _facts(tree: S.Tree) -> Iterator[tuple]:
@@ -68,7 +69,7 @@ def facts(corpus: DataFrame) -> DataFrame:
     ship(corpus.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in _FACT.split(", ")]
+        names = [f.split()[0] for f in FACT.split(", ")]
         for batch in batches:
             rows = []
             for file_id, path, language, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -82,10 +83,10 @@ def facts(corpus: DataFrame) -> DataFrame:
                 except RecursionError:
                     rows.append(("issue", file_id, path, language, "parse", None, "nesting is too deep", *[None] * 6))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]] for f in _FACT.split(", ")]
+            types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]] for f in FACT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return corpus.select("file_id", "path", "language", "text").mapInArrow(run, _FACT)
+    return corpus.select("file_id", "path", "language", "text").mapInArrow(run, FACT)
 
 
 def symbols(all_: DataFrame) -> DataFrame:

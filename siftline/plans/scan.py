@@ -14,7 +14,7 @@ from siftline.operators.graph import facts
 from siftline.session import ship, written
 from siftline.sources import tree
 from siftline.sources.packs import BUILT_IN, Registry, load_pack, rules_table
-from siftline.sources.state import FindingsCache
+from siftline.sources.state import FindingsCache, GraphSnapshot
 
 
 @dataclass
@@ -60,13 +60,14 @@ class Scanner:
             out = out.unionByName(taint.taint_findings(corpus, rules, known))
         return out
 
-    def scan(self, corpus: DataFrame) -> ScanResult:
-        """A scan of a corpus table."""
+    def scan(self, corpus: DataFrame, snapshot: GraphSnapshot | None = None) -> ScanResult:
+        """A scan of a corpus table; with a snapshot (``corpus`` has source_hash, too) only changed files are parsed for the graph."""
         began = time.time()
-        every = written(self.findings(corpus))
+        known = written(snapshot.refresh(corpus) if snapshot else facts(corpus))
+        every = written(self.findings(corpus, known))
         marks = written(suppress.suppressions(corpus))
         kept = suppress.suppressed(every, marks, "left_anti")
-        parsed = facts(corpus).filter("kind = 'issue'").select(F.lit("parse").alias("kind"), "path", F.col("detail").alias("message"))
+        parsed = known.filter("kind = 'issue'").select(F.lit("parse").alias("kind"), "path", F.col("detail").alias("message"))
         return self._result(kept, parsed, suppress.suppressed(every, marks).count(), corpus.count(), began)
 
     def _result(self, kept: DataFrame, issues: DataFrame, suppressed: int, files: int, began: float | None = None) -> ScanResult:
@@ -75,19 +76,19 @@ class Scanner:
         took = int(1000 * (time.time() - began)) if began else 0
         return ScanResult(kept, categories, issues, counters, [p.name for p in self.registry.packs], len(self.registry.rules), took)
 
-    def scan_paths(self, paths: list[str], excludes: list[str] | None = None, files: list[str] | None = None, cache: FindingsCache | None = None) -> ScanResult:
+    def scan_paths(self, paths: list[str], excludes: list[str] | None = None, files: list[str] | None = None, cache: FindingsCache | None = None, snapshot: GraphSnapshot | None = None) -> ScanResult:
         """A scan of files and folders; ``files`` narrows it to a list of them, as changed ones.
 
-        With a cache, the very same set of files is not scanned again.
+        With a cache, the very same set of files is not scanned again; with a snapshot, unchanged files are not parsed again for the graph.
         """
         found = tree.discover(tree.resolve(paths), excludes) if files is None else files
         prepared = written(tree.prepare(tree.read_files(self.spark, found)))
         scope = tree.scope_id(prepared) if cache else ""
-        corpus = prepared.filter("status = 'analysed'").select("file_id", "path", "language", "text")
+        corpus = prepared.filter("status = 'analysed'").select("file_id", "path", "language", "text", "source_hash")
         if cache and (known := cache.get(scope)):
             result = self._result(*known, corpus.count())
         else:
-            result = self.scan(corpus)
+            result = self.scan(corpus, snapshot)
             if cache:
                 cache.put(scope, result.findings, result.issues, result.counters["suppressed_inline"])
         unread = prepared.filter("status = 'read'").select(F.lit("read").alias("kind"), "path", "message")

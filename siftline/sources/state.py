@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.session import written
+
 SCHEMA = 1
 #: Days that cached findings are kept.
 KEEP_DAYS = 30
@@ -63,11 +65,65 @@ class FindingsCache:
         return len(old)
 
 
+#: Parts of a snapshot by hash of the path; only those with changed files are written again.
+BUCKETS = 64
+
+
 class GraphSnapshot:
-    """The facts of a set of files with the files' hashes; good only for exactly those files."""
+    """The facts of the code graph with the hashes of the files that they are from.
+
+    A scan asks for the facts of its files: those of unchanged files are taken over, only changed ones are parsed, and
+    the buckets that hold any of these are replaced.  Rows of files that are gone, or whose bucket a broken-off run did not
+    reach, match no hash and are never used.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.parsed = 0  # files that the last refresh has parsed
+
+    def _store(self) -> str:
+        return f"{self.path}/schema={SCHEMA}/store"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def _known(self) -> DataFrame | None:
+        """All rows of the store, if there is one that can be read."""
+        from pyspark.errors import PySparkException
+
+        from siftline.operators.graph import FACT
+
+        try:
+            found = self.spark.read.parquet(self._store())
+        except PySparkException:
+            return None
+        wanted = [c.split()[0] for c in FACT.split(", ")] + ["source_hash", "bucket"]
+        return found.select(*wanted) if set(wanted) <= set(found.columns) else None
+
+    def refresh(self, files: DataFrame) -> DataFrame:
+        """The facts of ``files`` (file_id, path, language, text, source_hash), as a full build would give them; the store follows."""
+        from siftline.operators.graph import facts
+
+        bucket = F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int").alias("bucket")
+        named = files.select("path", "source_hash").filter("source_hash IS NOT NULL")
+        known = self._known()
+        new = files
+        if known is not None:
+            # A file's own row says that its facts are whole, even where it has none.
+            new = files.join(known.filter("kind = 'file'").select("path", "source_hash"), ["path", "source_hash"], "left_anti")
+        new = written(new.select("file_id", "path", "language", "text", "source_hash"))
+        self.parsed = new.count()
+        made = facts(new).join(new.select("file_id", "source_hash"), "file_id")
+        own = new.select(F.lit("file").alias("kind"), "file_id", "path", "language", "source_hash")
+        fresh = written(made.unionByName(own, allowMissingColumns=True).withColumn("bucket", bucket))
+        if known is None:
+            fresh.write.mode("overwrite").partitionBy("bucket").parquet(self._store())
+            return fresh.filter("kind != 'file'").drop("source_hash", "bucket")
+        stay = known.join(named, ["path", "source_hash"], "left_semi")
+        if self.parsed:
+            touched = [r[0] for r in new.select(bucket).distinct().collect()]  # as many as buckets at most
+            every = written(stay.filter(F.col("bucket").isin(touched)).unionByName(fresh))
+            rest = written(stay.filter(~F.col("bucket").isin(touched)))
+            every.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._store())
+            stay = rest.unionByName(every)
+        return stay.filter("kind != 'file'").drop("source_hash", "bucket")
 
     def save(self, facts: DataFrame, files: DataFrame) -> None:
         facts.write.mode("overwrite").parquet(f"{self.path}/facts")

@@ -21,7 +21,7 @@ LANGUAGES = {"py": "python", "java": "java", "js": "javascript", "ts": "typescri
 
 
 def corpus(spark, files):
-    rows = [(i, path, LANGUAGES[path.rpartition(".")[2]], text) for i, (path, text) in enumerate(files.items())]
+    rows = [(i, path, LANGUAGES.get(path.rpartition(".")[2], "typescript"), text) for i, (path, text) in enumerate(files.items())]
     return spark.createDataFrame(rows, "file_id long, path string, language string, text string")
 
 
@@ -337,6 +337,71 @@ def test_state_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_snapshot_parses_only_what_has_changed(spark, tmp_path):
+    """After edits, new files and deletions the facts are those of a full build; nothing else is parsed; a broken store is built anew."""
+    texts = {f"m{i}.py": f"from m{i // 2} import f{i // 2}\ndef f{i}(x):\n    return f{i // 2}(x)\n" for i in range(12)} | {"bad.py": "def f(:\n", "empty.py": ""}
+    files = lambda t: corpus(spark, t).withColumn("file_id", F.xxhash64("path")).withColumn("source_hash", F.sha2("text", 256))
+    plain = lambda rows: sorted(map(str, rows.select(*sorted(rows.columns)).collect()))
+    snapshot = state.GraphSnapshot(spark, str(tmp_path / "graph"), buckets=4)
+    for now, parsed in (
+        (texts, 14), (texts, 0), (texts | {"m3.py": "def f3():\n    pass\n"}, 1), ({k: v for k, v in texts.items() if k not in ("m1.py", "bad.py")}, 1),
+        (texts | {"new.py": "import os\n"}, 3), ({"m0.py": "", "empty.py": ""}, 1), (texts, 14),
+    ):
+        got = snapshot.refresh(files(now))
+        # What was dropped may be kept in buckets that no change has touched, so at most so many files are parsed.
+        assert plain(got) == plain(graph.facts(files(now))) and snapshot.parsed <= parsed and (parsed != 1 or snapshot.parsed == 1)
+    spark.createDataFrame([(1,)], "other int").write.mode("overwrite").parquet(str(tmp_path / "graph" / f"schema={state.SCHEMA}" / "store"))
+    assert plain(snapshot.refresh(files(texts))) == plain(graph.facts(files(texts))) and snapshot.parsed == 14
+    assert snapshot.refresh(files(texts).limit(0)).count() == 0
+
+
+def test_scan_with_a_snapshot(spark, project):
+    (project / "src" / "lib.py").write_text("def run(value):\n    return requests.get(value)\n")
+    (project / "src" / "app.py").write_text("from lib import run as go\ndef view(request):\n    name = request.args.get('n')\n    return go(name)\n")
+    snapshot = state.GraphSnapshot(spark, str(project / "graph"))
+    scanner = Scanner.for_packs(spark, ["python"])
+    first = lines(scanner.scan_paths(["src"], ["gen"], snapshot=snapshot).findings)
+    assert snapshot.parsed == 3 and ("python.security.ssrf", "src/app.py", 4) in first
+    (project / "src" / "app.py").write_text("from lib import run as go\n\ndef view(request):\n    name = request.args.get('n')\n    return go(name)\n")
+    second = lines(scanner.scan_paths(["src"], ["gen"], snapshot=snapshot).findings)
+    assert snapshot.parsed == 1 and second == lines(scanner.scan_paths(["src"], ["gen"]).findings) and ("python.security.ssrf", "src/app.py", 5) in second
+
+
+def test_taint_of_clashing_names(spark):
+    """Functions of one name in several files: the caller's own file first, then what the graph resolves, then any; each names its own sink."""
+    files = {
+        "a/lib.py": "def run(v):\n    return requests.get(v)\n", "b/lib.py": "def run(v):\n    return requests.post(v)\n", "c/lib.py": "def run(v):\n    return v\n",
+        **{f"{d}/app.py": "from lib import run\ndef view():\n    q = request.args.get('n')\n    return run(q)\n" for d in "abc"},
+        "d/app.py": "def run(v, w):\n    return requests.put(w)\ndef view():\n    q = request.args.get('n')\n    run('x', q)\n    run(q, 'x')\n",
+        "e/app.py": "import lib\ndef view():\n    q = request.args.get('n')\n    return helper(q)\ndef helper(u):\n    return step(u)\ndef step(u):\n    w = u\n    return helper(w) if u else requests.get(w)\n",
+        "f/app.py": "def own(x):\n    y = request.args.get('k')\n    requests.get(y)\ndef view():\n    q = request.args.get('n')\n    own(q)\n    own('safe')\n",
+        "g/app.py": "def clean(v):\n    v = urlparse(v)\n    return requests.get(v)\ndef view():\n    clean(request.args.get('n'))\n",
+    }
+    got = {(r.path, r.start_line): r.message for r in taint.taint_findings(corpus(spark, files), ssrf()).collect()}
+    said = lambda path, line: got[path, line].rsplit(" ", 1)[-1]
+    assert said("a/app.py", 4) == "requests.get(." and said("b/app.py", 4) == "requests.post(."
+    assert ("c/app.py", 4) in got  # its own lib is harmless, but the name is known to reach a sink elsewhere
+    assert said("d/app.py", 5) == "requests.put(." and said("d/app.py", 6) == "requests.get(."  # the first parameter of another run leads there
+    assert ("e/app.py", 4) in got and {("f/app.py", 3), ("f/app.py", 6)} <= got.keys() and ("f/app.py", 7) not in got
+    assert not [k for k in got if k[0] == "g/app.py"]
+
+
+def test_import_targets(spark):
+    """Extensions in order, a file before its folder's index, an exact name first, at last a namesake beside."""
+    paths = ["x/main.ts", "x/b.js", "x/b.ts", "x/c/index.tsx", "x/c.py", "x/d.go", "x/e.js", "x/e.ts", "x/sub/f.ts", "y/b.ts"]
+    text = 'import { b } from "./b";\nimport { c } from "./c";\nimport { d } from "./d";\nimport { e } from "./e.js";\nimport { f } from "./sub/f";\nimport { g } from "../y/b";\nimport { h } from "./none";\n'
+    files = corpus(spark, {p: text if p == "x/main.ts" else "" for p in paths})
+    got = {r.local: r.target_path for r in graph.import_files(graph.facts(files), files).collect()}
+    assert got == {"b": "x/b.ts", "c": "x/c/index.tsx", "d": "x/d.go", "e": "x/e.js", "f": "x/sub/f.ts", "g": "y/b.ts"}
+
+
+def test_call_by_name_brings_no_pairs(spark):
+    """Every file has a function of one name and calls it and another that it has not: as many edges as calls, the first of the others."""
+    files = {f"m{i:03}.py": f"def get():\n    return other()\n" + ("def other():\n    pass\n" if i in (7, 9) else "") + "def main():\n    get()\n" for i in range(60)}
+    got = graph.edges(corpus(spark, files)).filter("how = 'name'").join(graph.symbols(graph.facts(corpus(spark, files))).select(F.col("symbol_id").alias("callee_symbol"), "path"), "callee_symbol").select("file_id", "callee_text", "path").collect()
+    assert len(got) == 120 and all(r.path == (f"m{r.file_id:03}.py" if r.callee_text == "get" or r.file_id in (7, 9) else "m007.py") for r in got)
+
+
 def test_results_do_not_depend_on_partitions(spark):
     from siftline.plans import registry
 
