@@ -39,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import Scratch, materialise, slices, tidy, without
+from siftline.llm.shared import Scratch, materialise, slices, tidy, told_apart, without
 from siftline.llm.wordarrays import LOWER, buffer_of
+from siftline.session import ship
 
 #: Labelled rows a language that the text models are fitted on, on average at most.
 SAMPLE = 1_000
@@ -243,8 +244,12 @@ def host_priors(counts: DataFrame, n: int) -> DataFrame:
     return full.select("host", F.transform(own, lambda x: F.log(x)).alias("prior"))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose language stays unknown."""
-    with Scratch(docs.sparkSession) as scratch:
-        rejected = scratch.keep(identify(docs, id_col, **options).filter("NOT kept").select(id_col).distinct())
-    return without(docs, rejected, id_col)
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose language stays unknown.
+
+    Rows are rejected by id; where several texts share an id, each by its own text.
+    """
+    apart, name, _ = told_apart(docs, id_col, text_col)
+    with Scratch(ship(docs.sparkSession)) as scratch:
+        rejected = scratch.keep(identify(apart, name, text_col, **options).filter("NOT kept").select(name).distinct())
+    return without(apart, rejected, name).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from siftline.llm.shared import materialise, slices, tidy
+from siftline.llm.shared import materialise, numbered, slices, tidy
 from siftline.session import ship
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, and blocks of an output shard on average.
 BLOCK, SHARD = 1024, 4096
+#: Slots that a task fills, about.
+SLOTS = 1 << 20
 #: Weights of the sources in turn, words of the mix in percent of all, passes over a source at most.
 WEIGHTS, PERCENT, PASSES = (5, 2, 1), 150, 2
 SEED = 12
@@ -117,24 +119,13 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return rows.mapInArrow(tidy(run), schema)
 
 
-def ranked(names: DataFrame) -> DataFrame:
-    """``names`` (source, ...) with ``idx``, the number of a source by code point, null last; ranges are numbered on their own and then moved up."""
-    spark = names.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = materialise(names.repartitionByRange(ranges, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "ranges")
-    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())))
-    counts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
-    before = counts.withColumn("before", F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).select("range", F.coalesce("before", F.lit(0)).alias("before"))
-    return own.join(before, "range").select(*names.columns, (F.col("before") + F.col("own") - 1).alias("idx"))
-
-
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, passes: int = PASSES) -> DataFrame:
-    """``sources`` (source, source_size) with idx and target: shares by weight, none over ``passes`` times its size.
+    """``sources`` (source, source_size) with idx, their number by code point, and target: shares by weight, none over ``passes`` times its size.
 
     Rounds stop sources that are above and reshare what is left by weight, until none is; each is one aggregate of the table of sources.
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("idx") % len(weights) + 1).cast("int"))
-    known = materialise(ranked(sources).withColumns({"weight": weight, "most": (F.col("source_size") * passes).cast("double")}), "sources")
+    known = materialise(numbered(sources, "source").withColumns({"weight": weight, "most": (F.col("source_size") * passes).cast("double")}), "sources")
     total = (known.agg(F.sum("source_size")).first()[0] or 0) * percent / 100
     unit, stopped = 0.0, -1
     while True:
@@ -213,7 +204,9 @@ class Mix:
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["idx", "block", "turn", "shard", "place", "words"])
 
         dealt = asked.mapInArrow(tidy(deal), "idx long, shard long, first long, count long, size long, slots long, last long")
-        return dealt.repartition("idx", "shard").mapInArrow(tidy(fill), "idx long, block long, turn long, shard long, place long, words long")
+        # By number, which Spark doesn't merge: rows are few and small, but each fills a part of a shard.
+        tasks = max(self.docs.sparkSession.sparkContext.defaultParallelism, -(-total // (block * SLOTS)))
+        return dealt.repartition(tasks, "idx", "shard").mapInArrow(tidy(fill), "idx long, block long, turn long, shard long, place long, words long")
 
     def spans(self) -> DataFrame:
         """(shard, place, idx, block, turn, key, tie, start, at, first, words): the documents' words in each slot of the mix."""

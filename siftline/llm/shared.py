@@ -3,77 +3,25 @@
 from __future__ import annotations
 
 import ctypes
-import threading
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siftline.session import shared_dir
+from siftline.session import Scratch, drop_path, new_path, written
+
+__all__ = ["Scratch", "drop_path", "new_path"]
 
 #: Bytes of text handled at once inside a task; bounds the memory of array work.
 SLICE_BYTES = 2 << 20
 
 
-class _Blocks(threading.local):
-    """Blocks open in a thread of the driver, the innermost last."""
-
-    def __init__(self):
-        self.open: list[Scratch] = []
-
-
-_BLOCKS = _Blocks()
-
-
-class Scratch:
-    """Tables that this thread writes inside the block go at its end, but for those given to :meth:`keep`."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, set()
-
-    def __enter__(self) -> Scratch:
-        _BLOCKS.open.append(self)
-        return self
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Writes a result that outlives the block; an enclosing block may drop it in turn."""
-        out = materialise(df, "kept")
-        self.paths.discard(out.scratch_path)
-        if len(_BLOCKS.open) > 1:
-            _BLOCKS.open[-2].paths.add(out.scratch_path)
-        return out
-
-    def __exit__(self, *_) -> None:
-        _BLOCKS.open.pop()
-        for path in self.paths:
-            drop_path(self.spark, path)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
-    if _BLOCKS.open:
-        _BLOCKS.open[-1].paths.add(path)
-    return path
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a table or folder of the shared place."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return written(df, name)
 
 
 #: Bytes of text after which a worker gives free memory back; more often costs page faults.
@@ -165,3 +113,36 @@ def without(docs: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
         return docs
     small = F.broadcast(keys) if 8 * n + (size or 0) <= BROADCAST_BYTES else keys
     return docs.join(small, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``idx``, their number from 0 in the order of some columns, null last; ranges are numbered on their own and then moved up."""
+    by = [F.col(f"`{c}`").asc_nulls_last() for c in order]
+    ranges = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialise(rows.repartitionByRange(ranges, *by).withColumn("__range", F.spark_partition_id()), "ranges")
+    own = dealt.withColumn("__own", F.row_number().over(Window.partitionBy("__range").orderBy(*by)))
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))  # as many rows as ranges
+    before = counts.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return own.join(before, "__range").select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("__before") + F.col("__own") - 1).alias("idx"))
+
+
+def told_apart(docs: DataFrame, id_col: str, text_col: str, whole_numbers: bool = False) -> tuple[DataFrame, str, DataFrame | None]:
+    """``docs``, the column that names a row's text, and the ids (key, name) of the names where they are new.
+
+    The id names the text unless rows of one id have several texts, or, where ``whole_numbers`` are asked for, the id is none.
+    Then each text of an id gets a number, in the order of ids; a null id keeps none.
+    """
+    key, digest = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    fits = not whole_numbers or isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    known = docs.filter(key.isNotNull())
+    if fits and known.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs, id_col, None
+    texts = materialise(known.select(key.alias("key"), digest.alias("digest")).distinct(), "texts")
+    if fits and texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs, id_col, None
+    k, d, name = (fresh(c, docs.columns) for c in ("__key", "__digest", "__name"))
+    names = materialise(numbered(texts, "key", "digest"), "names")
+    found = names.select(F.col("key").alias(k), F.col("digest").alias(d), F.col("idx").alias(name))
+    own = fresh("__own", docs.columns)
+    out = docs.withColumn(own, digest).join(found, (key == F.col(k)) & (F.col(own) == F.col(d)), "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], name), name, names.select("key", F.col("idx").alias("name"))

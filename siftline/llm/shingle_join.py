@@ -56,8 +56,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.components import components, forest
-from siftline.llm.shared import Scratch, materialise, slices, tidy, without
+from siftline.llm.shared import Scratch, materialise, slices, tidy, told_apart, without
 from siftline.llm.wordarrays import NOT_SPACE, Words, mix64
+from siftline.session import ship
 
 #: Bytes of text turned into n-grams at once.
 SLICE = 1 << 19
@@ -695,9 +696,13 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least id."""
-    with Scratch(docs.sparkSession) as scratch:
-        ids = ShingleJoin(docs, id_col, **options).component_ids()
-        leave = scratch.keep(ids.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct())
-    return without(docs, leave, id_col)
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component, the one with the least id.
+
+    Rows are rejected by id; where several texts share an id, each is a document of its own.
+    """
+    apart, name, _ = told_apart(docs, id_col, text_col, True)
+    with Scratch(ship(docs.sparkSession)) as scratch:
+        ids = ShingleJoin(apart, name, text_col, **options).component_ids()
+        leave = scratch.keep(ids.filter("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct())
+    return without(apart, leave, name).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -30,8 +30,11 @@ Defined results
     null or empty text   0 bytes; nothing is removed
     shorter than length  nothing is removed
     very long text       whole, in overlapping pieces of bounded memory
-    repeated rows        a doc_id stands for one document: equal rows get equal
+    repeated rows        rows of one doc_id and text are one document: they get equal
                          results and don't count as one another's repeats
+    several texts of     each is a document of its own, in an order by their hashes; their
+    one doc_id           rows are told apart by numbers made for them, which costs a shuffle
+    ids of other types   numbered in their order, at the same cost
     null doc_id          left as it is, and nothing is a repeat of it
     empty table          empty result
     clashing columns     only id and text are read; :func:`dedup` passes the others through
@@ -48,9 +51,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import Scratch, fresh, materialise, slices, tidy
+from siftline.llm.shared import Scratch, fresh, materialise, slices, tidy, told_apart
 from siftline.llm.shingle_join import node_filter, passing
 from siftline.llm.wordarrays import Prefix, buffer_of, mix64
+from siftline.session import ship
 
 #: Bytes of the strings that are compared, and of the first round's.
 LENGTH = 100
@@ -197,11 +201,12 @@ def _earliest(rows: DataFrame) -> DataFrame:
 
 
 class SuffixDedup:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, apart: bool = True):
         if length < 2 * FIRST or length > 255 + FIRST:
             raise ValueError("length must be 64 to 287 bytes")
-        self.spark, self.length = docs.sparkSession, length
-        self.rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+        self.spark, self.length = ship(docs.sparkSession), length
+        apart, name, self.names = told_apart(docs, id_col, text_col, True) if apart else (docs, id_col, None)
+        self.rows = apart.select(F.col(f"`{name}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def _anchored(self) -> DataFrame:
         """Rows (rank, next, ...) of all anchors."""
@@ -307,8 +312,11 @@ class SuffixDedup:
         return joined.mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
     def digests(self) -> DataFrame:
-        """:meth:`kept` with the sha256 of the bytes left in their place."""
-        return self.kept().withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+        """:meth:`kept` with the sha256 of the bytes left in their place, and the rows' own ids."""
+        out = self.kept().withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+        if self.names is None:
+            return out
+        return out.join(self.names, F.col("doc_id") == F.col("name"), "left").select(F.col("key").alias("doc_id"), *out.columns[1:])
 
 
 def cut_out(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -338,11 +346,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     Bytes of a character of which a cut has taken a part go with it.
     """
-    job = SuffixDedup(docs, id_col, text_col, length)
-    ident, spans, kept = (fresh(c, docs.columns) for c in ("__id", "__ranges", "__left"))
+    apart, name, _ = told_apart(docs, id_col, text_col, True)
+    job = SuffixDedup(apart, name, text_col, length, apart=False)
+    ident, spans, kept = (fresh(c, apart.columns) for c in ("__id", "__ranges", "__left"))
     found = job.found().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias(spans))
     names = docs.columns
-    keyed = docs.withColumn(ident, F.col(f"`{id_col}`").cast("long")).join(found.withColumnRenamed("doc_id", ident), ident, "left")
+    keyed = apart.withColumn(ident, F.col(f"`{name}`").cast("long")).join(found.withColumnRenamed("doc_id", ident), ident, "left")
     schema = T.StructType([*docs.schema.fields, T.StructField(kept, T.BooleanType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,7 +69,7 @@ def apply_rules(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     suffix = F.expr("explode(transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 10000), '.')))")
     fits = keys.withColumn("suffix", suffix).join(table, "suffix").filter(F.expr("startswith(path, substr(r, length(suffix) + 1))"))
     best = fits.groupBy("host", "path").agg(F.min(F.struct(-F.length("r"), "r")).alias("b")).select("host", "path", F.col("b.r").alias("rule"))
-    return pages.join(best, ["host", "path"], "left")
+    return pages.join(best, ["host", "path"], "left").select(*[F.col(f"`{c}`") for c in pages.columns], "rule")
 
 
 def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import chat, components, shingle_join, suffix_dedup, url_filter
+from siftline.llm import chat, components, language, shingle_join, suffix_dedup, url_filter
 from siftline.session import ship
 from tests.llm import helpers as H
 
@@ -356,3 +357,121 @@ def test_jaccard_join_gives_every_link(spark, monkeypatch, rows):
     assert len(found) == len({(r.a, r.b) for r in found}) == sum(link(a, b) for k, a in enumerate(distinct) for b in distinct[:k])
     got = {r.doc_id: r.n_links for r in join.link_counts().collect()}
     assert got == {i: sum(link(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+
+
+# Several texts of one id, and identifiers of other kinds.
+
+TWO = [(1, "the cat and the dog are in the house of the king and they are happy with it. " * 4), (1, ""), (2, "x" * 160), (2, "y" * 40 + "x" * 160 + "z" * 30), (3, "q" * 20), (None, "x" * 160), (2, "y" * 40 + "x" * 160 + "z" * 30)]
+
+
+def test_texts_of_one_id_in_suffix_dedup(spark):
+    """Each text of an id is a document of its own: nothing is cut by another one's ranges, and shorter ones don't stop the job."""
+    docs = H.docs(spark, ["one"]).limit(0).select("doc_id", "text").unionByName(spark.createDataFrame(TWO, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.n_bytes) for r in suffix_dedup.SuffixDedup(docs).digests().collect())
+    assert got == Counter((i, len(t)) for i, t in TWO)
+    cut = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.SuffixDedup(docs).digests().collect()}
+    assert cut[1, 0] == cut[3, 20] == cut[None, 160] == 0 and cut[1, len(TWO[0][1])] > 0  # the first repeats itself
+    assert sorted([cut[2, 160] > 0, cut[2, 230] > 0]) == [True, True]  # x repeats inside the one, and all of it in the other
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in suffix_dedup.dedup(docs).collect())
+    assert (1, "") in kept and (3, "q" * 20) in kept and (-1, "x" * 160) in kept
+    rng = random.Random(2)
+    clean = "".join(rng.choice("abcdefghijklmnop ") for _ in range(1400))
+    rows = suffix_dedup.SuffixDedup(spark.createDataFrame([(5, clean), (5, "b" * 300), (6, "short")], "doc_id long, text string")).digests().collect()
+    assert {(r.doc_id, r.n_bytes): r.n_removed for r in rows} == {(5, 1400): 0, (5, 300): 299, (6, 5): 0}
+
+
+def test_texts_of_one_id_in_stages(spark):
+    english = "The quick brown fox jumps over the lazy dog while the cat sleeps in the sun and the bird sings in the tree near the river. " * 3
+    rows = [(1, english, "en"), (1, "", "en"), (2, english + "and more of it", "en"), (3, "der Hund und die Katze sind in dem Haus mit dem Garten und der Mauer " * 4, "de"), (3, english + "and more of it", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    left = language.keep(docs)
+    assert left.columns == docs.columns and (1, english) in {(r.doc_id, r.text) for r in left.collect()} and (1, "") not in {(r.doc_id, r.text) for r in left.collect()}
+    kept = {(r.doc_id, r.text[:3]) for r in shingle_join.representatives(docs).collect()}
+    assert (3, "der") in kept and (3, "The") not in kept  # a copy leaves, the other text of its id stays
+    named = docs.withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))
+    assert {(r.doc_id, r.text[:3]) for r in shingle_join.representatives(named).collect()} == {("id-" + str(i), t) for i, t in kept}
+    assert suffix_dedup.SuffixDedup(named).digests().filter("doc_id LIKE 'id-%'").count() == len(rows)
+
+
+def test_calls_without_identifier(spark):
+    turns = [
+        (1, 0, "a", '{"tool_calls":[{"id":null,"name":"f","arguments":{}},{"name":"f","arguments":{"x":"$k"}},{"id":"k","name":"f","arguments":{}}]}'),
+        (1, 1, "t", '{"tool_call_id":null,"content":"none"}'), (1, 2, "t", '{"tool_call_id":"None","content":"text"}'), (1, 3, "t", '{"tool_call_id":"k","content":"v"}'),
+    ]
+    got = chat.format_chat(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert [(r.n_calls, r.n_linked, r.n_cyclic, r.orphan) for r in got] == [(3, 1, 0, False), (0, 0, 0, True), (0, 0, 0, True), (0, 0, 0, False)]
+    made = json.loads(got[0].message)["tool_calls"]
+    assert [(c["id"], c.get("result")) for c in made] == [(None, None), ("k", "v"), (None, None)] and json.loads(got[1].message)["tool_call_id"] is None
+
+
+def brute_errors(value, schema, known, at=""):
+    """What breaks a schema of type, bounds, required, properties and items, unless a known call stands there."""
+    if isinstance(value, str) and value[:1] == "$" and value[1:] in known:
+        return 0
+    kinds = {"integer": lambda v: type(v) is int, "string": lambda v: type(v) is str, "object": lambda v: type(v) is dict, "array": lambda v: type(v) is list}
+    if not kinds[schema["type"]](value):
+        return 1
+    n = int("minimum" in schema and value < schema["minimum"]) + int("maxLength" in schema and len(value) > schema["maxLength"])
+    if type(value) is dict:
+        n += sum(k not in value for k in schema.get("required", [])) + sum(brute_errors(v, schema["properties"][k], known) for k, v in value.items() if k in schema["properties"])
+    if type(value) is list:
+        n += sum(brute_errors(v, schema["items"], known) for v in value)
+    return n
+
+
+def test_chat_over_random_calls(spark):
+    """Random calls, references, identifiers and results against brute force: links, levels, errors, orphans."""
+    rng = random.Random(5)
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 3}, "b": {"type": "array", "items": {"type": "string", "maxLength": 4}}}}
+    value = lambda: rng.choice([1, 5, "x", "longer", "$c0", "$c1", "$c2", "$none", ["ab", "$c1"], ["toolong"], [7]])
+    turns, want = [], []
+    for conv in range(25):
+        calls, results = [], {}
+        for turn in range(rng.randint(1, 6)):
+            if rng.random() < 0.6:
+                own = [{"id": rng.choice([None, "c0", "c1", "c2", "c3"]), "name": "f", "arguments": {k: value() for k in rng.sample(["a", "b", "z"], rng.randint(0, 3))}} for _ in range(rng.randint(1, 3))]
+                calls.append((turn, own))
+                turns.append((conv, turn, "a", json.dumps({"tool_calls": own})))
+            else:
+                ident = rng.choice([None, "c0", "c1", "c9"])
+                results.setdefault(ident, turn)
+                calls.append((turn, ident))
+                turns.append((conv, turn, "t", json.dumps({"tool_call_id": ident, "content": "r"})))
+        known = {c["id"] for _, own in calls if isinstance(own, list) for c in own if c["id"] is not None}
+        for turn, own in calls:
+            if isinstance(own, list):
+                bad = sum(brute_errors(c["arguments"], schema, known) > 0 for c in own)
+                want.append((conv, turn, len(own), sum(c["id"] is not None and c["id"] in results for c in own), bad, False))
+            else:
+                want.append((conv, turn, 0, 0, 0, own not in known))
+    got = chat.format_chat(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), {"f": schema}).orderBy("conv_id", "turn").collect()
+    assert [(r.conv_id, r.turn, r.n_calls, r.n_linked, r.n_invalid, r.orphan) for r in got] == want
+
+
+@pytest.mark.parametrize(
+    "schema,good,bad",
+    [
+        ({"minimum": 3, "exclusiveMaximum": 5}, [3, 4.5, "x"], [2, 5]), ({"multipleOf": 0.1}, [0.3, 2], [0.25]), ({"minLength": 2, "pattern": "^a"}, ["ab", 1], ["a", "ba"]),
+        ({"uniqueItems": True, "maxItems": 2}, [[1, True], []], [[1, 1], [1, 2, 3]]), ({"const": 1}, [1], [True, "1"]), ({"enum": [1, None]}, [1, None], [True, 0]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["a", 5], [4]), ({"oneOf": [{"type": "integer"}, {"minimum": 5}]}, [4, 5.5], [5, 4.5]), ({"not": {"type": "null"}}, [0], [None]),
+        ({"properties": {"a": False}, "additionalProperties": {"type": "integer"}}, [{"b": 1}], [{"a": 1}, {"b": "x"}]), ({"minProperties": 1}, [{"a": 1}], [{}]), (True, [1], []), (False, [], [1]),
+    ],
+)
+def test_schema_keywords(schema, good, bad):
+    chat.check_schema(schema)
+    assert not any(chat.violations(v, schema) for v in good) and all(chat.violations(v, schema) for v in bad)
+
+
+def test_schemas_that_cannot_be_checked(spark):
+    turns = spark.createDataFrame([(1, 0, "a", "x")], "conv_id long, turn long, role string, text string")
+    for schema in ({"if": {}}, {"properties": {"a": {"dependentRequired": {}}}}, {"items": 3}):
+        with pytest.raises(ValueError, match="unknown keyword|a schema is"):
+            chat.format_chat(turns, {"f": schema})
+
+
+def test_url_columns_keep_their_order(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.org/fr/x", "h", "e")], "page_id long, url string, html string, extra string")
+    few = url_filter.judge(pages, {"org/fr/": "allow"})
+    monkeypatch.setattr(url_filter, "INLINE_RULES", 0)
+    many = url_filter.judge(pages, {"org/fr/": "allow"})
+    assert few.columns == many.columns and few.collect() == many.collect()
