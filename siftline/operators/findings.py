@@ -44,15 +44,24 @@ def first_per_rule(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.min(order).alias("m")).select("m.row.*")
 
 
+#: Bytes of a file whose spans are looked at together.
+BIN = 1 << 16
+
+
 def innermost(findings: DataFrame) -> DataFrame:
     """Drops findings whose span strictly holds another of the same rule and file; equal spans all stay.
 
-    Needs start_byte and end_byte.
+    Needs start_byte and end_byte.  What a span holds begins in its own bin, where a window finds it, or in a later one, of
+    which only the least end matters; so the spans of one rule and file are spread over the bins of the file.
     """
-    after = Window.partitionBy("rule_id", "path").orderBy("start_byte", F.desc("end_byte")).rowsBetween(1, Window.unboundedFollowing)
-    inner = F.min(F.struct("end_byte", "start_byte")).over(after)
-    spans = findings.select("rule_id", "path", "start_byte", "end_byte").distinct()
-    keep = spans.withColumn("in", inner).filter("in IS NULL OR in.end_byte > end_byte OR in.start_byte >= end_byte").drop("in")
+    group = ["rule_id", "path", "bin"]
+    spans = findings.select("rule_id", "path", "start_byte", "end_byte").distinct().withColumn("bin", F.expr(f"start_byte DIV {BIN}"))
+    least = F.min(F.struct("end_byte", "start_byte"))
+    after = Window.partitionBy(*group).orderBy("start_byte", F.desc("end_byte")).rowsBetween(1, Window.unboundedFollowing)
+    bins = spans.groupBy(*group).agg(least.alias("m"))
+    later = bins.select(*group, F.min("m").over(Window.partitionBy("rule_id", "path").orderBy("bin").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    inner = spans.withColumn("own", least.over(after)).join(later, group).withColumn("in", F.least("own", "later"))
+    keep = inner.filter("in IS NULL OR in.end_byte > end_byte OR in.start_byte >= end_byte").select("rule_id", "path", "start_byte", "end_byte")
     return findings.join(keep, ["rule_id", "path", "start_byte", "end_byte"], "left_semi").select(*findings.columns)
 
 

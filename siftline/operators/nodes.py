@@ -80,12 +80,23 @@ def below(nodes: DataFrame, of: DataFrame) -> DataFrame:
 def enclosing(points: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
     """``points`` (file_id, at) with the ``columns`` of the innermost span (file_id, start, end) that holds each; nulls if none does.
 
-    Innermost is a minimum over the spans that hold the point, so nothing is sorted.
+    A span is cut into aligned cells whose sizes are powers of two, at most two of a size; a cell keeps the shortest of its
+    spans, and a point asks the one cell of each size that it lies in.  So no point meets all spans that hold it, and a
+    file of any number of either is many keys.
     """
-    places = points.select(F.col("file_id").alias("f"), "at").distinct()
-    hold = places.join(spans, (F.col("f") == F.col("file_id")) & (F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
-    best = hold.groupBy("file_id", "at").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("size"), *columns)).alias("b"))
-    return points.join(best, ["file_id", "at"], "left").select(*points.columns, *[F.col(f"b.{c}").alias(c) for c in columns])
+    longest = spans.agg(F.max(F.col("end") - F.col("start"))).first()[0]
+    levels = F.sequence(F.lit(0), F.lit(max(0, int(longest or 0).bit_length() - 1)))
+    one = F.lit(1).cast("long")
+    sized = spans.withColumn("level", F.explode(levels))
+    first = F.expr("shiftright(start + shiftleft(1L, level) - 1, level)")
+    last = F.expr("shiftright(end, level)") - 1
+    # A cell counts where the one twice as large around it lies not wholly in the span.
+    own = F.array_distinct(F.array_compact(F.array(F.when(first.bitwiseAND(one) == 1, first), F.when(last.bitwiseAND(one) == 0, last))))
+    cells = sized.filter(first <= last).withColumn("cell", F.explode(own))
+    best = cells.groupBy("file_id", "level", "cell").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("size"), *columns)).alias("b"))
+    places = points.select("file_id", "at").distinct().withColumn("level", F.explode(levels)).withColumn("cell", F.expr("shiftright(CAST(at AS BIGINT), level)"))
+    held = places.join(best, ["file_id", "level", "cell"]).groupBy("file_id", "at").agg(F.min("b").alias("b"))
+    return points.join(held, ["file_id", "at"], "left").select(*points.columns, *[F.col(f"b.{c}").alias(c) for c in columns])
 
 
 def symbol_table(nodes: DataFrame) -> DataFrame:

@@ -125,12 +125,21 @@ def prepare(files: DataFrame) -> DataFrame:
     )
 
 
+#: Leaves of the tree of hashes over a set of files.
+LEAVES = 4096
+
+
 def scope_id(prepared: DataFrame) -> str:
-    """Identity of a whole set of files: a sum over hashes of path and content, so nothing is gathered or ordered."""
-    row = prepared.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "source_hash").cast("decimal(38,0)"))).first()
-    from siftline.functions.text import fnv1a64
+    """Identity of a whole set of files: a tree of hashes over paths and contents in the order of paths.
 
-    return fnv1a64(f"{row[0]}\0{row[1]}")
+    Files are dealt to leaves by a hash of their path, a leaf hashes its files in order, and the root hashes the leaves in
+    order; so nothing large is gathered, and the partitioning of the table doesn't matter.
+    """
+    rows = prepared.select("path", "source_hash", F.pmod(F.xxhash64("path"), F.lit(LEAVES)).alias("leaf"))
+    file = F.struct("path", F.sha2(F.concat_ws("\0", "path", "source_hash"), 256).alias("hash"))
+    leaves = rows.groupBy("leaf").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(file)), lambda f: f["hash"]), ""), 256).alias("hash"))
+    root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "hash"))), lambda x: F.concat_ws(":", x["leaf"], x["hash"])), ","), 256)
+    return leaves.agg(root).first()[0]
 
 
 def _git(root: str, *args: str) -> list[str]:

@@ -1,6 +1,7 @@
 """The engine's own operators on small inputs."""
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -402,6 +403,37 @@ def test_call_by_name_brings_no_pairs(spark):
     assert len(got) == 120 and all(r.path == (f"m{r.file_id:03}.py" if r.callee_text == "get" or r.file_id in (7, 9) else "m007.py") for r in got)
 
 
+def test_enclosing_against_brute_force(spark):
+    """Random spans that nest, overlap, touch and repeat, and points on their ends, in a few files."""
+    rng = random.Random(4)
+    spans = [(rng.randrange(3), a, a + rng.choice([0, 1, 2, 7, 64, 100, 511, 3000]), i) for i, a in enumerate(rng.randrange(4000) for _ in range(300))]
+    points = [(rng.randrange(4), rng.randrange(4200)) for _ in range(300)] + [(f, x) for f, a, b, _ in spans[:60] for x in (a, b - 1, b)]
+    want = sorted((f, at, min(((b - a, i) for g, a, b, i in spans if g == f and a <= at < b), default=(0, -1))[1]) for f, at in points)
+    frame = spark.createDataFrame(spans, "file_id long, start long, end long, span long")
+    got = nodes.enclosing(spark.createDataFrame(points, "file_id long, at long"), frame, ["span"]).fillna(-1, ["span"])
+    assert sorted(map(tuple, got.collect())) == want
+    assert nodes.enclosing(spark.createDataFrame(points, "file_id long, at long"), frame.limit(0), ["span"]).filter("span IS NOT NULL").isEmpty()
+
+
+def test_innermost_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(O, "BIN", 16)
+    rng = random.Random(6)
+    spans = [(rng.choice("rq"), rng.choice("pt"), a, a + rng.choice([1, 3, 10, 40, 150])) for a in (rng.randrange(300) for _ in range(200))]
+    spans += spans[:20]
+    inside = lambda t, s: t[:2] == s[:2] and s[2] <= t[2] and t[3] <= s[3] and t[2:] != s[2:]
+    want = sorted(s for s in spans if not any(inside(t, s) for t in spans))
+    assert sorted(map(tuple, O.innermost(spark.createDataFrame(spans, "rule_id string, path string, start_byte long, end_byte long")).collect())) == want
+
+
+def test_scope_identity(spark):
+    rows = [(f"d{i % 7}/f{i}.py", f"h{i}") for i in range(200)]
+    ident = lambda r, n=3: tree.scope_id(spark.createDataFrame(r, "path string, source_hash string").repartition(n))
+    same = ident(rows)
+    assert same == ident(rows[::-1], 8) == ident(rows, 1) and len(same) == 64
+    swapped = [(rows[0][0], rows[1][1]), (rows[1][0], rows[0][1]), *rows[2:]]
+    assert len({same, ident(swapped), ident(rows[1:]), ident([*rows, ("z", None)]), ident([*rows, rows[0]])}) == 5
+
+
 def test_results_do_not_depend_on_partitions(spark):
     from siftline.plans import registry
 
