@@ -49,7 +49,7 @@ def scan(args: argparse.Namespace) -> int:
         result.findings = O.new_against(result.findings, base)
     if args.min_severity:
         result.findings = O.at_least(result.findings, args.min_severity)
-    report.write_report(report.render(result, args.format or c.format), args.output or c.output)
+    report.write(result, args.format or c.format, args.output or c.output)
     return O.exit_code(result.findings, result.degraded, args.fail_on_severity or c.exit_on_severity)
 
 

@@ -440,3 +440,32 @@ def test_results_do_not_depend_on_partitions(spark):
     rows = registry.corpus(spark, "/root/testdata/sf0.001")
     one, many = (match.findings(rows.repartition(n), registry.prose_rules()).select("rule_id", "path", "start_char", "fingerprint") for n in (1, 8))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() > 0
+
+
+def test_reports_as_parts(spark, tmp_path):
+    """Every format from many partitions: whole, in triage order, the same in parts as in one text, with odd characters and no findings."""
+    files = corpus(spark, {f"d{i % 3}/f{i}.txt": f'{i} <&> "é" aa\n' * (i % 4) for i in range(40)} | {"a\\b.txt": "bb"})
+    rules = [Rule(id="a", name='A "quoted" <rule>', category="c", severity="low", languages=("text",), regex="aa"), Rule(id="b", severity="critical", cwe="CWE-1", languages=("text",), regex="bb")]
+    from siftline.sources.packs import Pack
+
+    scanner = Scanner(spark, Registry([Pack("p", "1", rules=tuple(rules))]))
+    result = scanner.scan(files.repartition(5))
+    order = [(r.rule_id, r.path, r.start_line) for r in O.triage(result.findings).collect()]
+    for kind in ("json", "sarif", "html", "terminal"):
+        report.write_parts(result, kind, f"file://{tmp_path}/{kind}")
+        parts = "".join(p.read_text("utf-8") for p in sorted((tmp_path / kind).glob("part-*")))
+        report.write(result, kind, str(tmp_path / f"{kind}.out"))
+        assert (tmp_path / f"{kind}.out").read_text("utf-8").splitlines()[3:-9] == parts.splitlines()[3:-9]
+    data = json.loads((tmp_path / "json.out").read_text("utf-8"))
+    assert [(f["rule_id"], f["file"], f["line"]) for f in data["findings"]] == order and len(order) == 61 and data["findings"][1]["cwe"] is None
+    sarif = json.loads((tmp_path / "sarif.out").read_text("utf-8"))["runs"][0]
+    assert [r["ruleId"] for r in sarif["results"]] == [o[0] for o in order] and [r["id"] for r in sarif["tool"]["driver"]["rules"]] == ["b", "a"]
+    assert sarif["results"][0]["locations"][0]["physical_location"]["artifact_location"]["uri"] == "a/b.txt" and sarif["results"][0]["level"] == "error"
+    html = (tmp_path / "html.out").read_text("utf-8")
+    assert html.count("<article") == 61 and "A &quot;quoted&quot; &lt;rule&gt;" in html and "&lt;&amp;&gt; &quot;é&quot;" in html and html.endswith("</body></html>\n")
+    text = (tmp_path / "terminal.out").read_text("utf-8")
+    assert text.startswith("CRITICAL a\\b.txt:1:1\n  b (CWE-1)\n") and "61 finding(s)" in text
+    none = Scanner(spark, Registry([Pack("p", "1", rules=(rules[1],))])).scan(files.limit(1))
+    assert json.loads(report.json_report(none))["findings"] == [] and json.loads(report.sarif_report(none))["runs"][0]["results"] == []
+    with pytest.raises(ValueError, match="unknown report"):
+        report.render(none, "pdf")
