@@ -28,95 +28,66 @@ def unicode(pattern: str) -> str:
 #: Matches that are numbered together; lists grow by copies, so whole texts are not done at once.
 CHUNK = 64
 
-
-_ROWS = "array<struct<ord:int,start:int,byte:int,line:int,column:int,match:string,snippet:string%s>>"
-
-
-def _extent(piece: Column) -> Column:
-    """Characters, bytes and line ends of a piece of text, and the characters after its last line end."""
-    ends = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
-    return F.struct(F.length(piece).alias("n"), F.octet_length(piece).alias("b"), ends.alias("k"), F.length(F.substring_index(piece, "\n", -1)).alias("t"))
+_MATCH = "rule_ord int, ord int, start_char int, match_text string, start_byte long, start_line long, start_column long, code_snippet string"
 
 
-def _after(at: Column, x: Column) -> Column:
-    """Where a text is (characters, bytes, line ends, characters of the line) once a piece has followed."""
-    return F.struct((at["n"] + x["n"]).alias("n"), (at["b"] + x["b"]).alias("b"), (at["k"] + x["k"]).alias("k"), F.when(x["k"] > 0, x["t"]).otherwise(at["t"] + x["n"]).alias("t"))
+def _type(fields: str) -> str:
+    """The type of an array of structs of some fields."""
+    return "array<struct<" + ",".join(f.strip().replace(" ", ":") for f in fields.split(",")) + ">>"
 
 
-def _none(around: bool = False) -> Column:
-    """No matches, as :func:`find_all` would give them."""
-    return F.array().cast(_ROWS % (",around:string" if around else ""))
+# The walk along a text's matches, as SQL: characters (n), bytes (b) and line ends (k) up to a place, and characters of its line before it (t).
+_EXTENT = "named_struct('n', length({0}), 'b', octet_length({0}), 'k', length({0}) - length(replace({0}, char(10), '')), 't', length(substring_index({0}, char(10), -1)))"
+_BOTH = "named_struct('n', x.g.n + x.m.n, 'b', x.g.b + x.m.b, 'k', x.g.k + x.m.k, 't', IF(x.m.k > 0, x.m.t, x.g.t + x.m.n))"
+_AFTER = "named_struct('n', {0}.n + {1}.n, 'b', {0}.b + {1}.b, 'k', {0}.k + {1}.k, 't', IF({1}.k > 0, {1}.t, {0}.t + {1}.n))"
 
 
-def find_all(text: Column, pattern: str, around: bool = False) -> Column:
-    """Array of (ord, start, byte, line, column, match, snippet) of all matches, from 0.  The pattern doesn't match empty text.
+def _walk(read: str, rule_ord: int, around: bool) -> str:
+    """SQL for the array of matches of a rule, from a column with the pieces that :func:`_read` has cut a text into.
 
     Extents of the pieces between matches are added up chunk by chunk, and lines are cut once, so the work is in proportion to
-    the text and its matches.  ``snippet`` is the line that a match begins on; at will, ``around`` is all lines that it touches.
+    the text and its matches.  What several expressions use is bound by a transform of an array of one.
     """
-    past = lambda at, x: _after(_after(at, x["g"]), x["m"])
-    zero = F.struct(*[F.lit(0).alias(c) for c in "nbkt"])
-    begin = F.struct(zero.alias("at"), F.array().cast("array<struct<n:int,b:int,k:int,t:int>>").alias("out"))
-    starts = lambda chunks: F.aggregate(
-        chunks, begin, lambda acc, c: F.struct(F.aggregate(c["parts"], acc["at"], past).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"]
-    )
-
-    def rows(chunk: Column, at: Column, lines: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            here = _after(acc["at"], x["g"])
-            row = F.struct(
-                (chunk["first"] + F.size(acc["out"])).alias("ord"), here["n"].alias("start"), here["b"].alias("byte"), here["k"].alias("line"), here["t"].alias("column"), x["text"].alias("match"),
-                F.element_at(lines, here["k"] + 1).alias("snippet"), *([F.array_join(F.slice(lines, here["k"] + 1, x["m"]["k"] + 1), "\n").alias("around")] if around else []),
-            )
-            return F.struct(_after(here, x["m"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-        return F.aggregate(chunk["parts"], F.struct(at.alias("at"), _none(around).alias("out")), step, lambda a: a["out"])
-
-    def cut(b: Column) -> Column:
-        """The pieces before matches with the matches, in chunks."""
-        parts = F.zip_with(F.slice(b["gaps"], 1, F.size(b["found"])), b["found"], lambda g, m: F.struct(_extent(g).alias("g"), _extent(m).alias("m"), m.alias("text")))
-        return F.struct(parts.alias("parts"), b["lines"].alias("lines"))
-
-    def chunked(b: Column) -> Column:
-        last = F.greatest(F.floor((F.size(b["parts"]) - 1) / CHUNK).cast("int"), F.lit(0))
-        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.struct((c * CHUNK).alias("first"), F.slice(b["parts"], c * CHUNK + 1, CHUNK).alias("parts")))
-        return F.struct(chunks.alias("chunks"), b["lines"].alias("lines"))
-
-    # What several expressions use is bound by a transform of an array of one, and so computed once a text.
-    read = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"), F.split(text, "\n", -1).alias("lines"))
-    bound = F.transform(F.transform(F.array(read), cut), chunked)
-    return F.element_at(F.transform(bound, lambda b: F.flatten(F.zip_with(b["chunks"], starts(b["chunks"]), lambda c, at: rows(c, at, b["lines"])))), 1)
-
-
-def _of_rule(ord_: int, rule: Rule, classes) -> Column:
-    """Matches of one rule in a row's text, without those whose lines its not-regex finds."""
+    pieces = f"""zip_with(slice(r.gaps, 1, size(r.found)), r.found, (g, m) -> named_struct('g', {_EXTENT.format('g')}, 'm', {_EXTENT.format('m')}, 'text', m))"""
+    parts = f"""transform({read}, r -> named_struct('lines', r.lines, 'parts', transform({pieces}, x -> named_struct('g', x.g, 'both', {_BOTH}, 'ends', x.m.k, 'text', x.text))))"""
+    chunks = f"""transform({parts}, r -> named_struct('lines', r.lines, 'chunks', transform(sequence(0, greatest(CAST(floor((size(r.parts) - 1) / {CHUNK}) AS INT), 0)), c -> named_struct('first', c * {CHUNK}, 'parts', slice(r.parts, c * {CHUNK} + 1, {CHUNK})))))"""
+    starts = f"""aggregate(r.chunks, named_struct('at', named_struct('n', 0, 'b', 0, 'k', 0, 't', 0), 'out', CAST(array() AS {_type('n int, b int, k int, t int')})),
+                 (a, c) -> named_struct('at', aggregate(c.parts, a.at, (s, x) -> {_AFTER.format('s', 'x.both')}), 'out', concat(a.out, array(a.at))), a -> a.out)"""
+    lines = ", 'around', array_join(slice(r.lines, a.at.k + x.g.k + 1, x.ends + 1), char(10))" if around else ""
+    row = f"""named_struct('rule_ord', {rule_ord}, 'ord', c.first + size(a.out), 'start_char', a.at.n + x.g.n, 'match_text', x.text, 'start_byte', CAST(a.at.b + x.g.b AS BIGINT), 'start_line', CAST(a.at.k + x.g.k + 1 AS BIGINT),
+              'start_column', CAST(IF(x.g.k > 0, x.g.t, a.at.t + x.g.n) + 1 AS BIGINT), 'code_snippet', element_at(r.lines, a.at.k + x.g.k + 1){lines})"""
+    rows = f"""aggregate(c.parts, named_struct('at', at, 'out', CAST(array() AS {_type(_MATCH + (', around string' if around else ''))})),
+               (a, x) -> named_struct('at', {_AFTER.format('a.at', 'x.both')}, 'out', concat(a.out, array({row}))), a -> a.out)"""
+    return f"flatten(transform({chunks}, r -> flatten(zip_with(r.chunks, {starts}, (c, at) -> {rows}))))"
+
+
+def _read(rule: Rule, classes) -> Column:
+    """An array of one with all matches of a rule in a row's text, the pieces between them, and the text's lines; empty if it has none."""
     text, pattern = F.col("text"), classes(rule.regex)
     applies = F.col("language").isin([x for x in {*rule.languages, "tsx"} if rule.applies(x)])
-    around = rule.not_regex is not None
-    own = F.when(applies & text.rlike(pattern), find_all(text, pattern, around)).otherwise(_none(around))
-    if around:
-        own = F.filter(own, lambda m: ~m["around"].rlike(classes(rule.not_regex)))
-    return F.transform(
-        own,
-        lambda m: F.struct(
-            F.lit(ord_).alias("rule_ord"), m["ord"].alias("ord"), m["start"].alias("start_char"), m["match"].alias("match_text"), m["byte"].cast("long").alias("start_byte"),
-            (m["line"] + 1).cast("long").alias("start_line"), (m["column"] + 1).cast("long").alias("start_column"), m["snippet"].alias("code_snippet"),
-        ),
-    )
-
-
-_MATCH = "rule_ord int, ord int, start_char int, match_text string, start_byte long, start_line long, start_column long, code_snippet string"
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"), F.split(text, "\n", -1).alias("lines"))
+    return F.when(applies & text.rlike(pattern), F.array(cut)).otherwise(F.array().cast("array<struct<found:array<string>,gaps:array<string>,lines:array<string>>>"))
 
 
 def matches(corpus: DataFrame, rules: list[Rule], unicode_classes: bool = True) -> DataFrame:
     """(file_id, path, language, rule_ord, ord, start_char, match_text, start_byte, start_line, start_column, code_snippet) of every match of every applicable rule.
 
-    ``corpus``: file_id, path, language, text; null texts have no matches.  Places are known before matches become rows, so no row carries a text.
+    ``corpus``: file_id, path, language, text; null texts have no matches.  Patterns don't match empty text.  Places are known
+    before matches become rows, so no row carries a text; ``code_snippet`` is the line that a match begins on.
     """
     classes = unicode if unicode_classes else str
-    found = [_of_rule(i, r, classes) for i, r in enumerate(rules) if r.capability == "pattern"]
-    all_ = F.flatten(F.array(*found)) if found else F.array().cast(f"array<struct<{_MATCH.replace(' ', ':').replace(',:', ',')}>>")
-    return corpus.select("file_id", "path", "language", F.explode(all_).alias("m")).select("file_id", "path", "language", "m.*")
+    own = [(i, r) for i, r in enumerate(rules) if r.capability == "pattern"]
+    read = corpus.select("file_id", "path", "language", *[_read(r, classes).alias(f"read_{i}") for i, r in own])
+    found = []
+    for i, r in own:
+        rows = F.expr(_walk(f"read_{i}", i, r.not_regex is not None))
+        if r.not_regex is not None:  # not where the lines that a match touches hold it
+            unwanted = classes(r.not_regex)
+            rows = F.filter(rows, lambda m: ~m["around"].rlike(unwanted))
+            rows = F.transform(rows, lambda m: F.struct(*[m[f.split()[0]].alias(f.split()[0]) for f in _MATCH.split(", ")]))
+        found.append(rows)
+    all_ = F.flatten(F.array(*found)) if found else F.array().cast(_type(_MATCH))
+    return read.select("file_id", "path", "language", F.explode(all_).alias("m")).select("file_id", "path", "language", "m.*")
 
 
 def locate(found: DataFrame) -> DataFrame:
