@@ -16,10 +16,10 @@ from siftline.functions import text as X
 from siftline.operators import findings as O
 from siftline.operators import graph, match, nodes, query, suppress, taint
 from siftline.operators.graph import changed
-from siftline.sources import tree
+from siftline.sources import listing, tree
 from siftline.sources.packs import BUILT_IN, SEVERITIES, Registry, Rule, load_pack, rules_table
 from siftline.sources.state import GraphSnapshot
-from siftline.session import new_path, spread, table, written
+from siftline.session import Scratch, new_path, spread, table, written
 
 
 def prose_rules() -> list[Rule]:
@@ -205,6 +205,23 @@ def snapshot_changed_files(spark, sf_dir):
     return changed(docs.select("path", F.sha2("text", 256).alias("source_hash")), was).select(F.col("path").cast("long").alias("doc_id"))
 
 
+def tree_documents(spark, sf_dir):
+    """Documents written as a tree of text files by source and language, found and read again from it by executors.
+
+    Folders of one language are excluded, and a copy of the tree lies in a folder that discovery ignores.
+    """
+    docs = table(spark, sf_dir, "documents")
+    line = F.to_json(F.struct("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes")))
+    rows = docs.select("source", F.col("lang").alias("language"), line.alias("value"))
+    with Scratch(spark) as block:
+        root = new_path(spark, "tree")
+        for where in (f"{root}/src", f"{root}/src/node_modules/copy"):
+            rows.write.option("maxRecordsPerFile", 5000).partitionBy("source", "language").text(where)
+        files = listing.read(listing.listing(spark, [root], ["language=de", "_SUCCESS", ".*"]))
+        lines = files.select(F.explode(F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n")).alias("line"))
+        return block.keep(lines.select(F.from_json("line", "doc_id long, text_md5 string, n_bytes long").alias("row")).select("row.*"))
+
+
 def graph_snapshot(spark, sf_dir):
     """Facts of modules from a snapshot, after every tenth module has changed: as a full build gives them, and which files were parsed for it."""
     modules = project(spark, sf_dir)
@@ -368,7 +385,7 @@ def queries() -> dict:
         category_rollup_zero_fill, severity_summary, triage_topk, min_severity_floor, exit_policy, baseline_new, baseline_existing,
         baseline_fixed, baseline_counts, first_finding_per_rule, innermost_spans, fingerprint_fnv1a, suppressed_findings,
         unsuppressed_findings, fixture_verdicts, snapshot_changed_files, language_detection, exclude_globs, normalized_paths,
-        escaped_pages, sarif_levels, enclosing_spans, call_graph_closure, taint_findings, import_targets, resolved_calls, taint_same_names, graph_snapshot,
+        escaped_pages, sarif_levels, enclosing_spans, call_graph_closure, taint_findings, import_targets, resolved_calls, taint_same_names, graph_snapshot, tree_documents,
     ]
     return {f.__name__: f for f in own}
 
@@ -440,6 +457,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT k, 8, 'go', CASE WHEN has THEN 'import' END, CASE WHEN has THEN to_path END, CASE WHEN has THEN 'run_' || h END FROM there
             UNION ALL SELECT k, 9, 's.work', CASE WHEN has THEN 'type' ELSE 'name' END, CASE WHEN has THEN to_path ELSE 'src/m' || k || '.ts' END, 'Svc' || CASE WHEN has THEN h ELSE k END || '.work' FROM there
             UNION ALL SELECT k, 10, 'other', 'name', CASE WHEN k % 7 = 0 THEN 'src/m' || k || '.ts' ELSE (FROM others) END, 'other' FROM there""",
+        "tree_documents": "SELECT doc_id, md5(text) AS text_md5, strlen(text) AS n_bytes FROM documents WHERE lang IS DISTINCT FROM 'de'",
         "graph_snapshot": "SELECT 'src/m' || event_id || '.py' AS path, CASE WHEN event_id % 10 = 0 THEN 2 ELSE 1 END::BIGINT AS symbols, CASE WHEN event_id % 10 = 0 THEN 8 ELSE 4 END::BIGINT AS last_line, (SELECT count(*) FROM events WHERE event_id % 10 = 0) AS parsed_files FROM events",
         "taint_same_names": "SELECT 'python.security.ssrf' AS rule_id, 'src/app' || a.event_id // 2 || '.py' AS path, CAST(5 AS BIGINT) AS start_line, CAST(4 AS BIGINT) AS source_line, 'Tainted data from name (source at line 4) reached run(...) reaches sink ' || CASE WHEN l.event_id % 3 = 0 THEN 'requests.get(' ELSE 'requests.post(' END || '.' AS message FROM events a JOIN events l ON l.event_id = a.event_id - 1 WHERE a.event_id % 2 = 1",
         "language_detection": paths + " SELECT CASE regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) WHEN 'py' THEN 'python' WHEN 'java' THEN 'java' WHEN 'tsx' THEN 'tsx' WHEN 'go' THEN 'go' WHEN 'js' THEN 'javascript' ELSE 'unknown' END AS language, count(*) AS files FROM paths GROUP BY 1",

@@ -12,7 +12,7 @@ from siftline.operators import findings as O
 from siftline.operators import match, query, suppress, taint
 from siftline.operators.graph import facts
 from siftline.session import ship, written
-from siftline.sources import tree
+from siftline.sources import listing, tree
 from siftline.sources.packs import BUILT_IN, Registry, load_pack, rules_table
 from siftline.sources.state import FindingsCache, GraphSnapshot
 
@@ -79,10 +79,15 @@ class Scanner:
     def scan_paths(self, paths: list[str], excludes: list[str] | None = None, files: list[str] | None = None, cache: FindingsCache | None = None, snapshot: GraphSnapshot | None = None) -> ScanResult:
         """A scan of files and folders; ``files`` narrows it to a list of them, as changed ones.
 
+        Paths that name their store (``hdfs://``, ``file://``) are listed and read by executors, plain ones lie on the driver's disk.
+
         With a cache, the very same set of files is not scanned again; with a snapshot, unchanged files are not parsed again for the graph.
         """
-        found = tree.discover(tree.resolve(paths), excludes) if files is None else files
-        prepared = written(tree.prepare(tree.read_files(self.spark, found)))
+        if files is None and any(map(listing.remote, paths)):
+            rows = listing.read(listing.listing(self.spark, paths, excludes))
+        else:
+            rows = tree.read_files(self.spark, tree.discover(tree.resolve(paths), excludes) if files is None else files)
+        prepared = written(tree.prepare(rows))
         scope = tree.scope_id(prepared) if cache else ""
         corpus = prepared.filter("status = 'analysed'").select("file_id", "path", "language", "text", "source_hash")
         if cache and (known := cache.get(scope)):
@@ -93,5 +98,5 @@ class Scanner:
                 cache.put(scope, result.findings, result.issues, result.counters["suppressed_inline"])
         unread = prepared.filter("status = 'read'").select(F.lit("read").alias("kind"), "path", "message")
         result.issues = result.issues.unionByName(unread)
-        result.counters |= {"files_discovered": len(found), "files_skipped": prepared.filter("status = 'skipped'").count()}
+        result.counters |= {"files_discovered": prepared.count(), "files_skipped": prepared.filter("status = 'skipped'").count()}
         return result

@@ -1,7 +1,8 @@
 """Source trees as corpora: discovery, hashes, language, size and encoding checks.
 
-Directories that are ignored are left out while descending, on the driver, so
-that the reader never lists them; contents are read by executors.
+Directories that are ignored are left out while descending, so that the reader
+never lists them; contents are read by executors.  The walk here sees the
+driver's own disk; trees of other stores are listed by :mod:`siftline.sources.listing`.
 """
 
 from __future__ import annotations
@@ -109,10 +110,11 @@ def prepare(files: DataFrame) -> DataFrame:
     ``status``: analysed, skipped (unsupported language), or read (an issue: too large, or not UTF-8).
     """
     small = F.col("length") <= MAX_BYTES
-    valid = small & F.is_valid_utf8(F.col("content").cast("string"))
+    gone = small & F.col("content").isNull()
+    valid = small & F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
     known = F.col("language") != "unknown"
     status = F.when(~small, "read").when(~known, "skipped").when(~valid, "read").otherwise("analysed")
-    message = F.when(~small, F.concat(F.lit("file exceeds "), F.lit(str(MAX_BYTES)), F.lit(" byte(s) limit"))).when(known & ~valid, "stream did not contain valid UTF-8")
+    message = F.when(~small, F.concat(F.lit("file exceeds "), F.lit(str(MAX_BYTES)), F.lit(" byte(s) limit"))).when(known & gone, "file could not be read").when(known & ~valid, "stream did not contain valid UTF-8")
     return files.withColumn("language", language_col(F.col("path"))).select(
         F.xxhash64("path").alias("file_id"),
         "path",
