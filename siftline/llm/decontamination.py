@@ -5,8 +5,10 @@ each shard a suffix array over its words is built, refining ties by words ever
 further on, and every test suffix (every word position of every benchmark item)
 is binary-searched in it.  The neighbours of its place give its longest verbatim
 match in the shard and where that lies (:func:`longest_matches`); the run of
-suffixes that share its window gives all occurrences of the window
-(:func:`scan`), and :func:`remove` drops the documents that have any.
+suffixes that share its window gives all occurrences of the window.  Those that
+follow each other in text and item are one longer verbatim match: :func:`scan`
+gives each document its longest one and where it lies, and :func:`remove` drops
+the documents that have any.
 
 Suffixes whose first words occur nowhere in the benchmark can't take part in a
 match of that many words; they are left out of the array (``head`` words: two,
@@ -14,15 +16,17 @@ or one where the benchmark has an item of one word).  Words are compared by the
 numbers that the benchmark's own vocabulary gives them; a training word enters
 that vocabulary by hash and then by its bytes, so matches are verbatim.
 
-The benchmark is handed to tasks in blocks of bounded bytes (one longer item is a
-block of its own): a corpus pass for each block, narrow, without a shuffle, and
-written before the next, so that a task holds one block at once.
+A benchmark of bounded bytes is broadcast.  A larger one is written to the shared
+folder in blocks, dealt by hash (a longer item makes its block longer); a task keeps
+a group of its rows and reads the blocks one by one for it.  The corpus is read once
+either way, without a shuffle, and nothing but the result is written.
 
 Defined results
     null or empty text       no words; nothing is hit
     null or empty item text  no windows; never occurs
     null item_id             its windows count; it is listed as an empty string
     very long text           whole; a shard then holds that text alone
+    equal longest matches    the first in the text, then that of the least item_id
     repeated rows, ties      each row is searched alone; repeated items count once
                              for each distinct item_id
     empty tables             no rows, or no hits
@@ -39,20 +43,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from siftline.llm.shared import fresh, materialise, slices, tidy
+from siftline.llm.shared import fresh, new_path, slices, store, tidy
 from siftline.llm.wordarrays import ALNUM, Words
+from siftline.session import ship
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of benchmark text that a task holds at once.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that a task holds at once, and of its own rows' text while it reads block after block.
+BLOCK_BYTES, GROUP_BYTES = 8 << 20, 32 << 20
 
 RESULT = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
         T.StructField("hits", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))),
         T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("longest", T.StructType([T.StructField("n_words", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("item_id", T.StringType())])),
     ]
 )
 
@@ -196,14 +203,14 @@ class Shard:
         return low, high
 
     def occurrences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every occurrence of a window: index of its first word, its width, its item."""
+        """Every occurrence of a window: index of its first word, its width, the test suffix that it begins."""
         bench = self.bench
         which = np.flatnonzero(bench.width)
         low, high = self.search(which, bench.width[which])
         count = np.maximum(high - low, 0)
         test = np.repeat(which, count)
         place = self.at[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        return place, bench.width[test], bench.item[test]
+        return place, bench.width[test], test
 
     def verified(self, first: np.ndarray, width: np.ndarray) -> bool:
         """Compares the words of occurrences byte by byte; takes words out that only share a hash."""
@@ -244,14 +251,50 @@ class Shard:
         return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list]:
-    """The benchmark's distinct items in blocks of bounded size; there is one at least."""
-    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).dropDuplicates()
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        yield sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] or "", r[1] or ""))
+class Blocks:
+    """The benchmark's distinct items in blocks of bounded size: broadcast if one holds them all, else a table in the shared folder."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str):
+        items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).dropDuplicates()
+        total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        self.n = max(1, -(-total // BLOCK_BYTES))
+        if self.n == 1:
+            self.shared = benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        else:
+            self.shared, self.path = None, new_path(benchmark.sparkSession, "benchmark")
+            dealt = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(self.n)))
+            dealt.repartition("block").write.partitionBy("block").parquet(self.path)
+
+    def each(self) -> Iterator[list[tuple[str | None, str | None]]]:
+        """The items of each block, in order; inside a task."""
+        for k in range(self.n):
+            yield sorted(self.shared.value if self.shared else self._read(k), key=lambda r: (r[0] or "", r[1] or ""))
+
+    def _read(self, k: int) -> list[tuple]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        where, path = store(f"{self.path}/block={k}")
+        files = [f.path for f in where.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+        tables = [pq.ParquetFile(where.open_input_file(f)).read() for f in files]
+        return [r for t in tables for r in zip(*(t.column(c).to_pylist() for c in ("i", "t")), strict=True)]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: str, whole: bool) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of a task's rows: one by one, or as many as it keeps while blocks pass."""
+    group, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column):
+            if whole:
+                yield [part]
+                continue
+            group.append(part)
+            size += part.column(part.schema.get_field_index(column)).nbytes
+            if size >= GROUP_BYTES:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
 
 def _runs(mask: np.ndarray, base: int) -> list[dict]:
@@ -260,35 +303,56 @@ def _runs(mask: np.ndarray, base: int) -> list[dict]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, out: str = "contamination") -> DataFrame:
-    """``docs`` with a struct column: n_words, hits (runs of hit words, counted from 0) and items (ids)."""
+    """``docs`` with a struct column: n_words, hits (runs of hit words, counted from 0), items (ids) and longest.
+
+    ``longest``: words, first word and item of the longest verbatim match of a window or more; null where there is none.
+    """
+    ship(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out])
     schema = T.StructType([*kept.schema.fields, T.StructField(out, RESULT)])
-    found = kept
-    for k, block in enumerate(_blocks(benchmark, item_col, "text")):
-        if k:
-            found = materialise(found, "scanned")
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, again=k > 0) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value, window)
-            for batch in batches:
-                for part in slices(batch, text_col):
-                    column = part.column(part.schema.get_field_index(text_col))
-                    before = part.column(part.num_columns - 1).to_pylist() if again else None
-                    rest = part.columns[:-1] if again else part.columns
-                    yield pa.RecordBatch.from_arrays([*rest, _scanned(column, bench, before)], schema.fieldNames())
-
-        found = found.mapInArrow(tidy(run), schema)
-    return found
-
-
-def _scanned(column: pa.Array, bench: Benchmark, before: list | None) -> pa.Array:
+    blocks = Blocks(benchmark, item_col, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Benchmark(next(blocks.each()), window) if blocks.n == 1 else None
+        for group in _groups(batches, text_col, one is not None):
+            texts = [part.column(part.schema.get_field_index(text_col)) for part in group]
+            found: list[list[dict]] = [[] for _ in group]
+            for bench in [one] if one else (Benchmark(items, window) for items in blocks.each()):
+                found = [_scanned(t, bench, before) for t, before in zip(texts, found)]
+            for part, rows in zip(group, found):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, _RESULT)], schema.fieldNames())
+
+    return kept.mapInArrow(tidy(run), schema)
+
+
+_RESULT = to_arrow_type(RESULT)
+
+
+def _longest(text: np.ndarray, first: np.ndarray, width: np.ndarray, test: np.ndarray, item: np.ndarray) -> dict[int, tuple[int, int, int]]:
+    """For each text that occurrences lie in, (words, first word, item) of its longest verbatim match.
+
+    Occurrences one word apart in both the text and the item are one match.
+    """
+    order = np.lexsort((first, first - test, item))
+    first, width, test, item, text = (x[order] for x in (first, width, test, item, text))
+    new = np.ones(len(first), bool)
+    new[1:] = (np.diff(first) != 1) | (np.diff(test) != 1) | (np.diff(item) != 0) | (np.diff(text) != 0)
+    begin = np.flatnonzero(new)
+    words = np.diff(np.append(begin, len(first))) + width[begin] - 1
+    best = np.lexsort((item[begin], first[begin], -words, text[begin]))
+    which, at = np.unique(text[begin][best], return_index=True)
+    return {int(t): (int(words[k]), int(first[begin[k]]), int(item[begin[k]])) for t, k in zip(which, best[at])}
+
+
+def _scanned(column: pa.Array, bench: Benchmark, before: list[dict]) -> list[dict]:
+    """The result of each text, with what earlier blocks have found in it."""
     shard = Shard(column, bench)
     while True:
-        first, width, item = shard.occurrences()
+        first, width, test = shard.occurrences()
         if shard.verified(first, width):
             break
         shard._sort()
+    item = bench.item[test]
     bounds = shard.words.bounds
     edge = np.zeros(len(shard.words) + 1, np.int64)
     np.add.at(edge, first, 1)
@@ -298,25 +362,30 @@ def _scanned(column: pa.Array, bench: Benchmark, before: list | None) -> pa.Arra
     items: dict[int, set] = {}
     for t, i in zip(*np.divmod(np.unique(text * max(1, len(bench.ids)) + item), max(1, len(bench.ids)))):
         items.setdefault(int(t), set()).add(bench.ids[i])
+    longest = _longest(text, first, width, test, item)
     out = []
     for t in range(len(bounds) - 1):
         a, b = int(bounds[t]), int(bounds[t + 1])
-        own = items.get(t, set())
+        own, best = items.get(t, set()), None
         hit = mask[a:b]
-        if before is not None and before[t]["items"]:
+        if t in longest:
+            words, at, which = longest[t]
+            best = {"n_words": words, "first": at - a, "item_id": bench.ids[which]}
+        if before and (was := before[t])["items"]:
             hit = hit.copy()
-            for run in before[t]["hits"]:
+            for run in was["hits"]:
                 hit[run["first"] : run["last"] + 1] = True
-            own = own | set(before[t]["items"])
-        out.append({"n_words": b - a, "hits": _runs(hit, 0) if own else [], "items": sorted(own)})
-    return pa.array(out, pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))]))
+            own = own | set(was["items"])
+            best = min((x for x in (best, was["longest"]) if x), key=lambda x: (-x["n_words"], x["first"], x["item_id"]))
+        out.append({"n_words": b - a, "hits": _runs(hit, 0) if own else [], "items": sorted(own), "longest": best})
+    return out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those in which a window of the benchmark occurs."""
+    """``docs`` without those that have a verbatim match with the benchmark as long as a window."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     out = fresh("__contamination", docs.columns)
-    return scan(docs, benchmark, out=out, **options).filter(F.size(F.col(out)["items"]) == 0).select(*columns)
+    return scan(docs, benchmark, out=out, **options).filter(F.col(out)["longest"].isNull()).select(*columns)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", least: int = 2) -> DataFrame:
@@ -326,32 +395,24 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     those words, counted from 0; of equal lengths the least (doc_id, doc_word)
     of those that the shards name.  Results are as many as the benchmark's words at most.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = "item_id string, item_word long, n_words long, doc_id long, doc_word long"
-    out = None
-    for block in _blocks(benchmark, item_col, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value, whole=True)
-            for batch in batches:
-                for part in slices(batch):
+    blocks = Blocks(benchmark, item_col, "text")
+    names = ["item_id", "item_word", "n_words", "doc_id", "doc_word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Benchmark(next(blocks.each()), whole=True) if blocks.n == 1 else None
+        for group in _groups(batches, "text", one is not None):
+            for bench in [one] if one else (Benchmark(items, whole=True) for items in blocks.each()):
+                for part in group:
                     shard = Shard(part.column(1), bench)
                     best, place = shard.longest()
                     k = np.flatnonzero(best >= least)
                     text = np.searchsorted(shard.words.bounds, place[k], side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([bench.ids[i] for i in bench.item[k]], pa.string()),
-                            pa.array(bench.at[k]),
-                            pa.array(best[k]),
-                            part.column(0).take(pa.array(text)),
-                            pa.array(place[k] - shard.words.bounds[text]),
-                        ],
-                        ["item_id", "item_word", "n_words", "doc_id", "doc_word"],
-                    )
-
-        found = rows.mapInArrow(tidy(run), schema)
-        out = found if out is None else out.unionByName(found)
+                    item = pa.array([bench.ids[i] for i in bench.item[k]], pa.string())
+                    yield pa.RecordBatch.from_arrays([item, pa.array(bench.at[k]), pa.array(best[k]), part.column(0).take(pa.array(text)), pa.array(place[k] - shard.words.bounds[text])], names)
+
+    out = rows.mapInArrow(tidy(run), schema)
     best = F.min(F.struct((-F.col("n_words")).alias("n"), "doc_id", "doc_word")).alias("b")
     return out.groupBy("item_id", "item_word").agg(best).select("item_id", "item_word", (-F.col("b.n")).alias("n_words"), "b.doc_id", "b.doc_word")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import materialise, new_path, slices, tidy
+from siftline.llm.shared import materialise, new_path, slices, store, tidy
 from siftline.llm.units import UNIT_SLICE, ByteBpe, coder
 
 #: Keys of one index bucket on average.
@@ -46,13 +46,6 @@ _SLOT = np.dtype([("finger", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("leng
 _MASK = (1 << 64) - 1
 
 
-def store(uri: str):
-    """(file system, path) of a folder that every executor sees; any scheme pyarrow knows."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
-
-
 def write_whole(uri: str, name: str, chunks) -> None:
     """Writes a file under a temporary name, then puts it in place."""
     where, path = store(uri)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import decontamination, language, pieces, quality, token_counts, token_files
 from siftline.llm.units import ByteBpe
-from siftline.session import ship
+from siftline.session import Scratch, ship
 from tests.llm import helpers as H
 
 BPE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -49,6 +50,54 @@ def test_longest_matches(spark):
     assert [(r.item_word, r.n_words, r.doc_id, r.doc_word) for r in got] == [(0, 4, 1, 1), (1, 3, 1, 2), (2, 2, 1, 3)]
 
 
+def longest(text, items, window):
+    """(words, first word, item) of the longest match of a window or more; the first, then that of the least item."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", H.lower(t))
+    found, w = [], words(text)
+    for k, t in items:
+        v = words(t)
+        for i, j in ((i, j) for i in range(len(w)) for j in range(len(v))):
+            n = next((n for n in range(min(len(w) - i, len(v) - j)) if w[i + n] != v[j + n]), min(len(w) - i, len(v) - j))
+            if n >= min(window, len(v)):
+                found.append((-n, i, k or ""))
+    n, i, k = min(found, default=(0, 0, None))
+    return (-n, i, k) if found else None
+
+
+@pytest.mark.parametrize("block", [decontamination.BLOCK_BYTES, 60])
+def test_longest_match_of_each_document(spark, monkeypatch, block):
+    """Repetitive texts, so matches overlap, tie and follow each other; every block gives its own, the best one stays."""
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    rng = random.Random(8)
+    words = ["a", "B", "é"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "a " * 50]
+    items = [(str(i), " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 6, 8, 9, 20])))) for i in range(12)] + [("t", "a " * 30), (None, "é é é é é é é"), ("n", None)]
+    docs = H.docs(spark, texts)
+    got = [r.longest for r in decontamination.scan(docs, bench(spark, items), window=7).orderBy("doc_id").select("contamination.*").collect()]
+    want = [longest(t, items, 7) for t in texts]
+    assert [x and (x.n_words, x.first, x.item_id) for x in got] == want and len({x and x[0] for x in want}) > 4
+    assert decontamination.remove(docs, bench(spark, items), window=7).count() == sum(x is None for x in want)
+
+
+def test_benchmark_of_many_blocks(spark, monkeypatch):
+    """The same rows from one block and from many, and nothing of the corpus is written on the way."""
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(n))
+    items = [(str(i), line(40)) for i in range(500)]
+    texts = [line(60) if i % 3 else line(20) + " " + items[i][1][5:120] + " " + line(20) for i in range(300)]
+    rows = lambda: decontamination.scan(H.docs(spark, texts), bench(spark, items)).orderBy("doc_id").collect()
+    one = rows()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 4000)
+    with Scratch(spark) as block:
+        many = rows()
+        assert len(block.paths) == 1 and next(iter(block.paths)).rsplit("/", 1)[1].startswith("benchmark-")
+    assert one == many and sum(bool(r.contamination["items"]) for r in one) >= 100
+    best = lambda: sorted(tuple(r) for r in decontamination.longest_matches(H.docs(spark, texts), bench(spark, items), least=8).collect())
+    several = best()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 8 << 20)
+    assert several == best() and several
+
+
 def test_decontamination_random(spark):
     rng = random.Random(3)
     words = ["w%d" % i for i in range(6)]
