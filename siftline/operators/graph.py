@@ -19,26 +19,39 @@ from siftline.sources import syntax as S
 FACT = "kind string, file_id long, path string, language string, name string, qualified string, detail string, line long, start long, has_body boolean, owner string, owner_line long, other string"
 
 
-def _facts(tree: S.Tree) -> Iterator[tuple]:
+#: Kinds of nodes that declare a type.
+TYPES = {"class_declaration", "interface_declaration", "enum_declaration", "record_declaration", "class_definition"}
+
+
+def _facts(tree: S.Tree) -> list[tuple]:
     """(kind, name, qualified, detail, line, start, has_body, owner, owner_line, other) of a file."""
-    methods, calls = S.METHODS[tree.family], S.CALLS[tree.family]
+    methods, calls, declared = S.METHODS[tree.family], S.CALLS[tree.family], S.DECLARATIONS[tree.family] if tree.family in ("java", "javascript") else ()
+    told = {*methods, *calls, *declared, *TYPES, "call", "import_statement", "import_from_statement"}
+    out: list[tuple] = []
 
-    def walk(n: S.Node, types: tuple[str, ...], owner: S.Node | None, depth: int) -> Iterator[tuple]:
+    def walk(n: S.Node, types: tuple[str, ...], owner: S.Node | None, depth: int) -> None:
         if depth > S.DEPTH:
             return
+        if n.kind in told:
+            types, owner = tell(n, types, owner)
+        for c in n.children:
+            walk(c, types, owner, depth + 1)
+
+    def tell(n: S.Node, types: tuple[str, ...], owner: S.Node | None) -> tuple[tuple[str, ...], S.Node | None]:
+        """Notes what a node says; the types and the function that its children are in."""
         line = tree.line(n.start)
         place = (owner.name, tree.line(owner.start)) if owner is not None else (None, None)
         if n.kind in methods and n.name:
             kind = "constructor" if n.kind == "constructor_declaration" else "method" if types else "function"
-            yield "symbol", n.name, ".".join([*types, n.name]), kind, line, n.start, "body" in n.fields, None, None, None
+            out.append(("symbol", n.name, ".".join([*types, n.name]), kind, line, n.start, "body" in n.fields, None, None, None))
             for p in n.fields["parameters"].children if "parameters" in n.fields else []:
                 t = p.fields.get("type")
                 if t is not None and t.name:
-                    yield "type", p.name, None, t.name, line, p.start, None, n.name, line, None
+                    out.append(("type", p.name, None, t.name, line, p.start, None, n.name, line, None))
             owner = n
-        elif n.kind.endswith("_declaration") and n.kind.split("_")[0] in ("class", "interface", "enum", "record") or n.kind == "class_definition":
+        elif n.kind in TYPES:
             above = {k: n.fields[k].name if k in n.fields else None for k in ("extends", "implements")}
-            yield "class", n.name, None, above["extends"], line, n.start, None, None, None, above["implements"]
+            out.append(("class", n.name, None, above["extends"], line, n.start, None, None, None, above["implements"]))
             if tree.family != "python":
                 types = (*types, n.name)
             owner = None
@@ -46,22 +59,22 @@ def _facts(tree: S.Tree) -> Iterator[tuple]:
             text = tree.text(n)[: max(0, n.fields["arguments"].start - n.start)].strip() if "arguments" in n.fields else n.name
             held = n.fields["object"].name if "object" in n.fields else text.rpartition(".")[0] if "." in text else None
             if owner is not None:
-                yield "call", n.name, None, text, line, n.start, None, *place, held
+                out.append(("call", n.name, None, text, line, n.start, None, *place, held))
         elif n.kind == "call" and "function" in n.fields:
             text = tree.text(n.fields["function"])
             if owner is not None:
-                yield "call", text.rsplit(".", 1)[-1], None, text, line, n.start, None, *place, text.rpartition(".")[0] or None
+                out.append(("call", text.rsplit(".", 1)[-1], None, text, line, n.start, None, *place, text.rpartition(".")[0] or None))
         elif n.kind in ("import_statement", "import_from_statement"):
             for c in n.children:
                 local, _, original = c.name.partition("=")
                 module = n.name or original
-                yield "import", local, None, module, line, n.start, None, None, None, original if n.name else "*"
-        elif n.kind in S.DECLARATIONS[tree.family] and "type" in n.fields and tree.family in ("java", "javascript"):
-            yield "type", n.name, None, n.fields["type"].name, line, n.start, None, place[0], place[1] or 0, None
-        for c in n.children:
-            yield from walk(c, types, owner, depth + 1)
+                out.append(("import", local, None, module, line, n.start, None, None, None, original if n.name else "*"))
+        elif n.kind in declared and "type" in n.fields:
+            out.append(("type", n.name, None, n.fields["type"].name, line, n.start, None, place[0], place[1] or 0, None))
+        return types, owner
 
-    yield from walk(tree.root, (), None, 0)
+    walk(tree.root, (), None, 0)
+    return out
 
 
 def facts(corpus: DataFrame) -> DataFrame:
@@ -70,14 +83,15 @@ def facts(corpus: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FACT.split(", ")]
+        known = set(S.EXTENSIONS.values())
         for batch in batches:
             rows = []
             for file_id, path, language, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if text is None or language not in S.EXTENSIONS.values():
+                if text is None or language not in known:
                     continue
                 try:
                     tree = S.Tree(text, language)
-                    rows += [(k, file_id, path, language, *rest) for k, *rest in _facts(tree)]
+                    rows += [(f[0], file_id, path, language, *f[1:]) for f in _facts(tree)]
                     if tree.error:
                         rows.append(("issue", file_id, path, language, "parse", None, "syntax tree contains errors; analysis is incomplete", *[None] * 6))
                 except RecursionError:

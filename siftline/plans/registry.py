@@ -291,14 +291,14 @@ def taint_findings(spark, sf_dir):
 
 def project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python module for each event: it hashes its argument and hands the digest to the module of half its number."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id"))
     half = F.expr("CAST(event_id DIV 2 AS STRING)")
     algorithm = F.element_at(F.array(*[F.lit(x) for x in ("md5", "sha1", "sha256", "blake2b")]), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
     text = F.concat(
         F.lit("import hashlib\nfrom m"), half, F.lit(" import run_"), half, F.lit("\n\ndef run_"), F.col("event_id").cast("string"),
         F.lit("(value):\n    digest = hashlib."), algorithm, F.lit("(value)\n    return run_"), half, F.lit("(digest)\n"),
     )
-    return spread(e.select(F.col("event_id").cast("long").alias("file_id"), F.concat(F.lit("src/m"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text")))
+    return e.select(F.col("event_id").cast("long").alias("file_id"), F.concat(F.lit("src/m"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"))
 
 
 def code_symbols(spark, sf_dir):
@@ -333,13 +333,13 @@ def import_targets(spark, sf_dir):
 
 def typed_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A TypeScript module for each event, which calls the module of half its number by name, namespace and type, and a function that every seventh module has."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id"))
     k, half = F.col("event_id").cast("string"), F.expr("CAST(event_id DIV 2 AS STRING)")
     text = F.concat(
         F.lit('import * as ns from "./m'), half, F.lit('";\nimport { run_'), half, F.lit(' as go } from "./m'), half, F.lit('";\nclass Svc'), k, F.lit(" {\n  work() { return 1; }\n}\nfunction run_"), k, F.lit("(s: Svc"), half,
         F.lit(") {\n  ns.run_"), half, F.lit("();\n  go();\n  s.work();\n  other();\n}\n"), F.when(F.col("event_id") % 7 == 0, "function other() { }\n").otherwise(""),
     )
-    return spread(e.select(F.col("event_id").cast("long").alias("file_id"), F.concat(F.lit("src/m"), k, F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), text.alias("text")))
+    return e.select(F.col("event_id").cast("long").alias("file_id"), F.concat(F.lit("src/m"), k, F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), text.alias("text"))
 
 
 def resolved_calls(spark, sf_dir):

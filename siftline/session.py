@@ -35,10 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task is given at most, about, where a step costs far more than moving them.
+TASK_ROWS = 20_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it comes in fewer parts, for steps that cost far more than moving their rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` over all cores, and over as many parts as keep a task's work bounded, for steps that cost far more than moving their rows."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def shared_dir(spark: SparkSession) -> str:

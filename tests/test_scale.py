@@ -7,3 +7,10 @@ from siftline.operators import query
 def test_query_is_compiled_once_for_all_files():
     text = '(call function: (identifier) @f (#eq? @f "once"))'
     assert query.compile_query(text) is query.compile_query(text)
+
+
+def test_parts_grow_with_rows(spark):
+    rows = 10 * session.TASK_ROWS
+    assert session.spread(spark.range(0, rows, 1, 1)).rdd.getNumPartitions() >= 10
+    assert session.spread(spark.range(0, 2 * rows, 1, 1)).rdd.getNumPartitions() >= 20
+    assert session.spread(spark.range(0, 8, 1, 1)).count() == 8
