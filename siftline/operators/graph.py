@@ -6,7 +6,6 @@ Files are parsed in Arrow batches; everything after that is joins.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -166,15 +165,32 @@ def ancestors(all_: DataFrame) -> DataFrame:
     """(type, ancestor, depth): superclasses and interfaces of each class, itself at depth 0."""
     classes = all_.filter("kind = 'class'")
     up = F.explode(F.filter(F.split(F.concat_ws(",", "detail", "other"), ","), lambda x: x != ""))
-    above = written(classes.select(F.col("name").alias("type"), up.alias("ancestor")).filter("type != ancestor").distinct())
-    known = Rounds(classes.sparkSession, "ancestors")
-    frontier = known.add(classes.select(F.col("name").alias("type"), F.col("name").alias("ancestor"), F.lit(0).alias("depth")).distinct())
-    for depth in count(1):  # a round adds what is new only, so cycles end it
-        nxt = frontier.select("type", F.col("ancestor").alias("a")).join(above.select(F.col("type").alias("a"), F.col("ancestor")), "a")
-        fresh = nxt.select("type", "ancestor").distinct().join(known.all(), ["type", "ancestor"], "left_anti")
-        frontier = known.add(fresh.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return known.all()
+    above = classes.select(F.col("name").alias("type"), up.alias("ancestor")).filter("type != ancestor")
+    own = classes.select(F.col("name").alias("type"), F.col("name").alias("ancestor"), F.lit(0).alias("depth")).distinct()
+    known = written(above.groupBy("type").agg(F.collect_set("ancestor").alias("near")).select("type", F.array("near").alias("levels")))
+    reach = 1
+    while not known.filter(F.size("levels") == reach).isEmpty():
+        known, reach = written(_further(known, reach)), 2 * reach
+    return own.unionByName(known.select("type", F.posexplode("levels").alias("i", "level")).select("type", F.explode("level").alias("ancestor"), (F.col("i") + 1).alias("depth")))
+
+
+def _further(known: DataFrame, reach: int) -> DataFrame:
+    """``known`` (type, levels), levels being the types at each depth from 1 to ``reach``, with those up to twice as far.
+
+    What is farther lies above a type at just that depth, so a round doubles the depth and moves each type's levels twice.
+    """
+    ends, going = known.filter(F.size("levels") < reach), known.filter(F.size("levels") == reach)
+    steps = going.select("type", "levels", F.explode(F.element_at("levels", -1)).alias("at"), (F.size(F.element_at("levels", -1)) == 1).alias("single"))
+    met = steps.join(known.select(F.col("type").alias("at"), F.col("levels").alias("more")), "at", "left").withColumn("more", F.coalesce("more", F.expr("CAST(array() AS array<array<string>>)")))
+    # Types with several at that depth are gathered; the others stay where they are.
+    many = met.filter("NOT single").groupBy("type").agg(F.any_value("levels").alias("levels"), F.collect_list("more").alias("more"))
+    every = met.filter("single").select("type", "levels", F.array("more").alias("more")).unionByName(many)
+    seen = "concat(array(type), flatten(levels))"
+    level = "array_except(array_distinct(flatten(transform(more, m -> coalesce(get(m, i), CAST(array() AS array<string>))))), acc.seen)"
+    added = f"""CASE WHEN size(more) = 1 AND NOT arrays_overlap({seen}, flatten(more[0])) THEN more[0]
+        ELSE aggregate(sequence(0, {reach - 1}), named_struct('seen', {seen}, 'out', CAST(array() AS array<array<string>>)),
+                       (acc, i) -> named_struct('seen', concat(acc.seen, {level}), 'out', concat(acc.out, array({level}))), acc -> filter(acc.out, l -> size(l) > 0)) END"""
+    return ends.unionByName(every.select("type", F.expr(f"concat(levels, {added})").alias("levels")))
 
 
 def edges(corpus: DataFrame, all_: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
