@@ -124,6 +124,9 @@ def strip_string_literals(text: str) -> str:
     return "".join(out)
 
 
+_SEPARATORS = re.compile(r"[(),]")
+
+
 def parse_call(text: str) -> tuple[str, list[str]] | None:
     """(last identifier before the first parenthesis, arguments split at top-level commas), if parentheses balance."""
     begin = text.find("(")
@@ -133,7 +136,8 @@ def parse_call(text: str) -> tuple[str, list[str]] | None:
     if not name:
         return None
     depth, args, last = 0, [], begin + 1
-    for i in range(begin, len(text)):
+    for m in _SEPARATORS.finditer(text, begin):
+        i = m.start()
         if text[i] == "(":
             depth += 1
         elif text[i] == ")":
@@ -141,7 +145,7 @@ def parse_call(text: str) -> tuple[str, list[str]] | None:
             if not depth:
                 rest = text[last:i].strip()
                 return name[1], [*args, rest] if rest or args else []
-        elif text[i] == "," and depth == 1:
+        elif depth == 1:
             args.append(text[last:i].strip())
             last = i + 1
     return None

@@ -54,10 +54,14 @@ class Flow:
         self.files, self.facts, self.spark = files, facts, files.sparkSession
         self.nodes = written(self._judged())
         nodes = self.nodes
-        made = nodes.filter(F.col("kind").isin(flow.DEF, flow.PARAM)).select("file_id", F.col("node").alias("def"), F.col("kind").alias("def_kind"), F.col("fn").alias("def_fn"), F.col("pos").alias("def_pos"), F.col("clean").alias("def_clean"))
-        used = nodes.select("file_id", "node", "kind", "fn", "line", "clean", F.explode("uses").alias("u")).select("*", "u.def", "u.counts", "u.var").drop("u")
+        used = nodes.select("file_id", "node", "kind", "fn", "line", "clean", F.explode("uses").alias("u"))
+        used = used.select("file_id", F.col("u.def").alias("def"), "node", "kind", "fn", "line", "clean", "u.counts", "u.var", *[F.col(f"u.{c}").alias(f"def_{c}") for c in ("kind", "fn", "pos")])
+        cleaned = nodes.filter((F.col("kind") == flow.DEF) & (F.size("clean") > 0)).select("file_id", F.col("node").alias("def"), F.col("clean").alias("def_clean"))
+        none = F.array().cast("array<int>")
+        # Uses know their definitions but for what rules say of them: only where a sanitizer cleans any do the two meet.
+        judged = used.withColumn("def_clean", none) if cleaned.isEmpty() else used.join(cleaned, ["file_id", "def"], "left").withColumn("def_clean", F.coalesce("def_clean", none))
         #: A row for each definition that reaches a use, with what both of them are.
-        self.edges = written(used.join(made, ["file_id", "def"]))
+        self.edges = written(judged)
         self.functions = nodes.filter(F.col("kind") == flow.FUNCTION).select("file_id", "fn", "name", "path")
         self.calls = nodes.select("file_id", "node", "kind", "fn", "line", "clean", "applicable", F.explode("calls").alias("name"))
         names = F.explode(F.array_distinct(F.array_compact(F.array("name", "other"))))
@@ -86,8 +90,8 @@ class Flow:
         from siftline.operators import graph
 
         several = self.functions.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
-        away = self.sites.select("file_id", "name", "shown").distinct().join(several, "name", "left_semi").join(self.functions.select("file_id", "name"), ["file_id", "name"], "left_anti")
-        away = written(away)
+        away = self.nodes.filter(F.col("kind") == flow.CALL).select("file_id", F.explode("away").alias("name"), F.col("name").alias("shown"))
+        away = written(away.join(several, "name", "left_semi").distinct())
         if away.isEmpty():
             return None
         facts = self.facts if self.facts is not None else written(graph.facts(self.files))
@@ -168,9 +172,10 @@ class Flow:
         nodes = self.nodes.filter(F.col("kind").isin(flow.CALL, flow.ASSIGN)).select("file_id", "node", "fn", "start", F.explode("sinks").alias("s")).select("file_id", "node", "fn", "start", "s.rule", "s.sink")
         direct = nodes.join(tainted.select(*NODE), NODE).withColumns({"pos": F.lit(-2), "bare": F.col("sink")})
         tell = F.concat(F.col("shown"), F.lit("(...) reaches sink "), F.col("sink"))
-        handed = self.handing(self.args, self.reaching())
+        given = self.args.join(tainted.select(*NODE), ["file_id", "node"]).withColumnRenamed("rule", "of_rule")
+        handed = self.handing(given, self.reaching()).filter("rule = of_rule")
         sites = self.sites.select("file_id", F.col("node").alias("of"), "fn", "start").distinct()
-        through = handed.join(tainted.select(*NODE), NODE).join(sites, ["file_id", "of"]).select("file_id", F.col("of").alias("node"), "fn", "start", "rule", tell.alias("sink"), "pos", F.col("sink").alias("bare"))
+        through = handed.join(sites, ["file_id", "of"]).select("file_id", F.col("of").alias("node"), "fn", "start", "rule", tell.alias("sink"), "pos", F.col("sink").alias("bare"))
         found = direct.unionByName(through)
         # A function with such a place leads to a sink whatever it is given; calls that hand it tainted data are places, too.
         given = written(self.sites.join(tainted.select(*NODE), ["file_id", "node"]).filter(~F.array_contains("blocked", F.col("rule"))).withColumn("pos", F.lit(OWN)))
