@@ -76,30 +76,34 @@ def _facts(tree: S.Tree) -> list[tuple]:
     return out
 
 
-def facts(corpus: DataFrame) -> DataFrame:
-    """All facts of files (file_id, path, language, text) as one table; ``kind`` tells them apart."""
+def facts(corpus: DataFrame, *kept: str) -> DataFrame:
+    """All facts of files (file_id, path, language, text) as one table; ``kind`` tells them apart.
+
+    ``kept``: further columns of strings of the files, which each of their facts carries.
+    """
     ship(corpus.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in FACT.split(", ")]
+        columns_ = [f.split() for f in schema.split(", ")]
+        names, types = [n for n, _ in columns_], [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[t] for _, t in columns_]
         known = set(S.EXTENSIONS.values())
         for batch in batches:
             rows = []
-            for file_id, path, language, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for file_id, path, language, text, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text is None or language not in known:
                     continue
                 try:
                     tree = S.Tree(text, language)
-                    rows += [(f[0], file_id, path, language, *f[1:]) for f in _facts(tree)]
+                    rows += [(f[0], file_id, path, language, *f[1:], *own) for f in _facts(tree)]
                     if tree.error:
-                        rows.append(("issue", file_id, path, language, "parse", None, "syntax tree contains errors; analysis is incomplete", *[None] * 6))
+                        rows.append(("issue", file_id, path, language, "parse", None, "syntax tree contains errors; analysis is incomplete", *[None] * 6, *own))
                 except RecursionError:
-                    rows.append(("issue", file_id, path, language, "parse", None, "nesting is too deep", *[None] * 6))
+                    rows.append(("issue", file_id, path, language, "parse", None, "nesting is too deep", *[None] * 6, *own))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]] for f in FACT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return corpus.select("file_id", "path", "language", "text").mapInArrow(run, FACT)
+    schema = ", ".join([FACT, *(f"{c} string" for c in kept)])
+    return corpus.select("file_id", "path", "language", "text", *kept).mapInArrow(run, schema)
 
 
 def symbols(all_: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.session import written
+from siftline.session import spread, written
 
 SCHEMA = 1
 #: Days that cached findings are kept.
@@ -97,6 +97,10 @@ class GraphSnapshot:
         wanted = [c.split()[0] for c in FACT.split(", ")] + ["source_hash", "bucket"]
         return found.select(*wanted) if set(wanted) <= set(found.columns) else None
 
+    def _laid(self, rows: DataFrame) -> DataFrame:
+        """Rows by bucket, so that a task writes few of them and not a file in each."""
+        return rows.repartitionByRange("bucket", "path")
+
     def refresh(self, files: DataFrame) -> DataFrame:
         """The facts of ``files`` (file_id, path, language, text, source_hash), as a full build would give them; the store follows."""
         from siftline.operators.graph import facts
@@ -110,18 +114,18 @@ class GraphSnapshot:
             new = files.join(known.filter("kind = 'file'").select("path", "source_hash"), ["path", "source_hash"], "left_anti")
         new = written(new.select("file_id", "path", "language", "text", "source_hash"))
         self.parsed = new.count()
-        made = facts(new).join(new.select("file_id", "source_hash"), "file_id")
+        made = facts(spread(new), "source_hash")
         own = new.select(F.lit("file").alias("kind"), "file_id", "path", "language", "source_hash")
         fresh = written(made.unionByName(own, allowMissingColumns=True).withColumn("bucket", bucket))
         if known is None:
-            fresh.write.mode("overwrite").partitionBy("bucket").parquet(self._store())
+            self._laid(fresh).write.mode("overwrite").partitionBy("bucket").parquet(self._store())
             return fresh.filter("kind != 'file'").drop("source_hash", "bucket")
         stay = known.join(named, ["path", "source_hash"], "left_semi")
         if self.parsed:
             touched = [r[0] for r in new.select(bucket).distinct().collect()]  # as many as buckets at most
             every = written(stay.filter(F.col("bucket").isin(touched)).unionByName(fresh))
             rest = written(stay.filter(~F.col("bucket").isin(touched)))
-            every.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._store())
+            self._laid(every).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._store())
             stay = rest.unionByName(every)
         return stay.filter("kind != 'file'").drop("source_hash", "bucket")
 

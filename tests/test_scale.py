@@ -14,3 +14,15 @@ def test_parts_grow_with_rows(spark):
     assert session.spread(spark.range(0, rows, 1, 1)).rdd.getNumPartitions() >= 10
     assert session.spread(spark.range(0, 2 * rows, 1, 1)).rdd.getNumPartitions() >= 20
     assert session.spread(spark.range(0, 8, 1, 1)).count() == 8
+
+
+def test_snapshot_writes_few_files_a_bucket(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from siftline.sources.state import GraphSnapshot
+
+    rows = spark.range(0, 300, 1, 30).select(F.col("id").alias("file_id"), F.concat(F.lit("m"), "id", F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.concat(F.lit("def f"), "id", F.lit("():\n    pass\n")).alias("text"))
+    snapshot = GraphSnapshot(spark, f"file://{tmp_path}/snapshot", buckets=4)
+    got = snapshot.refresh(rows.withColumn("source_hash", F.sha2("text", 256)))
+    assert got.filter("kind = 'symbol'").count() == 300 and snapshot.parsed == 300
+    assert len(list(tmp_path.rglob("bucket=*/*.parquet"))) <= 4 + spark.sparkContext.defaultParallelism
