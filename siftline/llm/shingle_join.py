@@ -18,9 +18,10 @@ for the pairs of rows whose product (overlap) is large for their sizes.
    nodes).  Links give components.
 5. Columns on which several components still meet are searched for pairs of
    different components that sizes and bitmaps allow; these join nodes to clusters.
+   Columns of one least node are searched as one set where that makes fewer pairs.
 6. A cluster is cut into tiles of bounded rows and n-grams of one size class;
    tiles of classes too far apart are never paired, nor are classes that all
-   lie in one component.  A task multiplies two tiles, adds overlaps up over
+   lie in one component, nor tiles of the cluster's largest one.  A task multiplies two tiles, adds overlaps up over
    blocks of columns, discards pairs below their size bound, and returns only
    links that join components.
 
@@ -360,15 +361,15 @@ class ShingleJoin:
         named = named.join(of.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("d", F.coalesce("component", "pivot")).drop("component")
         # Columns that hold several components, of which some were not multiplied.
         held = named.groupBy("place").agg(
-            F.min(F.least("c", "d")).alias("x"), F.max(F.greatest("c", "d")).alias("y"), F.count(F.lit(1)).alias("others"), (F.min("pivot") != F.max("pivot")).alias("several")
+            F.min(F.least("c", "d")).alias("x"), F.max(F.greatest("c", "d")).alias("y"), F.count(F.lit(1)).alias("others"), (F.min("pivot") != F.max("pivot")).alias("several"), F.min("pivot").alias("least")
         )
-        held = held.filter("x != y AND others > 1").select("place", "several")
+        held = held.filter("x != y AND others > 1").select("place", "several", "least")
         left = materialise(named.join(held, "place"), "unsettled")
         if left.isEmpty():
             return self.spark.createDataFrame([], "a long, b long")
         # A column's only pivot is multiplied with all others already.
-        rows = left.select("place", "node", "n", F.col("c").alias("component")).union(left.filter("several").select("place", "pivot", "m", "d")).distinct()
-        work = rows.withColumnRenamed("place", "cluster").withColumn("class", size_class(F.col("n"), num, den))
+        rows = left.select("place", "least", "node", "n", F.col("c").alias("component")).union(left.filter("several").select("place", "least", "pivot", "m", "d")).distinct()
+        work = _shared(materialise(rows, "unsettled")).withColumn("class", size_class(F.col("n"), num, den))
         dealt, names = _dealt(materialise(_undecided(work), "candidates"), bits, "bits", min(LEAST_ROWS, BLOCK_ROWS), BLOCK_GRAMS, TILES)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,6 +516,19 @@ def _packed(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + SENT_ROWS]) for c in columns], ["key", "node", "n", "late", "place", "pivot", "m"])
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """(cluster, node, n, component): the nodes of columns (place, least, node, n, component), a cluster being a column or all columns of one least node.
+
+    Near copies meet on many columns, mostly of one least node; columns that make more pairs one by one than as one set are one cluster, so that
+    a pair is looked at once.
+    """
+    one = rows.groupBy("least", "place").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("least").agg(F.sum(F.col("k") * F.col("k")).alias("apart"))
+    every = rows.select("least", "node").distinct().groupBy("least").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    joint = one.join(every, "least").filter("k * k <= apart").select("least", F.lit(True).alias("joint"))
+    cluster = F.when(F.col("joint"), F.col("least")).otherwise(F.col("place")).alias("cluster")
+    return rows.join(joint, "least", "left").select(cluster, "node", "n", "component").distinct()
+
+
 def _undecided(members: DataFrame) -> DataFrame:
     """Rows (cluster, class, component, ...) of classes that, with their neighbours, hold several components of a cluster."""
     near = members.select("cluster", "component", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class"))
@@ -527,25 +541,35 @@ def _dealt(work: DataFrame, payload: DataFrame, name: str, whole_rows: int, whol
 
     A cluster of up to ``whole_rows`` rows and ``whole_grams`` n-grams is one tile.  A larger one's classes are cut into tiles of as much, or more
     if that gives over ``tiles``, up to BLOCK_ROWS and BLOCK_GRAMS; each is paired with those of its own and of the neighbouring class.  Side 0 or 1
-    tells a pair's tiles apart; rows of one tile alone have side 0.
+    tells a pair's tiles apart; rows of one tile alone have side 0.  Where one component has over ``whole_rows`` rows of a cluster, the largest one's
+    have tiles of their own (the first ``alike``), which are not paired with each other.
     """
-    of_class = work.groupBy("cluster", "class").agg(F.count("node").alias("rows"), F.sum("n").alias("grams"))
+    main = work.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > whole_rows)
+    main = main.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    work = work.join(main, "cluster", "left").withColumn("main", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
+    of_class = work.groupBy("cluster", "class", "main").agg(F.count("node").alias("rows"), F.sum("n").alias("grams"))
     total = of_class.groupBy("cluster").agg(F.sum("rows").alias("all_rows"), F.sum("grams").alias("all_grams"))
     rows = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(whole_rows), F.ceil(F.col("all_rows") / tiles)))
     grams = F.least(F.lit(BLOCK_GRAMS), F.greatest(F.lit(whole_grams), F.ceil(F.col("all_grams") / tiles)))
     parts = F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("grams") / grams)).cast("int")
     small = (F.col("all_rows") <= whole_rows) & (F.col("all_grams") <= whole_grams)
-    cut = materialise(of_class.join(total, "cluster").select("cluster", "class", F.when(~small, parts).alias("tiles")), "tiles")
-    near = lambda k, name: cut.select("cluster", (F.col("class") + k).alias("class"), F.col("tiles").alias(name))
+    cut = of_class.join(total, "cluster").withColumn("tiles", F.when(~small, parts)).groupBy("cluster", "class")
+    cut = materialise(cut.agg(F.sum("tiles").cast("int").alias("tiles"), F.coalesce(F.sum(F.when(F.col("main"), F.col("tiles"))), F.lit(0)).cast("int").alias("alike")), "tiles")
+    near = lambda k, name: cut.select("cluster", (F.col("class") + k).alias("class"), F.col("tiles").alias(name), F.col("alike").alias(f"{name}_alike"))
     placed = work.join(cut, ["cluster", "class"]).join(near(-1, "above"), ["cluster", "class"], "left").join(near(1, "below"), ["cluster", "class"], "left")
-    placed = placed.withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("tiles")), F.lit(0)).cast("int"))
+    mine = F.greatest(F.when(F.col("main"), F.col("alike")).otherwise(F.col("tiles") - F.col("alike")), F.lit(1))
+    placed = placed.withColumn("own", (F.pmod(F.xxhash64("node"), mine) + F.when(F.col("main"), 0).otherwise(F.col("alike"))).cast("int"))
     key = lambda low, p, up, q, side: F.struct(low.alias("low"), p.alias("p"), F.lit(up).alias("up"), q.alias("q"), side.alias("side"))
-    every = lambda n, f: F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array())
     own, c = F.col("own"), F.col("class")
+
+    def every(name: str, alike: str, f):
+        first = F.when(F.col("main"), F.coalesce(F.col(alike), F.lit(0))).otherwise(0)
+        return F.when(F.coalesce(F.col(name), F.lit(0)) > first, F.transform(F.sequence(first, F.col(name) - 1), f)).otherwise(F.array())
+
     keys = F.concat(
-        every(F.col("tiles"), lambda j: key(c, F.least(own, j), 0, F.greatest(own, j), (own > j).cast("int"))),
-        every(F.col("above"), lambda j: key(c, own, 1, j, F.lit(0))),
-        every(F.col("below"), lambda j: key(c - 1, j, 1, own, F.lit(1))),
+        every("tiles", "alike", lambda j: key(c, F.least(own, j), 0, F.greatest(own, j), (own > j).cast("int"))),
+        every("above", "above_alike", lambda j: key(c, own, 1, j, F.lit(0))),
+        every("below", "below_alike", lambda j: key(c - 1, j, 1, own, F.lit(1))),
     )
     alone = F.array(key(F.lit(0).cast("long"), F.lit(0), 0, F.lit(0), F.lit(0)))
     names, kept = ["cluster", "low", "p", "up", "q"], ["cluster", "node", "n", "component"]

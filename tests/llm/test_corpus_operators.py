@@ -50,6 +50,33 @@ def test_jaccard_join(spark, monkeypatch, rows, seed):
     assert sorted(r.doc_id for r in left.collect()) == [i for i, w in enumerate(want) if w[1] == i] and left.columns == H.docs(spark).columns
 
 
+@pytest.mark.parametrize("rows", [32, 4096])
+def test_near_copies_that_do_not_all_link_meet_once(spark, monkeypatch, rows):
+    """A group of near copies meets on many columns; its rows are not dealt once a column, nor are linked ones paired with each other."""
+    monkeypatch.setattr(shingle_join, "LEAST_ROWS", rows)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(240):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 1) if k % 3 else rng.randint(3, 5)):
+            copy[at] = f"x{k}-{at}"
+        texts.append(" ".join(copy))
+    dealt, counts = shingle_join._dealt, {}
+
+    def counted(work, payload, name, *more):
+        out = dealt(work, payload, name, *more)
+        counts[name] = (work.select("node").distinct().count(), out[0].count())
+        return out
+
+    monkeypatch.setattr(shingle_join, "_dealt", counted)
+    got = shingle_join.ShingleJoin(H.docs(ship(spark), texts), **OP9).component_ids().orderBy("doc_id").collect()
+    want = H.jaccard_components(texts)
+    assert [(r.n_shingles, r.component_id) for r in got] == want and 60 < len({w[1] for w in want}) < 100
+    nodes, sent = counts["bits"]
+    assert nodes > 100 and sent <= nodes * (2 if rows > nodes else 10)
+
+
 def test_jaccard_join_edges(spark):
     assert shingle_join.ShingleJoin(H.docs(ship(spark)).limit(0)).component_ids().count() == 0
     rows = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (3, "A  B\tc d")], "doc_id long, text string")
