@@ -151,7 +151,8 @@ def import_files(all_: DataFrame, files: DataFrame) -> DataFrame:
     Files meet imports at their path without extension and index name, so an import meets only the few that it may mean; the
     least rank is kept; a file that an import names with its extension comes first.  Where there is none, a file beside the importing one counts that has the last name of the import.
     """
-    own = _bindings(all_).join(files.select("file_id", F.col("path").alias("from")), "file_id")
+    # Written: two joins read it, and what it is made of may be a parse.
+    own = written(_bindings(all_).join(files.select("file_id", F.col("path").alias("from")), "file_id"))
     extension = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
     index = F.col("path").rlike(r"/(index|__init__)\.[A-Za-z0-9]+$")
     order = F.create_map(*[F.lit(x) for i, e in enumerate(IMPORTED) for x in (e, 2 * i)])[extension]
