@@ -76,6 +76,19 @@ def _facts(tree: S.Tree) -> list[tuple]:
     return out
 
 
+def told(tree: S.Tree) -> list[tuple]:
+    """The facts of a parsed file, and an issue if not all of it could be read."""
+    try:
+        found = _facts(tree)
+    except RecursionError:
+        return [_issue("nesting is too deep")]
+    return [*found, _issue("syntax tree contains errors; analysis is incomplete")] if tree.error else found
+
+
+def _issue(text: str) -> tuple:
+    return ("issue", "parse", None, text, *[None] * 6)
+
+
 def facts(corpus: DataFrame, *kept: str) -> DataFrame:
     """All facts of files (file_id, path, language, text) as one table; ``kind`` tells them apart.
 
@@ -93,12 +106,10 @@ def facts(corpus: DataFrame, *kept: str) -> DataFrame:
                 if text is None or language not in known:
                     continue
                 try:
-                    tree = S.Tree(text, language)
-                    rows += [(f[0], file_id, path, language, *f[1:], *own) for f in _facts(tree)]
-                    if tree.error:
-                        rows.append(("issue", file_id, path, language, "parse", None, "syntax tree contains errors; analysis is incomplete", *[None] * 6, *own))
+                    found = told(S.Tree(text, language))
                 except RecursionError:
-                    rows.append(("issue", file_id, path, language, "parse", None, "nesting is too deep", *[None] * 6, *own))
+                    found = [_issue("nesting is too deep")]
+                rows += [(f[0], file_id, path, language, *f[1:], *own) for f in found]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 

@@ -112,6 +112,11 @@ def findings(corpus: DataFrame, rules: list[Rule], unicode_classes: bool = True)
 
 def describe(located: DataFrame, rules: list[Rule]) -> DataFrame:
     """Joins what rules say onto located matches (with rule_ord), and fingerprints them."""
+    return fingerprinted(described(located, rules))
+
+
+def described(located: DataFrame, rules: list[Rule], *more: str) -> DataFrame:
+    """:func:`describe` without fingerprints, and with further columns."""
     table = rules_table(located.sparkSession, rules).drop("languages", "capability", "pack")
     joined = located.join(F.broadcast(table), "rule_ord")
     first = {r.id: r.languages[0] for r in rules}
@@ -120,7 +125,12 @@ def describe(located: DataFrame, rules: list[Rule]) -> DataFrame:
         {
             "message": F.coalesce("message", "rule_name"),
             "language": language,
-            "fingerprint": X.fingerprint(F.col("rule_id"), F.col("path"), F.col("code_snippet"), F.col("start_line"), F.col("start_column")),
         }
     )
-    return full.select("file_id", *FINDING)
+    return full.select("file_id", *[c for c in FINDING if c != "fingerprint"], *more)
+
+
+def fingerprinted(found: DataFrame, *more: str) -> DataFrame:
+    """``found`` with fingerprints: ``file_id``, the columns of FINDING, and further ones."""
+    identity = X.fingerprint(F.col("rule_id"), F.col("path"), F.col("code_snippet"), F.col("start_line"), F.col("start_column"))
+    return found.withColumn("fingerprint", identity).select("file_id", *FINDING, *more)

@@ -31,14 +31,14 @@ OWN = -1
 NODE = ["file_id", "node", "rule"]
 
 
-def _first(text: Column, strings: tuple[str, ...]) -> Column:
-    """The first of some strings that a text holds."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(s)), s) for s in strings], F.lit(None).cast("string"))
+def _first(text: Column, strings: tuple[str, ...], among: list[str]) -> Column:
+    """The first of some strings that a text holds, as its place among others."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(s)), F.lit(among.index(s))) for s in strings], F.lit(None).cast("int"))
 
 
 def _rules(rules: list[tuple[int, Rule]], attribute: str, text: Column) -> Column:
     """Rules of a row's language of which some string of an attribute is in a text; their ordinals."""
-    own = [F.when(_language(r) & _first(text, getattr(r, attribute)).isNotNull(), F.lit(i)) for i, r in rules]
+    own = [F.when(_language(r) & _first(text, held, held).isNotNull(), F.lit(i)) for i, r in rules for held in [getattr(r, attribute)]]
     return F.array_compact(F.array(*own))
 
 
@@ -52,8 +52,11 @@ class Flow:
     def __init__(self, files: DataFrame, rules: list[Rule], facts: DataFrame | None = None):
         self.rules = [(i, r) for i, r in enumerate(rules) if r.capability == "taint" and r.sources and r.sinks]
         self.files, self.facts, self.spark = files, facts, files.sparkSession
-        self.nodes = written(self._judged())
-        nodes = self.nodes
+        self.languages = [x for x in dict.fromkeys(S.EXTENSIONS.values()) if any(r.applies(x) for _, r in self.rules)]
+        #: Tables say a sink by its place here; the order is that of the texts.
+        self.sinks = sorted({s for _, r in self.rules for s in r.sinks})
+        self.rows = written(self._judged())
+        self.nodes = nodes = self.rows.filter(F.col("kind") != flow.FILE).drop("facts")
         used = nodes.select("file_id", "node", "kind", "fn", "line", "clean", F.explode("uses").alias("u"))
         used = used.select("file_id", F.col("u.def").alias("def"), "node", "kind", "fn", "line", "clean", "u.counts", "u.var", *[F.col(f"u.{c}").alias(f"def_{c}") for c in ("kind", "fn", "pos")])
         cleaned = nodes.filter((F.col("kind") == flow.DEF) & (F.size("clean") > 0)).select("file_id", F.col("node").alias("def"), F.col("clean").alias("def_clean"))
@@ -71,11 +74,11 @@ class Flow:
 
     def _judged(self) -> DataFrame:
         """The rows of the files with what rules say of their texts, instead of the texts; rows that nothing can flow through go."""
-        rows = flow.values(self.files, [x for x in dict.fromkeys(S.EXTENSIONS.values()) if any(r.applies(x) for _, r in self.rules)])
+        rows = flow.values(spread(self.files), self.languages, told=self.facts is None)
         text, kind, none = F.col("source_text"), F.col("kind"), F.array().cast("array<int>")
         given = _rules(self.rules, "param_annotations", text)
         source = F.when(kind == flow.PARAM, given).when(kind == flow.FUNCTION, none).otherwise(_rules(self.rules, "sources", text))
-        sinks = [F.when(_language(r), F.struct(F.lit(i).alias("rule"), _first(F.col("sink_text"), r.sinks).alias("sink"))) for i, r in self.rules]
+        sinks = [F.when(_language(r), F.struct(F.lit(i).alias("rule"), _first(F.col("sink_text"), r.sinks, self.sinks).alias("sink"))) for i, r in self.rules]
         judged = rows.select(
             *[c for c in rows.columns if not c.endswith("_text")],
             source.alias("source"),
@@ -83,7 +86,7 @@ class Flow:
             F.filter(F.array_compact(F.array(*sinks)), lambda s: s["sink"].isNotNull()).alias("sinks"),
             F.array_compact(F.array(*[F.when(_language(r), F.lit(i)) for i, r in self.rules])).alias("applicable"),
         )
-        return judged.filter(kind.isin(flow.FUNCTION, flow.PARAM) | (F.size("uses") + F.size("calls") + F.size("source") > 0))
+        return judged.filter(kind.isin(flow.FUNCTION, flow.PARAM, flow.FILE) | (F.size("uses") + F.size("calls") + F.size("source") > 0))
 
     def _resolved(self) -> DataFrame | None:
         """(file_id, name, callee_file, callee_fn) of calls whose name several functions have, none of them in the same file."""
@@ -94,12 +97,16 @@ class Flow:
         away = written(away.join(several, "name", "left_semi").distinct())
         if away.isEmpty():
             return None
-        facts = self.facts if self.facts is not None else written(graph.facts(self.files))
+        facts = self.facts if self.facts is not None else written(flow.facts(self.rows))
         asked = graph.edges(self.files, facts, calls=away.select("file_id", F.col("shown").alias("name")).distinct())
         symbols = graph.symbols(facts).select(F.col("symbol_id").alias("callee_symbol"), F.col("file_id").alias("callee_file"), F.col("start").alias("callee_fn"))
         sure = asked.filter("how != 'name'").select("file_id", F.element_at(F.split("callee_text", r"\."), -1).alias("shown"), "callee_symbol").distinct()
         return written(sure.join(symbols, "callee_symbol").join(away, ["file_id", "shown"]).select("file_id", "name", "callee_file", "callee_fn").distinct())
 
+    def told(self, sink: Column) -> Column:
+        """The text of a sink."""
+        return F.element_at(F.array(*map(F.lit, self.sinks)), sink + 1) if self.sinks else F.lit(None).cast("string")
+
     # Forward: what sources taint.
 
     def tainted(self) -> DataFrame:
@@ -152,12 +159,12 @@ class Flow:
         named = reach.join(self.functions, ["file_id", "fn"])
         anywhere = named.groupBy("name", "pos", "rule").agg(F.min_by("sink", F.struct("path", "fn")).alias("any_sink"))
         own = named.groupBy("file_id", "name", "pos", "rule").agg(F.min_by("sink", "fn").alias("own_sink"))
-        met = calls.join(anywhere, ["name", "pos"]).join(own, ["file_id", "name", "pos", "rule"], "left").withColumn("sure_sink", F.lit(None).cast("string"))
+        met = calls.join(anywhere, ["name", "pos"]).join(own, ["file_id", "name", "pos", "rule"], "left").withColumn("sure_sink", F.lit(None).cast("int"))
         if self.resolved is not None:
             far = self.resolved.join(reach.select(F.col("file_id").alias("callee_file"), F.col("fn").alias("callee_fn"), "pos", "rule", "sink"), ["callee_file", "callee_fn"])
             sure = far.groupBy("file_id", "name", "pos", "rule").agg(F.min_by("sink", "callee_fn").alias("sure_sink"))
             by_name = met.drop("sure_sink").join(sure, ["file_id", "name", "pos", "rule"], "left")
-            renamed = calls.join(sure, ["file_id", "name", "pos"]).withColumns({"any_sink": F.lit(None).cast("string"), "own_sink": F.lit(None).cast("string")})
+            renamed = calls.join(sure, ["file_id", "name", "pos"]).withColumns({"any_sink": F.lit(None).cast("int"), "own_sink": F.lit(None).cast("int")})
             met = by_name.unionByName(renamed.join(anywhere.select("name", "pos", "rule"), ["name", "pos", "rule"], "left_anti"))
         allowed = met.filter(~F.array_contains("blocked", F.col("rule")))
         if "applicable" in calls.columns:
@@ -170,8 +177,8 @@ class Flow:
         """((file_id, node, rule, sink) of the places to report, with what is said of the sink; the tainted values)."""
         tainted = written(self.tainted())
         nodes = self.nodes.filter(F.col("kind").isin(flow.CALL, flow.ASSIGN)).select("file_id", "node", "fn", "start", F.explode("sinks").alias("s")).select("file_id", "node", "fn", "start", "s.rule", "s.sink")
-        direct = nodes.join(tainted.select(*NODE), NODE).withColumns({"pos": F.lit(-2), "bare": F.col("sink")})
-        tell = F.concat(F.col("shown"), F.lit("(...) reaches sink "), F.col("sink"))
+        direct = nodes.join(tainted.select(*NODE), NODE).withColumns({"sink": self.told(F.col("sink")), "pos": F.lit(-2), "bare": F.col("sink")})
+        tell = F.concat(F.col("shown"), F.lit("(...) reaches sink "), self.told(F.col("sink")))
         given = self.args.join(tainted.select(*NODE), ["file_id", "node"]).withColumnRenamed("rule", "of_rule")
         handed = self.handing(given, self.reaching()).filter("rule = of_rule")
         sites = self.sites.select("file_id", F.col("node").alias("of"), "fn", "start").distinct()
@@ -222,11 +229,10 @@ def taint_findings(corpus: DataFrame, rules: list[Rule], facts: DataFrame | None
     ``facts``: those of the code graph, where they are known already.
     """
     spark = ship(corpus.sparkSession)
-    files = spread(corpus.select("file_id", "path", "language", "text"))
+    files = corpus.select("file_id", "path", "language", "text")
     with Scratch(spark) as block:
         located = written(Flow(files, rules, facts).located())
         kept = innermost(located.withColumn("rule_id", F.col("rule_ord").cast("string")))
-        lines = kept.select("file_id", "rule_ord", "start_byte", "ord", "source_line")
-        described = match.describe(kept.drop("rule_id"), rules)
-        back = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.id, i)])[F.col("rule_id")]
-        return block.keep(described.withColumn("rule_ord", back).join(lines, ["file_id", "rule_ord", "start_byte", "ord"]).select("file_id", *match.FINDING, "source_line"))
+        found = block.keep(match.described(kept.drop("rule_id"), rules, "source_line"))
+    # Read back first, so that only who asks for fingerprints pays for them.
+    return match.fingerprinted(found, "source_line")

@@ -11,6 +11,7 @@ import tomllib
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ENGINE_VERSION = "0.4.0"
@@ -206,4 +207,9 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
         (i, r.pack, r.id, r.name, r.description, r.recommendation, r.category, r.severity, r.severity_rank, r.confidence, list(r.languages), r.cwe, r.owasp, r.framework, r.capability)
         for i, r in enumerate(rules)
     ]
-    return spark.createDataFrame(rows, RULES_SCHEMA)
+    # From Arrow it is a local table, which takes no job and no worker.
+    names, types = zip(*(f.split() for f in RULES_SCHEMA.split(", ")), strict=True)
+    kinds = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    held = pa.table([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+    return spark.createDataFrame(held, RULES_SCHEMA)
