@@ -2,7 +2,9 @@
 
 A turn may hold tool calls, as a JSON object ``{"content": ..., "tool_calls":
 [{"id", "name", "arguments"}, ...]}``, or a result, as ``{"tool_call_id": ...,
-"content": ...}``; any other text is plain content.  Calls and results of a
+"content": ...}``, or declare tools, as ``{"content": ..., "tools": [{"name",
+"parameters"}, ...]}`` with schemas of arguments, which hold for its conversation;
+any other text is plain content.  Calls and results of a
 conversation are hash-joined by identifier, calls are ordered topologically by
 the results their arguments refer to (strings like ``"$id"``), arguments are
 validated against the tools' schemas, and each message is serialised as
@@ -23,6 +25,9 @@ Defined results
     schemas              a keyword that isn't checked is an error when the job begins; an
                          argument that refers to a call stands for its result, so it breaks
                          a schema only where the conversation has no such call
+    declared tools       come before given ones of their name; of several of a name in one
+                         conversation the first (turn, schema) holds; with a schema that can't be
+                         checked the turn is plain content; those of a null conv_id hold for nothing
     repeated rows, ties  a repeated turn is a message of its own; of several results
                          of one call the first (turn, text) is linked; a repeated
                          call identifier is a call of its own with the same result
@@ -45,7 +50,8 @@ from pyspark.sql import functions as F
 from siftline.llm.shared import materialise, tidy
 from siftline.session import ship
 
-_PARSED = "conv_id long, turn long, role string, text string, kind string, calls array<struct<seq:int,id:string,name:string,arguments:string,refs:array<string>,errors:array<string>,late:array<struct<ref:string,error:string>>>>, answers string, content string"
+_PARSED = "conv_id long, turn long, role string, text string, kind string, calls array<struct<seq:int,id:string,name:string,arguments:string,refs:array<string>,errors:array<string>,late:array<struct<ref:string,error:string>>>>, answers string, content string, tools array<struct<name:string,schema:string>>"
+_TOOLS = pa.list_(pa.struct([("name", pa.string()), ("schema", pa.string())]))
 
 
 #: Levels of nesting that are read; deeper JSON is plain content.
@@ -195,8 +201,27 @@ def _identifier(value) -> str | None:
     return None if value is None else str(value)
 
 
-def parse(text: str | None, tools: dict[str, dict]) -> tuple[str, list, str | None, str | None]:
-    """(kind, calls, identifier answered, content) of a turn."""
+#: What a schema of wrong values raises; it comes from the data, so it ends as an error of the call.
+_UNFIT = (ValueError, TypeError, AttributeError, ArithmeticError, re.error)
+
+
+def declared(value) -> list[dict] | None:
+    """The tools that a turn declares, with their schemas as text; None if it declares none that can be checked."""
+    tools = value.get("tools") if isinstance(value, dict) else None
+    if not isinstance(tools, list) or not tools or not all(isinstance(t, dict) and isinstance(t.get("name"), str) for t in tools):
+        return None
+    try:
+        for t in tools:
+            schema = t.get("parameters", True)
+            check_schema(schema)
+            violations({}, schema)
+    except (*_UNFIT, RecursionError):
+        return None
+    return [{"name": t["name"], "schema": canonical(t.get("parameters", True))} for t in tools]
+
+
+def parse(text: str | None, tools: dict[str, dict]) -> tuple[str, list, str | None, str | None, list]:
+    """(kind, calls, identifier answered, content, tools declared) of a turn."""
     if text and text.lstrip()[:1] == "{":
         try:
             value = read_json(text)
@@ -216,11 +241,42 @@ def parse(text: str | None, tools: dict[str, dict]) -> tuple[str, list, str | No
                 late = [{"ref": ref, "error": e} for e, ref in found if ref is not None]
                 calls.append({"seq": seq, "id": _identifier(c.get("id")), "name": name, "arguments": canonical(arguments), "refs": sorted(set(references(arguments))), "errors": [e for e, ref in found if ref is None], "late": late})
             content = value.get("content")
-            return "calls", calls, None, content if content is None or isinstance(content, str) else canonical(content)
+            return "calls", calls, None, content if content is None or isinstance(content, str) else canonical(content), []
         if isinstance(value, dict) and "tool_call_id" in value:
             content = value.get("content")
-            return "result", [], _identifier(value["tool_call_id"]), content if content is None or isinstance(content, str) else canonical(content)
-    return "plain", [], None, text
+            return "result", [], _identifier(value["tool_call_id"]), content if content is None or isinstance(content, str) else canonical(content), []
+        own = declared(value)
+        if own:
+            content = value.get("content")
+            return "tools", [], None, content if content is None or isinstance(content, str) else canonical(content), own
+    return "plain", [], None, text, []
+
+
+def judged(calls: DataFrame, special: DataFrame) -> DataFrame:
+    """``calls`` with what breaks the schemas that their own conversations declare, each checked in the task that its row is in."""
+    tools = special.filter("kind = 'tools' AND conv_id IS NOT NULL").select("conv_id", "turn", F.explode("tools").alias("t"))
+    first = tools.groupBy("conv_id", F.col("t.name").alias("name")).agg(F.min(F.struct("turn", "t.schema")).alias("m")).select("conv_id", "name", "m.schema")
+    if first.isEmpty():
+        return calls
+    having = first.select("conv_id").distinct().withColumn("having", F.lit(True))
+    met = calls.join(first, ["conv_id", "name"], "left").join(having, "conv_id", "left")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if r["schema"] is not None:
+                    try:
+                        found = violations(json.loads(r["arguments"]), json.loads(r["schema"]))
+                    except (*_UNFIT, RecursionError):
+                        found = [("/: schema doesn't apply", None)]
+                    r["errors"] = [e for e, ref in found if ref is None]
+                    r["late"] = [{"ref": ref, "error": e} for e, ref in found if ref is not None]
+                elif r["having"] and not r["given"]:
+                    r["errors"] = ["unknown tool"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in batch.schema], schema=batch.schema)
+
+    return materialise(met.mapInArrow(tidy(check), met.schema).select(*calls.columns), "judged")
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -250,7 +306,7 @@ def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, conv_col
     """One row a message: conv_id, turn, role, n_calls, n_linked, n_invalid, n_cyclic, orphan, message.
 
     ``message`` is canonical JSON.  ``orphan``: the turn is a result that no call asked for.
-    ``tools``: a schema of the arguments for each tool name.
+    ``tools``: a schema of the arguments for each tool name, beside what conversations declare.
     """
     tools = tools or {}
     for name, schema in tools.items():
@@ -267,10 +323,10 @@ def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, conv_col
         call = pa.struct([("seq", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("refs", pa.list_(pa.string())), ("errors", pa.list_(pa.string())), ("late", pa.list_(pa.struct([("ref", pa.string()), ("error", pa.string())])))])
         for batch in batches:
             rows = [parse(t, tools) for t in batch.column(3).to_pylist()]
-            kinds, calls, answers, content = zip(*rows, strict=True) if rows else ([], [], [], [])
+            kinds, calls, answers, content, own = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(kinds, pa.string()), pa.array(calls, pa.list_(call)), pa.array(answers, pa.string()), pa.array(content, pa.string())],
-                ["conv_id", "turn", "role", "text", "kind", "calls", "answers", "content"],
+                [*batch.columns, pa.array(kinds, pa.string()), pa.array(calls, pa.list_(call)), pa.array(answers, pa.string()), pa.array(content, pa.string()), pa.array(own, _TOOLS)],
+                ["conv_id", "turn", "role", "text", "kind", "calls", "answers", "content", "tools"],
             )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +340,8 @@ def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, conv_col
                         {"arguments": json.loads(c["arguments"]), "id": c["id"], "name": c["name"]} | ({"result": c["result"]} if c["has_result"] else {}) | ({"errors": c["errors"]} if c["errors"] else {})
                         for c in calls
                     ]
+                if r["kind"] == "tools":
+                    message["tools"] = [{"name": t["name"], "parameters": json.loads(t["schema"])} for t in r["tools"]]
                 if r["kind"] == "result":
                     message["tool_call_id"] = r["answers"]
                 messages.append(canonical(message))
@@ -298,11 +356,12 @@ def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, conv_col
     special = materialise(parsed.filter("kind != 'plain'").withColumn("row", F.monotonically_increasing_id()), "special")
     linked_type = "array<struct<seq:int,id:string,name:string,arguments:string,errors:array<string>,level:int,has_result:boolean,result:string>>"
     schema = "conv_id long, turn long, role string, n_calls long, n_linked long, n_invalid long, n_cyclic long, orphan boolean, message string"
-    wanted = ["conv_id", "turn", "role", "kind", "answers", "content"]
+    wanted = ["conv_id", "turn", "role", "kind", "answers", "content", "tools"]
     plain = parsed.filter("kind = 'plain'").select(*wanted, F.lit(None).cast(linked_type).alias("linked"), F.lit(False).alias("orphan"))
     if special.isEmpty():
         return plain.mapInArrow(tidy(write), schema)
-    calls = special.filter("kind = 'calls'").select("row", "conv_id", F.explode("calls").alias("c")).select("row", "conv_id", "c.*")
+    calls = special.filter("kind = 'calls'").select("row", "conv_id", F.explode("calls").alias("c")).select("row", "conv_id", "c.*", F.col("c.name").isin(list(tools)).alias("given"))
+    calls = judged(calls, special)
     results = special.filter("kind = 'result' AND answers IS NOT NULL").groupBy("conv_id", F.col("answers").alias("id")).agg(F.min(F.struct("turn", "text", "content")).alias("r"))
     results = results.select("conv_id", "id", F.lit(True).alias("has_result"), F.col("r.content").alias("result"))
     # A call without identifier is named by its place: nothing can refer to it, but it has a level.
