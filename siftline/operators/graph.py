@@ -5,7 +5,7 @@ Files are parsed in Arrow batches; everything after that is joins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from siftline.session import Rounds, ship, written
 from siftline.sources import syntax as S
 
-#: Columns of facts.
-FACT = "kind string, file_id long, path string, language string, name string, qualified string, detail string, line long, start long, has_body boolean, owner string, owner_line long, other string"
+#: A column of lists of facts, for Spark and for Arrow.
+_FACT = "kind:string,name:string,qualified:string,detail:string,line:long,start:long,has_body:boolean,owner:string,owner_line:long,other:string"
+FACTS = f"facts array<struct<{_FACT}>>"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+_ARROW = pa.list_(pa.struct([(name, _TYPES[kind]) for name, _, kind in (f.partition(":") for f in _FACT.split(","))]))
+
+#: Files whose rows a worker holds at once.
+PART = 256
 
 
 #: Kinds of nodes that declare a type.
@@ -89,32 +95,53 @@ def _issue(text: str) -> tuple:
     return ("issue", "parse", None, text, *[None] * 6)
 
 
-def facts(corpus: DataFrame, *kept: str) -> DataFrame:
-    """All facts of files (file_id, path, language, text) as one table; ``kind`` tells them apart.
+def listed(values: Iterable[list[tuple]]) -> pa.Array:
+    """A column of the lists of facts of files, built field by field."""
+    offsets, flat, fields = [0], [], list(_ARROW.value_type)
+    for v in values:
+        flat += v
+        offsets.append(len(flat))
+    columns = zip(*flat, strict=True) if flat else [[]] * len(fields)
+    held = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held)
+
+
+def read(text: str | None, language: str) -> list[tuple]:
+    """The facts of a file; none where it isn't code."""
+    if text is None or language not in S.EXTENSIONS.values():
+        return []
+    try:
+        return told(S.Tree(text, language))
+    except RecursionError:
+        return [_issue("nesting is too deep")]
+
 
-    ``kept``: further columns of strings of the files, which each of their facts carries.
+def parsed(corpus: DataFrame, *kept: str) -> DataFrame:
+    """Files (file_id, path, language, text) with the list of their facts instead of the text, a row a file.
+
+    ``kept``: further columns of strings of the files.
     """
     ship(corpus.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns_ = [f.split() for f in schema.split(", ")]
-        names, types = [n for n, _ in columns_], [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[t] for _, t in columns_]
-        known = set(S.EXTENSIONS.values())
-        for batch in batches:
-            rows = []
-            for file_id, path, language, text, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text is None or language not in known:
-                    continue
-                try:
-                    found = told(S.Tree(text, language))
-                except RecursionError:
-                    found = [_issue("nesting is too deep")]
-                rows += [(f[0], file_id, path, language, *f[1:], *own) for f in found]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    schema = ", ".join([FACT, *(f"{c} string" for c in kept)])
-    return corpus.select("file_id", "path", "language", "text", *kept).mapInArrow(run, schema)
+        for batch in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
+            *own, language, text = batch.columns
+            found = listed(map(read, text.to_pylist(), language.to_pylist()))
+            yield pa.RecordBatch.from_arrays([*own, language, found], [*batch.schema.names[:-1], "facts"])
+
+    schema = ", ".join(["file_id long, path string", *(f"{c} string" for c in (*kept, "language")), FACTS])
+    return corpus.select("file_id", "path", *kept, "language", "text").mapInArrow(run, schema)
+
+
+def facts(corpus: DataFrame) -> DataFrame:
+    """All facts of files (file_id, path, language, text) as one table; ``kind`` tells them apart."""
+    return each(parsed(corpus))
+
+
+def each(files: DataFrame) -> DataFrame:
+    """A row for each of the facts that files hold as lists."""
+    own = files.select("file_id", "path", "language", F.explode("facts").alias("f"))
+    return own.select("f.kind", "file_id", "path", "language", *[f"f.{c}" for c in ("name", "qualified", "detail", "line", "start", "has_body", "owner", "owner_line", "other")])
 
 
 def symbols(all_: DataFrame) -> DataFrame:

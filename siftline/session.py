@@ -39,10 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASK_ROWS = 20_000
 
 
+def parts(spark: SparkSession, rows: int) -> int:
+    """Parts of a table of so many rows that use all cores and keep a task's work bounded."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, and over as many parts as keep a task's work bounded, for steps that cost far more than moving their rows."""
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
-    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+    n = parts(df.sparkSession, df.count())
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.session import spread, written
+from siftline.session import drop_path, parts, spread, written
 
 SCHEMA = 1
 #: Days that cached findings are kept.
@@ -65,16 +67,20 @@ class FindingsCache:
         return len(old)
 
 
-#: Parts of a snapshot by hash of the path; only those with changed files are written again.
+#: Files that a snapshot is brought down to when it is written anew, at most.
 BUCKETS = 64
 
 
 class GraphSnapshot:
-    """The facts of the code graph with the hashes of the files that they are from.
+    """The facts of the code graph with the hashes of the files that they are from, a row a file.
+
+    A scan asks for the facts of its files: those of unchanged files are taken over where they lie, only changed ones are
+    parsed, and their rows are added as one more part of the store.  Rows of files that are gone, or that a later part has another
+    row of, are never used; once they outnumber the others the store is written anew.  A row holds all facts of its file,
+    so what a broken-off run has left is whole or not there.
 
-    A scan asks for the facts of its files: those of unchanged files are taken over, only changed ones are parsed, and
-    the buckets that hold any of these are replaced.  Rows of files that are gone, or whose bucket a broken-off run did not
-    reach, match no hash and are never used.
+    Files and rows meet by digests, and only digests of what differs are written, so neither texts nor facts
+    move unless very many files have changed.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
@@ -88,46 +94,59 @@ class GraphSnapshot:
         """All rows of the store, if there is one that can be read."""
         from pyspark.errors import PySparkException
 
-        from siftline.operators.graph import FACT
-
         try:
             found = self.spark.read.parquet(self._store())
         except PySparkException:
             return None
-        wanted = [c.split()[0] for c in FACT.split(", ")] + ["source_hash", "bucket"]
+        wanted = ["file_id", "path", "source_hash", "language", "facts", "part"]
         return found.select(*wanted) if set(wanted) <= set(found.columns) else None
 
-    def _laid(self, rows: DataFrame) -> DataFrame:
-        """Rows by bucket, so that a task writes few of them and not a file in each."""
-        return rows.repartitionByRange("bucket", "path")
+    def _add(self, rows: DataFrame, number: int = 0) -> DataFrame:
+        """Writes a part of the store, and gives it back; the first one is the store anew."""
+        if not number:
+            drop_path(self.spark, self._store())
+        part = f"{self._store()}/part=p{number:09d}-{uuid.uuid4().hex}"
+        # Stored rows are mostly names and hashes, which this makes smaller than the default does.
+        rows.write.option("compression", "zstd").parquet(part)
+        return self.spark.read.schema(rows.schema).parquet(part)
+
+    def _apart(self, own: DataFrame, known: DataFrame) -> DataFrame:
+        """(key, new): files to parse, by digest of their path, and stored rows not to be used, by digest of path and part."""
+        digest = lambda c: F.unhex(F.md5(c))
+        now = own.select(digest("path").alias("at"), digest("source_hash").alias("print"), F.lit(True).alias("asked"))
+        last = F.max("part").over(Window.partitionBy("at"))
+        was = known.select(digest("path").alias("at"), digest("source_hash").alias("had"), "part").withColumn("last", F.col("part") == last)
+        # A file without a hash is like no stored one.
+        met = now.join(was, "at", "full").withColumn("same", F.coalesce(F.col("last") & (F.col("print") == F.col("had")), F.lit(False))).filter("NOT same")
+        told = F.array(
+            F.when(F.col("asked") & F.coalesce("last", F.lit(True)), F.struct(F.col("at").alias("key"), F.lit(True).alias("new"))),
+            F.when(F.col("part").isNotNull(), F.struct(digest(F.concat(F.lower(F.hex("at")), "part")).alias("key"), F.lit(False).alias("new"))),
+        )
+        return met.select(F.inline(F.array_compact(told)))
 
     def refresh(self, files: DataFrame) -> DataFrame:
         """The facts of ``files`` (file_id, path, language, text, source_hash), as a full build would give them; the store follows."""
-        from siftline.operators.graph import facts
+        from siftline.operators.graph import each, parsed
 
-        bucket = F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int").alias("bucket")
-        named = files.select("path", "source_hash").filter("source_hash IS NOT NULL")
+        own = files.select("file_id", "path", "language", "text", "source_hash")
         known = self._known()
-        new = files
-        if known is not None:
-            # A file's own row says that its facts are whole, even where it has none.
-            new = files.join(known.filter("kind = 'file'").select("path", "source_hash"), ["path", "source_hash"], "left_anti")
-        new = written(new.select("file_id", "path", "language", "text", "source_hash"))
-        self.parsed = new.count()
-        made = facts(spread(new), "source_hash")
-        own = new.select(F.lit("file").alias("kind"), "file_id", "path", "language", "source_hash")
-        fresh = written(made.unionByName(own, allowMissingColumns=True).withColumn("bucket", bucket))
         if known is None:
-            self._laid(fresh).write.mode("overwrite").partitionBy("bucket").parquet(self._store())
-            return fresh.filter("kind != 'file'").drop("source_hash", "bucket")
-        stay = known.join(named, ["path", "source_hash"], "left_semi")
-        if self.parsed:
-            touched = [r[0] for r in new.select(bucket).distinct().collect()]  # as many as buckets at most
-            every = written(stay.filter(F.col("bucket").isin(touched)).unionByName(fresh))
-            rest = written(stay.filter(~F.col("bucket").isin(touched)))
-            self._laid(every).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._store())
-            stay = rest.unionByName(every)
-        return stay.filter("kind != 'file'").drop("source_hash", "bucket")
+            made = self._add(parsed(spread(own), "source_hash"))
+            self.parsed = made.count()
+            return each(made)
+        apart = written(self._apart(own, known))
+        new, gone = (apart.filter(F.col("new") == x).select("key") for x in (True, False))
+        self.parsed, left = new.count(), gone.count()
+        stay, number = known, int((known.agg(F.max("part")).first()[0] or "p0").partition("-")[0][1:]) + 1
+        if left:
+            stay = known.join(gone, F.unhex(F.md5(F.concat(F.md5("path"), "part"))) == F.col("key"), "left_anti")
+        stay = stay.drop("part")
+        if 2 * left > known.count():
+            stay, number = self._add(written(stay).coalesce(self.buckets)), 1
+        if not self.parsed:
+            return each(stay)
+        fresh = own.join(new, F.unhex(F.md5("path")) == F.col("key"), "left_semi").repartition(parts(self.spark, self.parsed))
+        return each(stay.unionByName(self._add(parsed(fresh, "source_hash"), number)))
 
     def save(self, facts: DataFrame, files: DataFrame) -> None:
         facts.write.mode("overwrite").parquet(f"{self.path}/facts")
