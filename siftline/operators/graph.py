@@ -95,9 +95,9 @@ def _issue(text: str) -> tuple:
     return ("issue", "parse", None, text, *[None] * 6)
 
 
-def listed(values: Iterable[list[tuple]]) -> pa.Array:
-    """A column of the lists of facts of files, built field by field."""
-    offsets, flat, fields = [0], [], list(_ARROW.value_type)
+def listed(values: Iterable[list[tuple]], kind: pa.DataType = _ARROW) -> pa.Array:
+    """A column of lists of structures, the facts of files, say, built field by field."""
+    offsets, flat, fields = [0], [], list(kind.value_type)
     for v in values:
         flat += v
         offsets.append(len(flat))
@@ -236,10 +236,10 @@ def _further(known: DataFrame, reach: int) -> DataFrame:
     return ends.unionByName(every.select("type", F.expr(f"concat(levels, {added})").alias("levels")))
 
 
-def edges(corpus: DataFrame, all_: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
+def edges(corpus: DataFrame, all_: DataFrame | None = None, calls: DataFrame | None = None, by_name: bool = True) -> DataFrame:
     """(edge_id, file_id, line, caller_symbol, callee_text, callee_symbol, how): calls with what they resolve to.
 
-    ``calls`` (file_id, name) narrows it to calls of these names in these files.
+    ``calls`` (file_id, name) narrows it to calls of these names in these files; without ``by_name`` a name alone resolves to nothing.
 
     First of: the import that binds a plain name, the namespace a method is
     called on, the declared type of the receiver (then its ancestors, then
@@ -275,13 +275,13 @@ def edges(corpus: DataFrame, all_: DataFrame | None = None, calls: DataFrame | N
     by_type = typed.join(up.unionByName(down), "type").join(qualified, ["ancestor", "name"]).select("edge_id", "bare", "wide", "depth", "symbol_id")
     by_type = best(by_type, "type", 2)
 
-    # One symbol a name, and one a name and file, are chosen before any call meets them: no name brings all its pairs.
-    first = F.min(F.struct("path", "start", "symbol_id"))
-    anywhere, here = syms.groupBy("name").agg(first.alias("any")), syms.groupBy("name", "file_id").agg(first.alias("here"))
-    met = calls.select("edge_id", "name", "file_id").join(anywhere, "name").join(here, ["name", "file_id"], "left")
-    by_name = met.select("edge_id", F.lit(3).alias("rank"), F.lit("name").alias("how"), F.coalesce("here.symbol_id", "any.symbol_id").alias("symbol_id"))
-
-    every = by_import.unionByName(by_space).unionByName(by_type).unionByName(by_name)
+    every = by_import.unionByName(by_space).unionByName(by_type)
+    if by_name:
+        # One symbol a name, and one a name and file, are chosen before any call meets them: no name brings all its pairs.
+        first = F.min(F.struct("path", "start", "symbol_id"))
+        anywhere, here = syms.groupBy("name").agg(first.alias("any")), syms.groupBy("name", "file_id").agg(first.alias("here"))
+        met = calls.select("edge_id", "name", "file_id").join(anywhere, "name").join(here, ["name", "file_id"], "left")
+        every = every.unionByName(met.select("edge_id", F.lit(3).alias("rank"), F.lit("name").alias("how"), F.coalesce("here.symbol_id", "any.symbol_id").alias("symbol_id")))
     chosen = every.groupBy("edge_id").agg(F.min(F.struct("rank", "how", "symbol_id")).alias("c"))
     return calls.join(chosen, "edge_id", "left").select("edge_id", "file_id", "line", "caller_symbol", "callee_text", F.col("c.symbol_id").alias("callee_symbol"), F.col("c.how").alias("how"))
 

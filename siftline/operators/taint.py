@@ -16,6 +16,8 @@ only about names that several files define and the caller's own doesn't.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,13 @@ def _first(text: Column, strings: tuple[str, ...], among: list[str]) -> Column:
 
 def _rules(rules: list[tuple[int, Rule]], attribute: str, text: Column) -> Column:
     """Rules of a row's language of which some string of an attribute is in a text; their ordinals."""
-    own = [F.when(_language(r) & _first(text, held, held).isNotNull(), F.lit(i)) for i, r in rules for held in [getattr(r, attribute)]]
-    return F.array_compact(F.array(*own))
+    return _those((_language(r) & _first(text, held, held).isNotNull(), F.lit(i)) for i, r in rules for held in [getattr(r, attribute)])
+
+
+def _those(values: Iterable[tuple[Column, Column]], kind: str = "int") -> Column:
+    """An array of the values whose condition holds; without a lambda, so that it is compiled."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.concat(none, *[F.when(condition, F.array(value)).otherwise(none) for condition, value in values])
 
 
 def _language(rule: Rule) -> Column:
@@ -55,7 +62,7 @@ class Flow:
         self.languages = [x for x in dict.fromkeys(S.EXTENSIONS.values()) if any(r.applies(x) for _, r in self.rules)]
         #: Tables say a sink by its place here; the order is that of the texts.
         self.sinks = sorted({s for _, r in self.rules for s in r.sinks})
-        self.rows = written(self._judged())
+        self.rows = written(self._judged(), by=("kind",))
         self.nodes = nodes = self.rows.filter(F.col("kind") != flow.FILE).drop("facts")
         used = nodes.select("file_id", "node", "kind", "fn", "line", "clean", F.explode("uses").alias("u"))
         used = used.select("file_id", F.col("u.def").alias("def"), "node", "kind", "fn", "line", "clean", "u.counts", "u.var", *[F.col(f"u.{c}").alias(f"def_{c}") for c in ("kind", "fn", "pos")])
@@ -78,15 +85,18 @@ class Flow:
         text, kind, none = F.col("source_text"), F.col("kind"), F.array().cast("array<int>")
         given = _rules(self.rules, "param_annotations", text)
         source = F.when(kind == flow.PARAM, given).when(kind == flow.FUNCTION, none).otherwise(_rules(self.rules, "sources", text))
-        sinks = [F.when(_language(r), F.struct(F.lit(i).alias("rule"), _first(F.col("sink_text"), r.sinks, self.sinks).alias("sink"))) for i, r in self.rules]
+        sink = lambda r: _first(F.col("sink_text"), r.sinks, self.sinks)
+        sinks = [(_language(r) & sink(r).isNotNull(), F.struct(F.lit(i).alias("rule"), sink(r).alias("sink"))) for i, r in self.rules]
         judged = rows.select(
             *[c for c in rows.columns if not c.endswith("_text")],
             source.alias("source"),
             F.when(kind == flow.DEF, _rules(self.rules, "sanitizers", text)).otherwise(none).alias("clean"),
-            F.filter(F.array_compact(F.array(*sinks)), lambda s: s["sink"].isNotNull()).alias("sinks"),
-            F.array_compact(F.array(*[F.when(_language(r), F.lit(i)) for i, r in self.rules])).alias("applicable"),
+            _those(sinks, "struct<rule:int,sink:int>").alias("sinks"),
+            _those((_language(r), F.lit(i)) for i, r in self.rules).alias("applicable"),
         )
-        return judged.filter(kind.isin(flow.FUNCTION, flow.PARAM, flow.FILE) | (F.size("uses") + F.size("calls") + F.size("source") > 0))
+        # Uses know what their parameter is, so only those that are sources are asked for; of an assignment as a whole, only sinks.
+        some = F.size("uses") + F.size("calls") + F.size("source") > 0
+        return judged.filter(kind.isin(flow.FUNCTION, flow.FILE) | some & ((kind != flow.ASSIGN) | (F.size("sinks") > 0)))
 
     def _resolved(self) -> DataFrame | None:
         """(file_id, name, callee_file, callee_fn) of calls whose name several functions have, none of them in the same file."""
@@ -97,10 +107,10 @@ class Flow:
         away = written(away.join(several, "name", "left_semi").distinct())
         if away.isEmpty():
             return None
-        facts = self.facts if self.facts is not None else written(flow.facts(self.rows))
-        asked = graph.edges(self.files, facts, calls=away.select("file_id", F.col("shown").alias("name")).distinct())
+        facts = self.facts if self.facts is not None else written(flow.facts(self.rows), by=("kind",))
+        sure = graph.edges(self.files, facts, calls=away.select("file_id", F.col("shown").alias("name")).distinct(), by_name=False).filter("how IS NOT NULL")
         symbols = graph.symbols(facts).select(F.col("symbol_id").alias("callee_symbol"), F.col("file_id").alias("callee_file"), F.col("start").alias("callee_fn"))
-        sure = asked.filter("how != 'name'").select("file_id", F.element_at(F.split("callee_text", r"\."), -1).alias("shown"), "callee_symbol").distinct()
+        sure = sure.select("file_id", F.element_at(F.split("callee_text", r"\."), -1).alias("shown"), "callee_symbol").distinct()
         return written(sure.join(symbols, "callee_symbol").join(away, ["file_id", "shown"]).select("file_id", "name", "callee_file", "callee_fn").distinct())
 
     def told(self, sink: Column) -> Column:

@@ -103,10 +103,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str = "engine") -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut, and lost executors lose nothing."""
+def written(df: DataFrame, name: str = "engine", by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut, and lost executors lose nothing.
+
+    ``by``: columns of few values that readers choose rows by, who then read no others.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -48,3 +48,37 @@ def test_rules_are_a_local_table(spark):
     table = rules_table(ship(spark), rules)
     assert "LocalRelation" in table._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.rule_id, list(r.languages), r.cwe) for r in table.orderBy("rule_ord").collect()] == [(r.id, list(r.languages), r.cwe) for r in rules] and rules_table(spark, []).count() == 0
+
+
+def test_pieces_of_a_file_are_read_once_and_give_its_rows(monkeypatch):
+    """Functions that come again in other files aren't parsed again; what pieces give is what the whole file gives, or they aren't used."""
+    view = "@app.route('/x')\ndef view(request):\n    name = request.args.get('n')\n    def inner(a):\n        return name + a\n    return run(name, inner)\n"
+    tops = ["from lib1 import run\n\n", view, "class A(B):\n    def m(self, q):\n        return run(q.get('n'))\n", "# note\nprint(run(1))\n"]
+    texts = ["".join(tops), "".join(reversed(tops)), view + "\n\n" + view]
+    for text in texts:
+        rows, facts = flow._joined(text, True, True)
+        whole, told = flow._whole(text, "python", True, True)
+        assert rows == whole and facts == told and len(facts) > 4
+    # Other names, variables of the module, broken statements, other line ends and letters: the whole file is read.
+    for odd in ("from a import b as c\n", "x = 1\n", "f(\na,\nb)\n", "def (:\n", "s = 'a\\\nb'\n", "if a:\n    f()\nelse:\n    g()\nif b:\n    x = 2\n", "y()\r\n", "é()\n", "'''doc\nline at left\n'''\n"):
+        for text in (odd + view, view + odd):
+            joined, (whole, told) = flow._joined(text, True, True), flow._whole(text, "python", True, True)
+            assert joined is None or joined == (whole, told)
+            away = [r[13] for r in flow._read(text, "python", True, True) if r[1] == flow.CALL and r[3] == "run"]
+            assert away == [["run"]] * (1 if whole else 0)
+    trees, tree = [], flow.S.Tree
+    monkeypatch.setattr(flow.S, "Tree", lambda *a: trees.append(a) or tree(*a))
+    flow._piece.cache_clear()
+    for i in range(50):
+        flow._read(f"from lib{i} import run\n\n{view}", "python", True, True)
+    assert len(trees) == 51
+
+
+def test_kinds_are_read_apart(spark):
+    """A reader of one kind of rows reads no others."""
+    files = ship(spark).createDataFrame([f for f in FILES if f[0] in (1, 2, 8)], "file_id long, path string, language string, text string")
+    rules = [r for r in Registry.built_in().rules if r.id == "python.security.ssrf"]
+    found = taint.Flow(files, rules)
+    assert "PartitionFilters: [isnotnull(kind" in found.functions._jdf.queryExecution().toString()
+    kinds = {r.kind for r in found.rows.select("kind").distinct().collect()}
+    assert kinds == {flow.FUNCTION, flow.DEF, flow.OUT, flow.CALL, flow.ARG, flow.FILE}
