@@ -16,7 +16,8 @@ only about names that several files define and the caller's own doesn't.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,18 +34,31 @@ OWN = -1
 NODE = ["file_id", "node", "rule"]
 
 
+# Strings are looked for by one pattern a rule: a chain of conditions, a string each, makes methods that Java never compiles.
+def _holds(text: Column, strings: tuple[str, ...]) -> Column:
+    """Whether a text holds one of some strings."""
+    quoted = ("\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E" for s in strings)
+    return F.coalesce(text.rlike("|".join(quoted)), F.lit(False))
+
+
 def _first(text: Column, strings: tuple[str, ...], among: list[str]) -> Column:
     """The first of some strings that a text holds, as its place among others."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(s)), F.lit(among.index(s))) for s in strings], F.lit(None).cast("int"))
+    held = F.filter(F.array(*map(F.lit, strings)), lambda s: F.contains(text, s))
+    return (F.array_position(F.array(*map(F.lit, among)), F.get(held, F.lit(0))) - 1).cast("int")
+
 
+def _rules(rules: list[tuple[int, Rule]], attribute: str, text: Column) -> list[tuple[Column, Column]]:
+    """Rules, each with whether a row is of its language and some string of an attribute is in a text; their ordinals."""
+    return [(_language(r) & _holds(text, held), F.lit(i)) for i, r in rules for held in [getattr(r, attribute)] if held]
 
-def _rules(rules: list[tuple[int, Rule]], attribute: str, text: Column) -> Column:
-    """Rules of a row's language of which some string of an attribute is in a text; their ordinals."""
-    return _those((_language(r) & _first(text, held, held).isNotNull(), F.lit(i)) for i, r in rules for held in [getattr(r, attribute)])
 
+def _any(values: list[tuple[Column, Column]]) -> Column:
+    """Whether some condition holds."""
+    return reduce(or_, [condition for condition, _ in values], F.lit(False))
 
-def _those(values: Iterable[tuple[Column, Column]], kind: str = "int") -> Column:
-    """An array of the values whose condition holds; without a lambda, so that it is compiled."""
+
+def _those(values: list[tuple[Column, Column]], kind: str = "int") -> Column:
+    """An array of the values whose condition holds."""
     none = F.array().cast(f"array<{kind}>")
     return F.concat(none, *[F.when(condition, F.array(value)).otherwise(none) for condition, value in values])
 
@@ -83,20 +97,19 @@ class Flow:
         """The rows of the files with what rules say of their texts, instead of the texts; rows that nothing can flow through go."""
         rows = flow.values(spread(self.files), self.languages, told=self.facts is None)
         text, kind, none = F.col("source_text"), F.col("kind"), F.array().cast("array<int>")
-        given = _rules(self.rules, "param_annotations", text)
-        source = F.when(kind == flow.PARAM, given).when(kind == flow.FUNCTION, none).otherwise(_rules(self.rules, "sources", text))
-        sink = lambda r: _first(F.col("sink_text"), r.sinks, self.sinks)
-        sinks = [(_language(r) & sink(r).isNotNull(), F.struct(F.lit(i).alias("rule"), sink(r).alias("sink"))) for i, r in self.rules]
-        judged = rows.select(
+        given, brought, cleaned = (_rules(self.rules, x, text) for x in ("param_annotations", "sources", "sanitizers"))
+        sunk = [(_language(r) & _holds(F.col("sink_text"), r.sinks), F.struct(F.lit(i).alias("rule"), _first(F.col("sink_text"), r.sinks, self.sinks).alias("sink"))) for i, r in self.rules]
+        # Uses know what their parameter is, so only those that are sources are asked for; of an assignment as a whole, only sinks.
+        source = F.when(kind == flow.PARAM, _any(given)).when(kind == flow.FUNCTION, False).otherwise(_any(brought))
+        some = source | (F.size("uses") + F.size("calls") > 0)
+        asked = rows.filter(kind.isin(flow.FUNCTION, flow.FILE) | some & ((kind != flow.ASSIGN) | _any(sunk)))
+        return asked.select(
             *[c for c in rows.columns if not c.endswith("_text")],
-            source.alias("source"),
-            F.when(kind == flow.DEF, _rules(self.rules, "sanitizers", text)).otherwise(none).alias("clean"),
-            _those(sinks, "struct<rule:int,sink:int>").alias("sinks"),
-            _those((_language(r), F.lit(i)) for i, r in self.rules).alias("applicable"),
+            F.when(kind == flow.PARAM, _those(given)).when(kind == flow.FUNCTION, none).otherwise(_those(brought)).alias("source"),
+            F.when(kind == flow.DEF, _those(cleaned)).otherwise(none).alias("clean"),
+            _those(sunk, "struct<rule:int,sink:int>").alias("sinks"),
+            _those([(_language(r), F.lit(i)) for i, r in self.rules]).alias("applicable"),
         )
-        # Uses know what their parameter is, so only those that are sources are asked for; of an assignment as a whole, only sinks.
-        some = F.size("uses") + F.size("calls") + F.size("source") > 0
-        return judged.filter(kind.isin(flow.FUNCTION, flow.FILE) | some & ((kind != flow.ASSIGN) | (F.size("sinks") > 0)))
 
     def _resolved(self) -> DataFrame | None:
         """(file_id, name, callee_file, callee_fn) of calls whose name several functions have, none of them in the same file."""

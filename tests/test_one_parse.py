@@ -82,3 +82,20 @@ def test_kinds_are_read_apart(spark):
     assert "PartitionFilters: [isnotnull(kind" in found.functions._jdf.queryExecution().toString()
     kinds = {r.kind for r in found.rows.select("kind").distinct().collect()}
     assert kinds == {flow.FUNCTION, flow.DEF, flow.OUT, flow.CALL, flow.ARG, flow.FILE}
+
+
+def test_rules_are_told_by_small_code(spark):
+    """What a text holds is asked by one pattern a rule, whatever its strings are made of; the first sink in a rule's order is told."""
+    from pyspark.sql import functions as F
+
+    strings = ("a.b(", "\\E[x]", "c|d", "a.b")
+    texts = ["a.b(1)", "axb(", "\\E[x]", "[x]", "c|d a.b", "c", "", None]
+    rows = ship(spark).createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("i", taint._holds(F.col("t"), strings).alias("h"), taint._first(F.col("t"), strings, sorted(strings)).alias("f")).orderBy("i").collect()
+    assert [r.h for r in got] == [t is not None and any(s in t for s in strings) for t in texts]
+    assert [r.f for r in got] == [next((sorted(strings).index(s) for s in strings if t is not None and s in t), None) for t in texts]
+    files = spark.createDataFrame([f for f in FILES if f[0] in (1, 2, 8)], "file_id long, path string, language string, text string")
+    many = taint.Flow(files, [r for r in Registry.built_in().rules if r.capability == "taint"])
+    plan = many._judged()._jdf.queryExecution().optimizedPlan().toString()
+    chained = sum(len(r.sources) + len(r.sinks) + len(r.sanitizers) for _, r in many.rules)
+    assert plan.count("RLIKE") <= 8 * len(many.rules) and plan.count("Contains(") <= 2 * len(many.rules) < chained
